@@ -37,9 +37,10 @@ class PatternError(ValueError):
 @dataclass(frozen=True)
 class Translated:
     line: str  # to be matched against one line, or one whole text
-    search: str  # matches a text whenever `line` matches one of its lines
-    literal: str | None  # substring every match must contain, or None
-    fold_case: bool  # the literal is lower case and must be looked up in lower-cased text
+    search: str  # matches a text whenever `line` matches one of its lines, and maybe others
+    # Every match contains one of these (text, fold); a folded one is lower case and is
+    # looked up in lower-cased text. Empty when nothing is known.
+    literals: tuple[tuple[str, bool], ...]
 
 
 class _Scanner:
@@ -53,7 +54,7 @@ class _Scanner:
         self.saved: list[tuple[bool, bool]] = []
         self.runs: list[tuple[str, bool]] = []
         self.run = ""
-        self.alternation = False
+        self.branches: list[list[tuple[str, bool]]] = []
         self.repeatable = False
 
     # -- literal runs outside any group, used as a cheap pre-test ------------
@@ -62,6 +63,10 @@ class _Scanner:
             self.runs.append((self.run, self.fold))
         self.run = ""
 
+    def _end_branch(self):
+        self.branches.append(self.runs)
+        self.runs = []
+
     def _emit(self, text: str, literal: str | None = None):
         self.out.append(text)
         self.repeatable = True
@@ -86,7 +91,8 @@ class _Scanner:
             self.pos += 1
             if ch == "|":
                 self._end_run()
-                self.alternation = self.alternation or not self.saved
+                if not self.saved:
+                    self._end_branch()
                 self.out.append("|")
                 self.repeatable = False
             elif ch == "^":
@@ -100,6 +106,7 @@ class _Scanner:
         if self.saved:
             self._fail("missing closing parenthesis")
         self._end_run()
+        self._end_branch()
         return "".join(self.out)
 
     def _open(self):
@@ -206,7 +213,9 @@ class _Scanner:
             return
         self.pos += 2
         if nxt in "bB":
-            self._emit(_AT_WORD_EDGE if nxt == "b" else _NOT_WORD_EDGE)
+            # a search may find too much, so it goes without the costly word edges
+            edge = _AT_WORD_EDGE if nxt == "b" else _NOT_WORD_EDGE
+            self._emit(edge if self.per_line else "(?:)")
         elif nxt == "s":
             self._emit(f"[{_SPACE}]")
         elif nxt == "S":
@@ -267,23 +276,21 @@ class _Scanner:
         self._emit("".join(out))
 
 
-def _required_literal(scanner: _Scanner) -> tuple[str | None, bool]:
-    if scanner.alternation:
-        return None, False
-    best, best_fold = "", False
-    for text, fold in scanner.runs:
+def _best_literal(runs: list[tuple[str, bool]]) -> tuple[str, bool] | None:
+    best = None
+    for text, fold in runs:
         if fold:
-            # s and k also fold to letters outside ASCII, so they end a run.
-            pieces = [p.lower() for p in re.split(r"[sSkK]|[^\x00-\x7F]", text)]
-            text = max(pieces, key=len)
-        if len(text) > len(best):
-            best, best_fold = text, fold
-    return (best, best_fold) if len(best) >= 2 else (None, False)
+            # s and k also fold to letters outside ASCII, so they end a run
+            text = max((p.lower() for p in re.split(r"[sSkK]|[^\x00-\x7F]", text)), key=len)
+        telling = len(text) > 1 or (len(text) == 1 and not text.isalnum() and text != " ")
+        if telling and (best is None or len(text) > len(best[0])):
+            best = (text, fold)
+    return best
 
 
 def translate(pattern: str) -> Translated:
     per_line = _Scanner(pattern, per_line=True)
     line = "(?d)" + per_line.scan()
     search = "(?dm)" + _Scanner(pattern, per_line=False).scan()
-    literal, fold = _required_literal(per_line)
-    return Translated(line, search, literal, fold)
+    found = [_best_literal(runs) for runs in per_line.branches]
+    return Translated(line, search, tuple(found) if all(found) else ())

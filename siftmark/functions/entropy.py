@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
+from siftmark.functions.text import trim_unicode
+
 # Fixed values of the secret scan: threshold, assignment form, alphabet.
 DEFAULT_THRESHOLD = 4.5
 ASSIGNMENT = r"""[\w\-\x{17F}\x{212A}][\t\n\f\r ]*[:=][\t\n\f\r ]*["']([^"'\t\n\f\r ]{12,})["']"""
 CANDIDATE = r"^[A-Za-z0-9+/=_\-]{12,}\z"
-COMMENT_LINE = r"^[\s\x85\p{Z}]*(?://|#|\*)"
+COMMENT_STARTS = ["//", "#", "*"]
 
 # One word character before the separator is enough: how far the name reaches to
 # the left changes neither the value nor where the next match may start.
@@ -17,7 +21,9 @@ COMMENT_LINE = r"^[\s\x85\p{Z}]*(?://|#|\*)"
 def secret_values(line: Column) -> Column:
     """All candidate values assigned on the line, in order; none on comment lines."""
     values = F.filter(F.regexp_extract_all(line, F.lit(ASSIGNMENT), F.lit(1)), lambda v: v.rlike(CANDIDATE))
-    return F.when(line.rlike(COMMENT_LINE), F.array().cast("array<string>")).otherwise(values)
+    bare = trim_unicode(line)
+    comment = reduce(lambda a, b: a | b, [bare.startswith(c) for c in COMMENT_STARTS])
+    return F.when(comment, F.array().cast("array<string>")).otherwise(values)
 
 
 def shannon(value: Column) -> Column:

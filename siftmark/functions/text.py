@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 DEFAULT_MARKER = "scan:ignore"
-_TRIM = r"^[\s\x85\p{Z}]+|[\s\x85\p{Z}]+$"
+# The code points with the Unicode property White_Space.
+WHITE_SPACE = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def trim_unicode(col: Column) -> Column:
     """Strip Unicode white space on both sides (`trim` strips blanks only)."""
-    return F.regexp_replace(col, _TRIM, "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def line_body(content: Column) -> Column:
