@@ -18,19 +18,19 @@ def trim_unicode(col: Column) -> Column:
 
 
 def line_body(content: Column) -> Column:
-    """The text with CRLF as LF and without the terminator of its last line.
+    """The text with CRLF as LF, and without a carriage return at its very end.
 
-    Splitting the result at LF gives the lines: one carriage return is gone per
-    line and no empty line follows the last newline. Empty content needs a guard
-    by the caller, because splitting '' gives one empty line, not none.
+    Together with `split_lines` one carriage return is gone per line.
     """
     unix = F.replace(content, F.lit("\r\n"), F.lit("\n"))
-    cut = F.substring(unix, F.lit(1), F.length(unix) - 1)
-    return F.when(unix.endswith("\n") | unix.endswith("\r"), cut).otherwise(unix)
+    return F.when(unix.endswith("\r"), F.substring(unix, F.lit(1), F.length(unix) - 1)).otherwise(unix)
 
 
 def split_lines(body: Column) -> Column:
-    return F.split(body, "\n", -1)
+    """The lines; no empty one follows the last newline. Empty content needs a guard by
+    the caller, because splitting '' gives one empty line, not none."""
+    whole = F.when(body.endswith("\n"), F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+    return F.split(whole, "\n", -1)
 
 
 def file_suppressed(body: Column, marker: str) -> Column:
@@ -40,7 +40,7 @@ def file_suppressed(body: Column, marker: str) -> Column:
     return F.when(body.contains(token), F.exists(head, lambda l: l.contains(token))).otherwise(False)
 
 
-def line_suppressed(line: Column, rule_id: str, marker: str) -> Column:
+def line_suppressed(line: Column, rule_id: Column, marker: str) -> Column:
     """The first marker on the line has nothing behind it, or a comma list with the rule's id."""
     at = F.instr(line, marker)
     rest = trim_unicode(F.substring(line, at + len(marker), F.length(line)))
@@ -48,10 +48,14 @@ def line_suppressed(line: Column, rule_id: str, marker: str) -> Column:
     return F.when(at > 0, (rest == "") | listed).otherwise(False)
 
 
-def byte_column(line: Column, line_regex: str) -> Column:
-    """1 + byte offset of the first match."""
-    head = F.regexp_extract(line, r"\A([\s\S]*?)(?:" + line_regex + ")", 1)
-    return F.octet_length(head) + F.lit(1)
+def head(line: Column, line_regex: str) -> Column:
+    """What stands before the first match."""
+    return F.regexp_extract(line, r"\A([\s\S]*?)(?:" + line_regex + ")", 1)
+
+
+def byte_column(before: Column) -> Column:
+    """1 + byte offset of the first match, from what stands before it."""
+    return F.octet_length(before) + F.lit(1)
 
 
 def extension(path: Column) -> Column:

@@ -20,7 +20,7 @@ def _fires(rule: Rule, snippet: Column, marker: str) -> Column:
     pattern = rule.translated
     if rule.pattern.negate:
         return ~snippet.rlike(pattern.line)
-    hit = lambda l: l.rlike(pattern.line) & ~text.line_suppressed(l, rule.rule_id, marker)
+    hit = lambda l: l.rlike(pattern.line) & ~text.line_suppressed(l, F.lit(rule.rule_id), marker)
     body = text.line_body(snippet)
     lines = F.when(F.length(snippet) > 0, text.split_lines(body)).otherwise(F.array().cast("array<string>"))
     return body.rlike(pattern.search) & F.exists(lines, hit)

@@ -85,29 +85,32 @@ def cumulate_buckets(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("bucket_count", F.sum("n").over(upto))
 
 
-def histogram_quantile(buckets: DataFrame, keys: list[str], q: float, out: str = "quantile") -> DataFrame:
-    """The q quantile by linear interpolation in the bucket that holds rank q * total.
+def quantile_of(series: Column, q: float) -> Column:
+    """The q quantile of one histogram, given as array<struct<bound,c>> with cumulative counts c,
+    by linear interpolation in the bucket that holds rank q * total.
 
     The lowest bucket starts at 0; in the +Inf bucket the highest finite bound is
-    returned; no observations give null. `buckets` has bound and a cumulative
-    bucket_count per key, as many rows per key as there are bounds.
+    returned; no observations give null.
     """
-    series = F.array_sort(F.collect_list(F.struct("bound", F.col("bucket_count").cast("double").alias("c"))))
-    g = buckets.groupBy(*keys).agg(series.alias("s"))
-    g = g.withColumn("rank", F.element_at("s", -1)["c"] * F.lit(float(q)))
-    g = g.withColumn("i", F.size(F.filter("s", lambda b: b["c"] < F.col("rank"))))
-    at = lambda i: F.get(F.col("s"), i)
-    here, prev = at(F.col("i")), at(F.col("i") - 1)
+    total = F.element_at(series, -1)["c"]
+    rank = total * F.lit(float(q))
+    i = F.size(F.filter(series, lambda b: b["c"] < rank))
+    here, prev = F.get(series, i), F.get(series, i - 1)
     start, below = F.coalesce(prev["bound"], F.lit(0.0)), F.coalesce(prev["c"], F.lit(0.0))
     inside = here["c"] - below
-    value = (
-        F.when(F.element_at("s", -1)["c"] == 0, F.lit(None))
-        .when(here["bound"] == float("inf"), at(F.size("s") - 2)["bound"])
-        .when((F.col("i") == 0) & (here["bound"] <= 0), here["bound"])
+    return (
+        F.when(total == 0, F.lit(None).cast("double"))
+        .when(here["bound"] == float("inf"), F.get(series, F.size(series) - 2)["bound"])
+        .when((i == 0) & (here["bound"] <= 0), here["bound"])
         .when(inside == 0, here["bound"])
-        .otherwise(start + (here["bound"] - start) * (F.col("rank") - below) / inside)
+        .otherwise(start + (here["bound"] - start) * (rank - below) / inside)
     )
-    return g.select(*keys, value.cast("double").alias(out))
+
+
+def histogram_quantile(buckets: DataFrame, keys: list[str], q: float, out: str = "quantile") -> DataFrame:
+    """`quantile_of` per key; `buckets` has bound and a cumulative bucket_count, one row per bound."""
+    series = F.array_sort(F.collect_list(F.struct("bound", F.col("bucket_count").cast("double").alias("c"))))
+    return buckets.groupBy(*keys).agg(series.alias("_s")).select(*keys, quantile_of(F.col("_s"), q).alias(out))
 
 
 def counter_increase(samples: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", tie: tuple[str, ...] = (), seconds: int = 3600) -> DataFrame:

@@ -1,15 +1,16 @@
 """The scan: rules, required patterns, secrets and dependencies in one pass over the files.
 
 File level: every rule is tried once on the whole text (a plain substring test
-first, where the pattern has one), which leaves a bit mask of the rules that can
-hit some line. Only texts with a bit set are split into lines, and on a line only
-the rules of the mask are tried. Required patterns and manifests are decided on
+first, where the pattern has one), which leaves the few rules that can hit some line.
+Only texts with such rules are split into lines, and on a line only these rules are
+tried. Required patterns and manifests are decided on
 the whole text in the same projection. No shuffle, one read of the input.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,9 +26,9 @@ SECRET = {
     "severity": "high", "fix": "Move to an environment variable or secrets manager.",
 }
 _SECRET_SEARCH = r"""[:=][\t\n\f\r ]*["'][^"'\t\n\f\r ]{12,}["']"""
-_BITS = 62  # rules per mask column
 _HIT = "struct<phase:int,rule:int,line:int,idx:int,detail:string>"
 _HITS = f"array<{_HIT}>"
+_INTS = "array<int>"
 _META = ["rule_id", "name", "category", "severity", "message", "fix"]
 
 
@@ -50,13 +51,12 @@ class ScanOptions:
         return self.entropy_threshold if self.entropy_threshold > 0 else entropy.DEFAULT_THRESHOLD
 
 
-def applies_to(rule: Rule, language: Column) -> Column:
-    """The rule's languages hold `*` or the file's language in any case; an empty list fits nothing."""
+def applies_to(rule: Rule, lowered_language: Column) -> Column | None:
+    """The rule's languages hold `*` (None: no test) or the file's language in any case; an
+    empty list fits nothing."""
     if "*" in rule.languages:
-        return F.lit(True)
-    if not rule.languages:
-        return F.lit(False)
-    return F.lower(language).isin(sorted({l.lower() for l in rule.languages}))
+        return None
+    return lowered_language.isin(sorted({l.lower() for l in rule.languages}))
 
 
 def _any(tests: list[Column]) -> Column:
@@ -69,54 +69,64 @@ def _hit(phase: int, rule, line, idx, detail) -> Column:
     return F.struct(*[c.alias(n) for c, n in zip(cols, names)]).cast(_HIT)
 
 
+def _all(*tests: Column | None) -> Column:
+    return reduce(lambda a, b: a & b, [t for t in tests if t is not None])
+
+
 def _may_hit(rule: Rule, body: Column, lowered: Column) -> Column:
     """No false negatives; the substring tests spare most texts the regex."""
     pattern = rule.translated
-    found = body.rlike(pattern.search)
-    if pattern.literals:
-        found = _any([(lowered if fold else body).contains(text) for text, fold in pattern.literals]) & found
-    return found
+    literals = [(lowered if fold else body).contains(text) for text, fold in pattern.literals]
+    return _all(_any(literals) if literals else None, body.rlike(pattern.search))
 
 
 def _hits_line(rule: Rule, line: Column) -> Column:
     pattern = rule.translated
-    found = line.rlike(pattern.line)
-    if pattern.literals and not any(fold for _, fold in pattern.literals):
-        found = _any([line.contains(text) for text, _ in pattern.literals]) & found
-    return found
+    plain = [line.contains(text) for text, fold in pattern.literals if not fold]
+    exact = plain and len(plain) == len(pattern.literals)
+    return _all(_any(plain) if exact else None, line.rlike(pattern.line))
+
+
+def _numbers(tests: list[Column], numbers: list[int]) -> Column:
+    """The numbers of the tests that hold, as array<int>."""
+    if not tests:
+        return F.array().cast(_INTS)
+    order = F.from_json(F.lit(json.dumps(numbers)), _INTS)
+    return F.array_compact(F.transform(F.array(*tests), lambda t, i: F.when(t, F.get(order, i))))
 
 
-def _mask(tests: list[Column]) -> Column:
-    bits = [F.when(t, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, t in enumerate(tests)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+def _by_rule(numbered: list[tuple[int, Column]], number: Column) -> Column:
+    """The column of the rule with that number, null for any other."""
+    out = F.when(number == numbered[0][0], numbered[0][1])
+    for n, col in numbered[1:]:
+        out = out.when(number == n, col)
+    return out
 
 
 def _hits(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
     """(job_id, path, text, hit): one row per hit, `text` is the line of a line hit."""
-    active = [(i, r) for i, r in enumerate(rules) if r.active] if opts.rules else []
+    active = [(i, r) for i, r in enumerate(rules) if r.active and r.languages] if opts.rules else []
     by_line = [(i, r) for i, r in active if not r.pattern.negate]
     required = [(i, r) for i, r in active if r.pattern.negate]
-    groups = [by_line[k:k + _BITS] for k in range(0, len(by_line), _BITS)]
-    masks = [f"mask_{k}" for k in range(len(groups))]
-    body, content, language = F.col("body"), F.col("content"), F.col("language")
-    none = F.array().cast(_HITS)
+    body, content, lang, off = F.col("body"), F.col("content"), F.col("lang"), F.col("off")
+    none, no_rules = F.array().cast(_HITS), F.array().cast(_INTS)
 
-    prepared = files.select("job_id", "path", "language", "content", text.line_body(F.col("content")).alias("body"))
+    prepared = files.select(
+        "job_id", "path", F.lower("language").alias("lang"), "content", text.line_body(F.col("content")).alias("body"),
+    )
     prepared = prepared.select("*", F.lower("body").alias("lowered"), text.file_suppressed(body, opts.marker).alias("off"))
 
-    open_text = ~F.col("off") & (F.length("content") > 0)
-    mask_cols = [
-        F.when(open_text, _mask([applies_to(r, language) & _may_hit(r, body, F.col("lowered")) for _, r in g]))
-        .otherwise(F.lit(0).cast("long")).alias(m)
-        for g, m in zip(groups, masks)
-    ]
+    tests = [_all(applies_to(r, lang), _may_hit(r, body, F.col("lowered"))) for _, r in by_line]
+    open_text = ~off & (content != "")
+    candidates = F.when(open_text, _numbers(tests, [i for i, _ in by_line])).otherwise(no_rules)
     whole = [none]
     if required:
-        missing = F.array(*[
-            F.when(applies_to(r, language) & ~content.rlike(r.translated.line), F.lit(i)) for i, r in required
-        ])
-        found = F.transform(F.array_compact(missing), lambda i: _hit(PHASE_RULES, i, F.lit(1), F.lit(0), F.lit(None)))
-        whole.append(F.when(~F.col("off"), found).otherwise(none))
+        missing = [_all(applies_to(r, lang), ~content.rlike(r.translated.line)) for _, r in required]
+        found = F.transform(
+            _numbers(missing, [i for i, _ in required]),
+            lambda i: _hit(PHASE_RULES, i, F.lit(1), F.lit(0), F.lit(None)),
+        )
+        whole.append(F.when(~off, found).otherwise(none))
     if opts.deps:
         open_deps = F.filter(
             manifests.manifest_deps(F.col("path"), content, opts.strict_deps), lambda d: d["version"] == ""
@@ -126,28 +136,24 @@ def _hits(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
         )
         whole.append(F.when(manifests.is_manifest(F.col("path")), F.coalesce(found, none)).otherwise(none))
     secret = body.rlike(_SECRET_SEARCH) if opts.secrets else F.lit(False)
-    level1 = prepared.select("job_id", "path", "body", *mask_cols, secret.alias("secret"), F.concat(*whole).alias("whole"))
+    level1 = prepared.select(
+        "job_id", "path", "body", candidates.alias("cand"), secret.alias("secret"), F.concat(*whole).alias("whole")
+    )
 
-    to_split = _any([F.col(m) != 0 for m in masks] + [F.col("secret")])
+    to_split = (F.size("cand") > 0) | F.col("secret")
     lines = F.when(to_split, text.split_lines(body)).when(F.size("whole") > 0, F.array(F.lit("")))
-    level2 = level1.select("job_id", "path", *masks, "secret", "whole", lines.alias("lines"))
+    level2 = level1.select("job_id", "path", "cand", "secret", "whole", lines.alias("lines"))
     line, pos = F.col("text"), F.col("pos")
     # the outer form keeps Catalyst from deriving a filter that would evaluate all tests twice
     level3 = level2.select(
-        "job_id", "path", *masks, "secret", "whole", F.posexplode_outer("lines").alias("pos", "text")
+        "job_id", "path", "cand", "secret", "whole", F.posexplode_outer("lines").alias("pos", "text")
     ).where(pos.isNotNull())
 
     parts = [F.when(pos == 0, F.col("whole")).otherwise(none)]
-    for g, m in zip(groups, masks):
-        tests = []
-        for bit, (i, r) in enumerate(g):
-            hit = (F.col(m).bitwiseAND(F.lit(1 << bit).cast("long")) != 0) & _hits_line(r, line)
-            open_line = ~line.contains(opts.marker) | ~text.line_suppressed(line, r.rule_id, opts.marker)
-            tests.append(F.when(hit & open_line, F.lit(i)))
-        on_line = F.transform(
-            F.array_compact(F.array(*tests)), lambda i: _hit(PHASE_RULES, i, pos + 1, F.lit(0), F.lit(None))
-        )
-        parts.append(F.when(F.col(m) != 0, on_line).otherwise(none))
+    if by_line:
+        outcome = [(i, _hits_line(r, line)) for i, r in by_line]
+        fired = F.filter("cand", lambda n: _by_rule(outcome, n))
+        parts.append(F.transform(fired, lambda i: _hit(PHASE_RULES, i, pos + 1, F.lit(0), F.lit(None))))
     if opts.secrets:
         values = F.transform(
             entropy.secret_values(line),
@@ -161,18 +167,27 @@ def _hits(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
 
 def _rule_table(rules: list[Rule]) -> Column:
     """Rule texts as one constant array, looked up by position."""
-    rows = [(r.rule_id, r.name, r.category, r.severity, r.message, r.fix) for r in rules]
-    rows.append(tuple(SECRET.get(k, "") for k in _META))
-    rows.append(tuple(manifests.UNPINNED[k] for k in _META))
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for v, k in zip(row, _META)]) for row in rows])
+    rows = [dict(zip(_META, (r.rule_id, r.name, r.category, r.severity, r.message, r.fix))) for r in rules]
+    rows += [{k: SECRET.get(k, "") for k in _META}, {k: manifests.UNPINNED[k] for k in _META}]
+    fields = ",".join(f"{k}:string" for k in _META)
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
 
 
 def scan_files(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOptions()) -> DataFrame:
     """All findings of the files, as one row each (`siftmark.schemas.FINDINGS`)."""
-    hits = _hits(files, rules, opts).select("job_id", "path", "text", "hit.*")
-    phase, rule, detail = F.col("phase"), F.col("rule"), F.col("detail")
+    phase, rule, detail, line = F.col("phase"), F.col("rule"), F.col("detail"), F.col("text")
     line_rules = [(i, r) for i, r in enumerate(rules) if r.active and not r.pattern.negate] if opts.rules else []
+    hits = _hits(files, rules, opts).select("job_id", "path", "text", "hit.*")
+    hits = hits.withColumn("meta", F.get(_rule_table(rules), rule))
+    on_line = (phase == PHASE_RULES) & rule.isin([i for i, _ in line_rules])
 
+    if line_rules:
+        quiet = on_line & line.contains(opts.marker) & text.line_suppressed(line, F.col("meta.rule_id"), opts.marker)
+        hits = hits.where(~quiet)
+        column = text.byte_column(_by_rule([(i, text.head(line, r.translated.line)) for i, r in line_rules], rule))
+        column = F.when(on_line, column).otherwise(1)
+    else:
+        column = F.lit(1)
     if opts.secrets:
         hits = hits.withColumn("bits", F.when(phase == PHASE_SECRETS, entropy.shannon(detail)))
         hits = hits.where((phase != PHASE_SECRETS) | (F.col("bits") >= opts.threshold))
@@ -182,22 +197,13 @@ def scan_files(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOpti
         )
     else:
         secret_text = F.lit("")
-    column = F.lit(1)
-    if line_rules:
-        column = reduce(
-            lambda acc, ir: acc.when(rule == ir[0], text.byte_column(F.col("text"), ir[1].translated.line)),
-            line_rules, F.when(phase != PHASE_RULES, F.lit(1)),
-        ).otherwise(F.lit(1))
-    has_line = (phase == PHASE_SECRETS) | rule.isin([i for i, _ in line_rules])
-    meta = F.get(_rule_table(rules), rule)
-    full = hits.withColumn("meta", meta)
-    return full.select(
+    return hits.select(
         "job_id", F.col("meta.rule_id").alias("rule_id"), F.col("meta.name").alias("rule_name"),
         F.col("meta.category").alias("category"), F.col("meta.severity").alias("severity"),
         F.col("path").alias("file"), "line", column.cast("int").alias("column"),
         F.when(phase == PHASE_SECRETS, secret_text).when(phase == PHASE_DEPS, F.concat("meta.message", "detail"))
         .otherwise(F.col("meta.message")).alias("message"),
-        F.when(has_line, text.trim_unicode(F.col("text"))).otherwise("").alias("snippet"),
+        F.when(on_line | (phase == PHASE_SECRETS), text.trim_unicode(line)).otherwise("").alias("snippet"),
         F.col("meta.fix").alias("fix_suggestion"), "phase",
         F.when(phase == PHASE_RULES, rule).otherwise(0).alias("rule_seq"), F.col("idx").alias("match_idx"),
     )
@@ -221,8 +227,6 @@ def scan_secrets(files: DataFrame, threshold: float = entropy.DEFAULT_THRESHOLD)
 
 
 def _off(rule: Rule) -> Rule:
-    from dataclasses import replace
-
     return replace(rule, enabled=False)
 
 
