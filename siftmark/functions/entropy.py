@@ -18,12 +18,15 @@ COMMENT_STARTS = ["//", "#", "*"]
 # the left changes neither the value nor where the next match may start.
 
 
+def is_comment(line: Column) -> Column:
+    bare = trim_unicode(line)
+    return reduce(lambda a, b: a | b, [bare.startswith(c) for c in COMMENT_STARTS])
+
+
 def secret_values(line: Column) -> Column:
     """All candidate values assigned on the line, in order; none on comment lines."""
     values = F.filter(F.regexp_extract_all(line, F.lit(ASSIGNMENT), F.lit(1)), lambda v: v.rlike(CANDIDATE))
-    bare = trim_unicode(line)
-    comment = reduce(lambda a, b: a | b, [bare.startswith(c) for c in COMMENT_STARTS])
-    return F.when(comment, F.array().cast("array<string>")).otherwise(values)
+    return F.when(is_comment(line), F.array().cast("array<string>")).otherwise(values)
 
 
 def shannon(value: Column) -> Column:

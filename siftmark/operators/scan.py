@@ -165,6 +165,33 @@ def _hits(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
     )
 
 
+def explode_lines(files: DataFrame) -> DataFrame:
+    """lines(job_id, path, language, line, text), numbered from 1."""
+    lines = F.when(F.col("content") != "", text.split_lines(text.line_body(F.col("content"))))
+    out = files.select("job_id", "path", "language", F.posexplode(lines).alias("pos", "text"))
+    return out.select("job_id", "path", "language", (F.col("pos") + 1).alias("line"), "text")
+
+
+def drop_suppressed_files(files: DataFrame, marker: str = text.DEFAULT_MARKER) -> DataFrame:
+    """Files without the whole-file marker in their first ten lines."""
+    return files.where(~text.file_suppressed(text.line_body(F.col("content")), marker))
+
+
+def drop_comment_lines(lines: DataFrame) -> DataFrame:
+    return lines.where(~entropy.is_comment(F.col("text")))
+
+
+def rules_for(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(job_id, path, language, rule_id): the enabled rules that look at each file.
+
+    Told from the rule pack's language lists, without a join.
+    """
+    lang = F.lower("language")
+    fits = [(r.rule_id, applies_to(r, lang)) for r in rules if r.enabled and r.languages]
+    ids = F.array_compact(F.array(*[F.lit(i) if t is None else F.when(t, F.lit(i)) for i, t in fits]))
+    return files.select("job_id", "path", "language", F.explode(ids).alias("rule_id"))
+
+
 def _rule_table(rules: list[Rule]) -> Column:
     """Rule texts as one constant array, looked up by position."""
     rows = [dict(zip(_META, (r.rule_id, r.name, r.category, r.severity, r.message, r.fix))) for r in rules]
