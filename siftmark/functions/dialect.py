@@ -42,6 +42,11 @@ class Translated:
     # looked up in lower-cased text. Empty when nothing is known.
     literals: tuple[tuple[str, bool], ...]
 
+    @property
+    def first(self) -> str | None:
+        """A cheaper test to try on a line before `line`; None where it would not be cheaper."""
+        return self.search if _AT_WORD_EDGE in self.line or _NOT_WORD_EDGE in self.line else None
+
 
 class _Scanner:
     def __init__(self, pattern: str, per_line: bool):

@@ -48,14 +48,10 @@ def line_suppressed(line: Column, rule_id: Column, marker: str) -> Column:
     return F.when(at > 0, (rest == "") | listed).otherwise(False)
 
 
-def head(line: Column, line_regex: str) -> Column:
-    """What stands before the first match."""
-    return F.regexp_extract(line, r"\A([\s\S]*?)(?:" + line_regex + ")", 1)
-
-
-def byte_column(before: Column) -> Column:
-    """1 + byte offset of the first match, from what stands before it."""
-    return F.octet_length(before) + F.lit(1)
+def byte_column(line: Column, line_regex: Column) -> Column:
+    """1 + byte offset of the first match."""
+    before = F.regexp_extract_all(line, F.concat(F.lit(r"\A([\s\S]*?)(?:"), line_regex, F.lit(")")), F.lit(1))
+    return F.octet_length(F.get(before, 0)) + F.lit(1)
 
 
 def extension(path: Column) -> Column:

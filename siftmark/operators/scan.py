@@ -2,9 +2,11 @@
 
 File level: every rule is tried once on the whole text (a plain substring test
 first, where the pattern has one), which leaves the few rules that can hit some line.
-Only texts with such rules are split into lines, and on a line only these rules are
-tried. Required patterns and manifests are decided on
-the whole text in the same projection. No shuffle, one read of the input.
+Required patterns and manifests are decided on the whole text in the same projection.
+Each file becomes one row per remaining rule, its text is split into lines there, and
+a line is matched against the pattern of its row. The pattern changes only from row to
+row of a file, so it is compiled rarely, and the plan does not grow with the pack
+beyond the file level. No shuffle, one read of the input.
 """
 
 from __future__ import annotations
@@ -26,8 +28,7 @@ SECRET = {
     "severity": "high", "fix": "Move to an environment variable or secrets manager.",
 }
 _SECRET_SEARCH = r"""[:=][\t\n\f\r ]*["'][^"'\t\n\f\r ]{12,}["']"""
-_HIT = "struct<phase:int,rule:int,line:int,idx:int,detail:string>"
-_HITS = f"array<{_HIT}>"
+_ITEMS = "array<struct<rule:int,whole:boolean,idx:int,detail:string>>"
 _INTS = "array<int>"
 _META = ["rule_id", "name", "category", "severity", "message", "fix"]
 
@@ -63,12 +64,6 @@ def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
-def _hit(phase: int, rule, line, idx, detail) -> Column:
-    cols = [F.lit(phase), rule, line, idx, detail.cast("string")]
-    names = ["phase", "rule", "line", "idx", "detail"]
-    return F.struct(*[c.alias(n) for c, n in zip(cols, names)]).cast(_HIT)
-
-
 def _all(*tests: Column | None) -> Column:
     return reduce(lambda a, b: a & b, [t for t in tests if t is not None])
 
@@ -80,13 +75,6 @@ def _may_hit(rule: Rule, body: Column, lowered: Column) -> Column:
     return _all(_any(literals) if literals else None, body.rlike(pattern.search))
 
 
-def _hits_line(rule: Rule, line: Column) -> Column:
-    pattern = rule.translated
-    plain = [line.contains(text) for text, fold in pattern.literals if not fold]
-    exact = plain and len(plain) == len(pattern.literals)
-    return _all(_any(plain) if exact else None, line.rlike(pattern.line))
-
-
 def _numbers(tests: list[Column], numbers: list[int]) -> Column:
     """The numbers of the tests that hold, as array<int>."""
     if not tests:
@@ -95,73 +83,107 @@ def _numbers(tests: list[Column], numbers: list[int]) -> Column:
     return F.array_compact(F.transform(F.array(*tests), lambda t, i: F.when(t, F.get(order, i))))
 
 
-def _by_rule(numbered: list[tuple[int, Column]], number: Column) -> Column:
-    """The column of the rule with that number, null for any other."""
-    out = F.when(number == numbered[0][0], numbered[0][1])
-    for n, col in numbered[1:]:
-        out = out.when(number == n, col)
-    return out
+def _item(rule: Column, whole: bool, idx=None, detail=None) -> Column:
+    cols = (rule, F.lit(whole), F.lit(0) if idx is None else idx, F.lit(None).cast("string") if detail is None else detail)
+    return F.struct(*[c.alias(n) for c, n in zip(cols, ("rule", "whole", "idx", "detail"))])
+
+
+def _constants(rows: list[dict], fields: list[str], number: Column) -> Column:
+    """The row with that number out of a table of texts, kept as one constant in the plan."""
+    schema = ",".join(f"{f}:string" for f in fields)
+    return F.get(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>"), number)
 
 
 def _hits(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
-    """(job_id, path, text, hit): one row per hit, `text` is the line of a line hit."""
+    """(job_id, path, rule, whole, idx, detail, line, text): one row per hit.
+
+    `rule` is the position in the pack; the two numbers behind stand for secrets and
+    dependencies. A hit of a whole text has no line text.
+    """
     active = [(i, r) for i, r in enumerate(rules) if r.active and r.languages] if opts.rules else []
     by_line = [(i, r) for i, r in active if not r.pattern.negate]
     required = [(i, r) for i, r in active if r.pattern.negate]
     body, content, lang, off = F.col("body"), F.col("content"), F.col("lang"), F.col("off")
-    none, no_rules = F.array().cast(_HITS), F.array().cast(_INTS)
+    none, no_rules = F.array().cast(_ITEMS), F.array().cast(_INTS)
 
     prepared = files.select(
         "job_id", "path", F.lower("language").alias("lang"), "content", text.line_body(F.col("content")).alias("body"),
     )
     prepared = prepared.select("*", F.lower("body").alias("lowered"), text.file_suppressed(body, opts.marker).alias("off"))
 
-    tests = [_all(applies_to(r, lang), _may_hit(r, body, F.col("lowered"))) for _, r in by_line]
-    open_text = ~off & (content != "")
-    candidates = F.when(open_text, _numbers(tests, [i for i, _ in by_line])).otherwise(no_rules)
-    whole = [none]
+    items = []
+    if by_line:
+        tests = [_all(applies_to(r, lang), _may_hit(r, body, F.col("lowered"))) for _, r in by_line]
+        likely = F.when(~off & (content != ""), _numbers(tests, [i for i, _ in by_line])).otherwise(no_rules)
+        items.append(F.transform(likely, lambda i: _item(i, False)))
     if required:
-        missing = [_all(applies_to(r, lang), ~content.rlike(r.translated.line)) for _, r in required]
-        found = F.transform(
-            _numbers(missing, [i for i, _ in required]),
-            lambda i: _hit(PHASE_RULES, i, F.lit(1), F.lit(0), F.lit(None)),
-        )
-        whole.append(F.when(~off, found).otherwise(none))
+        tests = [_all(applies_to(r, lang), ~content.rlike(r.translated.line)) for _, r in required]
+        missing = F.when(~off, _numbers(tests, [i for i, _ in required])).otherwise(no_rules)
+        items.append(F.transform(missing, lambda i: _item(i, True)))
+    if opts.secrets:
+        items.append(F.when(body.rlike(_SECRET_SEARCH), F.array(_item(F.lit(len(rules)), False))).otherwise(none))
     if opts.deps:
-        open_deps = F.filter(
-            manifests.manifest_deps(F.col("path"), content, opts.strict_deps), lambda d: d["version"] == ""
+        found = manifests.manifest_deps(F.col("path"), content, opts.strict_deps)
+        unpinned = F.transform(
+            F.filter(found, lambda d: d["version"] == ""),
+            lambda d, i: _item(F.lit(len(rules) + 1), True, i, d["name"]),
         )
-        found = F.transform(
-            open_deps, lambda d, i: _hit(PHASE_DEPS, F.lit(len(rules) + 1), F.lit(1), i, d["name"])
-        )
-        whole.append(F.when(manifests.is_manifest(F.col("path")), F.coalesce(found, none)).otherwise(none))
-    secret = body.rlike(_SECRET_SEARCH) if opts.secrets else F.lit(False)
-    level1 = prepared.select(
-        "job_id", "path", "body", candidates.alias("cand"), secret.alias("secret"), F.concat(*whole).alias("whole")
+        items.append(F.when(manifests.is_manifest(F.col("path")), F.coalesce(unpinned, none)).otherwise(none))
+    listed = F.concat(*items) if items else none
+    # The outer forms keep Catalyst from deriving filters that would evaluate the tests twice.
+    item = F.col("item")
+    rows = prepared.select("job_id", "path", "body", F.explode_outer(listed).alias("item")).where(item.isNotNull())
+
+    patterns = [{"first": r.translated.first, "line": r.translated.line} if r.supported else {} for r in rules]
+    patterns.append({"line": entropy.ASSIGNMENT})
+    rows = rows.select("job_id", "path", "body", "item.*").withColumn(
+        "pattern", _constants(patterns, ["first", "line"], F.col("rule"))
+    )
+    lines = F.when(F.col("whole"), F.array(F.lit(""))).otherwise(text.split_lines(body))
+    split = rows.select(
+        "job_id", "path", "rule", "whole", "idx", "detail", F.col("pattern.first").alias("first"),
+        F.col("pattern.line").alias("regex"), F.posexplode(lines).alias("pos", "text"),
     )
+    line = F.col("text")
+    first = F.col("first").isNull() | F.rlike(line, F.col("first"))
+    hit = F.col("whole") | (first & F.rlike(line, F.col("regex")))
+    return split.where(hit).withColumn("line", F.col("pos") + 1).drop("pos", "first")
 
-    to_split = (F.size("cand") > 0) | F.col("secret")
-    lines = F.when(to_split, text.split_lines(body)).when(F.size("whole") > 0, F.array(F.lit("")))
-    level2 = level1.select("job_id", "path", "cand", "secret", "whole", lines.alias("lines"))
-    line, pos = F.col("text"), F.col("pos")
-    # the outer form keeps Catalyst from deriving a filter that would evaluate all tests twice
-    level3 = level2.select(
-        "job_id", "path", "cand", "secret", "whole", F.posexplode_outer("lines").alias("pos", "text")
-    ).where(pos.isNotNull())
 
-    parts = [F.when(pos == 0, F.col("whole")).otherwise(none)]
-    if by_line:
-        outcome = [(i, _hits_line(r, line)) for i, r in by_line]
-        fired = F.filter("cand", lambda n: _by_rule(outcome, n))
-        parts.append(F.transform(fired, lambda i: _hit(PHASE_RULES, i, pos + 1, F.lit(0), F.lit(None))))
+def scan_files(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOptions()) -> DataFrame:
+    """All findings of the files, as one row each (`siftmark.schemas.FINDINGS`)."""
+    meta_rows = [dict(zip(_META, (r.rule_id, r.name, r.category, r.severity, r.message, r.fix))) for r in rules]
+    meta_rows += [{k: SECRET.get(k, "") for k in _META}, {k: manifests.UNPINNED[k] for k in _META}]
+    rule, detail, line = F.col("rule"), F.col("detail"), F.col("text")
+    is_secret, is_dep = rule == len(rules), rule == len(rules) + 1
+    on_line = ~F.col("whole") & ~is_secret
+
+    hits = _hits(files, rules, opts).withColumn("meta", _constants(meta_rows, _META, rule))
+    if opts.rules:
+        quiet = text.line_suppressed(line, F.col("meta.rule_id"), opts.marker)
+        hits = hits.where(~(on_line & line.contains(opts.marker) & quiet))
+    secret_text = F.lit("")
     if opts.secrets:
-        values = F.transform(
-            entropy.secret_values(line),
-            lambda v, k: _hit(PHASE_SECRETS, F.lit(len(rules)), pos + 1, k, v),
+        values = F.posexplode_outer(F.when(is_secret, entropy.secret_values(line))).alias("nth", "value")
+        hits = hits.select("*", values).where(~is_secret | F.col("value").isNotNull())
+        hits = hits.withColumn("bits", F.when(is_secret, entropy.shannon(F.col("value"))))
+        hits = hits.where(~is_secret | (F.col("bits") >= opts.threshold))
+        hits = hits.withColumn("idx", F.coalesce("nth", "idx"))
+        secret_text = F.concat(
+            F.lit("High-entropy string detected (entropy="), entropy.entropy_text(F.col("bits")),
+            F.lit("). Possible hardcoded secret: "), entropy.redact(F.col("value")),
         )
-        parts.append(F.when(F.col("secret"), values).otherwise(none))
-    return level3.select("job_id", "path", "text", F.explode_outer(F.concat(*parts)).alias("hit")).where(
-        F.col("hit").isNotNull()
+    message = F.col("meta.message")
+    return hits.select(
+        "job_id", F.col("meta.rule_id").alias("rule_id"), F.col("meta.name").alias("rule_name"),
+        F.col("meta.category").alias("category"), F.col("meta.severity").alias("severity"),
+        F.col("path").alias("file"), "line",
+        F.when(on_line, text.byte_column(line, F.col("regex"))).otherwise(1).alias("column"),
+        F.when(is_secret, secret_text).when(is_dep, F.concat(message, detail)).otherwise(message).alias("message"),
+        F.when(F.col("whole"), "").otherwise(text.trim_unicode(line)).alias("snippet"),
+        F.col("meta.fix").alias("fix_suggestion"),
+        F.when(is_secret, PHASE_SECRETS).when(is_dep, PHASE_DEPS).otherwise(PHASE_RULES).alias("phase"),
+        F.when(is_secret | is_dep, 0).otherwise(rule).alias("rule_seq"), F.col("idx").alias("match_idx"),
     )
 
 
@@ -192,50 +214,6 @@ def rules_for(files: DataFrame, rules: list[Rule]) -> DataFrame:
     return files.select("job_id", "path", "language", F.explode(ids).alias("rule_id"))
 
 
-def _rule_table(rules: list[Rule]) -> Column:
-    """Rule texts as one constant array, looked up by position."""
-    rows = [dict(zip(_META, (r.rule_id, r.name, r.category, r.severity, r.message, r.fix))) for r in rules]
-    rows += [{k: SECRET.get(k, "") for k in _META}, {k: manifests.UNPINNED[k] for k in _META}]
-    fields = ",".join(f"{k}:string" for k in _META)
-    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
-
-
-def scan_files(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOptions()) -> DataFrame:
-    """All findings of the files, as one row each (`siftmark.schemas.FINDINGS`)."""
-    phase, rule, detail, line = F.col("phase"), F.col("rule"), F.col("detail"), F.col("text")
-    line_rules = [(i, r) for i, r in enumerate(rules) if r.active and not r.pattern.negate] if opts.rules else []
-    hits = _hits(files, rules, opts).select("job_id", "path", "text", "hit.*")
-    hits = hits.withColumn("meta", F.get(_rule_table(rules), rule))
-    on_line = (phase == PHASE_RULES) & rule.isin([i for i, _ in line_rules])
-
-    if line_rules:
-        quiet = on_line & line.contains(opts.marker) & text.line_suppressed(line, F.col("meta.rule_id"), opts.marker)
-        hits = hits.where(~quiet)
-        column = text.byte_column(_by_rule([(i, text.head(line, r.translated.line)) for i, r in line_rules], rule))
-        column = F.when(on_line, column).otherwise(1)
-    else:
-        column = F.lit(1)
-    if opts.secrets:
-        hits = hits.withColumn("bits", F.when(phase == PHASE_SECRETS, entropy.shannon(detail)))
-        hits = hits.where((phase != PHASE_SECRETS) | (F.col("bits") >= opts.threshold))
-        secret_text = F.concat(
-            F.lit("High-entropy string detected (entropy="), entropy.entropy_text(F.col("bits")),
-            F.lit("). Possible hardcoded secret: "), entropy.redact(detail),
-        )
-    else:
-        secret_text = F.lit("")
-    return hits.select(
-        "job_id", F.col("meta.rule_id").alias("rule_id"), F.col("meta.name").alias("rule_name"),
-        F.col("meta.category").alias("category"), F.col("meta.severity").alias("severity"),
-        F.col("path").alias("file"), "line", column.cast("int").alias("column"),
-        F.when(phase == PHASE_SECRETS, secret_text).when(phase == PHASE_DEPS, F.concat("meta.message", "detail"))
-        .otherwise(F.col("meta.message")).alias("message"),
-        F.when(on_line | (phase == PHASE_SECRETS), text.trim_unicode(line)).otherwise("").alias("snippet"),
-        F.col("meta.fix").alias("fix_suggestion"), "phase",
-        F.when(phase == PHASE_RULES, rule).otherwise(0).alias("rule_seq"), F.col("idx").alias("match_idx"),
-    )
-
-
 def scan_regex(files: DataFrame, rules: list[Rule], marker: str = text.DEFAULT_MARKER) -> DataFrame:
     """At most one finding per rule and line."""
     keep = [r if not r.pattern.negate else _off(r) for r in rules]

@@ -27,7 +27,7 @@ def spread(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """
     spark = files.sparkSession
     tasks = tasks or spark.sparkContext.defaultParallelism
-    return files.repartition(tasks) if files.rdd.getNumPartitions() < tasks else files
+    return files.repartition(tasks, "job_id", "path") if files.rdd.getNumPartitions() < tasks else files
 
 
 def scan_corpus(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOptions()) -> ScanResult:
@@ -38,7 +38,7 @@ def scan_corpus(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOpt
 
 
 def _find(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
-    return rollup.cap_findings(scan_files(files, rules, opts), opts.max_findings).drop("rank")
+    return rollup.cap_findings(scan_files(spread(files), rules, opts), opts.max_findings).drop("rank")
 
 
 def _roll_up(files: DataFrame, findings: DataFrame, opts: ScanOptions) -> ScanResult:

@@ -9,7 +9,6 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftmark.operators.scan import ScanOptions
-from siftmark.plans.scan_job import spread
 from siftmark.sources import files as file_source
 from siftmark.sources import rules as rule_source
 
@@ -41,21 +40,21 @@ def pack(spark: SparkSession, name: str) -> list[rule_source.Rule]:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document is a file, every source a job."""
     path = F.concat_ws("/", "source", F.concat(F.col("doc_id"), F.lit(".txt")))
-    return spread(file_source.files_from_table(table(spark, sf_dir, "documents"), path, "text", "source", "lang"))
+    return file_source.files_from_table(table(spark, sf_dir, "documents"), path, "text", "source", "lang")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page is a file, every host a job."""
     path = F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".html"))
     host = F.regexp_extract("url", r"^\w+://([^/]+)", 1)
-    return spread(file_source.files_from_table(table(spark, sf_dir, "pages"), path, "html", host, F.lit("javascript")))
+    return file_source.files_from_table(table(spark, sf_dir, "pages"), path, "html", host, F.lit("javascript"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation is a job with a file per turn."""
     path = F.concat_ws("/", "role", F.concat(F.col("turn"), F.lit(".txt")))
     job = F.concat(F.lit("c"), F.col("conv_id"))
-    return spread(file_source.files_from_table(table(spark, sf_dir, "conversations"), path, "text", job, F.lit("en")))
+    return file_source.files_from_table(table(spark, sf_dir, "conversations"), path, "text", job, F.lit("en"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

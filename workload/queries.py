@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from siftmark.functions.signing import webhook_signature
 from siftmark.functions.text import extension
 from siftmark.operators import audit, backtest, deps, export, metrics, rollup, scan, sequences
-from siftmark.plans.scan_job import scan_corpus
+from siftmark.plans.scan_job import run_scan, scan_corpus, spread
 from siftmark.sources import files as file_source
 from siftmark.sources import ingest, rules as rule_source, tables
 from workload import inputs
@@ -36,7 +36,7 @@ def _naive(*names: str) -> list[Column]:
 
 
 def _findings(spark, sf_dir) -> DataFrame:
-    return scan.scan_files(documents(spark, sf_dir), pack(spark, "prose"), OPTIONS)
+    return scan.scan_files(spread(documents(spark, sf_dir)), pack(spark, "prose"), OPTIONS)
 
 
 def _jobs(spark, sf_dir) -> DataFrame:
@@ -51,6 +51,12 @@ def _results(spark, sf_dir) -> DataFrame:
     return inputs.job_details(_summary(spark, sf_dir))
 
 
+def _stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(findings, summary) for queries that need both: scanned once, into a stored table."""
+    out = run_scan(spark, documents(spark, sf_dir), pack(spark, "prose"), inputs.scratch(spark, "scan"), OPTIONS)
+    return out.findings, out.summary
+
+
 _COUNTS = ["total_findings", "n_critical", "n_high", "n_medium", "n_low", "n_info"]
 
 # -- scans ---------------------------------------------------------------------
@@ -72,23 +78,23 @@ def line_listing(spark, sf_dir):
 
 @query
 def scan_regex(spark, sf_dir):
-    found = scan.scan_regex(documents(spark, sf_dir), pack(spark, "prose"))
+    found = scan.scan_regex(spread(documents(spark, sf_dir)), pack(spark, "prose"))
     return found.select(*PLACE, "severity", "category", "rule_name", "message", "snippet", "fix_suggestion")
 
 
 @query
 def scan_required(spark, sf_dir):
-    return scan.scan_required(documents(spark, sf_dir), pack(spark, "prose")).select(*PLACE, "severity", "message", "snippet")
+    return scan.scan_required(spread(documents(spark, sf_dir)), pack(spark, "prose")).select(*PLACE, "severity", "message", "snippet")
 
 
 @query
 def scan_secrets(spark, sf_dir):
-    return scan.scan_secrets(documents(spark, sf_dir), THRESHOLD).select(*PLACE, "severity", "message", "snippet", "match_idx")
+    return scan.scan_secrets(spread(documents(spark, sf_dir)), THRESHOLD).select(*PLACE, "severity", "message", "snippet", "match_idx")
 
 
 @query
 def scan_pages(spark, sf_dir):
-    return scan.scan_files(pages(spark, sf_dir), pack(spark, "code"), OPTIONS).select(*PLACE, "severity", "message")
+    return scan.scan_files(spread(pages(spark, sf_dir)), pack(spark, "code"), OPTIONS).select(*PLACE, "severity", "message")
 
 
 @query
@@ -125,13 +131,13 @@ def changed_scan(spark, sf_dir):
     toxic = labels.where("toxic = 1").join(docs, "doc_id").select(path)
     gone = labels.select(F.concat(F.lit("gone/"), F.col("doc_id"), F.lit(".txt")).alias("path"))
     kept = file_source.changed_files(documents(spark, sf_dir), poor, toxic, gone)
-    return scan.scan_files(kept, pack(spark, "prose"), OPTIONS).select(*PLACE)
+    return scan.scan_files(spread(kept), pack(spark, "prose"), OPTIONS).select(*PLACE)
 
 
 @query
 def exclude_scan(spark, sf_dir):
     kept = file_source.exclude_prefixes(documents(spark, sf_dir), ["src1/", "src3", "", "none/"])
-    return scan.scan_files(kept, pack(spark, "prose"), OPTIONS).select(*PLACE)
+    return scan.scan_files(spread(kept), pack(spark, "prose"), OPTIONS).select(*PLACE)
 
 
 @query
@@ -164,13 +170,13 @@ def policy_messages(spark, sf_dir):
 @query
 def policy_documents(spark, sf_dir):
     """Errors and warnings per job as arrays in finding order, whole."""
-    nested = rollup.nested_verdict(_findings(spark, sf_dir), per_part=1_000_000)
+    nested = rollup.nested_verdict(_stored(spark, sf_dir)[0], per_part=1_000_000)
     return nested.select("job_id", F.array_join("errors", "\n").alias("errors"), F.sha2(F.array_join("warnings", "\n"), 256).alias("warnings"), F.size("rules").alias("n_rules"))
 
 
 @query
 def gate_by_level(spark, sf_dir):
-    summary = rollup.summarise(scan.scan_regex(documents(spark, sf_dir), pack(spark, "prose")), _jobs(spark, sf_dir))
+    summary = rollup.summarise(scan.scan_regex(spread(documents(spark, sf_dir)), pack(spark, "prose")), _jobs(spark, sf_dir))
     levels = ["critical", "high", "medium", "low", "never", "other"]
     wide = summary
     for level in levels:
@@ -186,7 +192,8 @@ def capped_findings(spark, sf_dir):
 @query
 def job_report(spark, sf_dir):
     details = inputs.job_details(_jobs(spark, sf_dir))
-    out = rollup.job_report(_summary(spark, sf_dir), _findings(spark, sf_dir), details)
+    findings, summary = _stored(spark, sf_dir)
+    out = rollup.job_report(summary, findings, details)
     return out.select("job_id", "repo_owner", "repo_name", "score", "passed", "total_findings", "duration_ms",
                       F.array_join("top_findings", "\n").alias("top"), "more")
 
@@ -510,12 +517,12 @@ def export_annotations(spark, sf_dir):
 
 @query
 def export_json_lines(spark, sf_dir):
-    return export.finding_json_lines(scan.scan_secrets(documents(spark, sf_dir), THRESHOLD))
+    return export.finding_json_lines(scan.scan_secrets(spread(documents(spark, sf_dir)), THRESHOLD))
 
 
 @query
 def export_json_results(spark, sf_dir):
-    out = export.json_results(_findings(spark, sf_dir), _summary(spark, sf_dir), 1_000_000)
+    out = export.json_results(*_stored(spark, sf_dir), 1_000_000)
     doc = F.col("json")
     return out.select(
         "job_id", F.get_json_object(doc, "$.summary.total_findings").cast("long").alias("total"),
@@ -531,7 +538,7 @@ def export_sarif_results(spark, sf_dir):
 
 @query
 def export_sarif_documents(spark, sf_dir):
-    out = export.sarif_documents(_findings(spark, sf_dir), _jobs(spark, sf_dir), pack(spark, "prose"), 1_000_000)
+    out = export.sarif_documents(*_stored(spark, sf_dir), pack(spark, "prose"), 1_000_000)
     doc = F.col("json")
     return out.select(
         "job_id", F.get_json_object(doc, "$.version").alias("version"),
@@ -553,13 +560,14 @@ def export_text_heads(spark, sf_dir):
 
 @query
 def export_text_reports(spark, sf_dir):
-    out = export.text_reports(_findings(spark, sf_dir), _summary(spark, sf_dir), 1_000_000)
+    out = export.text_reports(*_stored(spark, sf_dir), 1_000_000)
     return out.select("job_id", F.sha2("text", 256).alias("digest"))
 
 
 @query
 def export_checkrun(spark, sf_dir):
-    out = export.checkrun_payloads(_findings(spark, sf_dir), _results(spark, sf_dir))
+    findings, summary = _stored(spark, sf_dir)
+    out = export.checkrun_payloads(findings, inputs.job_details(summary))
     doc = F.col("json")
     at = lambda path: F.get_json_object(doc, path)
     return out.select(
@@ -572,7 +580,8 @@ def export_checkrun(spark, sf_dir):
 
 @query
 def export_pr_comment(spark, sf_dir):
-    return export.pr_comments(_findings(spark, sf_dir), _results(spark, sf_dir))
+    findings, summary = _stored(spark, sf_dir)
+    return export.pr_comments(findings, inputs.job_details(summary))
 
 
 @query
