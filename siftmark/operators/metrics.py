@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftmark.plans.slices import previous_value, running_sum
+from siftmark.plans.slices import order_key, previous_value, running_sum
 
 # Default bucket bounds in ms, bands of the queue depth panel.
 DEFAULT_BUCKETS = [5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000]
@@ -107,10 +107,12 @@ def quantile_of(series: Column, q: float) -> Column:
     )
 
 
-def histogram_quantile(buckets: DataFrame, keys: list[str], q: float, out: str = "quantile") -> DataFrame:
-    """`quantile_of` per key; `buckets` has bound and a cumulative bucket_count, one row per bound."""
+def histogram_quantile(buckets: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """One column per named quantile (`quantile_of`); `buckets` has bound and a cumulative
+    bucket_count, one row per key and bound."""
     series = F.array_sort(F.collect_list(F.struct("bound", F.col("bucket_count").cast("double").alias("c"))))
-    return buckets.groupBy(*keys).agg(series.alias("_s")).select(*keys, quantile_of(F.col("_s"), q).alias(out))
+    held = buckets.groupBy(*keys).agg(series.alias("_s"))
+    return held.select(*keys, *[quantile_of(F.col("_s"), q).alias(name) for name, q in quantiles.items()])
 
 
 def counter_increase(samples: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", tie: tuple[str, ...] = (), seconds: int = 3600) -> DataFrame:
@@ -134,9 +136,8 @@ def counter_rate(
 
 def latest_value(samples: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", tie: tuple[str, ...] = ()) -> DataFrame:
     """The last sample of each series that is not null."""
-    at = F.struct(ts, *tie)
     return samples.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.max_by(value, at).alias("latest"), F.max(ts).alias("at"),
+        F.max_by(value, order_key(samples, ts, list(tie))).alias("latest"), F.max(ts).alias("at"),
     )
 
 

@@ -186,5 +186,7 @@ def finding_groups(findings: DataFrame, *keys: str, top: int = 0) -> DataFrame:
 
 
 def finding_cube(findings: DataFrame) -> DataFrame:
-    """Counts by category, by severity, by both and overall."""
-    return findings.cube("category", "severity").agg(F.count(F.lit(1)).alias("findings"))
+    """Counts by category, by severity, by both and overall; findings are counted before the cube
+    multiplies rows."""
+    cells = findings.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return cells.cube("category", "severity").agg(F.sum("n").alias("findings"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from siftmark.plans.slices import micros
 
 _PART = 1 << 17
+_FEW = 48  # events up to which a plain loop is faster than array operations
 _SUMMARY = "a long, b long, c long, d long, e long, f long, xs array<long>, ys array<long>"
 State = tuple[int, int] | None
 
@@ -118,9 +119,8 @@ class Bucket:
     def _run(self, t: np.ndarray, y: int) -> tuple[np.ndarray, int]:
         """(admitted, level after the last event), stretch by stretch between overflows."""
         n = len(t)
-        if n == 1:
-            ok = y >= self.one
-            return np.array([ok]), y - self.one if ok else y
+        if n <= _FEW:
+            return self._step(t.tolist(), y)
         refill = np.zeros(n, dtype=bool)
         refill[1:] = self._refilled(t[:-1], t[1:])
         admitted = np.empty(n, dtype=bool)
@@ -141,6 +141,18 @@ class Bucket:
             i += f
         return admitted, level
 
+    def _step(self, times: list[int], y: int) -> tuple[np.ndarray, int]:
+        """`_run`, one event after the other."""
+        admitted, level, last = [], y, None
+        for now in times:
+            if last is not None:
+                level = self.full if self._refilled(last, now) else min(self.full, level + (now - last) * self.per_us)
+            ok = level >= self.one
+            level -= self.one if ok else 0
+            admitted.append(ok)
+            last = now
+        return np.array(admitted, dtype=bool), level
+
     def summarise(self, t: np.ndarray) -> tuple:
         """kind 0: the last level is a constant; 1: no start level can reach the rim, closed
         form; 2: it depends, the events themselves are kept for the second step.
@@ -149,6 +161,8 @@ class Bucket:
         with a margin of one token a statement about one course holds for all.
         """
         head = (int(t[0]), int(t[-1]))
+        if len(t) <= 8:  # not longer than any other description
+            return 2, *head, 0, 0, 0, t, []
         rims = np.flatnonzero(self._refilled(t[:-1], t[1:])) + 1
         rim = int(rims[-1]) if len(rims) else self._certain_rim(t)
         if rim is not None:

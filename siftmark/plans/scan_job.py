@@ -19,15 +19,15 @@ class ScanResult:
     verdict: DataFrame
 
 
-def spread(files: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Split an input that has fewer partitions than the cluster has cores.
+def spread(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """Split an input that has fewer partitions than the cluster has cores, by the keys of its
+    rows (of files: job and path).
 
     A scan is costly per byte, so an input of a few large splits is worth one shuffle.
     Inputs with enough splits, the rule at scale, are left as they are.
     """
-    spark = files.sparkSession
-    tasks = tasks or spark.sparkContext.defaultParallelism
-    return files.repartition(tasks, "job_id", "path") if files.rdd.getNumPartitions() < tasks else files
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, *(keys or ("job_id", "path"))) if df.rdd.getNumPartitions() < tasks else df
 
 
 def scan_corpus(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOptions()) -> ScanResult:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SLICE = "_slice"
 
@@ -19,6 +19,22 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def order_key(df: DataFrame, ts: str, tie: list[str]) -> Column:
+    """What (ts, *tie) sort by, as a number where that is possible.
+
+    Aggregates like max_by over a struct make Spark sort its input; over a number they
+    are hashed.
+    """
+    if not tie:
+        return micros(F.col(ts))
+    whole = isinstance(df.schema[tie[0]].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    if len(tie) > 1 or not whole:
+        return F.struct(ts, *tie)
+    wide = lambda c: c.cast("decimal(20,0)")
+    # a tie is in +-2^63, so steps of 10^20 per microsecond keep the order
+    return (wide(micros(F.col(ts))) * F.lit(str(10**20)).cast("decimal(21,0)") + wide(F.col(tie[0]))).cast("decimal(38,0)")
+
+
 def with_slice(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     return df.withColumn(SLICE, F.expr(f"unix_micros(cast(`{ts}` as timestamp)) div {seconds * 1_000_000}"))
 
@@ -54,7 +70,7 @@ def previous_value(
     """Adds the value of the key's row just before, null for the first."""
     cut = with_slice(df, ts, seconds)
     place = [*keys, SLICE]
-    last = cut.groupBy(*place).agg(F.max_by(value, F.struct(ts, *tie)).alias("_last"))
+    last = cut.groupBy(*place).agg(F.max_by(value, order_key(df, ts, tie)).alias("_last"))
     carry = last.select(*place, F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_carry"))
     inside = Window.partitionBy(*place).orderBy(ts, *tie)
     rows = cut.withColumn("_at", F.row_number().over(inside)).withColumn("_in", F.lag(value).over(inside))

@@ -40,14 +40,17 @@ def classify_webhooks(raw: DataFrame, secret: str = "") -> DataFrame:
         F.col("body").cast("string"), f"struct<{schema},_bad:string>", {"columnNameOfCorruptRecord": "_bad"},
     )
     trusted = F.lit(True) if not secret else F.coalesce(webhook_signature(body, secret) == F.col("signature"), F.lit(False))
-    return raw.withColumn("payload", decoded).withColumn(
+    # a generator is not merged with the filters and projections behind it, so that each
+    # body is signed and decoded once
+    once = F.inline(F.array(F.struct(decoded.alias("payload"), trusted.alias("_trusted"))))
+    return raw.select("*", once).withColumn(
         "reason",
         F.when(F.octet_length(body) > MAX_BODY_BYTES, "body too large")
-        .when(~trusted, "invalid signature")
+        .when(~F.col("_trusted"), "invalid signature")
         .when(~F.col("event").eqNullSafe(SCANNED_EVENT), "ignored event")
         .when(F.col("payload").isNull() | F.col("payload._bad").isNotNull(), "invalid payload")
         .when(~F.coalesce(F.col("payload.action"), F.lit("")).isin(SCANNED_ACTIONS), "ignored action"),
-    )
+    ).drop("_trusted")
 
 
 def ingest_webhooks(raw: DataFrame, secret: str = "") -> tuple[DataFrame, DataFrame]:

@@ -14,15 +14,14 @@ def test_histogram_example(spark):
     assert (got["5"], got["10"], got["5000"], got["+Inf"]) == (1, 2, 3, 4)
     ordered = [r.bucket_count for r in h.orderBy("bound").collect()]
     assert ordered == sorted(ordered)
-    assert metrics.histogram_quantile(h, ["service"], 0.99).first().quantile == 5000
-    assert metrics.histogram_quantile(h, ["service"], 0.25).first().quantile == 5
+    assert metrics.histogram_quantile(h, ["service"], {"p99": 0.99, "p25": 0.25}).first()[1:] == (5000, 5)
     parts = spark.createDataFrame([("s", 5.0, 1), ("s", 10.0, 1), ("s", float("inf"), 2)], "service string, bound double, n int")
     assert [r.bucket_count for r in metrics.cumulate_buckets(parts, ["service"]).orderBy("bound").collect()] == [1, 2, 4]
 
 
 def test_quantile_without_observations(spark):
     df = spark.createDataFrame([("s", 5.0, 0), ("s", float("inf"), 0)], "service string, bound double, bucket_count int")
-    assert metrics.histogram_quantile(df, ["service"], 0.5).first().quantile is None
+    assert metrics.histogram_quantile(df, ["service"], {"p": 0.5}).first().p is None
 
 
 def test_rate_with_reset(spark):

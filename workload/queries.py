@@ -228,7 +228,7 @@ TRIED = ["TXT-102", "TXT-301", "TXT-304", "TXT-501", "TXT-901"]
 
 
 def _examples(spark, sf_dir) -> DataFrame:
-    labelled = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    labelled = spread(table(spark, sf_dir, "documents"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
     return labelled.select(
         F.explode(F.array(*[F.lit(r) for r in TRIED])).alias("rule_id"), (F.col("quality") == 0).alias("expected_fire"),
         F.col("text").alias("snippet"), "doc_id",
@@ -257,7 +257,7 @@ def _manifests(spark, sf_dir) -> DataFrame:
         "pom.xml": f("<project><dependencies>\n<dependency><groupId>g</groupId><artifactId>p%s</artifactId><version>%s</version></dependency>\n<dependency><groupId>g</groupId><artifactId>free%s</artifactId></dependency></dependencies></project>", key, size, key),
     }
     rows = F.array(*[F.struct(F.concat(key, F.lit("/" + name)).alias("path"), text.alias("content")) for name, text in texts.items()])
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("job_id"), F.inline(rows)).withColumn("language", F.lit("unknown"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_brand").alias("job_id"), F.inline(rows)).withColumn("language", F.lit("unknown"))
 
 
 @query
@@ -281,7 +281,7 @@ def unpinned_scan(spark, sf_dir):
 
 
 def _deliveries(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     action = F.expr("CASE o_orderstatus WHEN 'O' THEN 'opened' WHEN 'P' THEN 'synchronize' ELSE 'closed' END")
     repo = F.expr("CASE o_orderpriority WHEN '3-MEDIUM' THEN 'alone' ELSE concat('cust', o_custkey, '/repo/', o_orderkey) END")
     body = F.format_string(
@@ -407,9 +407,8 @@ def latency_histogram(spark, sf_dir):
 def histogram_quantile(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("day", F.to_date("ts"))
     h = metrics.latency_histogram(e, ["event_type", "day"], "value")
-    p50 = metrics.histogram_quantile(h, ["event_type", "day"], 0.5, "p50")
-    p99 = metrics.histogram_quantile(h, ["event_type", "day"], 0.99, "p99")
-    return p50.join(p99, ["event_type", "day"]).select("event_type", "day", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
+    out = metrics.histogram_quantile(h, ["event_type", "day"], {"p50": 0.5, "p99": 0.99})
+    return out.select("event_type", "day", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
 
 
 @query
