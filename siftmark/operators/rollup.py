@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftmark.functions.levels import BLOCKING, GATES, WEIGHTS, blocking
+from siftmark.functions.levels import BLOCKING, GATES, WEIGHTS, blocking, severity_rank
 from siftmark.operators.scan import finding_order
 from siftmark.schemas import SEVERITIES
 
@@ -185,6 +185,13 @@ def finding_groups(findings: DataFrame, *keys: str, top: int = 0) -> DataFrame:
     return out.limit(top) if top > 0 else out
 
 
+def severity_totals(findings: DataFrame) -> DataFrame:
+    """Counts per severity, from critical to info, anything else at the end."""
+    rank = severity_rank(F.col("severity"))
+    counted = findings.groupBy("severity").agg(F.count(F.lit(1)).alias("findings"))
+    return counted.withColumn("rank", F.when(rank > 0, rank).otherwise(len(SEVERITIES) + 1)).orderBy("rank", "severity")
+
+
 def finding_cube(findings: DataFrame) -> DataFrame:
     """Counts by category, by severity, by both and overall; findings are counted before the cube
     multiplies rows."""

@@ -51,6 +51,13 @@ def stream_scan(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def latest_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows written in update mode, the last state of each key."""
+    rest = [c for c in df.columns if c not in (*keys, "batch_id")]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_row"))
+    return last.select(*keys, "_row.*")
+
+
 def stream_append(df: DataFrame, out: str, checkpoint: str, available_now: bool = False, mode: str = "append") -> StreamingQuery:
     """Any streaming relation as a Parquet table, batch by batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:

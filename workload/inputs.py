@@ -37,10 +37,14 @@ def pack(spark: SparkSession, name: str) -> list[rule_source.Rule]:
     return _packs[name]
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_files(docs: DataFrame) -> DataFrame:
     """Every document is a file, every source a job."""
     path = F.concat_ws("/", "source", F.concat(F.col("doc_id"), F.lit(".txt")))
-    return file_source.files_from_table(table(spark, sf_dir, "documents"), path, "text", "source", "lang")
+    return file_source.files_from_table(docs, path, "text", "source", "lang")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_files(table(spark, sf_dir, "documents"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,6 +247,8 @@ SELECT job_id, repo_owner, repo_name, score, passed, total_findings, duration_ms
   greatest(total_findings - 15, 0) AS more FROM results LEFT JOIN tops USING (job_id)"""))
 _o("top_rules", _from(_FINDINGS, "SELECT rule_id, severity, count(*) AS findings, min(job_id) AS first_job FROM findings GROUP BY ALL ORDER BY findings DESC, rule_id, severity LIMIT 10"))
 _o("top_files", _from(_FINDINGS, "SELECT file, count(*) AS findings, min(job_id) AS first_job FROM findings GROUP BY ALL ORDER BY findings DESC, file LIMIT 25"))
+_o("severity_totals", _from(_FINDINGS, """
+SELECT severity, count(*) AS findings, list_position(['critical', 'high', 'medium', 'low', 'info'], severity)::INT AS rank FROM findings GROUP BY severity"""))
 _o("findings_cube", _from(_FINDINGS, "SELECT category, severity, count(*) AS findings FROM findings GROUP BY CUBE (category, severity)"))
 _o("findings_by_quality", _from(_FINDINGS + ",\nper_file AS (SELECT file, count(*) AS n FROM findings GROUP BY file)", """
 SELECT quality, toxic, count(*) AS files, coalesce(sum(n), 0)::BIGINT AS findings FROM labels JOIN documents USING (doc_id)
@@ -468,3 +470,16 @@ SELECT service, service || '_' || metric || CASE WHEN le IS NULL THEN '' ELSE '{
   CASE WHEN metric = 'request_ms_sum' THEN printf('%.3f', value) ELSE value::BIGINT::VARCHAR END AS text FROM cells
 UNION ALL SELECT DISTINCT service, '# TYPE ' || service || '_' || CASE kind WHEN 'counter' THEN metric ELSE 'request_ms' END || ' ' || kind FROM cells"""))
 _o("read_exposition", _from(_EXPO, "SELECT service, metric, kind, le, value FROM cells"))
+
+# -- streams: the same answers as in batch ---------------------------------------
+
+_o("stream_scan", _from(_SUMMED, f"SELECT {_N}, score, passed FROM summary"))
+_o("stream_metrics", _from(_QUANTILE.replace("ts::DATE AS day", "date_trunc('hour', ts)::TIMESTAMP AS day"), """
+SELECT q.event_type, q.day AS window_start, n AS requests, CASE WHEN q.event_type = 'error' THEN n ELSE 0 END AS errors, round(n / 3600.0, 9) AS rate,
+  round(max(v) FILTER (p = 0.5), 6) AS p50, round(max(v) FILTER (p = 0.99), 6) AS p99
+FROM q JOIN (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY ALL) c ON c.event_type = q.event_type AND c.day = q.day
+GROUP BY q.event_type, q.day, n"""))
+_o("stream_reuse", ORACLE["reuse_results"])
+_o("stream_token_bucket", ORACLE["token_bucket"])
+_o("stream_progress", ORACLE["job_progress"])
+_o("stream_audit", f"SELECT 'e' || event_id AS id, {_SIGN} AS signature, ts AS created_at, true AS valid FROM events")

@@ -12,6 +12,9 @@ from siftmark.operators import audit, backtest, deps, export, metrics, rollup, s
 from siftmark.plans.scan_job import run_scan, scan_corpus, spread
 from siftmark.sources import files as file_source
 from siftmark.sources import ingest, rules as rule_source, tables
+from siftmark.streaming import metrics as stream_metric
+from siftmark.streaming import scan as stream_scans
+from siftmark.streaming import sequences as stream_sequences
 from workload import inputs
 from workload.inputs import OPTIONS, SECRET, THRESHOLD, documents, events, pack, pages, table, turns
 
@@ -208,6 +211,11 @@ def top_files(spark, sf_dir):
     return rollup.finding_groups(_findings(spark, sf_dir), "file", top=25)
 
 
+@query
+def severity_totals(spark, sf_dir):
+    return rollup.severity_totals(_findings(spark, sf_dir)).select("severity", "findings", F.col("rank").cast("int").alias("rank"))
+
+
 @query
 def findings_cube(spark, sf_dir):
     return rollup.finding_cube(_findings(spark, sf_dir))
@@ -465,9 +473,13 @@ def inflight_requests(spark, sf_dir):
 # -- sequences -----------------------------------------------------------------
 
 
-def _progress(spark, sf_dir) -> DataFrame:
+def _as_steps(e: DataFrame) -> DataFrame:
     kind = F.expr("CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'finding' ELSE 'status_change' END")
-    return events(spark, sf_dir).select(F.col("user_id").alias("job_id"), kind.alias("type"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    return e.select(F.col("user_id").alias("job_id"), kind.alias("type"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+
+
+def _progress(spark, sf_dir) -> DataFrame:
+    return _as_steps(events(spark, sf_dir))
 
 
 @query
@@ -624,3 +636,77 @@ def read_exposition(spark, sf_dir):
     """Written as metric text and read back."""
     lines = export.exposition(_samples(spark, sf_dir)).withColumn("ts", F.lit(inputs.DONE_AT).cast("timestamp"))
     return tables.parse_exposition(lines.select("service", "ts", "text")).select("service", "metric", "kind", "le", "value")
+
+
+# -- streams, run until the given files are used up ------------------------------
+
+
+def _stream(spark, sf_dir, name: str) -> DataFrame:
+    # a stream may not start at a single file, but at a pattern that fits a file or a folder
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All rows the stream has written when its input is used up."""
+    spark = stream.sparkSession
+    out = inputs.scratch(spark, name)
+    running = stream_scans.stream_append(stream, f"{out}/rows", f"{out}/checkpoint", True, mode)
+    running.awaitTermination()
+    return spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows/batch_id=*")
+
+
+@query
+def stream_scan(spark, sf_dir):
+    """The documents as arriving files; the jobs as a whole out of the stored findings."""
+    out = inputs.scratch(spark, "stream_scan")
+    files = inputs.as_files(_stream(spark, sf_dir, "documents"))
+    running = stream_scans.stream_scan(
+        files, pack(spark, "prose"), out, f"{out}/checkpoint", OPTIONS, SECRET, available_now=True,
+    )
+    running.awaitTermination()
+    findings = stream_scans.read_output(spark, out, "findings")
+    return rollup.summarise(findings, stream_scans.read_output(spark, out, "summary")).select("job_id", *_COUNTS, "score", "passed")
+
+
+@query
+def stream_metrics(spark, sf_dir):
+    log = _stream(spark, sf_dir, "events")
+    live = stream_metric.stream_metrics(log, ["event_type"], "ts", "value", F.col("event_type") == "error", 3600)
+    out = stream_scans.latest_rows(_drain(live, "stream_metrics", "update"), ["event_type", "window_start"])
+    return out.select("event_type", *_naive("window_start"), "requests", "errors", F.round("requests_per_second", 9).alias("rate"),
+                      F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
+
+
+@query
+def stream_reuse(spark, sf_dir):
+    live = stream_sequences.stream_reuse(_stream(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", DAY)
+    return _drain(live, "stream_reuse").select("user_id", "event_id", "reused")
+
+
+@query
+def stream_token_bucket(spark, sf_dir):
+    from fractions import Fraction
+
+    live = stream_sequences.stream_token_bucket(
+        _stream(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", Fraction(1, DAY), 3, 1.5 * DAY, 6 * 3600,
+    )
+    return _drain(live, "stream_token_bucket").select("user_id", "event_id", "admitted")
+
+
+@query
+def stream_progress(spark, sf_dir):
+    live = stream_sequences.stream_progress(_as_steps(_stream(spark, sf_dir, "events")))
+    return _drain(live, "stream_progress").select("job_id", "id", "type", *_naive("at"))
+
+
+@query
+def stream_audit(spark, sf_dir):
+    """Entries signed as they arrive, then read back and verified."""
+    e = _stream(spark, sf_dir, "events").select(
+        F.concat(F.lit("e"), F.col("event_id")).alias("id"), F.concat(F.lit("job-"), F.col("user_id")).alias("job_id"),
+        "event_type", F.lit("").alias("actor"), F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("created_at"),
+    )
+    out = inputs.scratch(spark, "stream_audit")
+    stream_scans.stream_audit(e, SECRET, f"{out}/log", f"{out}/checkpoint", True).awaitTermination()
+    log = tables.read_audit(spark, f"{out}/log")
+    return log.select("id", "signature", *_naive("created_at")).join(audit.verify_audit(log, SECRET), "id")
