@@ -10,6 +10,10 @@ AUDIT_COLUMNS = ["id", "job_id", "event_type", "actor", "payload", "signature",
 DEFAULT_LIMIT = 50  # fixed value
 
 
+def _is_string(name: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get("_doc", f"$.{name}", "variant")) == "STRING"
+
+
 def audit_entries(events: DataFrame, secret: str, sign_columns: tuple[str, ...] = ("payload",)) -> DataFrame:
     """Entries from events with a JSON `payload` and `created_at`.
 
@@ -18,15 +22,13 @@ def audit_entries(events: DataFrame, secret: str, sign_columns: tuple[str, ...]
     event, so a task that runs twice writes the same entry; events that may repeat
     an equal payload at one instant bring their own `id`.
     """
-    def lifted(name: str) -> Column:
-        value = F.try_variant_get(F.try_parse_json("payload"), f"$.{name}", "string")
-        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("payload"), f"$.{name}", "variant"))
-        return F.when(kind == "STRING", value).otherwise("")
-
+    missing = [n for n in ("job_id", "event_type", "actor") if n not in events.columns]
     out = events
-    for name in ("job_id", "event_type", "actor"):
-        if name not in events.columns:
-            out = out.withColumn(name, F.coalesce(lifted(name), F.lit("")))
+    if missing:
+        # parsed once per entry: a generator is not merged with the projection behind it
+        parsed = F.inline(F.array(F.struct(F.try_parse_json("payload").alias("_doc"))))
+        lifted = {n: F.when(_is_string(n), F.try_variant_get("_doc", f"$.{n}", "string")) for n in missing}
+        out = events.select("*", parsed).withColumns({n: F.coalesce(c, F.lit("")) for n, c in lifted.items()}).drop("_doc")
     if "id" not in events.columns:
         out = out.withColumn("id", stable_id(F.col("payload"), F.col("created_at")))
     signature = hmac_hex(F.concat_ws("\0", *sign_columns) if len(sign_columns) > 1 else F.col(sign_columns[0]), secret)

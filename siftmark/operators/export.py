@@ -10,10 +10,10 @@ The texts around the values are the formats the receiving tools and readers expe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmark.functions.levels import checkrun_level, sarif_level, workflow_level
-from siftmark.operators.rollup import cap_findings, collect_part, finding_parts
+from siftmark.operators.rollup import cap_findings, collect_part, finding_parts, first_parts
 from siftmark.schemas import SEVERITIES
 from siftmark.sources.rules import Rule
 
@@ -148,12 +148,13 @@ def text_head(summary: DataFrame) -> DataFrame:
 
 
 def text_reports(findings: DataFrame, summary: DataFrame, per_part: int = 5000) -> DataFrame:
-    """(job_id, part, text): head and findings; a second part goes on without head."""
+    """(job_id, part, text): head and findings; further parts of a job go on without head."""
     docs = _documents(findings, text_head(summary), {"line": text_line()}, per_part)
+    first = first_parts(findings, per_part).withColumnRenamed("part", "_first")
     lines = F.concat_ws("\n", F.transform("rows", lambda r: r["line"]))
-    first = F.row_number().over(Window.partitionBy("job_id").orderBy("part")) == 1
-    text = F.when(first, F.when(F.size("rows") > 0, F.concat_ws("\n", "text", lines)).otherwise(F.col("text")))
-    return docs.select("job_id", "part", text.otherwise(lines).alias("text"))
+    leads = F.col("part").isNull() | (F.col("part") == F.col("_first"))
+    text = F.when(~leads, lines).when(F.size("rows") > 0, F.concat_ws("\n", "text", lines)).otherwise(F.col("text"))
+    return docs.join(first, "job_id", "left").select("job_id", "part", text.alias("text"))
 
 
 def _run_columns(results: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from siftmark.operators.scan import finding_order
 from siftmark.schemas import SEVERITIES
 
 _COUNTS = [f"n_{s}" for s in SEVERITIES]
-_SMALL_CAP, _CAP_PARTS = 1000, 64
+_CAP_PARTS = 64
 
 
 def summarise(findings: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
@@ -101,21 +101,31 @@ def policy_verdict(findings: DataFrame, jobs: DataFrame | None = None) -> DataFr
     return out.select("job_id", (~blocked).alias("allowed"), blocked.alias("blocked"), "n_errors", "n_warnings")
 
 
+def _slots(findings: DataFrame, per_part: int) -> DataFrame:
+    """Adds `_slot`: 0 for jobs that fit one part, else one of about twice as many slots as parts
+    are needed, told by the file."""
+    totals = findings.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / F.lit(per_part)).cast("long")
+    slot = F.when(parts > 1, F.pmod(F.xxhash64("file"), parts * 2)).otherwise(F.lit(0).cast("long"))
+    return findings.join(totals, "job_id").withColumn("_slot", slot).drop("_n")
+
+
 def finding_parts(findings: DataFrame, per_part: int = 5000) -> DataFrame:
     """Adds `part`: groups of at most `per_part` findings of one job.
 
     A job that fits is one part in finding order. A larger job is spread over parts
     by its files, so no task sorts or holds the whole job and nothing is left out.
     """
-    totals = findings.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = findings.join(totals, "job_id")
-    slots = F.ceil(F.col("_n") / F.lit(per_part)).cast("long")
-    # about half full on average, so that few slots need a second part
-    slot = F.when(slots > 1, F.pmod(F.xxhash64("file"), slots * 2)).otherwise(F.lit(0).cast("long"))
-    placed = sized.withColumn("_slot", slot)
     row = F.row_number().over(Window.partitionBy("job_id", "_slot").orderBy(*finding_order()))
     overflow = F.floor((row - 1) / F.lit(per_part)).cast("long")
-    return placed.withColumn("part", F.struct(F.col("_slot").alias("slot"), overflow.alias("seq"))).drop("_n", "_slot")
+    part = F.struct(F.col("_slot").alias("slot"), overflow.alias("seq"))
+    return _slots(findings, per_part).withColumn("part", part).drop("_slot")
+
+
+def first_parts(findings: DataFrame, per_part: int = 5000) -> DataFrame:
+    """(job_id, part): the part of each job that comes first."""
+    part = F.struct(F.min("_slot").alias("slot"), F.lit(0).cast("long").alias("seq"))
+    return _slots(findings.select("job_id", "file"), per_part).groupBy("job_id").agg(part.alias("part"))
 
 
 def collect_part(columns: dict[str, Column]) -> Column:
@@ -141,20 +151,19 @@ def nested_verdict(findings: DataFrame, per_part: int = 5000) -> DataFrame:
 
 
 def cap_findings(findings: DataFrame, n: int) -> DataFrame:
-    """The first n findings of each job in finding order; n <= 0 keeps all.
+    """The first n findings of each job in finding order, with their `rank`; n <= 0 keeps all.
 
-    Spark cuts every task's rows to n per job before the shuffle (window group limit).
-    A large n is first cut inside parts of the job, so that the last cut of a very large
-    job gets a bounded multiple of n and not n rows of every task.
+    Spark cuts every task's rows to n before a shuffle (window group limit). They are cut
+    once inside parts of the job and then in the whole job, so that the last step of a job
+    spread over very many tasks gets n rows per part and not n rows per task.
     """
     if n <= 0:
         return findings
-    if n > _SMALL_CAP:
-        part = F.pmod(F.xxhash64("file"), F.lit(_CAP_PARTS))
-        inside = F.row_number().over(Window.partitionBy("job_id", part).orderBy(*finding_order()))
-        findings = findings.withColumn("_r", inside).where(F.col("_r") <= n).drop("_r")
+    part = F.pmod(F.xxhash64("file"), F.lit(_CAP_PARTS))
+    inside = F.row_number().over(Window.partitionBy("job_id", part).orderBy(*finding_order()))
+    firsts = findings.withColumn("_r", inside).where(F.col("_r") <= n).drop("_r")
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy(*finding_order()))
-    return findings.withColumn("rank", rank).where(F.col("rank") <= n)
+    return firsts.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def job_report(summary: DataFrame, findings: DataFrame, jobs: DataFrame | None = None, top: int = 15) -> DataFrame:

@@ -46,6 +46,7 @@ class ScanOptions:
     max_findings: int = 0
     fail_on: str = "high"
     exclude: tuple[str, ...] = field(default=())
+    spread: bool = False  # the files come straight from storage, maybe in few large splits
 
     @property
     def threshold(self) -> float:

@@ -300,7 +300,10 @@ def _evaluate(spec, out: str):
 
 
 def _sequence(df: DataFrame, spec, keys: list[str], ts: str, tie: str, seconds: int, out: str) -> DataFrame:
-    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    if len(keys) == 1:
+        key = F.coalesce(F.concat(F.lit("="), F.col(keys[0]).cast("string")), F.lit("null"))
+    else:
+        key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
     width = seconds * 1_000_000
     placed = df.withColumn("_k", key).withColumn("_t", micros(F.col(ts)))
     placed = placed.withColumn("_slice", F.expr(f"_t div {width}"))

@@ -24,7 +24,8 @@ def spread(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
     rows (of files: job and path).
 
     A scan is costly per byte, so an input of a few large splits is worth one shuffle.
-    Inputs with enough splits, the rule at scale, are left as they are.
+    Inputs with enough splits, the rule at scale, are left as they are. Only for inputs
+    read straight from storage: counting the splits behind a shuffle would run it.
     """
     tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(tasks, *(keys or ("job_id", "path"))) if df.rdd.getNumPartitions() < tasks else df
@@ -38,7 +39,8 @@ def scan_corpus(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOpt
 
 
 def _find(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
-    return rollup.cap_findings(scan_files(spread(files), rules, opts), opts.max_findings).drop("rank")
+    files = spread(files) if opts.spread else files
+    return rollup.cap_findings(scan_files(files, rules, opts), opts.max_findings).drop("rank")
 
 
 def _roll_up(files: DataFrame, findings: DataFrame, opts: ScanOptions) -> ScanResult:

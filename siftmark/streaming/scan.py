@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siftmark.operators import audit, export, rollup
 from siftmark.operators.scan import ScanOptions, scan_files
-from siftmark.plans.scan_job import verdict_of
+from siftmark.plans.scan_job import spread, verdict_of
 from siftmark.sources.rules import Rule
 
 
@@ -32,7 +32,8 @@ def stream_scan(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         jobs = batch.select("job_id").distinct()
-        found = rollup.cap_findings(scan_files(batch, rules, opts), opts.max_findings).drop("rank")
+        files = spread(batch) if opts.spread else batch
+        found = rollup.cap_findings(scan_files(files, rules, opts), opts.max_findings).drop("rank")
         write_batch(found, out, "findings", batch_id)
         stored = spark.read.schema(found.schema).parquet(f"{out}/findings/batch_id={batch_id}")
         summary = rollup.gate(rollup.summarise(stored, jobs), opts.fail_on)

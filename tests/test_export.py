@@ -72,12 +72,11 @@ def test_reports_name_the_rest(spark):
     assert listed.first().repo == "o/r"
 
 
-def test_large_caps_equal_small_ones(spark, monkeypatch):
+def test_caps_in_two_steps(spark):
     data = rows(300) + rows(5, job="k")
-    want = rollup.cap_findings(made(spark, data), 120).select("job_id", "file", "rank").collect()
-    monkeypatch.setattr(rollup, "_SMALL_CAP", 10)
-    got = rollup.cap_findings(made(spark, data), 120).select("job_id", "file", "rank").collect()
-    assert sorted(got) == sorted(want) and len(want) == 125
+    kept = rollup.cap_findings(made(spark, data), 120).orderBy("job_id", "rank").collect()
+    want = [("j", f"dir/f{i:03d}", i + 1) for i in range(120)] + [("k", f"dir/f{i:03d}", i + 1) for i in range(5)]
+    assert [(r.job_id, r.file, r.rank) for r in kept] == want
 
 
 def test_stored_scan_equals_lazy_scan(spark, tmp_path):

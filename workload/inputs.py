@@ -15,7 +15,7 @@ from siftmark.sources import rules as rule_source
 SECRET = "workload-secret"
 # The corpus holds tokens of hexadecimal digits only, which stay below 4 bits.
 THRESHOLD = 3.0
-OPTIONS = ScanOptions(entropy_threshold=THRESHOLD)
+OPTIONS = ScanOptions(entropy_threshold=THRESHOLD, spread=True)
 DONE_AT = "2024-02-01 00:00:00"
 
 

@@ -117,7 +117,7 @@ def scan_corpus_summary(spark, sf_dir):
 @query
 def scan_corpus_limited(spark, sf_dir):
     """The limit cuts before the summary."""
-    opts = scan.ScanOptions(entropy_threshold=THRESHOLD, max_findings=100, exclude=("src1/", "src2/", "src10/1"))
+    opts = scan.ScanOptions(entropy_threshold=THRESHOLD, max_findings=100, exclude=("src1/", "src2/", "src10/1"), spread=True)
     return scan_corpus(documents(spark, sf_dir), pack(spark, "prose"), opts).summary.select("job_id", *_COUNTS, "score", "passed")
 
 
@@ -133,8 +133,8 @@ def changed_scan(spark, sf_dir):
     poor = labels.where("quality = 0").join(docs, "doc_id").select(path)
     toxic = labels.where("toxic = 1").join(docs, "doc_id").select(path)
     gone = labels.select(F.concat(F.lit("gone/"), F.col("doc_id"), F.lit(".txt")).alias("path"))
-    kept = file_source.changed_files(documents(spark, sf_dir), poor, toxic, gone)
-    return scan.scan_files(spread(kept), pack(spark, "prose"), OPTIONS).select(*PLACE)
+    kept = file_source.changed_files(spread(documents(spark, sf_dir)), poor, toxic, gone)
+    return scan.scan_files(kept, pack(spark, "prose"), OPTIONS).select(*PLACE)
 
 
 @query
@@ -173,7 +173,7 @@ def policy_messages(spark, sf_dir):
 @query
 def policy_documents(spark, sf_dir):
     """Errors and warnings per job as arrays in finding order, whole."""
-    nested = rollup.nested_verdict(_stored(spark, sf_dir)[0], per_part=1_000_000)
+    nested = rollup.nested_verdict(_stored(spark, sf_dir)[0])
     return nested.select("job_id", F.array_join("errors", "\n").alias("errors"), F.sha2(F.array_join("warnings", "\n"), 256).alias("warnings"), F.size("rules").alias("n_rules"))
 
 
@@ -533,7 +533,7 @@ def export_json_lines(spark, sf_dir):
 
 @query
 def export_json_results(spark, sf_dir):
-    out = export.json_results(*_stored(spark, sf_dir), 1_000_000)
+    out = export.json_results(*_stored(spark, sf_dir))
     doc = F.col("json")
     return out.select(
         "job_id", F.get_json_object(doc, "$.summary.total_findings").cast("long").alias("total"),
@@ -549,7 +549,7 @@ def export_sarif_results(spark, sf_dir):
 
 @query
 def export_sarif_documents(spark, sf_dir):
-    out = export.sarif_documents(*_stored(spark, sf_dir), pack(spark, "prose"), 1_000_000)
+    out = export.sarif_documents(*_stored(spark, sf_dir), pack(spark, "prose"))
     doc = F.col("json")
     return out.select(
         "job_id", F.get_json_object(doc, "$.version").alias("version"),
@@ -571,7 +571,7 @@ def export_text_heads(spark, sf_dir):
 
 @query
 def export_text_reports(spark, sf_dir):
-    out = export.text_reports(*_stored(spark, sf_dir), 1_000_000)
+    out = export.text_reports(*_stored(spark, sf_dir))
     return out.select("job_id", F.sha2("text", 256).alias("digest"))
 
 
