@@ -210,20 +210,28 @@ PIPELINE = [
 ]
 
 
-def summary_of(spark, *rows):
-    return scan_corpus(files(spark, *rows), R.check_rules(spark, PIPELINE)).summary.first()
+CASES = {
+    "clean": [("main.go", "go", "package main\n\nfunc main() {\n}\n")],
+    "secret": [("config.go", "go", 'const password = "supersecret123"\nvar dbPassword = "hunter2_production"\n')],
+    "debug": [("debug.go", "go", 'func foo() { fmt.Println("debug") }\n')],
+    "many": [("a.go", "go", 'fmt.Println("a")\n'), ("b.go", "go", 'fmt.Println("b")\n'), ("c.js", "javascript", "eval(x);\n")],
+    "deps": [("requirements.txt", "unknown", "flask\nrequests==2.28.0\n")],
+}
 
 
 def test_pipeline(spark):
-    s = summary_of(spark, ("main.go", "go", "package main\n\nfunc main() {\n}\n"))
+    """All cases as jobs of one scan."""
+    fs = spark.createDataFrame([(job, *f) for job, rows in CASES.items() for f in rows], schemas.FILES)
+    got = {r.job_id: r for r in scan_corpus(fs, R.check_rules(spark, PIPELINE)).summary.collect()}
+    s = got["clean"]
     assert (s.passed, s.score, s.total_findings, s.by_severity) == (True, 100, 0, {})
-    s = summary_of(spark, ("config.go", "go", 'const password = "supersecret123"\nvar dbPassword = "hunter2_production"\n'))
+    s = got["secret"]
     assert (s.passed, s.by_severity["critical"], s.score) == (False, 2, 60)
-    s = summary_of(spark, ("debug.go", "go", 'func foo() { fmt.Println("debug") }\n'))
+    s = got["debug"]
     assert (s.passed, s.n_low, s.score, s.exit_code) == (True, 1, 99, 0)
-    s = summary_of(spark, ("a.go", "go", 'fmt.Println("a")\n'), ("b.go", "go", 'fmt.Println("b")\n'), ("c.js", "javascript", "eval(x);\n"))
+    s = got["many"]
     assert (s.total_findings, s.by_category, s.exit_code) == (3, {"quality": 2, "security": 1}, 1)
-    s = summary_of(spark, ("requirements.txt", "unknown", "flask\nrequests==2.28.0\n"))
+    s = got["deps"]
     assert (s.n_medium, s.score) == (1, 96)
 
 
@@ -233,14 +241,20 @@ def made(spark, *severities):
 
 
 def test_score_and_gate(spark):
-    s = rollup.summarise(made(spark, "critical", "high", "medium", "low", *["info"] * 9))
-    assert s.first().score == 65 and not s.first().passed
-    assert rollup.summarise(made(spark, *["critical"] * 6)).first().score == 0
-    info = rollup.summarise(made(spark, "info"))
-    code = lambda level: rollup.gate(info, level).first().exit_code
-    assert [code(x) for x in ("low", "medium", "high", "critical", "never", "other", "")] == [1, 0, 0, 0, 0, 0, 0]
-    high = rollup.summarise(made(spark, "high"))
-    assert [rollup.gate(high, x).first().exit_code for x in ("critical", "high", "", "never")] == [0, 1, 1, 0]
+    jobs = {"mixed": ["critical", "high", "medium", "low"] + ["info"] * 9, "worst": ["critical"] * 6, "info": ["info"], "high": ["high"]}
+    found = None
+    for job, severities in jobs.items():
+        part = made(spark, *severities).withColumn("job_id", F.lit(job))
+        found = part if found is None else found.unionByName(part)
+    wide = rollup.summarise(found)
+    for level in ("critical", "high", "medium", "low", "never", "other"):
+        wide = rollup.gate(wide, level).withColumnRenamed("exit_code", level).drop("fail_on")
+    got = {r.job_id: r for r in rollup.gate(wide, "").collect()}
+    assert got["mixed"].score == 65 and not got["mixed"].passed and got["worst"].score == 0
+    codes = lambda r: [r[level] for level in ("critical", "high", "exit_code", "medium", "low", "never", "other")]
+    assert codes(got["info"]) == [0, 0, 0, 0, 1, 0, 0]
+    assert codes(got["high"]) == [0, 1, 1, 1, 1, 0, 0]
+    assert codes(got["mixed"]) == [1, 1, 1, 1, 1, 0, 0]
 
 
 def test_parts_lose_nothing(spark):

@@ -76,7 +76,7 @@ def rule_listing(spark, sf_dir):
 @query
 def line_listing(spark, sf_dir):
     lines = scan.drop_comment_lines(scan.explode_lines(scan.drop_suppressed_files(documents(spark, sf_dir))))
-    return lines.select("job_id", "path", "language", "line", F.octet_length("text").alias("bytes"))
+    return lines.select("job_id", "path", "language", "line", F.octet_length("text").cast("long").alias("bytes"))
 
 
 @query
