@@ -220,7 +220,8 @@ class _Scanner:
         if nxt in "bB":
             # a search may find too much, so it goes without the costly word edges
             edge = _AT_WORD_EDGE if nxt == "b" else _NOT_WORD_EDGE
-            self._emit(edge if self.per_line else "(?:)")
+            repeated = self.src[self.pos:self.pos + 1] in ("*", "+", "?", "{")
+            self._emit(edge if self.per_line else "(?:)" if repeated else "")
         elif nxt == "s":
             self._emit(f"[{_SPACE}]")
         elif nxt == "S":
