@@ -117,7 +117,8 @@ class Bucket:
         return gross - self.one * np.concatenate(([0], count[:-1])), count
 
     def _run(self, t: np.ndarray, y: int) -> tuple[np.ndarray, int]:
-        """(admitted, level after the last event), stretch by stretch between overflows."""
+        """(admitted, level after the last event): whole stretches between overflows at once,
+        and one event after the other where overflows are frequent."""
         n = len(t)
         if n <= _FEW:
             return self._step(t.tolist(), y)
@@ -127,18 +128,25 @@ class Bucket:
         i, size, level = 0, 64, 0
         while i < n:
             before, count = self._course(t[i:i + size], y)
-            m = len(before)
-            over = (before > self.full) | refill[i:i + m]
+            over = (before > self.full) | refill[i:i + len(before)]
             over[0] = False
-            f = int(np.argmax(over)) if over.any() else m
+            f = int(np.argmax(over)) if over.any() else len(before)
             admitted[i:i + f] = np.diff(count[:f], prepend=0) > 0
             level = int(before[f - 1]) - (self.one if admitted[i + f - 1] else 0)
-            if f < m:
-                y, size = self.full, 64
-            elif i + m < n:
-                y = self.start((level, int(t[i + m - 1])), int(t[i + m]))
-                size = min(size * 2, 1 << 15)
             i += f
+            if f < len(before):
+                size = 64
+                if f < _FEW:
+                    part = t[i:i + 1024]
+                    admitted[i:i + len(part)], level = self._step(part.tolist(), self.full)
+                    i += len(part)
+                else:
+                    y = self.full
+                    continue
+            else:
+                size = min(size * 2, 1 << 15)
+            if i < n:
+                y = self.start((level, int(t[i - 1])), int(t[i]))
         return admitted, level
 
     def _step(self, times: list[int], y: int) -> tuple[np.ndarray, int]:
@@ -154,40 +162,40 @@ class Bucket:
         return np.array(admitted, dtype=bool), level
 
     def summarise(self, t: np.ndarray) -> tuple:
-        """kind 0: the last level is a constant; 1: no start level can reach the rim, closed
-        form; 2: it depends, the events themselves are kept for the second step.
+        """kind 0: the last level is a constant; 1: a constant for start levels above a limit and
+        a closed form for the others; 2: neither holds, the events themselves are kept.
 
-        Of two start levels the higher one may end lower, but by less than one token;
-        with a margin of one token a statement about one course holds for all.
+        `net` is what came in before an event less one token for every event before it. While
+        nothing is rejected, the level before an event is the start level plus `net`.
         """
         head = (int(t[0]), int(t[-1]))
         if len(t) <= 8:  # not longer than any other description
             return 2, *head, 0, 0, 0, t, []
         rims = np.flatnonzero(self._refilled(t[:-1], t[1:])) + 1
-        rim = int(rims[-1]) if len(rims) else self._certain_rim(t)
-        if rim is not None:
+        if len(rims):
+            return 0, *head, self._run(t[rims[-1]:], self.full)[1], 0, 0, [], []
+        flow = (t - t[0]) * self.per_us
+        net = flow - self.one * np.arange(len(t))
+        # A bucket that was empty at the start and lost a token for every event, as far as it
+        # had any, holds no more than the real one; where it is full, the real one is.
+        floor = np.minimum(0, np.minimum.accumulate(net - self.one))
+        least_level = net - np.concatenate(([0], floor[:-1]))
+        rim = int(np.argmax(least_level >= self.full))
+        if least_level[rim] >= self.full:
             return 0, *head, self._run(t[rim:], self.full)[1], 0, 0, [], []
-        before, _ = self._course(t, self.full)
-        if before[1:].max(initial=0) <= self.full - self.one:
-            flow = (t - t[0]) * self.per_us
-            whole = flow // self.one - np.arange(1, len(t) + 1)
-            least = int(whole.min())
-            frac = int((flow[whole == least] % self.one).min())
-            return 1, *head, len(t), least, frac, [], []
-        return 2, *head, 0, 0, 0, t, []
-
-    def _certain_rim(self, t: np.ndarray) -> int | None:
-        """An event at which the bucket is full even if it was empty at the start."""
-        i, low = 0, 0
-        for _ in range(8):
-            over = np.flatnonzero(self._course(t[i:], low)[0] > self.full)
-            if not len(over):
-                return None
-            first = i + int(over[0])
-            if self._course(t[i:first + 1], low)[0][-1] >= self.full + self.one:
-                return first
-            i, low = first, self.full - self.one
-        return None
+        # After a rejection the level is below one token and rises no further than `net` does.
+        # If that never reaches the rim, only levels before any rejection can, and they do so
+        # at the peak of `net`, from which on all their courses are one.
+        rise = int((net - np.minimum.accumulate(net)).max())
+        if 2 * self.one + rise > self.full:
+            return 2, *head, 0, 0, 0, t, []
+        peak = len(net) - 1 - int(np.argmax(net[::-1]))
+        limit = self.full - int(net[peak])
+        beyond = self._run(t[peak:], self.full)[1] if limit < self.full else 0
+        whole = flow // self.one - np.arange(1, len(t) + 1)
+        least = int(whole.min())
+        frac = int((flow[whole == least] % self.one).min())
+        return 1, *head, len(t), least, frac, [limit], [beyond]
 
     def matters(self, state: State, first: int) -> bool:
         return self.start(state, first) < self.full
@@ -197,6 +205,8 @@ class Bucket:
         if s.a == 0:
             return s.d, s.c
         if s.a == 1:
+            if y > s.xs[0]:
+                return int(s.ys[0]), s.c
             k, part = divmod(y, self.one)
             least = k + s.e + (1 if part + s.f >= self.one else 0)
             count = s.d + min(0, least)

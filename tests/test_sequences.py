@@ -50,8 +50,11 @@ def streams(seed, n=400):
     return out
 
 
-@pytest.mark.parametrize("seed", range(25))
-@pytest.mark.parametrize("cut", [7, 60, 1000])
+KINDS = set()
+
+
+@pytest.mark.parametrize("seed", range(60))
+@pytest.mark.parametrize("cut", [7, 60, 200, 1000])
 def test_parts_compose(seed, cut):
     """Describing parts and running through them equals one event after the other."""
     times = np.array(streams(seed), dtype=np.int64)
@@ -64,18 +67,45 @@ def test_parts_compose(seed, cut):
         (Q.Bucket.of(rate, burst, idle and idle / 1e6, 2), plain_bucket(times.tolist(), rate, burst, idle, 2_000_000)),
     ]
     for spec, expected in specs:
-        state, got, kinds = None, [], set()
+        state, got = None, []
         for a in range(0, len(times), cut):
             part = times[a:a + cut]
             flags, _ = spec.apply(part, state)
             got += flags.tolist()
             row = dict(zip("abcdef", spec.summarise(part)[:6]))
             row["xs"], row["ys"] = spec.summarise(part)[6:]
-            kinds.add(row["a"])
+            if isinstance(spec, Q.Bucket) and len(part) > 8:
+                KINDS.add(row["a"])
             state = spec.advance(state, type("S", (), row))
         assert got == expected
 
 
+@pytest.mark.parametrize("load", [0.2, 0.9, 0.99, 1.0, 1.01, 1.2, 5])
+@pytest.mark.parametrize("seed", range(8))
+def test_steady_loads(load, seed):
+    """A client at `load` times the rate, from idle to saturated."""
+    rng = random.Random(seed)
+    t, times = 0, []
+    for _ in range(3000):
+        t += int(rng.expovariate(50 * load) * 1e6)
+        times.append(t)
+    spec = Q.Bucket.of(50, rng.choice([5, 100]), 600, 300)
+    want = plain_bucket(times, Fraction(50), spec.full // spec.one, 600_000_000, 300_000_000)
+    arr, state, got = np.array(times, dtype=np.int64), None, []
+    for a in range(0, len(arr), 700):
+        part = arr[a:a + 700]
+        got += spec.apply(part, state)[0].tolist()
+        s = spec.summarise(part)
+        row = dict(zip("abcdef", s[:6]), xs=s[6], ys=s[7])
+        KINDS.add(row["a"])
+        state = spec.advance(state, type("S", (), row))
+    assert got == want
+
+
+def test_all_kinds_of_descriptions_were_met():
+    assert KINDS == {0, 1, 2}
+
+
 def frame(spark, rows):
     df = spark.createDataFrame(rows, "k string, us long, id long")
     return df.withColumn("ts", F.timestamp_micros("us"))
