@@ -88,3 +88,21 @@ def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
     offsets = spark.createDataFrame(starts, "part long, start long")
     within = F.col("_id").bitwiseAND((1 << 33) - 1)
     return kept.join(offsets, part == F.col("part")).withColumn("rank", F.col("start") + within + 1).drop("_id", "part", "start")
+
+
+def runs(batches, *keys: str):
+    """(key, rows) of consecutive rows that agree in the key columns, across Arrow batches.
+
+    For partitions sorted by the key whose groups are bounded; a group may span batches.
+    """
+    key, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            now = tuple(row[k] for k in keys)
+            if rows and now != key:
+                yield key, rows
+                rows = []
+            key = now
+            rows.append(row)
+    if rows:
+        yield key, rows

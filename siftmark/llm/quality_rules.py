@@ -13,10 +13,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftmark.llm.common import let, words
+from siftmark.llm.common import WORD, let, words
 
-SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\f\r"
+SYMBOLS = "[#*$%&|<>]+"
 # Whole lines of menus, and phrases of page furniture, in lower case.
 MENU_LINES = (
     "home", "menu", "search", "log in", "login", "sign in", "sign up", "register", "next", "previous", "back to top",
@@ -41,43 +40,47 @@ class LineRules:
 
 def fails_punctuation(line: Column, rules: LineRules) -> Column:
     """The line does not end as a sentence does, or shouts: doubled marks again and again."""
-    ends = line.rlike(r"""[.!?…。！？]["'”’»)\]]*[\x20\x09-\x0D]*$""")
-    shouts = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
-    asks = F.length(line) - F.length(F.replace(line, F.lit("??"), F.lit("?")))
-    return ~ends | (shouts + asks > rules.max_shouts)
+    ends = F.substring(line, -12, 12).rlike(r"""[.!?…。！？]["'”’»)\]]*[\x20\x09-\x0D]*$""")
+    return ~ends | line.rlike(f"(?:[!?][!?][^!?]*){{{rules.max_shouts + 1}}}")
 
 
-def fails_navigation(line: Column, rules: LineRules) -> Column:
+def fails_navigation(line: Column, low: Column, rules: LineRules) -> Column:
     """A row of links between separators, or a line that is one entry of a menu."""
-    apart = F.length(line) - F.length(F.translate(line, "|»›•", ""))
-    return (apart > rules.max_separators) | F.lower(F.trim(line)).isin(*MENU_LINES)
+    return line.rlike(f"(?:[|»›•][^|»›•]*){{{rules.max_separators + 1}}}") | (
+        (F.length(line) <= 40) & F.trim(low).isin(*MENU_LINES)
+    )
 
 
-def fails_boilerplate(line: Column) -> Column:
-    lower, found = F.lower(line), F.lit(False)
-    for phrase in BOILERPLATE:
-        found = found | F.contains(lower, F.lit(phrase))
+def fails_boilerplate(low: Column) -> Column:
+    found = F.contains(low, F.lit(BOILERPLATE[0]))
+    for phrase in BOILERPLATE[1:]:
+        found = found | F.contains(low, F.lit(phrase))
     return found
 
 
 def repeated_words(ws: Column) -> Column:
     """Words inside a 3-word window that the text has twice or more.
 
-    Windows are sorted with their places, so equal ones are neighbours; the places found are sorted
-    again and each covers the words up to the next one, three at most.
+    Hashes tell most texts, which repeat nothing. In the others the windows themselves are sorted with
+    their places, so equal ones are neighbours; the places found are sorted again and each covers the
+    words up to the next one, three at most.
     """
-    windows = F.when(F.size(ws) >= 3, F.transform(
-        F.sequence(F.lit(0), F.size(ws) - 3),
+    last = F.size(ws) - 3
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(ws[i], ws[i + 1], ws[i + 2]))
+    repeats = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    windows = F.transform(
+        F.sequence(F.lit(0), last),
         lambda i: F.struct(F.concat_ws(" ", ws[i], ws[i + 1], ws[i + 2]).alias("w"), i.alias("at")),
-    ))
+    )
+    same = lambda x, y: F.coalesce(x["w"] == y["w"], F.lit(False))
     places = let(F.sort_array(windows), lambda s: F.transform(F.filter(
-        s, lambda x, i: F.coalesce(F.get(s, i - 1)["w"] == x["w"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["w"] == x["w"], F.lit(False))
+        s, lambda x, i: same(F.get(s, i - 1), x) | same(F.get(s, i + 1), x)
     ), lambda x: x["at"]))
     covered = let(F.sort_array(places), lambda p: F.aggregate(
         F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))),
         F.lit(0), lambda total, x: total + x,
     ))
-    return F.coalesce(covered, F.lit(0))
+    return F.when(last < 1, 0).when(repeats, covered).otherwise(0)
 
 
 def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
@@ -86,17 +89,21 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRule
     names = [c for c in docs.columns]
     step = docs.select(
         *names, words(body).alias("_words"),
-        F.filter(F.split(body, "\n"), lambda l: F.translate(l, SPACES, "") != "").alias("_lines"),
+        F.filter(F.split(body, "\n"), lambda l: l.rlike(WORD)).alias("_lines"),
+    )
+    # The lower-cased copy is made once for all phrases.
+    both = F.transform("_lines", lambda l: F.struct(l.alias("line"), F.lower(l).alias("low")))
+    passes = lambda x: ~(
+        fails_punctuation(x["line"], rules) | fails_navigation(x["line"], x["low"], rules) | fails_boilerplate(x["low"])
     )
-    passes = lambda l: ~(fails_punctuation(l, rules) | fails_navigation(l, rules) | fails_boilerplate(l))
     chars = lambda lines: F.aggregate(lines, F.lit(0), lambda n, l: n + F.length(l))
     measures = {
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate(body, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.concat_ws("", "_words")).cast("long"),
+        "n_symbols": (F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-        "_good": F.filter("_lines", passes),
+        "_good": F.transform(F.filter(both, passes), lambda x: x["line"]),
         "_chars": chars(F.col("_lines")),
     }
     step = step.select(*[c for c in names if c not in measures], "_lines", *[v.alias(k) for k, v in measures.items()])

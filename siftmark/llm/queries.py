@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmark.llm import mixing, quality_rules
+from siftmark.llm import chat_windows, mixing, quality_rules
 from siftmark.llm.common import materialise, word_count
 
 
@@ -20,6 +20,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)
+    return chat_windows.read_back(chat_windows.format_windows(turns.unionByName(extra)))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     # Sizes are counted once; only three numbers of a document are needed afterwards.
@@ -30,5 +37,6 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_chat_windows": op4_chat_windows,
     "op7_mix_sources": op7_mix_sources,
 }
