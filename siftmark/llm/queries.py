@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmark.llm import chat_windows, mixing, quality_rules
-from siftmark.llm.common import materialise, word_count
+from siftmark.llm import chat_windows, mixing, quality_rules, toxicity
+from siftmark.llm.common import fold, materialise, word_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.format_windows(turns.unionByName(extra)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id"), 3) == 1).alias("held_out"))
+    settings = toxicity.Settings()
+    rows = toxicity.training_rows(docs.where("not held_out"), _table(spark, sf_dir, "labels"), "toxic", settings)
+    model = toxicity.fit(docs, materialise(rows, "toxicity-training"), settings)
+    return toxicity.score(docs, model, ["doc_id", "held_out"], settings.threshold)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     # Sizes are counted once; only three numbers of a document are needed afterwards.
@@ -38,5 +46,6 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_chat_windows": op4_chat_windows,
+    "op5_toxicity": op5_toxicity,
     "op7_mix_sources": op7_mix_sources,
 }
