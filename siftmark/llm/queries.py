@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmark.llm import chat_windows, mixing, quality_rules, toxicity
+from siftmark.llm import chat_windows, language_id, mixing, quality_rules, toxicity
 from siftmark.llm.common import fold, materialise, word_count
 
 
@@ -35,6 +35,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id", "held_out"], settings.threshold)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(F.col("doc_id"), 4) == 2).alias("held_out"))
+    model = language_id.fit(docs.where("not held_out").select("doc_id", "text", "lang"))
+    return language_id.predict(docs, model, ["doc_id", "held_out"])
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     # Sizes are counted once; only three numbers of a document are needed afterwards.
@@ -47,5 +53,6 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_chat_windows": op4_chat_windows,
     "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
 }
