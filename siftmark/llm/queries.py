@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmark.llm import chat_windows, language_id, mixing, quality_rules, toxicity
+from siftmark.llm import chat_windows, language_id, mixing, quality_rules, simhash, toxicity
 from siftmark.llm.common import fold, materialise, word_count
 
 
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -51,6 +55,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_simhash": op2_simhash,
     "op4_chat_windows": op4_chat_windows,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
