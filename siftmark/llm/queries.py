@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmark.llm import chat_windows, language_id, mixing, quality_rules, simhash, toxicity
+from siftmark.llm import chat_windows, decontaminate, language_id, mixing, quality_rules, simhash, toxicity
 from siftmark.llm.common import fold, materialise, word_count
 
 
@@ -53,6 +53,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
@@ -60,4 +65,5 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
+    "op8_decontaminate": op8_decontaminate,
 }
