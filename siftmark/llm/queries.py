@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmark.llm import chat_windows, decontaminate, language_id, mixing, pii, quality_rules, simhash, toxicity
+from siftmark.llm import chat_windows, decontaminate, language_id, mixing, pii, quality_rules, repeats, simhash, toxicity
 from siftmark.llm.common import fold, materialise, word_count
 
 
@@ -62,6 +62,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
@@ -70,5 +74,6 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
     "op8_decontaminate": op8_decontaminate,
+    "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
 }
