@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmark.llm import chat_windows, decontaminate, language_id, mixing, pii, quality_rules, repeats, simhash, toxicity
+from siftmark.llm import chat_windows, decontaminate, language_id, license_scan, mixing, pii, quality_rules, repeats, simhash, toxicity
 from siftmark.llm.common import fold, materialise, word_count
 
 
@@ -66,9 +66,19 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are repositories; a folder holds a hundred documents, and every fourth document is a licence file."""
+    name = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    folders = [F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100)]
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", "text", F.concat_ws("/", "source", *folders, name).alias("path"))
+    return license_scan.scan_licenses(files, "doc_id").select("doc_id", "path", "own", "license", "license_dir")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
+    "op3_license_scan": op3_license_scan,
     "op4_chat_windows": op4_chat_windows,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
