@@ -245,19 +245,21 @@ def redact(text: str | None, more: list[tuple[int, int, str]]) -> str | None:
 
 def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs with personal data in text generalised or removed."""
+    columns = docs.columns
     rows = materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "pii-documents")
     found = records(rows, ["_rid"], settings)
-    joined = rows.join(added_spans(rows, found, settings), F.col("_rid") == F.col("rid"), "left").select(*docs.columns, "more")
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
+    more = added_spans(rows, found, settings).select(F.col("rid").alias("_of"), F.col("more").alias("_more"))
+    joined = rows.join(more, F.col("_rid") == F.col("_of"), "left").select(*columns, "_more")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
                 redact(t, [(s["start"], s["end"], s["kind"]) for s in more or []])
-                for t, more in zip(batch["text"].to_pylist(), batch["more"].to_pylist())
+                for t, more in zip(batch["text"].to_pylist(), batch["_more"].to_pylist())
             ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in docs.columns], names=docs.columns
+                [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in columns], names=columns
             )
 
     return joined.mapInArrow(run, fields)

@@ -161,14 +161,14 @@ def fit(docs: DataFrame, training: DataFrame, settings: Settings = Settings()) -
     apart = rates[0] != rates[1]
     keys = [pair for pair, a in zip(zip(frequent["h"], frequent["w"]), apart) if a]
     model.pairs = _ratios(keys, [r[apart] for r in rates], settings.dead_zone)
-    _fit_curve(model, training.where("not fit").select("doc_id", "text", "y"))
+    _fit_curve(model, training.where("not fit").select("text", "y"))
     return model
 
 
 def _fit_curve(model: Model, rows: DataFrame) -> None:
     """Logistic regression on the one variable, by Newton steps with a small penalty on the slope."""
     got = _with_evidence(rows.sparkSession.sparkContext.broadcast(model), rows, ["y"]).toPandas()
-    x, y = got["evidence"].to_numpy(float), got["y"].to_numpy(float)
+    x, y = got["_evidence"].to_numpy(float), got["y"].to_numpy(float)
     scale = x.std() or 1.0
     z = np.column_stack([x / scale, np.ones(len(x))])
     beta, penalty = np.array([1.0, 0.0]), np.diag([1e-2, 1e-6])
@@ -184,22 +184,32 @@ def _fit_curve(model: Model, rows: DataFrame) -> None:
 
 
 def _with_evidence(model, docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and the evidence of every row."""
-    kept = docs.select(*keep, "text")
-    fields = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
+    """keep and the evidence of every row, as _evidence."""
+    names = keep if "text" in keep else [*keep, "text"]
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [model.value.evidence(t) for t in batch["text"].to_pylist()]
             columns = [batch[c] for c in keep] + [pa.array(values, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "evidence"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_evidence"])
 
-    return kept.mapInArrow(run, f"{fields}, evidence double")
+    return docs.select(*names).mapInArrow(run, f"{fields}_evidence double")
+
+
+def _curve(model: Model):
+    return 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("_evidence") + F.lit(max(model.shift, -700.0)))))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.7) -> DataFrame:
-    """keep, score and predicted for every row."""
-    spread = _with_evidence(docs.sparkSession.sparkContext.broadcast(model), docs, keep)
-    at = F.lit(model.slope) * F.col("evidence") + F.lit(model.shift if math.isfinite(model.shift) else -800.0)
-    spread = spread.withColumn("score", 1 / (1 + F.exp(-at)))
-    return spread.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """keep, evidence, score and predicted for every row."""
+    keep = [c for c in keep if c not in ("evidence", "score", "predicted")]
+    rows = _with_evidence(docs.sparkSession.sparkContext.broadcast(model), docs, keep)
+    value = _curve(model)
+    return rows.select(*keep, F.col("_evidence").alias("evidence"), value.alias("score"), (value >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score below the threshold."""
+    rows = _with_evidence(docs.sparkSession.sparkContext.broadcast(model), docs, docs.columns)
+    return rows.where(_curve(model) < threshold).select(*docs.columns)
