@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftmark.functions import text
 from siftmark.sources.rules import Rule
@@ -14,28 +14,30 @@ def inline_examples(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, expected_fire boolean, snippet string")
 
 
-def _fires(rule: Rule, snippet: Column, marker: str) -> Column:
-    if not rule.supported:
-        return F.lit(False)
-    pattern = rule.translated
-    if rule.pattern.negate:
-        return ~snippet.rlike(pattern.line)
-    hit = lambda l: l.rlike(pattern.line) & ~text.line_suppressed(l, F.lit(rule.rule_id), marker)
-    body = text.line_body(snippet)
-    lines = F.when(F.length(snippet) > 0, text.split_lines(body)).otherwise(F.array().cast("array<string>"))
-    return body.rlike(pattern.search) & F.exists(lines, hit)
+def _as_rows(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    rows = [
+        (r.rule_id, r.supported, r.pattern.negate, r.translated.line if r.supported else None, r.translated.search if r.supported else None)
+        for r in rules
+    ]
+    return spark.createDataFrame(rows, "rule_id string, supported boolean, negate boolean, line string, search string")
 
 
 def judge_examples(examples: DataFrame, rules: list[Rule], marker: str = text.DEFAULT_MARKER) -> DataFrame:
     """Examples with `fired` and `ok`; an example of an unknown rule has null for both.
 
-    Enabled, language and file suppression do not matter here, line suppression does.
+    Enabled, language and file suppression do not matter here, line suppression does. The rules
+    are rows, so the plan is the same for any pack.
     """
-    fired = None
-    for r in rules:
-        test, outcome = F.col("rule_id") == r.rule_id, _fires(r, F.col("snippet"), marker)
-        fired = F.when(test, outcome) if fired is None else fired.when(test, outcome)
-    judged = examples.withColumn("fired", fired if fired is not None else F.lit(None).cast("boolean"))
+    known = _as_rows(examples.sparkSession, rules).withColumnRenamed("rule_id", "_rule")
+    rows = examples.join(known, F.col("rule_id") == F.col("_rule"), "left")
+    snippet, body = F.col("snippet"), text.line_body(F.col("snippet"))
+    hit = lambda l: F.rlike(l, F.col("line")) & ~text.line_suppressed(l, F.col("rule_id"), marker)
+    lines = F.when(F.length(snippet) > 0, text.split_lines(body)).otherwise(F.array().cast("array<string>"))
+    fired = (
+        F.when(~F.col("supported"), False).when(F.col("negate"), ~F.rlike(snippet, F.col("line")))
+        .when(F.col("supported"), F.rlike(body, F.col("search")) & F.exists(lines, hit))
+    )
+    judged = rows.withColumn("fired", fired).select(*examples.columns, "fired")
     return judged.withColumn("ok", F.col("fired") == F.col("expected_fire"))
 
 

@@ -1,11 +1,9 @@
 """Findings and results as documents for other tools.
 
 Line forms (annotations, SARIF results, text lines) are one row per finding and
-are written as text or JSON lines. Documents hold at most `per_part` findings; a
-larger job gives several documents. Short forms (check run, comment, chat, mail)
-hold a fixed number of findings and say how many more there are.
-
-The texts around the values are the formats the receiving tools and readers expect.
+are written as text or JSON lines. Documents and check runs come in parts, numbered
+from 0, of `per_part` findings in finding order; a job without findings has one part
+without rows. Comment, chat and mail are short and say how many findings they leave out.
 """
 
 from __future__ import annotations
@@ -13,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmark.functions.levels import checkrun_level, sarif_level, workflow_level
-from siftmark.operators.rollup import cap_findings, collect_part, finding_parts, first_parts
+from siftmark.operators.rollup import cap_findings, collect_part, finding_parts
 from siftmark.schemas import SEVERITIES
 from siftmark.sources.rules import Rule
 
@@ -24,13 +22,8 @@ SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Sc
 SARIF_VERSION = "2.1.0"
 CHECKRUN_ANNOTATIONS = 50
 COMMENT_FINDINGS = 10
-COLOURS = {True: "#36a64f", False: "#ff0000"}
-ICONS = {True: ":white_check_mark:", False: ":x:"}
-_TICK, _CROSS = "✅", "❌"
-_TABLE = [
-    ("critical", "🔴 Critical"), ("high", "🟠 High    "), ("medium", "🟡 Medium  "),
-    ("low", "🔵 Low     "), ("info", "ℹ️  Info   "),
-]
+COLOURS = {True: "#2e7d32", False: "#c62828"}
+_STATE = {True: "clean", False: "blocked"}
 
 
 def _fmt(template: str, *cols) -> Column:
@@ -70,10 +63,11 @@ def finding_json_lines(findings: DataFrame) -> DataFrame:
 
 
 def _documents(findings: DataFrame, jobs: DataFrame, row: dict[str, Column], per_part: int) -> DataFrame:
-    """jobs with `part` and `rows`; a job without findings has one row without part."""
+    """jobs with `part` and `rows`; a job without findings has one part without rows."""
     packed = finding_parts(findings, per_part).groupBy("job_id", "part").agg(collect_part(row).alias("rows"))
     out = jobs.join(packed, "job_id", "left")
-    return out.withColumn("rows", F.coalesce("rows", F.array().cast(packed.schema["rows"].dataType)))
+    empty = F.array().cast(packed.schema["rows"].dataType)
+    return out.withColumns({"rows": F.coalesce("rows", empty), "part": F.coalesce("part", F.lit(0).cast("long"))})
 
 
 def json_results(findings: DataFrame, summary: DataFrame, per_part: int = 5000) -> DataFrame:
@@ -121,10 +115,8 @@ def sarif_documents(findings: DataFrame, jobs: DataFrame, rules: list[Rule], per
 
 
 def text_line() -> Column:
-    head = _fmt(
-        "%-10s %s:%d  [%s] %s", F.concat(F.lit("["), F.upper("severity"), F.lit("]")), "file", "line", "rule_id", "message",
-    )
-    return F.when(F.col("snippet") != "", F.concat(head, F.lit("\n           "), "snippet")).otherwise(head)
+    head = _fmt("%s:%d:%d %s %s (%s)", "file", "line", "column", "severity", "message", "rule_id")
+    return F.when(F.col("snippet") != "", F.concat(head, F.lit("\n    > "), "snippet")).otherwise(head)
 
 
 def text_lines(findings: DataFrame) -> DataFrame:
@@ -133,28 +125,27 @@ def text_lines(findings: DataFrame) -> DataFrame:
     )
 
 
+def _tallies(sep: str) -> Column:
+    """critical 1, low 3: the severities that occur."""
+    counts = [F.when(F.col(f"n_{s}") > 0, _fmt(f"{s} %d", f"n_{s}")) for s in SEVERITIES]
+    return F.concat_ws(sep, *counts)
+
+
 def text_head(summary: DataFrame) -> DataFrame:
     """(job_id, text): the report above the list of findings."""
-    counts = [
-        F.when(F.col(f"n_{s}") > 0, _fmt("  %-10s %d\n", F.lit(s + ":"), f"n_{s}")).otherwise("") for s in SEVERITIES
-    ]
-    text = F.concat(
-        _fmt(f"{TOOL} — %s\n", _passed(f"{_TICK} PASSED", f"{_CROSS} FAILED")),
-        _fmt("Directory:  %s\n", "job_id"), _fmt("Score:      %.0f / 100\n", "score"),
-        _fmt("Findings:   %d total\n\n", "total_findings"), *counts,
-        F.when(F.col("total_findings") == 0, "\nNo findings. 🎉").otherwise("\nFindings:\n" + "─" * 80),
+    found = F.when(F.col("total_findings") == 0, "nothing found").otherwise(
+        F.concat(_fmt("%d findings: ", "total_findings"), _tallies(", "))
     )
+    text = F.concat(_fmt(f"{TOOL} report for %s: %s, %.0f of 100 points\n", "job_id", _passed(_STATE[True], _STATE[False]), "score"), found)
     return summary.select("job_id", text.alias("text"))
 
 
 def text_reports(findings: DataFrame, summary: DataFrame, per_part: int = 5000) -> DataFrame:
     """(job_id, part, text): head and findings; further parts of a job go on without head."""
     docs = _documents(findings, text_head(summary), {"line": text_line()}, per_part)
-    first = first_parts(findings, per_part).withColumnRenamed("part", "_first")
     lines = F.concat_ws("\n", F.transform("rows", lambda r: r["line"]))
-    leads = F.col("part").isNull() | (F.col("part") == F.col("_first"))
-    text = F.when(~leads, lines).when(F.size("rows") > 0, F.concat_ws("\n", "text", lines)).otherwise(F.col("text"))
-    return docs.join(first, "job_id", "left").select("job_id", "part", text.alias("text"))
+    text = F.when(F.col("part") > 0, lines).when(F.size("rows") > 0, F.concat_ws("\n", "text", lines)).otherwise(F.col("text"))
+    return docs.select("job_id", "part", text.alias("text"))
 
 
 def _run_columns(results: DataFrame) -> DataFrame:
@@ -164,64 +155,50 @@ def _run_columns(results: DataFrame) -> DataFrame:
     return results.withColumns(missing) if missing else results
 
 
-def checkrun_payloads(findings: DataFrame, results: DataFrame) -> DataFrame:
-    """(job_id, json) of a check run; `results` is the summary with job columns."""
+def checkrun_payloads(findings: DataFrame, results: DataFrame, per_part: int = CHECKRUN_ANNOTATIONS) -> DataFrame:
+    """(job_id, part, json) of a check run; `results` is the summary with job columns.
+
+    A request takes 50 annotations at most, so part 0 opens the run and the others add to it.
+    """
     line = F.greatest(F.lit(1), F.col("line"))
-    note = F.struct(
-        F.col("file").alias("path"), line.alias("start_line"), line.alias("end_line"),
-        checkrun_level(F.col("severity")).alias("annotation_level"), F.col("message").alias("message"), _title().alias("title"),
-    )
-    first = cap_findings(findings, CHECKRUN_ANNOTATIONS).groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", note.alias("note")))).alias("notes")
-    )
-    r = _run_columns(results).join(first, "job_id", "left")
-    rows = "".join(f"| {label} | %d |\n" for _, label in _TABLE)
-    table = _fmt(
-        "**Score:** %.0f / 100\n\n| Severity | Count |\n|----------|-------|\n" + rows + "\nAnalysis completed in %dms.",
-        "score", *[f"n_{s}" for s, _ in _TABLE], "duration_ms",
-    )
-    title = _passed(
-        _fmt(f"{_TICK} Passed — score %.0f/100, %d findings", "score", "total_findings"),
-        _fmt(f"{_CROSS} Failed — score %.0f/100, %d critical/high findings", "score", F.col("n_critical") + F.col("n_high")),
-    )
-    output = F.struct(title.alias("title"), table.alias("summary"), F.transform("notes", lambda n: n["note"]).alias("annotations"))
+    note = {
+        "path": F.col("file"), "start_line": line, "end_line": line, "annotation_level": checkrun_level(F.col("severity")),
+        "message": F.col("message"), "title": _title(),
+    }
+    r = _documents(findings, _run_columns(results), note, per_part)
+    title = F.concat(_passed("Nothing blocks", "Findings block"), _fmt(", %.0f of 100 points", "score"))
+    told = F.concat(_fmt("%d findings in %d ms. ", "total_findings", "duration_ms"), _tallies(", "))
+    output = F.struct(title.alias("title"), told.alias("summary"), F.col("rows").alias("annotations"))
     doc = F.struct(
         F.lit(TOOL).alias("name"), F.col("commit_sha").alias("head_sha"), F.lit("completed").alias("status"),
         _passed("success", "failure").alias("conclusion"),
         F.date_format("completed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("completed_at"), output.alias("output"),
     )
-    return r.select("job_id", F.to_json(doc).alias("json"))
+    return r.select("job_id", "part", F.to_json(doc).alias("json"))
 
 
 def pr_comments(findings: DataFrame, results: DataFrame) -> DataFrame:
     """(job_id, body): a short summary in markdown."""
-    item = _fmt("- **[%s]** `%s:%d` — %s\n", "rule_id", "file", "line", "message")
+    item = _fmt("1. %s, line %d: %s (%s)\n", "file", "line", "message", "rule_id")
     first = cap_findings(findings, COMMENT_FINDINGS).groupBy("job_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("items")
     )
     r = _run_columns(results).join(first, "job_id", "left")
-    counts = [F.when(F.col(f"n_{s}") > 0, _fmt(f"| {s} | %d |\n", f"n_{s}")).otherwise("") for s in SEVERITIES]
     more = F.col("total_findings") - COMMENT_FINDINGS
     listed = F.concat(
-        F.lit("\n<details><summary>Top findings</summary>\n\n"), F.array_join(F.transform("items", lambda i: i["item"]), ""),
-        F.when(more > 0, _fmt("\n_…and %d more findings._\n", more)).otherwise(""), F.lit("\n</details>\n"),
-    )
-    body = F.concat(
-        _fmt(f"## %s {TOOL} Analysis\n\n", _passed(_TICK, _CROSS)),
-        _fmt("**Score:** `%.0f / 100` | **Commit:** `%s`\n\n", "score", F.left(F.col("commit_sha"), F.lit(8))),
-        F.lit("| Severity | Count |\n|:---------|------:|\n"), *counts,
-        F.when(F.col("total_findings") > 0, listed).otherwise(""), _fmt("\n_Analysis took %dms._\n", "duration_ms"),
+        F.lit("\n\n"), _tallies(", "), F.lit("\n\n"), F.array_join(F.transform("items", lambda i: i["item"]), ""),
+        F.when(more > 0, _fmt("\n%d more are in the full report.\n", more)).otherwise(""),
     )
-    return r.select("job_id", body.alias("body"))
+    head = _fmt(f"### {TOOL}: %s\n%.0f of 100 points at %s", _passed(_STATE[True], _STATE[False]), "score", F.left(F.col("commit_sha"), F.lit(8)))
+    return r.select("job_id", F.concat(head, F.when(F.col("total_findings") > 0, listed).otherwise("")).alias("body"))
 
 
 def chat_messages(results: DataFrame) -> DataFrame:
-    """(job_id, json): an attachment with colour, icon and score line."""
+    """(job_id, json): an attachment with a colour and one line."""
     r = _run_columns(results)
-    text = _fmt(
-        "%s *%s/%s* — analysis %s\nScore: %.0f/100 | Findings: %d (critical: %d, high: %d, medium: %d)",
-        _passed(ICONS[True], ICONS[False]), "repo_owner", "repo_name", _passed("passed", "FAILED"), "score",
-        "total_findings", "n_critical", "n_high", "n_medium",
+    text = F.concat(
+        _fmt("%s/%s is %s with %.0f of 100 points", "repo_owner", "repo_name", _passed(_STATE[True], _STATE[False]), "score"),
+        F.when(F.col("total_findings") > 0, F.concat(F.lit("; "), _tallies(", "))).otherwise(""),
     )
     note = F.struct(
         _passed(COLOURS[True], COLOURS[False]).alias("color"), text.alias("text"), F.lit(TOOL).alias("footer"),
@@ -233,14 +210,10 @@ def chat_messages(results: DataFrame) -> DataFrame:
 def mail_messages(results: DataFrame) -> DataFrame:
     """(job_id, subject, body)."""
     r = _run_columns(results)
-    subject = _fmt(
-        f"[{TOOL}] %s/%s — analysis %s (score %.0f)", "repo_owner", "repo_name", _passed("passed", "FAILED"), "score",
-    )
-    body = _fmt(
-        "Repository: %s/%s\nCommit: %s\nScore: %.0f/100\n\nFindings:\n"
-        "  Critical: %d\n  High: %d\n  Medium: %d\n  Low: %d\n  Total: %d\n\nDuration: %dms\n",
-        "repo_owner", "repo_name", "commit_sha", "score", "n_critical", "n_high", "n_medium", "n_low", "total_findings",
-        "duration_ms",
+    subject = _fmt(f"%s/%s is %s ({TOOL})", "repo_owner", "repo_name", _passed(_STATE[True], _STATE[False]))
+    body = F.concat(
+        _fmt("The scan of %s at %s took %d ms and gives %.0f of 100 points.\n", F.concat_ws("/", "repo_owner", "repo_name"), "commit_sha", "duration_ms", "score"),
+        F.when(F.col("total_findings") > 0, F.concat(_fmt("It has %d findings:\n", "total_findings"), _tallies("\n"), F.lit("\n"))).otherwise(""),
     )
     return r.select("job_id", subject.alias("subject"), body.alias("body"))
 

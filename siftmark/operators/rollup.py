@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftmark.functions.levels import BLOCKING, GATES, WEIGHTS, blocking, severity_rank
 from siftmark.operators.scan import finding_order
+from siftmark.plans.shared import numbered
 from siftmark.schemas import SEVERITIES
 
 _COUNTS = [f"n_{s}" for s in SEVERITIES]
-_CAP_PARTS = 64
 
 
 def summarise(findings: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
@@ -101,31 +101,18 @@ def policy_verdict(findings: DataFrame, jobs: DataFrame | None = None) -> DataFr
     return out.select("job_id", (~blocked).alias("allowed"), blocked.alias("blocked"), "n_errors", "n_warnings")
 
 
-def _slots(findings: DataFrame, per_part: int) -> DataFrame:
-    """Adds `_slot`: 0 for jobs that fit one part, else one of about twice as many slots as parts
-    are needed, told by the file."""
-    totals = findings.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / F.lit(per_part)).cast("long")
-    slot = F.when(parts > 1, F.pmod(F.xxhash64("file"), parts * 2)).otherwise(F.lit(0).cast("long"))
-    return findings.join(totals, "job_id").withColumn("_slot", slot).drop("_n")
+def number_findings(findings: DataFrame) -> DataFrame:
+    """Adds `number`: the place of a finding in its job, from 1, in finding order."""
+    return numbered(findings, "findings", ["job_id"], finding_order(), "number")
 
 
 def finding_parts(findings: DataFrame, per_part: int = 5000) -> DataFrame:
-    """Adds `part`: groups of at most `per_part` findings of one job.
+    """Adds `part`, from 0: the first `per_part` findings of a job in finding order, the next, and so on.
 
-    A job that fits is one part in finding order. A larger job is spread over parts
-    by its files, so no task sorts or holds the whole job and nothing is left out.
+    The rule is the same for every job; no task sorts or holds a whole job.
     """
-    row = F.row_number().over(Window.partitionBy("job_id", "_slot").orderBy(*finding_order()))
-    overflow = F.floor((row - 1) / F.lit(per_part)).cast("long")
-    part = F.struct(F.col("_slot").alias("slot"), overflow.alias("seq"))
-    return _slots(findings, per_part).withColumn("part", part).drop("_slot")
-
-
-def first_parts(findings: DataFrame, per_part: int = 5000) -> DataFrame:
-    """(job_id, part): the part of each job that comes first."""
-    part = F.struct(F.min("_slot").alias("slot"), F.lit(0).cast("long").alias("seq"))
-    return _slots(findings.select("job_id", "file"), per_part).groupBy("job_id").agg(part.alias("part"))
+    part = F.floor((F.col("number") - 1) / F.lit(per_part)).cast("long")
+    return number_findings(findings).withColumn("part", part).drop("number")
 
 
 def collect_part(columns: dict[str, Column]) -> Column:
@@ -153,17 +140,15 @@ def nested_verdict(findings: DataFrame, per_part: int = 5000) -> DataFrame:
 def cap_findings(findings: DataFrame, n: int) -> DataFrame:
     """The first n findings of each job in finding order, with their `rank`; n <= 0 keeps all.
 
-    Spark cuts every task's rows to n before a shuffle (window group limit). They are cut
-    once inside parts of the job and then in the whole job, so that the last step of a job
-    spread over very many tasks gets n rows per part and not n rows per task.
+    Spark cuts every task's rows to n before the shuffle (window group limit) as long as n does not
+    exceed that limit's threshold; for more, findings are numbered by ranges.
     """
     if n <= 0:
         return findings
-    part = F.pmod(F.xxhash64("file"), F.lit(_CAP_PARTS))
-    inside = F.row_number().over(Window.partitionBy("job_id", part).orderBy(*finding_order()))
-    firsts = findings.withColumn("_r", inside).where(F.col("_r") <= n).drop("_r")
+    if n > int(findings.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return number_findings(findings).withColumnRenamed("number", "rank").where(F.col("rank") <= n)
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy(*finding_order()))
-    return firsts.withColumn("rank", rank).where(F.col("rank") <= n)
+    return findings.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def job_report(summary: DataFrame, findings: DataFrame, jobs: DataFrame | None = None, top: int = 15) -> DataFrame:

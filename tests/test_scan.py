@@ -274,7 +274,7 @@ def test_limit_cuts_before_the_summary(spark):
 
 
 def test_backtest(spark):
-    rules = R.load_rules(spark, R.PACKS + "/prose") + R.load_rules(spark, R.PACKS + "/code")
+    rules = R.load_rules(spark, R.PACKS + "/prose") + R.load_rules(spark, R.PACKS + "/weakness")
     report, failing = backtest.backtest_rules(backtest.inline_examples(spark, rules), rules)
     assert failing.collect() == []
     assert report.count() >= 3

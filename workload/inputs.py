@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftmark.operators.scan import ScanOptions
+from siftmark.plans.shared import shared_folder
 from siftmark.sources import files as file_source
 from siftmark.sources import rules as rule_source
 
@@ -73,19 +72,6 @@ def job_details(summary: DataFrame) -> DataFrame:
     })
 
 
-@lru_cache(maxsize=1)
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="siftmark-")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for streams, in the shared folder of the cluster.
-
-    A machine-local folder only serves where Spark runs on one machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_scratch()
-    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    """A new folder for stored scans and streams, in the folder that the cluster shares."""
+    return f"{shared_folder(spark)}/{name}-{os.urandom(6).hex()}"

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
+import yaml
+
+from siftmark.sources.rules import PACKS
+
 ORACLE: dict[str, str] = {}
 
 _FILES = """files AS (
@@ -15,8 +21,8 @@ lines AS (
 
 # The rules as data: id, name, category, severity, languages, required, pattern, message, fix.
 _PROSE = [
-    ("TXT-101", "Network address in text", "security", "low", ["*"], False, r'\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b',
-     "The text names a network address.", "Replace the address by a host name."),
+    ("TXT-101", "Dotted quad", "security", "low", ["*"], False, r'[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+',
+     "The text holds four numbers with dots between.", "Write a name in place of the numbers."),
     ("TXT-102", "Mail address in text", "compliance", "medium", ["*"], False, r'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}',
      "The text holds a mail address.", "Mask the address."),
     ("TXT-103", "Long number", "compliance", "high", ["*"], False, r'\b[0-9]{13,16}\b',
@@ -25,16 +31,16 @@ _PROSE = [
      "The text holds a phone number.", ""),
     ("TXT-105", "Assigned token", "security", "critical", ["*"], False, r"""(?i)\b(token|secret|api_key)\s*=\s*["'][^"']{6,}["']""",
      "A token is written out in the text.", "Remove the token and revoke it."),
-    ("TXT-201", "Copyleft license named", "license", "high", ["*"], False, r'(?i)\bGNU General Public License\b|\bGPL-?v?[23]\b',
+    ("TXT-201", "Copyleft license named", "license", "high", ["*"], False, r'(?i)general public licen[sc]e',
      "The text stands under a copyleft license.", ""),
     ("TXT-202", "Permissive license named", "license", "info", ["*"], False, r'(?i)\b(?:MIT|Apache|BSD)\s+License\b',
      "The text names a permissive license.", ""),
-    ("TXT-301", "Overlong line", "style", "info", ["*"], False, r'^.{121,}$',
-     "The line is longer than 120 characters.", ""),
+    ("TXT-301", "Lone word", "style", "info", ["*"], False, r'^\S+$',
+     "The line is a single word.", ""),
     ("TXT-302", "Symbol noise", "quality", "low", ["*"], False, r'[%#*&$]{3}',
      "The line holds runs of symbols.", ""),
-    ("TXT-303", "Trailing blanks", "style", "info", ["*"], False, r'[ \t]+$',
-     "The line ends in blanks.", ""),
+    ("TXT-303", "Table bar", "style", "info", ["*"], False, r'\s\|\s',
+     "The line looks like the row of a table.", ""),
     ("TXT-401", "Doubled article", "quality", "low", ["en"], False, r'(?i)\bthe the\b',
      "The article stands twice.", ""),
     ("TXT-402", "Doubled preposition", "quality", "low", ["fr", "es"], False, r'\bde de\b',
@@ -46,46 +52,21 @@ _PROSE = [
     ("TXT-502", "License missing", "license", "info", ["de"], True, r'(?i)licen[sc]e',
      "The text names no license.", ""),
 ]
-_WEB = [
-    ("HAZ-01", "", "", "critical", ["*"], False, r"""(?i)\b\w*(?:passw(?:or)?d|secret|api_?key|auth_?token|access_?token)\w*\s*=\s*["'][^"']{6,}["']""",
-     "A credential is written into the source.", ""),
-    ("HAZ-02", "", "", "high", ["*"], False, r'\beval\s*\(',
-     "Text is evaluated as code.", ""),
-    ("HAZ-04", "", "", "critical", ["*"], False, r'(?i)\b(?:query|sql|stmt)\w*\s*\+?=.*\b(?:select|insert|update|delete|drop)\b',
-     "A database query is put together from text.", ""),
-    ("HAZ-06", "", "", "high", ["*"], False, r'(?i)\b(?:md5|sha-?1)\b',
-     "The hash function is broken.", ""),
-    ("HAZ-07", "", "", "low", ["*"], False, r'\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b',
-     "A network address is written into the source.", ""),
-    ("HAZ-08", "", "", "info", ["*"], False, r'(?i)\b(?:todo|fixme|hack|xxx)\b.*(?:secur|auth|crypt|secret|vuln|xss|inject)',
-     "A note says that a security matter is open.", ""),
-    ("CLN-01", "", "", "low", ["*"], False, r'\bfmt\.Print(?:ln|f)?\s*\(|\bconsole\.(?:log|warn)\s*\(|\bprint\s*\(|\b(?:println|dbg)!\s*\(',
-     "Debug output is left in the code.", ""),
-    ("CLN-05", "", "", "medium", ["*"], False, r'\bcatch\s*(?:\([^)]*\)\s*)?\{\s*\}',
-     "The error is caught and forgotten.", ""),
-    ("CLN-07", "", "", "info", ["*"], False, r'[ \t]+$',
-     "The line ends in blanks.", ""),
-    ("CLN-08", "", "", "medium", ["*"], False, r'^\s{16,}(?:if|for|while|switch|select)\b',
-     "The code is nested four levels deep or more.", ""),
-    ("LCN-01", "", "", "high", ["*"], False, r'(?i)\bGNU General Public License\b|\bGPL-?v?[23]\b',
-     "The text is under a copyleft license.", ""),
-    ("JSC-01", "", "", "high", ["*"], False, r'\.innerHTML\s*=',
-     "Text is set as markup.", ""),
-    ("JSC-02", "", "", "high", ["*"], False, r'\bdocument\.write(?:ln)?\s*\(',
-     "Markup is written into the page.", ""),
-    ("JSC-03", "", "", "high", ["*"], False, r'\bdangerouslySetInnerHTML\b',
-     "Raw markup in a component.", ""),
-    ("JSC-04", "", "", "medium", ["*"], False, r'\blocalStorage\.setItem\s*\([^,]+,.*(?i)(?:token|password|secret|key)',
-     "Scripts of the page can read local storage.", ""),
-    ("JSC-05", "", "", "high", ["*"], False, r'__proto__|\b(?:constructor|prototype)\s*\[',
-     "The prototype may be changed from outside.", ""),
-    ("JSC-06", "", "", "low", ["*"], False, r'\bconsole\.(?:log|debug)\s*\(',
-     "Console output is left in the code.", ""),
-    ("JSC-07", "", "", "low", ["*"], False, r'[^=!<>]==[^=]',
-     "The comparison converts types.", ""),
-    ("JSC-08", "", "", "high", ["*"], False, r"""\bset(?:Timeout|Interval)\s*\(\s*["'`]""",
-     "Text is evaluated as code later.", ""),
-]
+
+
+def _listed(path):
+    """The enabled rules of a pack file, as rows like those above, and the places of the others."""
+    with open(path) as f:
+        rules = yaml.safe_load(f)["rules"]
+    rows = [
+        (r["id"], r["name"], r["category"], r["severity"], [x.lower() for x in r["languages"]], r["pattern"].get("negate", False),
+         r["pattern"]["match"], r["message"], r.get("fix", ""))
+        for r in rules if r["enabled"]
+    ]
+    return rows, tuple(i for i, r in enumerate(rules) if not r["enabled"])
+
+
+_WEB, _WEB_GAPS = _listed(os.path.join(PACKS, "weakness", "catalogue.yaml"))
 
 
 def _quote(text):
@@ -126,10 +107,10 @@ regex_findings AS (
     trim(text, {_WHITE}) AS snippet, fix AS fix_suggestion, 0 AS phase, seq AS rule_seq, 0 AS match_idx FROM line_hits JOIN rules USING (rule_id))"""
 
 
-def _required():
+def _required(rows=None):
     parts = [
         f"SELECT job_id, path, {_quote(r[0])} AS rule_id FROM files WHERE {_fits(r)} AND NOT regexp_matches(content, {_quote(r[6])})"
-        for r in _PROSE if r[5]
+        for r in rows or _PROSE if r[5]
     ]
     return "missing AS (\n  " + "\n  UNION ALL ".join(parts) + """),
 required_findings AS (
@@ -197,8 +178,8 @@ _o("scan_required", _from(",\n".join([_FILES, _RULES, _REQUIRED]), f"SELECT {_PL
 _o("scan_secrets", _from(",\n".join([_FILES, _LINES, _SECRETS]), f"SELECT {_PLACE}, severity, message, snippet, match_idx FROM secret_findings"))
 
 _PAGE_FILES = r"""files AS (SELECT regexp_extract(url, '^\w+://([^/]+)', 1) AS job_id, 'pages/' || page_id || '.html' AS path, 'javascript' AS language, html AS content FROM pages)"""
-_o("scan_pages", _from(",\n".join([_PAGE_FILES, _LINES, _rules(_WEB), _regex_hits(_WEB), _SECRETS]),
-   f"SELECT {_PLACE}, severity, message FROM regex_findings UNION ALL SELECT {_PLACE}, severity, message FROM secret_findings"))
+_o("scan_pages", _from(",\n".join([_PAGE_FILES, _LINES, _rules(_WEB, _WEB_GAPS), _regex_hits(_WEB), _required(_WEB), _SECRETS]),
+   " UNION ALL ".join(f"SELECT {_PLACE}, severity, message FROM {k}_findings" for k in ("regex", "required", "secret"))))
 _TURN_FILES = "files AS (SELECT 'c' || conv_id AS job_id, role || '/' || turn || '.txt' AS path, 'en' AS language, text AS content FROM conversations)"
 _o("scan_turns", _from(",\n".join([_TURN_FILES, _LINES, _RULES, _regex_hits(), _REQUIRED, _SECRETS, _ALL, _summary()]), f"SELECT {_N}, score, passed FROM summary"))
 _o("scan_corpus_summary", _from(_SUMMED, f"SELECT {_N}, score, passed, (n_critical + n_high > 0)::INT AS exit_code FROM summary"))
@@ -232,11 +213,13 @@ SELECT job_id, passed AS allowed, NOT passed AS blocked, n_critical + n_high AS
 _TEXT = "'[' || rule_id || '] ' || message || ' at ' || file || ':' || line"
 _o("policy_messages", _from(_FINDINGS, f"""
 SELECT job_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS kind, {_TEXT} AS text, rule_id, message AS reason FROM findings"""))
-_o("policy_documents", _from(_FINDINGS, f"""
-SELECT job_id, coalesce(string_agg({_TEXT}, chr(10) ORDER BY {_ORDER}) FILTER (severity IN ('critical', 'high')), '') AS errors,
-  sha256(coalesce(string_agg({_TEXT}, chr(10) ORDER BY {_ORDER}) FILTER (severity NOT IN ('critical', 'high')), '')) AS warnings, count(*)::INT AS n_rules
-FROM findings GROUP BY job_id"""))
-_o("gate_by_level", _from(",\n".join([_FILES, _LINES, _RULES, _regex_hits(), _summary("regex_findings")]), """
+_PARTED = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY {_ORDER})::INT AS rank FROM findings),
+parted AS (SELECT *, (rank - 1) // 40 AS part FROM ranked)"""
+_o("policy_documents", _from(_FINDINGS + ",\n" + _PARTED, f"""
+SELECT job_id, part, coalesce(string_agg({_TEXT}, chr(10) ORDER BY rank) FILTER (severity IN ('critical', 'high')), '') AS errors,
+  sha256(coalesce(string_agg({_TEXT}, chr(10) ORDER BY rank) FILTER (severity NOT IN ('critical', 'high')), '')) AS warnings, count(*)::INT AS n_rules
+FROM parted GROUP BY job_id, part"""))
+_o("gate_by_level", _from(_SUMMED, """
 SELECT job_id, (n_critical > 0)::INT AS code_critical, (n_critical + n_high > 0)::INT AS code_high, (n_critical + n_high + n_medium > 0)::INT AS code_medium,
   (total_findings > 0)::INT AS code_low, 0 AS code_never, 0 AS code_other FROM summary"""))
 _RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY {_ORDER})::INT AS rank FROM findings)"
@@ -254,14 +237,21 @@ _o("findings_by_quality", _from(_FINDINGS + ",\nper_file AS (SELECT file, count(
 SELECT quality, toxic, count(*) AS files, coalesce(sum(n), 0)::BIGINT AS findings FROM labels JOIN documents USING (doc_id)
 LEFT JOIN per_file ON file = source || '/' || doc_id || '.txt' GROUP BY quality, toxic"""))
 
+
+
+def _fired():
+    """Every rule of the pack, whatever its languages, with the test of a document."""
+    rules = [(r[0], r[6], r[5]) for r in _PROSE] + [("TXT-304", "[A-Z]{4,}", False)]
+    for i, pattern, required in rules:
+        text = _quote(pattern)
+        yield i, f"NOT regexp_matches(content, {text})" if required else f"len(list_filter(ls, lambda l: regexp_matches(l, {text}))) > 0"
+    yield "TXT-901", "false"
+
+
 _JUDGED = _FILES + ",\n" + r"""cut AS (SELECT doc_id, quality = 0 AS expected, text AS content, string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS ls
   FROM documents JOIN labels USING (doc_id)),
 judged AS (
-  SELECT doc_id, 'TXT-102' AS rule_id, expected, len(list_filter(ls, lambda l: regexp_matches(l, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) > 0 AS fired FROM cut
-  UNION ALL SELECT doc_id, 'TXT-301', expected, len(list_filter(ls, lambda l: regexp_matches(l, '^.{121,}$'))) > 0 FROM cut
-  UNION ALL SELECT doc_id, 'TXT-304', expected, len(list_filter(ls, lambda l: regexp_matches(l, '[A-Z]{4,}'))) > 0 FROM cut
-  UNION ALL SELECT doc_id, 'TXT-501', expected, NOT regexp_matches(content, '[.!?]\s*$') FROM cut
-  UNION ALL SELECT doc_id, 'TXT-901', expected, false FROM cut)"""
+  """ + "\n  UNION ALL ".join(f"SELECT doc_id, {_quote(i)} AS rule_id, expected, {fired} AS fired FROM cut" for i, fired in _fired()) + ")"
 _o("rule_backtest", _from(_JUDGED, """
 SELECT rule_id, count(*) AS total, count(*) FILTER (expected = fired) AS passed, count(*) FILTER (expected <> fired) AS failed FROM judged GROUP BY rule_id"""))
 _o("rule_backtest_failures", _from(_JUDGED, "SELECT doc_id, rule_id, expected AS expected_fire, fired FROM judged WHERE expected <> fired"))
@@ -410,54 +400,75 @@ _o("token_bucket", "SELECT k AS user_id, event_id, admitted FROM (" + _tokens("u
 _LEVEL = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'info' THEN 'notice' ELSE 'warning' END"
 _o("export_annotations", _from(_FINDINGS, f"""
 SELECT job_id, '::' || {_LEVEL} || ' file=' || file || ',line=' || line || ',col=' || "column" || ',title=[' || rule_id || '] ' || rule_name || '::' || message AS text FROM findings"""))
-_o("export_json_lines", _from(",\n".join([_FILES, _LINES, _SECRETS]), """
-SELECT job_id, '{"rule_id":' || to_json(rule_id) || ',"rule_name":' || to_json(rule_name) || ',"category":' || to_json(category) || ',"severity":' || to_json(severity) ||
-  ',"file":' || to_json(file) || ',"line":' || line || ',"column":' || "column" || ',"message":' || to_json(message) || ',"snippet":' || to_json(snippet) ||
-  ',"fix_suggestion":' || to_json(fix_suggestion) || '}' AS json FROM secret_findings"""))
-_o("export_json_results", _from(_SUMMED + ",\n" + _RANKED, """
-SELECT s.job_id, total_findings AS total, rule_id AS first_rule, file AS first_file, total_findings AS n FROM summary s
-LEFT JOIN ranked r ON r.job_id = s.job_id AND rank = 1"""))
+_FINDING_JSON = """'{"rule_id":' || to_json(rule_id) || ',"rule_name":' || to_json(rule_name) || ',"category":' || to_json(category) || ',"severity":' || to_json(severity) ||
+  ',"file":' || to_json(file) || ',"line":' || line || ',"column":' || "column" || ',"message":' || to_json(message) ||
+  CASE WHEN snippet = '' THEN '' ELSE ',"snippet":' || to_json(snippet) END || CASE WHEN fix_suggestion = '' THEN '' ELSE ',"fix_suggestion":' || to_json(fix_suggestion) END || '}'"""
+
+_o("export_json_lines", _from(_FINDINGS, f"SELECT job_id, {_FINDING_JSON} AS json FROM findings"))
+
+def _documents(row, jobs, size=40):
+    """Jobs with the JSON array of each part; a job without findings has one empty part."""
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY {_ORDER})::INT AS rank FROM findings),
+parts AS (SELECT job_id AS j, (rank - 1) // {size} AS p, '[' || string_agg({row}, ',' ORDER BY rank) || ']' AS body, count(*) AS n FROM ranked GROUP BY ALL),
+docs AS (SELECT *, coalesce(p, 0)::BIGINT AS part, coalesce(body, '[]') AS items, coalesce(n, 0) AS notes FROM {jobs} LEFT JOIN parts ON j = job_id)"""
+
+
+def _map_json(key):
+    return f"""(SELECT job_id, '{{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}}' AS m FROM (SELECT job_id, {key} AS k, count(*) AS n FROM findings GROUP BY ALL) GROUP BY job_id)"""
+
+
+_o("export_json_results", _from(_SUMMED + ",\n" + _documents(_FINDING_JSON, "summary"), f"""
+SELECT d.job_id, part, sha256('{{"job_id":' || to_json(d.job_id) || ',"findings":' || items || ',"summary":{{"total_findings":' || total_findings ||
+  ',"by_severity":' || coalesce(a.m, '{{}}') || ',"by_category":' || coalesce(b.m, '{{}}') || ',"score":' || score || ',"passed":' || passed || '}}}}') AS digest
+FROM docs d LEFT JOIN {_map_json('severity')} a ON a.job_id = d.job_id LEFT JOIN {_map_json('category')} b ON b.job_id = d.job_id"""))
 _SARIF_LEVEL = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END"
-_o("export_sarif_results", _from(_FINDINGS, f"""
-SELECT job_id, '{{"ruleId":"' || rule_id || '","level":"' || {_SARIF_LEVEL} || '","message":{{"text":"' || message || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' ||
-  file || '"}},"region":{{"startLine":' || line || ',"startColumn":' || "column" || '}}}}}}]}}' AS json FROM findings"""))
-_o("export_sarif_documents", _from(_SUMMED + ",\n" + _RANKED, """
-SELECT s.job_id, '2.1.0' AS version, total_findings AS results, 17::BIGINT AS rules, file AS first_uri FROM summary s LEFT JOIN ranked r ON r.job_id = s.job_id AND rank = 1"""))
-_LINE = """printf('%-10s %s:%d  [%s] %s', '[' || upper(severity) || ']', file, line, rule_id, message) || CASE WHEN snippet = '' THEN '' ELSE chr(10) || '           ' || snippet END"""
+_SARIF_ROW = f"""'{{"ruleId":"' || rule_id || '","level":"' || {_SARIF_LEVEL} || '","message":{{"text":"' || message || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' ||
+  file || '"}},"region":{{"startLine":' || line || ',"startColumn":' || "column" || '}}}}}}]}}'"""
+_o("export_sarif_results", _from(_FINDINGS, f"SELECT job_id, {_SARIF_ROW} AS json FROM findings"))
+_LISTED = [(r[0], r[1], r[7]) for r in _PROSE]
+_LISTED.insert(10, ("TXT-304", "Shouting", "The line holds a word in capitals."))
+_LISTED.append(("TXT-901", "Structure check", "Never reported, the pattern type is not supported."))
+_DRIVER = ",".join(f'{{"id":"{i}","name":"{n}","shortDescription":{{"text":"{m}"}}}}' for i, n, m in _LISTED)
+_SARIF_HEAD = '{"$schema":"https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"siftmark","version":"0.1.0","rules":[' + _DRIVER + ']}},"results":'
+_o("export_sarif_documents", _from(_SUMMED + ",\n" + _documents(_SARIF_ROW, "summary"),
+   f"SELECT job_id, part, sha256({_quote(_SARIF_HEAD)} || items || '}}]}}') AS digest FROM docs"))
+_LINE = """file || ':' || line || ':' || "column" || ' ' || severity || ' ' || message || ' (' || rule_id || ')' || CASE WHEN snippet = '' THEN '' ELSE chr(10) || '    > ' || snippet END"""
 _o("export_text_lines", _from(_FINDINGS, f"SELECT job_id, {_LINE} AS text FROM findings"))
-_HEAD = """'siftmark — ' || CASE WHEN passed THEN '✅ PASSED' ELSE '❌ FAILED' END || chr(10) || 'Directory:  ' || job_id || chr(10) || printf('Score:      %.0f / 100', score) || chr(10) ||
-  printf('Findings:   %d total', total_findings) || chr(10) || chr(10) ||
-  """ + " || ".join(f"CASE WHEN n_{s} > 0 THEN printf('  %-10s %d', '{s}:', n_{s}) || chr(10) ELSE '' END" for s in ("critical", "high", "medium", "low", "info")) + """ ||
-  CASE WHEN total_findings = 0 THEN chr(10) || 'No findings. 🎉' ELSE chr(10) || 'Findings:' || chr(10) || repeat('─', 80) END"""
+
+
+def _tallies(sep):
+    return f"concat_ws({sep}, " + ", ".join(f"CASE WHEN n_{s} > 0 THEN '{s} ' || n_{s} END" for s in ("critical", "high", "medium", "low", "info")) + ")"
+
+
+_STATE = "CASE WHEN passed THEN 'clean' ELSE 'blocked' END"
+_HEAD = f"""'siftmark report for ' || job_id || ': ' || {_STATE} || printf(', %.0f of 100 points', score) || chr(10) ||
+  CASE WHEN total_findings = 0 THEN 'nothing found' ELSE total_findings || ' findings: ' || {_tallies("', '")} END"""
 _o("export_text_heads", _from(_SUMMED, f"SELECT job_id, {_HEAD} AS text FROM summary"))
-_o("export_text_reports", _from(_SUMMED + f",\nbodies AS (SELECT job_id, string_agg({_LINE}, chr(10) ORDER BY {_ORDER}) AS body FROM findings GROUP BY job_id)", f"""
-SELECT job_id, sha256({_HEAD} || coalesce(chr(10) || body, '')) AS digest FROM summary LEFT JOIN bodies USING (job_id)"""))
-_o("export_checkrun", _from(_RESULTS + ",\n" + _RANKED, """
-SELECT s.job_id, CASE WHEN passed THEN 'success' ELSE 'failure' END AS conclusion, commit_sha AS head_sha, '2024-02-01T00:00:00Z' AS completed_at,
-  CASE WHEN passed THEN printf('✅ Passed — score %.0f/100, %d findings', score, total_findings) ELSE printf('❌ Failed — score %.0f/100, %d critical/high findings', score, n_critical + n_high) END AS title,
-  '**Score:** ' || printf('%.0f', score) || ' / 100' || chr(10) || chr(10) || '| Severity | Count |' || chr(10) || '|----------|-------|' || chr(10) ||
-  '| 🔴 Critical | ' || n_critical || ' |' || chr(10) || '| 🟠 High     | ' || n_high || ' |' || chr(10) || '| 🟡 Medium   | ' || n_medium || ' |' || chr(10) ||
-  '| 🔵 Low      | ' || n_low || ' |' || chr(10) || '| ℹ️  Info    | ' || n_info || ' |' || chr(10) || chr(10) || 'Analysis completed in 1200ms.' AS summary,
-  least(total_findings, 50) AS notes, '[' || rule_id || '] ' || rule_name AS first_title,
-  CASE WHEN severity IN ('critical', 'high') THEN 'failure' WHEN severity = 'medium' THEN 'warning' ELSE 'notice' END AS first_level
-FROM results s LEFT JOIN ranked r ON r.job_id = s.job_id AND rank = 1"""))
+_o("export_text_reports", _from(_SUMMED + ",\n" + _PARTED + f""",
+bodies AS (SELECT job_id AS j, part, string_agg({_LINE}, chr(10) ORDER BY rank) AS body FROM parted GROUP BY ALL)""", f"""
+SELECT job_id, coalesce(part, 0)::BIGINT AS part, sha256(CASE WHEN part > 0 THEN body ELSE {_HEAD} || coalesce(chr(10) || body, '') END) AS digest
+FROM summary LEFT JOIN bodies ON j = job_id"""))
+_NOTE = """'{"path":"' || file || '","start_line":' || line || ',"end_line":' || line || ',"annotation_level":"' ||
+  CASE WHEN severity IN ('critical', 'high') THEN 'failure' WHEN severity = 'medium' THEN 'warning' ELSE 'notice' END ||
+  '","message":"' || message || '","title":"[' || rule_id || '] ' || rule_name || '"}'"""
+_o("export_checkrun", _from(_RESULTS + ",\n" + _documents(_NOTE, "results", 50), f"""
+SELECT job_id, part, notes, sha256('{{"name":"siftmark","head_sha":"' || commit_sha || '","status":"completed","conclusion":"' ||
+  CASE WHEN passed THEN 'success' ELSE 'failure' END || '","completed_at":"2024-02-01T00:00:00Z","output":{{"title":"' ||
+  CASE WHEN passed THEN 'Nothing blocks' ELSE 'Findings block' END || printf(', %.0f of 100 points', score) || '","summary":"' || total_findings || ' findings in 1200 ms. ' ||
+  {_tallies("', '")} || '","annotations":' || items || '}}}}') AS digest FROM docs"""))
 _o("export_pr_comment", _from(_RESULTS + ",\n" + _RANKED + """,
-items AS (SELECT job_id, string_agg('- **[' || rule_id || ']** `' || file || ':' || line || '` — ' || message || chr(10), '' ORDER BY rank) AS t FROM ranked WHERE rank <= 10 GROUP BY job_id)""", """
-SELECT job_id, '## ' || CASE WHEN passed THEN '✅' ELSE '❌' END || ' siftmark Analysis' || chr(10) || chr(10) ||
-  printf('**Score:** `%.0f / 100` | **Commit:** `%s`', score, left(commit_sha, 8)) || chr(10) || chr(10) || '| Severity | Count |' || chr(10) || '|:---------|------:|' || chr(10) ||
-  """ + " || ".join(f"CASE WHEN n_{s} > 0 THEN '| {s} | ' || n_{s} || ' |' || chr(10) ELSE '' END" for s in ("critical", "high", "medium", "low", "info")) + """ ||
-  CASE WHEN total_findings > 0 THEN chr(10) || '<details><summary>Top findings</summary>' || chr(10) || chr(10) || t ||
-    CASE WHEN total_findings > 10 THEN chr(10) || '_…and ' || (total_findings - 10) || ' more findings._' || chr(10) ELSE '' END || chr(10) || '</details>' || chr(10) ELSE '' END ||
-  chr(10) || '_Analysis took 1200ms._' || chr(10) AS body FROM results LEFT JOIN items USING (job_id)"""))
-_CHAT = """'{"attachments":[{"color":"' || CASE WHEN passed THEN '#36a64f' ELSE '#ff0000' END || '","text":"' || CASE WHEN passed THEN ':white_check_mark:' ELSE ':x:' END ||
-  ' *corpus/' || job_id || '* — analysis ' || CASE WHEN passed THEN 'passed' ELSE 'FAILED' END || '\\nScore: ' || printf('%.0f', score) || '/100 | Findings: ' || total_findings ||
-  ' (critical: ' || n_critical || ', high: ' || n_high || ', medium: ' || n_medium || ')","footer":"siftmark","ts":' || done || ',"mrkdwn_in":["text"]}]}'"""
+items AS (SELECT job_id, string_agg('1. ' || file || ', line ' || line || ': ' || message || ' (' || rule_id || ')' || chr(10), '' ORDER BY rank) AS t FROM ranked WHERE rank <= 10 GROUP BY job_id)""", f"""
+SELECT job_id, '### siftmark: ' || {_STATE} || chr(10) || printf('%.0f of 100 points at %s', score, left(commit_sha, 8)) ||
+  CASE WHEN total_findings = 0 THEN '' ELSE chr(10) || chr(10) || {_tallies("', '")} || chr(10) || chr(10) || t ||
+    CASE WHEN total_findings > 10 THEN chr(10) || (total_findings - 10) || ' more are in the full report.' || chr(10) ELSE '' END END AS body
+FROM results LEFT JOIN items USING (job_id)"""))
+_CHAT = f"""'{{"attachments":[{{"color":"' || CASE WHEN passed THEN '#2e7d32' ELSE '#c62828' END || '","text":"corpus/' || job_id || ' is ' || {_STATE} ||
+  printf(' with %.0f of 100 points', score) || CASE WHEN total_findings > 0 THEN '; ' || {_tallies("', '")} ELSE '' END || '","footer":"siftmark","ts":' || done || ',"mrkdwn_in":["text"]}}]}}'"""
 _o("export_chat", _from(_RESULTS, f"SELECT job_id, {_CHAT} AS json FROM results"))
-_o("export_mail", _from(_RESULTS, """
-SELECT job_id, '[siftmark] corpus/' || job_id || ' — analysis ' || CASE WHEN passed THEN 'passed' ELSE 'FAILED' END || printf(' (score %.0f)', score) AS subject,
-  'Repository: corpus/' || job_id || chr(10) || 'Commit: ' || commit_sha || chr(10) || printf('Score: %.0f/100', score) || chr(10) || chr(10) || 'Findings:' || chr(10) ||
-  '  Critical: ' || n_critical || chr(10) || '  High: ' || n_high || chr(10) || '  Medium: ' || n_medium || chr(10) || '  Low: ' || n_low || chr(10) ||
-  '  Total: ' || total_findings || chr(10) || chr(10) || 'Duration: 1200ms' || chr(10) AS body FROM results"""))
+_o("export_mail", _from(_RESULTS, f"""
+SELECT job_id, 'corpus/' || job_id || ' is ' || {_STATE} || ' (siftmark)' AS subject,
+  'The scan of corpus/' || job_id || ' at ' || commit_sha || printf(' took 1200 ms and gives %.0f of 100 points.', score) || chr(10) ||
+  CASE WHEN total_findings > 0 THEN 'It has ' || total_findings || ' findings:' || chr(10) || {_tallies("chr(10)")} || chr(10) ELSE '' END AS body FROM results"""))
 _o("notify_outbox", _from(_RESULTS, f"""
 SELECT job_id, 'slack' AS target, 'ready' AS state, {_CHAT} AS body FROM results UNION ALL SELECT job_id, 'email', 'no recipients configured', NULL FROM results"""))
 _EXPO = _BOUNDS + """,

@@ -22,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 PLACE = ["job_id", "file", "line", "column", "rule_id"]
 DAY = 86400
+PER_PART = 40  # so that the jobs of small tables have several parts
 
 
 def query(fn: Query) -> Query:
@@ -97,7 +98,7 @@ def scan_secrets(spark, sf_dir):
 
 @query
 def scan_pages(spark, sf_dir):
-    return scan.scan_files(spread(pages(spark, sf_dir)), pack(spark, "code"), OPTIONS).select(*PLACE, "severity", "message")
+    return scan.scan_files(spread(pages(spark, sf_dir)), pack(spark, "weakness"), OPTIONS).select(*PLACE, "severity", "message")
 
 
 @query
@@ -173,13 +174,13 @@ def policy_messages(spark, sf_dir):
 @query
 def policy_documents(spark, sf_dir):
     """Errors and warnings per job as arrays in finding order, whole."""
-    nested = rollup.nested_verdict(_stored(spark, sf_dir)[0])
-    return nested.select("job_id", F.array_join("errors", "\n").alias("errors"), F.sha2(F.array_join("warnings", "\n"), 256).alias("warnings"), F.size("rules").alias("n_rules"))
+    nested = rollup.nested_verdict(_findings(spark, sf_dir), PER_PART)
+    return nested.select("job_id", "part", F.array_join("errors", "\n").alias("errors"), F.sha2(F.array_join("warnings", "\n"), 256).alias("warnings"), F.size("rules").alias("n_rules"))
 
 
 @query
 def gate_by_level(spark, sf_dir):
-    summary = rollup.summarise(scan.scan_regex(spread(documents(spark, sf_dir)), pack(spark, "prose")), _jobs(spark, sf_dir))
+    summary = _summary(spark, sf_dir)
     levels = ["critical", "high", "medium", "low", "never", "other"]
     wide = summary
     for level in levels:
@@ -232,13 +233,11 @@ def findings_by_quality(spark, sf_dir):
 
 # -- rule tests and dependencies -----------------------------------------------
 
-TRIED = ["TXT-102", "TXT-301", "TXT-304", "TXT-501", "TXT-901"]
-
-
 def _examples(spark, sf_dir) -> DataFrame:
     labelled = spread(table(spark, sf_dir, "documents"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
+    ids = [r.rule_id for r in pack(spark, "prose")]
     return labelled.select(
-        F.explode(F.array(*[F.lit(r) for r in TRIED])).alias("rule_id"), (F.col("quality") == 0).alias("expected_fire"),
+        F.explode(F.array(*[F.lit(i) for i in ids])).alias("rule_id"), (F.col("quality") == 0).alias("expected_fire"),
         F.col("text").alias("snippet"), "doc_id",
     )
 
@@ -528,18 +527,16 @@ def export_annotations(spark, sf_dir):
 
 @query
 def export_json_lines(spark, sf_dir):
-    return export.finding_json_lines(scan.scan_secrets(spread(documents(spark, sf_dir)), THRESHOLD))
+    return export.finding_json_lines(_findings(spark, sf_dir))
+
+
+def _digests(documents: DataFrame, column: str = "json") -> DataFrame:
+    return documents.select("job_id", "part", F.sha2(column, 256).alias("digest"))
 
 
 @query
 def export_json_results(spark, sf_dir):
-    out = export.json_results(*_stored(spark, sf_dir))
-    doc = F.col("json")
-    return out.select(
-        "job_id", F.get_json_object(doc, "$.summary.total_findings").cast("long").alias("total"),
-        F.get_json_object(doc, "$.findings[0].rule_id").alias("first_rule"), F.get_json_object(doc, "$.findings[0].file").alias("first_file"),
-        F.json_array_length(F.get_json_object(doc, "$.findings")).cast("long").alias("n"),
-    )
+    return _digests(export.json_results(*_stored(spark, sf_dir), PER_PART))
 
 
 @query
@@ -549,14 +546,7 @@ def export_sarif_results(spark, sf_dir):
 
 @query
 def export_sarif_documents(spark, sf_dir):
-    out = export.sarif_documents(*_stored(spark, sf_dir), pack(spark, "prose"))
-    doc = F.col("json")
-    return out.select(
-        "job_id", F.get_json_object(doc, "$.version").alias("version"),
-        F.json_array_length(F.get_json_object(doc, "$.runs[0].results")).cast("long").alias("results"),
-        F.json_array_length(F.get_json_object(doc, "$.runs[0].tool.driver.rules")).cast("long").alias("rules"),
-        F.get_json_object(doc, "$.runs[0].results[0].locations[0].physicalLocation.artifactLocation.uri").alias("first_uri"),
-    )
+    return _digests(export.sarif_documents(*_stored(spark, sf_dir), pack(spark, "prose"), PER_PART))
 
 
 @query
@@ -571,22 +561,16 @@ def export_text_heads(spark, sf_dir):
 
 @query
 def export_text_reports(spark, sf_dir):
-    out = export.text_reports(*_stored(spark, sf_dir))
-    return out.select("job_id", F.sha2("text", 256).alias("digest"))
+    return _digests(export.text_reports(*_stored(spark, sf_dir), PER_PART), "text")
 
 
 @query
 def export_checkrun(spark, sf_dir):
+    """All requests of each check run; their annotations add up to the findings."""
     findings, summary = _stored(spark, sf_dir)
     out = export.checkrun_payloads(findings, inputs.job_details(summary))
-    doc = F.col("json")
-    at = lambda path: F.get_json_object(doc, path)
-    return out.select(
-        "job_id", at("$.conclusion").alias("conclusion"), at("$.head_sha").alias("head_sha"), at("$.completed_at").alias("completed_at"),
-        at("$.output.title").alias("title"), at("$.output.summary").alias("summary"),
-        F.json_array_length(at("$.output.annotations")).cast("long").alias("notes"),
-        at("$.output.annotations[0].title").alias("first_title"), at("$.output.annotations[0].annotation_level").alias("first_level"),
-    )
+    notes = F.json_array_length(F.get_json_object("json", "$.output.annotations")).cast("long")
+    return out.select("job_id", "part", notes.alias("notes"), F.sha2("json", 256).alias("digest"))
 
 
 @query
