@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftmark.functions.signing import hmac_hex, signature_valid, stable_id, webhook_signature
+from siftmark.functions.signing import hmac_hex, signature_valid, signing_key, stable_id, webhook_signature
 
 AUDIT_COLUMNS = ["id", "job_id", "event_type", "actor", "payload", "signature", "created_at"]
 DEFAULT_LIMIT = 50  # fixed value
@@ -14,7 +14,7 @@ def _is_string(name: str) -> Column:
     return F.schema_of_variant(F.try_variant_get("_doc", f"$.{name}", "variant")) == "STRING"
 
 
-def audit_entries(events: DataFrame, secret: str, sign_columns: tuple[str, ...] = ("payload",)) -> DataFrame:
+def audit_entries(events: DataFrame, secret: DataFrame | str, sign_columns: tuple[str, ...] = ("payload",)) -> DataFrame:
     """Entries from events with a JSON `payload` and `created_at`.
 
     job_id, event_type and actor are lifted from the payload, '' unless they are
@@ -31,16 +31,18 @@ def audit_entries(events: DataFrame, secret: str, sign_columns: tuple[str, ...]
         out = events.select("*", parsed).withColumns({n: F.coalesce(c, F.lit("")) for n, c in lifted.items()}).drop("_doc")
     if "id" not in events.columns:
         out = out.withColumn("id", stable_id(F.col("payload"), F.col("created_at")))
-    signature = hmac_hex(F.concat_ws("\0", *sign_columns) if len(sign_columns) > 1 else F.col(sign_columns[0]), secret)
+    # several columns are signed as JSON with their nulls, so that no two rows look alike
+    signed = F.to_json(F.struct(*sign_columns), {"ignoreNullFields": "false"}) if len(sign_columns) > 1 else F.col(sign_columns[0])
+    signature = hmac_hex(signed, signing_key(events.sparkSession, secret))
     if "signature" in events.columns:
         signature = F.coalesce(F.nullif(F.col("signature"), F.lit("")), signature)
     return out.withColumn("signature", signature).select(AUDIT_COLUMNS)
 
 
-def append_audit(events: DataFrame, secret: str, path: str) -> None:
-    """Sign and append, one folder per day of created_at."""
+def append_audit(events: DataFrame, secret: DataFrame | str, path: str, batch: str) -> None:
+    """Sign and append, one folder per batch and day of created_at; a batch that runs again replaces its folder."""
     entries = audit_entries(events, secret).withColumn("dt", F.to_date("created_at"))
-    entries.write.mode("append").partitionBy("dt").parquet(path)
+    entries.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/batch={batch}")
 
 
 def filter_audit(
@@ -69,9 +71,10 @@ def query_audit(entries: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0,
     return out.limit(limit) if limit > 0 else out
 
 
-def verify_audit(entries: DataFrame, secret: str, ids: DataFrame | None = None) -> DataFrame:
+def verify_audit(entries: DataFrame, secret: DataFrame | str, ids: DataFrame | None = None) -> DataFrame:
     """(id, valid) for every entry, or for the asked ids; an unknown id is not valid."""
-    checked = entries.select("id", signature_valid(F.col("payload"), F.col("signature"), secret).alias("valid"))
+    key = signing_key(entries.sparkSession, secret)
+    checked = entries.select("id", signature_valid(F.col("payload"), F.col("signature"), key).alias("valid"))
     if ids is None:
         return checked
     asked = ids.select("id").distinct()
@@ -82,9 +85,9 @@ def verification_counts(verified: DataFrame) -> DataFrame:
     return verified.agg(F.count(F.lit(1)).alias("verified"), F.count_if(~F.col("valid")).alias("failed"))
 
 
-def verify_webhooks(raw: DataFrame, secret: str) -> DataFrame:
+def verify_webhooks(raw: DataFrame, secret: DataFrame | str) -> DataFrame:
     """Deliveries with `valid`, over the raw body and the signature header."""
-    expected = webhook_signature(F.col("body").cast("binary"), secret)
+    expected = webhook_signature(F.col("body").cast("binary"), signing_key(raw.sparkSession, secret))
     return raw.withColumn("valid", F.coalesce(expected == F.col("signature"), F.lit(False)))
 
 

@@ -1,7 +1,7 @@
 """Jobs whose outcome depends on the events of a key in order.
 
-Result reuse and throttling carry a state from one event of a key to the next. To
-keep a hot key off a single task, every key is cut into time slices:
+Result reuse carries a state from one event of a key to the next. To keep a hot key off a
+single task, every key is cut into time slices:
 
 1. each (key, slice) is reduced to a short description of what it does to any
    incoming state, in parallel;
@@ -10,13 +10,12 @@ keep a hot key off a single task, every key is cut into time slices:
 3. each (key, slice) is evaluated from its own start state, in parallel.
 
 All three read sorted rows in Arrow batches and keep at most `_PART` events. Times
-and tokens are whole numbers, so the outcome does not depend on the cutting.
+are whole numbers, so the outcome does not depend on the cutting.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,6 @@ from pyspark.sql import DataFrame, functions as F
 from siftmark.plans.slices import micros
 
 _PART = 1 << 17
-_FEW = 48  # events up to which a plain loop is faster than array operations
 _SUMMARY = "a long, b long, c long, d long, e long, f long, xs array<long>, ys array<long>"
 State = tuple[int, int] | None
 
@@ -73,152 +71,6 @@ class Reuse:
         return hit, state
 
 
-@dataclass(frozen=True)
-class Bucket:
-    """Token bucket in whole units: `one` units are a token, `per_us` flow in per microsecond.
-
-    A key that was idle longer than `idle_us` is forgotten at the next tick of the
-    purge, every `purge_us`; a forgotten or new key has a full bucket.
-    """
-
-    one: int
-    per_us: int
-    full: int
-    idle_us: int
-    purge_us: int
-
-    @classmethod
-    def of(cls, rate: float | Fraction, burst: float, idle_seconds: float | None, purge_seconds: float) -> "Bucket":
-        per_second = Fraction(rate).limit_denominator(10_000_000)
-        one = 1_000_000 * per_second.denominator
-        if burst < 1:
-            raise ValueError("burst below one token admits nothing")
-        idle = -1 if idle_seconds is None else int(idle_seconds * 1_000_000)
-        return cls(one, per_second.numerator, int(Fraction(burst) * one), idle, max(1, int(purge_seconds * 1_000_000)))
-
-    def _refilled(self, last, now):
-        """Whether the bucket is full at `now` whatever it held at `last`."""
-        full = (now - last) * self.per_us >= self.full
-        if self.idle_us >= 0:
-            full = full | (now // self.purge_us * self.purge_us > last + self.idle_us)
-        return full
-
-    def start(self, state: State, now: int) -> int:
-        if state is None or self._refilled(state[1], now):
-            return self.full
-        return min(self.full, state[0] + (now - state[1]) * self.per_us)
-
-    def _course(self, t: np.ndarray, y: int):
-        """(level before each event, number admitted up to it) from level y at t[0], as if the
-        bucket had no rim: the number admitted is then a running minimum."""
-        gross = y + (t - t[0]) * self.per_us
-        j = np.arange(1, len(t) + 1)
-        count = j + np.minimum(0, np.minimum.accumulate(gross // self.one - j))
-        return gross - self.one * np.concatenate(([0], count[:-1])), count
-
-    def _run(self, t: np.ndarray, y: int) -> tuple[np.ndarray, int]:
-        """(admitted, level after the last event): whole stretches between overflows at once,
-        and one event after the other where overflows are frequent."""
-        n = len(t)
-        if n <= _FEW:
-            return self._step(t.tolist(), y)
-        refill = np.zeros(n, dtype=bool)
-        refill[1:] = self._refilled(t[:-1], t[1:])
-        admitted = np.empty(n, dtype=bool)
-        i, size, level = 0, 64, 0
-        while i < n:
-            before, count = self._course(t[i:i + size], y)
-            over = (before > self.full) | refill[i:i + len(before)]
-            over[0] = False
-            f = int(np.argmax(over)) if over.any() else len(before)
-            admitted[i:i + f] = np.diff(count[:f], prepend=0) > 0
-            level = int(before[f - 1]) - (self.one if admitted[i + f - 1] else 0)
-            i += f
-            if f < len(before):
-                size = 64
-                if f < _FEW:
-                    part = t[i:i + 1024]
-                    admitted[i:i + len(part)], level = self._step(part.tolist(), self.full)
-                    i += len(part)
-                else:
-                    y = self.full
-                    continue
-            else:
-                size = min(size * 2, 1 << 15)
-            if i < n:
-                y = self.start((level, int(t[i - 1])), int(t[i]))
-        return admitted, level
-
-    def _step(self, times: list[int], y: int) -> tuple[np.ndarray, int]:
-        """`_run`, one event after the other."""
-        admitted, level, last = [], y, None
-        for now in times:
-            if last is not None:
-                level = self.full if self._refilled(last, now) else min(self.full, level + (now - last) * self.per_us)
-            ok = level >= self.one
-            level -= self.one if ok else 0
-            admitted.append(ok)
-            last = now
-        return np.array(admitted, dtype=bool), level
-
-    def summarise(self, t: np.ndarray) -> tuple:
-        """kind 0: the last level is a constant; 1: a constant for start levels above a limit and
-        a closed form for the others; 2: neither holds, the events themselves are kept.
-
-        `net` is what came in before an event less one token for every event before it. While
-        nothing is rejected, the level before an event is the start level plus `net`.
-        """
-        head = (int(t[0]), int(t[-1]))
-        if len(t) <= 8:  # not longer than any other description
-            return 2, *head, 0, 0, 0, t, []
-        rims = np.flatnonzero(self._refilled(t[:-1], t[1:])) + 1
-        if len(rims):
-            return 0, *head, self._run(t[rims[-1]:], self.full)[1], 0, 0, [], []
-        flow = (t - t[0]) * self.per_us
-        net = flow - self.one * np.arange(len(t))
-        # A bucket that was empty at the start and lost a token for every event, as far as it
-        # had any, holds no more than the real one; where it is full, the real one is.
-        floor = np.minimum(0, np.minimum.accumulate(net - self.one))
-        least_level = net - np.concatenate(([0], floor[:-1]))
-        rim = int(np.argmax(least_level >= self.full))
-        if least_level[rim] >= self.full:
-            return 0, *head, self._run(t[rim:], self.full)[1], 0, 0, [], []
-        # After a rejection the level is below one token and rises no further than `net` does.
-        # If that never reaches the rim, only levels before any rejection can, and they do so
-        # at the peak of `net`, from which on all their courses are one.
-        rise = int((net - np.minimum.accumulate(net)).max())
-        if 2 * self.one + rise > self.full:
-            return 2, *head, 0, 0, 0, t, []
-        peak = len(net) - 1 - int(np.argmax(net[::-1]))
-        limit = self.full - int(net[peak])
-        beyond = self._run(t[peak:], self.full)[1] if limit < self.full else 0
-        whole = flow // self.one - np.arange(1, len(t) + 1)
-        least = int(whole.min())
-        frac = int((flow[whole == least] % self.one).min())
-        return 1, *head, len(t), least, frac, [limit], [beyond]
-
-    def matters(self, state: State, first: int) -> bool:
-        return self.start(state, first) < self.full
-
-    def advance(self, state: State, s) -> State:
-        y = self.start(state, s.b)
-        if s.a == 0:
-            return s.d, s.c
-        if s.a == 1:
-            if y > s.xs[0]:
-                return int(s.ys[0]), s.c
-            k, part = divmod(y, self.one)
-            least = k + s.e + (1 if part + s.f >= self.one else 0)
-            count = s.d + min(0, least)
-            return y + (s.c - s.b) * self.per_us - self.one * count, s.c
-        return self._run(np.asarray(s.xs, dtype=np.int64), y)[1], s.c
-
-    def apply(self, t: np.ndarray, state: State) -> tuple[np.ndarray, State]:
-        """True where the event is admitted."""
-        admitted, level = self._run(t, self.start(state, int(t[0])))
-        return admitted, (level, int(t[-1]))
-
-
 def _stretches(*cols: np.ndarray):
     """(start, end) of the stretches in which all columns stay equal."""
     n = len(cols[0])
@@ -347,15 +199,6 @@ def reuse_results(
     return _sequence(jobs, spec, keys, ts, tie, slice_seconds or max(1, int(ttl_seconds * 32)), "reused")
 
 
-def token_bucket(
-    events: DataFrame, keys: list[str], ts: str, tie: str, rate: float | Fraction = 50, burst: float = 100,
-    idle_seconds: float | None = 600, purge_seconds: float = 300, slice_seconds: int = 3600,
-) -> DataFrame:
-    """Adds `admitted`: the key's bucket held a token for the event."""
-    spec = Bucket.of(rate, burst, idle_seconds, purge_seconds)
-    return _sequence(events, spec, keys, ts, tie, slice_seconds, "admitted")
-
-
 def job_progress(
     events: DataFrame, job: str = "job_id", kind: str = "type", at: str = "at", tie: str = "id",
     terminal: tuple[str, ...] = ("done", "failed"),

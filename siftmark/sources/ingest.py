@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmark import schemas
-from siftmark.functions.signing import stable_id, webhook_signature
+from siftmark.functions.signing import signing_key, stable_id, webhook_signature
 
 # Fixed values of the webhook contract.
 SCANNED_ACTIONS = ["opened", "synchronize", "reopened"]
@@ -28,7 +28,7 @@ def _job_columns(**given: Column) -> list[Column]:
     return out
 
 
-def classify_webhooks(raw: DataFrame, secret: str = "") -> DataFrame:
+def classify_webhooks(raw: DataFrame, secret: DataFrame | str = "", max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
     """Deliveries with `reason` (null for accepted ones) and the decoded `payload`.
 
     `raw` has body (binary or string), event, signature and received_at. Works on
@@ -39,13 +39,15 @@ def classify_webhooks(raw: DataFrame, secret: str = "") -> DataFrame:
     decoded = F.from_json(
         F.col("body").cast("string"), f"struct<{schema},_bad:string>", {"columnNameOfCorruptRecord": "_bad"},
     )
-    trusted = F.lit(True) if not secret else F.coalesce(webhook_signature(body, secret) == F.col("signature"), F.lit(False))
+    trusted = F.lit(True)
+    if isinstance(secret, DataFrame) or secret:
+        trusted = F.coalesce(webhook_signature(body, signing_key(raw.sparkSession, secret)) == F.col("signature"), F.lit(False))
     # a generator is not merged with the filters and projections behind it, so that each
     # body is signed and decoded once
     once = F.inline(F.array(F.struct(decoded.alias("payload"), trusted.alias("_trusted"))))
     return raw.select("*", once).withColumn(
         "reason",
-        F.when(F.octet_length(body) > MAX_BODY_BYTES, "body too large")
+        F.when(F.octet_length(body) > max_bytes, "body too large")
         .when(~F.col("_trusted"), "invalid signature")
         .when(~F.col("event").eqNullSafe(SCANNED_EVENT), "ignored event")
         .when(F.col("payload").isNull() | F.col("payload._bad").isNotNull(), "invalid payload")
@@ -53,9 +55,9 @@ def classify_webhooks(raw: DataFrame, secret: str = "") -> DataFrame:
     ).drop("_trusted")
 
 
-def ingest_webhooks(raw: DataFrame, secret: str = "") -> tuple[DataFrame, DataFrame]:
+def ingest_webhooks(raw: DataFrame, secret: DataFrame | str = "", max_bytes: int = MAX_BODY_BYTES) -> tuple[DataFrame, DataFrame]:
     """(jobs, rejects)."""
-    seen = classify_webhooks(raw, secret)
+    seen = classify_webhooks(raw, secret, max_bytes)
     text = lambda name: F.coalesce(F.col(name), F.lit(""))
     head = "payload.pull_request.head"
     owner, repo = _owner_repo(text(f"{head}.repo.full_name"))

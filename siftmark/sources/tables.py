@@ -8,8 +8,8 @@ from siftmark import schemas
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """The audit log written by `append_audit`; filters on created_at prune its day folders."""
-    return spark.read.schema(T.StructType([*schemas.AUDIT.fields, T.StructField("dt", T.DateType())])).parquet(path)
+    """The audit log written by `append_audit`; `filter_audit` prunes its day folders."""
+    return spark.read.schema(T.StructType([*schemas.AUDIT.fields, T.StructField("batch", T.StringType()), T.StructField("dt", T.DateType())])).parquet(path)
 
 
 def read_audit_jdbc(spark: SparkSession, url: str, table: str, bounds: tuple[str, str], parts: int, **options) -> DataFrame:

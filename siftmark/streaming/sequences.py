@@ -1,29 +1,25 @@
-"""Streaming forms of result reuse, throttling and job progress.
+"""Streaming forms of result reuse and job progress.
 
 State is one small row per key and is dropped by event time as soon as it can no
-longer matter: an expired result or a refilled bucket equals no state at all. Events
+longer matter: an expired result equals no state at all. Events
 of a key must arrive in time order across micro-batches; inside a batch they are
 put in order.
 """
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from siftmark.operators.sequences import Bucket, Reuse
+from siftmark.operators.sequences import Reuse
 from siftmark.plans.slices import micros
 
 
-def _expiry_us(spec, state) -> int:
+def _expiry_us(spec: Reuse, state) -> int:
     """The time from which the state equals no state."""
-    if isinstance(spec, Reuse):
-        return state[0] + spec.ttl_us + 1
-    return state[1] + -(-(spec.full - state[0]) // spec.per_us)
+    return state[0] + spec.ttl_us + 1
 
 
 def _outcomes(spec, tie: str, out: str):
@@ -60,15 +56,6 @@ def stream_reuse(
     return _stateful(jobs, Reuse(int(ttl_seconds * 1_000_000)), keys, ts, tie, watermark, "reused")
 
 
-def stream_token_bucket(
-    events: DataFrame, keys: list[str], ts: str, tie: str, rate: float | Fraction = 50, burst: float = 100,
-    idle_seconds: float | None = 600, purge_seconds: float = 300, watermark: str = "10 minutes",
-) -> DataFrame:
-    """(keys, tie, ts, admitted), as `sequences.token_bucket`."""
-    spec = Bucket.of(rate, burst, idle_seconds, purge_seconds)
-    return _stateful(events, spec, keys, ts, tie, watermark, "admitted")
-
-
 def stream_progress(
     events: DataFrame, job: str = "job_id", kind: str = "type", at: str = "at", tie: str = "id",
     terminal: tuple[str, ...] = ("done", "failed"), watermark: str = "10 minutes", keep_seconds: int = 86400,

@@ -94,24 +94,44 @@ def test_manual_jobs(spark):
 
 @pytest.mark.parametrize("secret", ["s", "", "k" * 64, "k" * 65, "ключ"])
 def test_hmac(spark, secret):
-    from siftmark.functions.signing import hmac_hex, signature_valid
+    from siftmark.functions.signing import hmac_hex, signature_valid, signing_key
 
     texts = ["", "{}", "naïve ✓", "x" * 300]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     want = {t: hmac.new(secret.encode(), t.encode(), hashlib.sha256).hexdigest() for t in texts}
-    signed = df.withColumn("s", hmac_hex(F.col("t"), secret))
+    signed = df.withColumn("s", hmac_hex(F.col("t"), signing_key(spark, secret)))
     assert {r.t: r.s for r in signed.collect()} == want
-    ok = lambda data, sig, key: [r[0] for r in signed.select(signature_valid(data, sig, key)).collect()]
+    ok = lambda data, sig, key: [r[0] for r in signed.select(signature_valid(data, sig, signing_key(spark, key))).collect()]
     assert all(ok(F.col("t"), F.col("s"), secret))
     assert not any(ok(F.concat("t", F.lit(" ")), F.col("s"), secret) + ok(F.col("t"), F.lit(""), secret) + ok(F.col("t"), F.col("s"), secret + "x"))
 
 
+def test_plans_hold_no_secret(spark):
+    """Neither the secret nor the pads made of it appear in any form of the plan."""
+    from siftmark.functions.signing import _pads
+
+    df = audit.audit_entries(spark.range(3).select(F.col("id").cast("string").alias("payload"), F.current_timestamp().alias("created_at")), "topsecret")
+    plan = df._jdf.queryExecution().toString() + df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
+    assert df.count() == 3
+    for part in (b"topsecret", *(p[:9] for p in _pads("topsecret"))):
+        for shown in (part.hex(), " ".join(f"{b:02x}" for b in part), part.decode("latin-1")):
+            assert shown.lower() not in plan.lower()
+
+
+def test_signed_columns_are_told_apart(spark):
+    rows = [("1", "a", None, "b"), ("2", "a", "b", None)]
+    df = spark.createDataFrame(rows, "id string, job_id string, event_type string, actor string").withColumns({"payload": F.lit("p"), "created_at": F.current_timestamp()})
+    signed = audit.audit_entries(df, "k", ("job_id", "event_type", "actor")).collect()
+    assert signed[0].signature != signed[1].signature
+
+
 def test_audit_log(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = [(json.dumps({"job_id": f"j{i % 3}", "event_type": "done", "actor": i if i % 2 else f"a{i}"}), f"2024-01-0{i % 4 + 1} 10:00:0{i}") for i in range(8)]
     events = spark.createDataFrame(rows, "payload string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
-    audit.append_audit(events, "k", path)
-    audit.append_audit(events.limit(0), "k", path)
+    audit.append_audit(events, "k", path, "one")
+    audit.append_audit(events, "k", path, "one")
+    audit.append_audit(events.limit(0), "k", path, "two")
     log = tables.read_audit(spark, path)
     assert log.count() == 8
     first = log.where("actor = ''").first()

@@ -1,5 +1,4 @@
 import json
-from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,14 +107,6 @@ def test_reuse(spark, tmp_path, events):
     assert pick(got) == pick(want) and {r for _, r in pick(want)} == {True, False}
 
 
-def test_token_bucket(spark, tmp_path, events):
-    args = (["user_id"], "ts", "event_id", Fraction(1, 86400), 2, 43200, 3600)
-    got = collected(spark, SQ.stream_token_bucket(source(spark, events, str(tmp_path), ["ts", "event_id"]), *args), tmp_path)
-    want = sequences.token_bucket(events, *args)
-    pick = lambda d: sorted((r.event_id, r.admitted) for r in d.select("event_id", "admitted").collect())
-    assert pick(got) == pick(want) and {r for _, r in pick(want)} == {True, False}
-
-
 def test_progress(spark, tmp_path, events):
     kind = F.expr("CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'finding' END")
     steps = events.select(F.col("user_id").alias("job_id"), kind.alias("type"), F.col("ts").alias("at"), F.col("event_id").alias("id"))

@@ -318,6 +318,9 @@ SELECT 'j' || user_id AS job_id, event_type, CASE WHEN event_type = 'error' THEN
 _o("audit_query", """
 SELECT 'e' || event_id AS id, 'job-' || user_id AS job_id, event_type, ts AS created_at FROM events
 WHERE event_type = 'error' AND ts >= '2024-01-05 00:00:00' AND ts <= '2024-01-25 12:00:00' ORDER BY ts DESC, id LIMIT 50 OFFSET 20""")
+_o("audit_stored", """
+SELECT event_type, count(*) AS n, min('e' || event_id) AS first_id FROM events
+WHERE ts BETWEEN TIMESTAMP '2024-01-14 06:00:00' AND TIMESTAMP '2024-01-16 18:00:00' GROUP BY event_type""")
 _o("audit_by_job", "SELECT 'e' || event_id AS id, ts AS created_at FROM events WHERE user_id = 7")
 _o("audit_verify", f"""
 SELECT 'e' || event_id AS id, {_hmac("CASE WHEN event_type = 'click' THEN props || ' ' ELSE props END", "workload-secret")} =
@@ -381,20 +384,6 @@ r AS (SELECT k, n, event_id, t AS stored, false AS reused FROM e WHERE n = 1
 SELECT k AS user_id, event_id, reused FROM r""")
 
 
-def _tokens(key: str, one: int, flow: int, burst: int, idle_us: int | None, purge_us: int) -> str:
-    """Tokens counted in units of which `one` make a token and `flow` come in per microsecond."""
-    gone = "false" if idle_us is None else f"(e.t // {purge_us}) * {purge_us} > r.t + {idle_us}"
-    return f"""
-WITH RECURSIVE {_ROWS.format(key=key)},
-r AS (SELECT k, n, event_id, t, ({burst - 1} * {one})::BIGINT AS held, true AS admitted FROM e WHERE n = 1
-  UNION ALL SELECT k, n, event_id, t, CASE WHEN y >= {one} THEN y - {one} ELSE y END, y >= {one} FROM (
-    SELECT e.k, e.n, e.event_id, e.t, CASE WHEN {gone} THEN {burst} * {one} ELSE least({burst} * {one}, r.held + (e.t - r.t) * {flow}) END AS y
-    FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1))
-SELECT k, event_id, admitted FROM r"""
-
-
-_o("token_bucket", "SELECT k AS user_id, event_id, admitted FROM (" + _tokens("user_id", 86_400_000_000, 1, 3, 129_600_000_000, 21_600_000_000) + ")")
-
 # -- exports -------------------------------------------------------------------
 
 _LEVEL = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'info' THEN 'notice' ELSE 'warning' END"
@@ -491,6 +480,5 @@ SELECT q.event_type, q.day AS window_start, n AS requests, CASE WHEN q.event_typ
 FROM q JOIN (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY ALL) c ON c.event_type = q.event_type AND c.day = q.day
 GROUP BY q.event_type, q.day, n"""))
 _o("stream_reuse", ORACLE["reuse_results"])
-_o("stream_token_bucket", ORACLE["token_bucket"])
 _o("stream_progress", ORACLE["job_progress"])
 _o("stream_audit", f"SELECT 'e' || event_id AS id, {_SIGN} AS signature, ts AS created_at, true AS valid FROM events")

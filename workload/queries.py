@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftmark.functions.signing import webhook_signature
+from siftmark.functions.signing import signing_key, webhook_signature
 from siftmark.functions.text import extension
 from siftmark.operators import audit, backtest, deps, export, metrics, rollup, scan, sequences
 from siftmark.plans.scan_job import run_scan, scan_corpus, spread
@@ -298,7 +298,7 @@ def _deliveries(spark, sf_dir) -> DataFrame:
     cut = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
     out = o.select("o_orderkey", "o_orderpriority", cut.alias("body"), F.col("o_orderdate").cast("timestamp").alias("received_at"))
     event = F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 'ping' ELSE 'pull_request' END")
-    signed = F.when(F.col("o_orderpriority") == "5-LOW", "sha256=00").otherwise(webhook_signature(F.col("body"), SECRET))
+    signed = F.when(F.col("o_orderpriority") == "5-LOW", "sha256=00").otherwise(webhook_signature(F.col("body"), signing_key(spark, SECRET)))
     return out.withColumn("event", event).withColumn("signature", signed)
 
 
@@ -372,6 +372,17 @@ def audit_query(spark, sf_dir):
     return page.select("id", "job_id", "event_type", *_naive("created_at"))
 
 
+@query
+def audit_stored(spark, sf_dir):
+    """The log appended in two batches, one of them twice, and asked for a range of days."""
+    path = inputs.scratch(spark, "audit-log")
+    entries = _entries(spark, sf_dir)
+    for batch, part in (("a", F.col("created_at") < "2024-01-15"), ("b", F.col("created_at") >= "2024-01-15"), ("a", F.col("created_at") < "2024-01-15")):
+        audit.append_audit(entries.where(part), SECRET, path, batch)
+    log = audit.filter_audit(tables.read_audit(spark, path), since="2024-01-14 06:00:00", until="2024-01-16 18:00:00")
+    return log.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
 @query
 def audit_by_job(spark, sf_dir):
     return audit.query_audit(_entries(spark, sf_dir), limit=0, job_id="job-7", actor="user-7").select("id", *_naive("created_at"))
@@ -497,26 +508,6 @@ def reuse_results(spark, sf_dir):
     return out.select("user_id", "event_id", "reused")
 
 
-@query
-def token_bucket(spark, sf_dir):
-    from fractions import Fraction
-
-    out = sequences.token_bucket(
-        events(spark, sf_dir), ["user_id"], "ts", "event_id", Fraction(1, DAY), 3, 1.5 * DAY, 6 * 3600, 5 * DAY,
-    )
-    return out.select("user_id", "event_id", "admitted")
-
-
-@query
-def token_bucket_one_key(spark, sf_dir):
-    """All events belong to one client, 12 per hour are admitted after a burst of 30."""
-    from fractions import Fraction
-
-    e = events(spark, sf_dir).withColumn("client", F.lit("all"))
-    out = sequences.token_bucket(e, ["client"], "ts", "event_id", Fraction(12, 3600), 30, None, 300, DAY)
-    return out.select("client", "event_id", "admitted")
-
-
 # -- exports -------------------------------------------------------------------
 
 
@@ -667,16 +658,6 @@ def stream_reuse(spark, sf_dir):
     return _drain(live, "stream_reuse").select("user_id", "event_id", "reused")
 
 
-@query
-def stream_token_bucket(spark, sf_dir):
-    from fractions import Fraction
-
-    live = stream_sequences.stream_token_bucket(
-        _stream(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", Fraction(1, DAY), 3, 1.5 * DAY, 6 * 3600,
-    )
-    return _drain(live, "stream_token_bucket").select("user_id", "event_id", "admitted")
-
-
 @query
 def stream_progress(spark, sf_dir):
     live = stream_sequences.stream_progress(_as_steps(_stream(spark, sf_dir, "events")))
