@@ -278,6 +278,34 @@ _o("unpinned_scan", _from(_DEPS, """
 SELECT job_id, count(*) FILTER (version = '') AS n_medium, count(*) FILTER (version = '') AS total_findings,
   greatest(0.0, 100 - 4 * count(*) FILTER (version = ''))::DOUBLE AS score, true AS passed FROM deps GROUP BY job_id"""))
 
+# -- whole jobs: marked texts and manifests ------------------------------------
+
+_WHOLE_FILES = r"""heads AS (SELECT *, split_part(text, chr(10), 1) AS h FROM documents),
+lists AS (SELECT p_partkey AS k, p_size AS s FROM part),
+files AS (
+  SELECT source AS job_id, source || '/' || doc_id || '.txt' AS path, lang AS language, CASE doc_id % 7
+    WHEN 0 THEN text WHEN 1 THEN h || ' scan:ignore' || substr(text, length(h) + 1) WHEN 2 THEN h || ' scan:ignore TXT-303, TXT-302' || substr(text, length(h) + 1)
+    WHEN 3 THEN h || ' scan:ignore TXT-999' || substr(text, length(h) + 1) WHEN 4 THEN h || ' scan:ignore TXT-302 here' || substr(text, length(h) + 1)
+    WHEN 5 THEN repeat(chr(10), 9) || 'scan:ignore-file' || chr(10) || text ELSE repeat(chr(10), 10) || 'scan:ignore-file' || chr(10) || text END AS content FROM heads
+  UNION ALL SELECT 'src' || (k % 20), 'deps/' || k || '/' || name, 'unknown', content FROM (
+    SELECT k, 'requirements.txt' AS name, format(E'# part\np{}=={}.0\nfree-{}\n-r more.txt\n', k, s, k) AS content FROM lists
+    UNION ALL SELECT k, 'package.json', format('{{"name":"x","dependencies":{{"p{}":"^{}.0.0","free-{}":"*"}},"devDependencies":{{"dev-{}":"latest"}}}}', k, s, k, k) FROM lists
+    UNION ALL SELECT k, 'go.mod', format(E'module m\n\nrequire x.org/p{} v{}.0.0\nrequire (\n\tx.org/in{} v1.0.0 // indirect\n\tx.org/free{}\n)\n', k, s, k, k) FROM lists
+    UNION ALL SELECT k, 'Cargo.toml', format(E'[package]\nversion = "9"\n[dependencies]\np{} = "{}.0"\nfree-{} = {{ path = "../x" }}\n[dev-dependencies]\nd{} = {{ version = "{}" }}\n', k, s, k, k, s) FROM lists
+    UNION ALL SELECT k, 'pom.xml', format(E'<project><dependencies>\n<dependency><groupId>g</groupId><artifactId>p{}</artifactId><version>{}</version></dependency>\n<dependency><groupId>g</groupId><artifactId>free{}</artifactId></dependency></dependencies></project>', k, s, k) FROM lists))"""
+_UNSUPPRESSED = """quiet AS (SELECT job_id, path FROM cut WHERE len(list_filter(ls[1:10], lambda l: contains(l, 'scan:ignore-file'))) > 0),
+marks AS (SELECT *, strpos(snippet, 'scan:ignore') AS spot, trim(substr(snippet, strpos(snippet, 'scan:ignore') + 11)) AS said FROM
+  (SELECT * FROM regex_findings UNION ALL SELECT * FROM required_findings) f WHERE NOT EXISTS (FROM quiet q WHERE q.job_id = f.job_id AND q.path = f.file)),
+findings AS (
+  SELECT * EXCLUDE (spot, said) FROM marks WHERE spot = 0 OR NOT (said = '' OR list_contains(list_transform(string_split(said, ','), lambda x: trim(x)), rule_id))
+  UNION ALL SELECT * FROM secret_findings
+  UNION ALL SELECT 'src' || (split_part(path, '/', 1)::INT % 20), 'deps/' || path, 1, 1, 'DEP-001', 'Unpinned dependency', 'compliance', 'medium', 'Unpinned dependency: ' || name,
+    '', 'Pin to an exact version for reproducible builds.', 2, 0, CASE WHEN starts_with(name, 'dev-') THEN 1 ELSE 0 END FROM deps WHERE version = '')"""
+_WHOLE = ",\n".join([_WHOLE_FILES, _LINES, _RULES, _regex_hits(), _REQUIRED, _SECRETS, _DEPS, _UNSUPPRESSED])
+_o("scan_whole_jobs", _from(_WHOLE, f"""
+SELECT row_number() OVER (PARTITION BY job_id ORDER BY {_ORDER}) AS number, {_PLACE}, message, phase FROM findings"""))
+_o("scan_whole_summary", _from(_WHOLE + ",\n" + _summary(), f"SELECT {_N}, score, passed, (n_critical + n_high > 0)::INT AS exit_code FROM summary"))
+
 # -- ingest --------------------------------------------------------------------
 
 

@@ -284,6 +284,40 @@ def unpinned_scan(spark, sf_dir):
     return scan_corpus(_manifests(spark, sf_dir), [], OPTIONS).summary.select("job_id", "n_medium", "total_findings", "score", "passed")
 
 
+# -- whole jobs: marked texts and manifests ------------------------------------
+
+
+def _whole_jobs(spark, sf_dir) -> DataFrame:
+    """Documents with suppression markers, told by the id, and manifests in the same jobs."""
+    docs = table(spark, sf_dir, "documents")
+    first = F.substring_index("text", "\n", 1)
+    rest = F.substring(F.col("text"), F.length(first) + 1, F.length("text"))
+    behind = lambda marker: F.concat(first, F.lit(marker), rest)
+    blank = lambda n: F.concat(F.lit("\n" * n + "scan:ignore-file\n"), "text")
+    forms = [
+        F.col("text"), behind(" scan:ignore"), behind(" scan:ignore TXT-303, TXT-302"), behind(" scan:ignore TXT-999"),
+        behind(" scan:ignore TXT-302 here"), blank(9), blank(10),
+    ]
+    marked = docs.withColumn("text", F.get(F.array(*forms), (F.col("doc_id") % 7).cast("int")))
+    lists = _manifests(spark, sf_dir)
+    part = F.substring_index("path", "/", 1).cast("long")
+    lists = lists.select(F.concat(F.lit("src"), part % 20).alias("job_id"), F.concat(F.lit("deps/"), "path").alias("path"), "language", "content")
+    return inputs.as_files(marked).unionByName(lists)
+
+
+@query
+def scan_whole_jobs(spark, sf_dir):
+    """Rules, required patterns, secrets and dependencies of one corpus, numbered per job in finding order."""
+    found = scan.scan_files(spread(_whole_jobs(spark, sf_dir)), pack(spark, "prose"), OPTIONS)
+    return rollup.number_findings(found).select("number", *PLACE, "message", "phase")
+
+
+@query
+def scan_whole_summary(spark, sf_dir):
+    result = scan_corpus(_whole_jobs(spark, sf_dir), pack(spark, "prose"), OPTIONS)
+    return result.summary.select("job_id", *_COUNTS, "score", "passed", "exit_code")
+
+
 # -- ingest --------------------------------------------------------------------
 
 
