@@ -7,6 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftmark.functions.text import extension, literal_map
+from siftmark.plans.shared import materialise
 
 # What a tree scan leaves out, and the language of each extension.
 SKIPPED_DIRS = [".git", "node_modules", "vendor", ".cache", "dist", "bin"]
@@ -14,7 +15,6 @@ BINARY_EXTENSIONS = [
     ".png", ".jpg", ".jpeg", ".gif", ".pdf", ".zip", ".tar", ".gz", ".exe", ".bin", ".so", ".dll",
     ".wasm", ".class", ".jar",
 ]
-MAX_FILE_BYTES = 1 << 20
 LANGUAGES = {
     "go": [".go"], "typescript": [".ts", ".tsx"], "javascript": [".js", ".jsx", ".mjs", ".cjs"],
     "python": [".py"], "rust": [".rs"], "java": [".java"], "kotlin": [".kt", ".kts"], "csharp": [".cs"],
@@ -46,39 +46,56 @@ def files_from_table(
     )
 
 
-def _kept(rel: Column, length: Column, max_bytes: int) -> Column:
+def _skip_reason(rel: Column, length: Column, max_bytes: int | None) -> Column:
+    """Why a tree scan leaves a file out; null for files that it reads."""
     folders = F.split(F.regexp_extract(rel, r"^(.*)/[^/]*$", 1), "/")
-    skipped = F.arrays_overlap(folders, F.array(*[F.lit(d) for d in SKIPPED_DIRS]))
-    return (length <= max_bytes) & ~skipped & ~extension(rel).isin(BINARY_EXTENSIONS)
+    reason = F.when(F.arrays_overlap(folders, F.array(*[F.lit(d) for d in SKIPPED_DIRS])), "skipped folder")
+    reason = reason.when(extension(rel).isin(BINARY_EXTENSIONS), "binary")
+    return reason if max_bytes is None else reason.when(length > max_bytes, "too large")
+
+
+def _place(rel: Column, job_id: str | None) -> tuple[Column, Column]:
+    """(job, path): the first folder is the job unless one is given."""
+    if job_id is None:
+        return F.substring_index(rel, "/", 1), F.regexp_replace(rel, r"^[^/]*/", "")
+    return F.lit(job_id), rel
+
+
+def _listed(spark: SparkSession, base: str) -> DataFrame:
+    """Files as Spark lists them; one that is gone or broken when it is read fails the job."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    rel = F.substring(F.col("path"), F.instr("path", base) + len(base) + 1, F.length("path"))
+    return found.select(rel.alias("path"), "length", "content")
+
+
+def skipped_files(spark: SparkSession, root: str, job_id: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """(job_id, path, length, reason) of the listed files that `read_source_tree` leaves out; reads no content."""
+    base = os.path.abspath(root) if "://" not in root else root.rstrip("/")
+    job, path = _place(F.col("path"), job_id)
+    rows = _listed(spark, base).withColumn("reason", _skip_reason(F.col("path"), F.col("length"), max_bytes))
+    return rows.where("reason IS NOT NULL").select(job.alias("job_id"), path.alias("path"), "length", "reason")
 
 
 def read_source_tree(
     spark: SparkSession, root: str, job_id: str | None = None,
-    max_bytes: int = MAX_FILE_BYTES, include_hidden: bool | None = None,
+    max_bytes: int | None = None, include_hidden: bool | None = None,
 ) -> DataFrame:
-    """All text files below `root` as files, paths relative to it.
+    """All text files below `root` as files, paths relative to it; `skipped_files` lists what is left out.
 
-    Without `job_id` every directory directly below the root is one job, which
-    scans any number of checkouts in one run. Spark's file sources leave out names
+    Files of any size are read unless `max_bytes` is given. Without `job_id` every directory directly below
+    the root is one job, which scans any number of checkouts in one run. Spark's file sources leave out names
     that start with `.` or `_`; on a mounted root (no URI scheme) those files are
     read by the tasks themselves, so `.env` and `_private.py` are scanned too.
     """
     mounted = "://" not in root
     base = os.path.abspath(root) if mounted else root.rstrip("/")
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(base)
-        .where(F.col("length") <= max_bytes)
-    )
-    rel = F.substring(F.col("path"), F.instr("path", base) + len(base) + 1, F.length("path"))
-    raw = found.select(rel.alias("path"), "length", "content")
+    raw = _listed(spark, base)
+    if max_bytes is not None:  # a filter on length reaches the source, which then reads no such file
+        raw = raw.where(F.col("length") <= max_bytes)
     if include_hidden if include_hidden is not None else mounted:
         raw = raw.unionByName(_hidden_files(spark, base, max_bytes))
-    raw = raw.where(_kept(F.col("path"), F.col("length"), max_bytes))
-    if job_id is None:
-        job, path = F.substring_index("path", "/", 1), F.regexp_replace("path", r"^[^/]*/", "")
-    else:
-        job, path = F.lit(job_id), F.col("path")
+    raw = raw.where(_skip_reason(F.col("path"), F.col("length"), max_bytes).isNull())
+    job, path = _place(F.col("path"), job_id)
     content = F.col("content").cast("string")
     return raw.select(
         job.alias("job_id"), path.alias("path"), language_of(path).alias("language"),
@@ -86,7 +103,7 @@ def read_source_tree(
     )
 
 
-def _hidden_files(spark: SparkSession, base: str, max_bytes: int) -> DataFrame:
+def _hidden_files(spark: SparkSession, base: str, max_bytes: int | None) -> DataFrame:
     """Files with a path segment starting with `.` or `_`; one subtree per row, walked by the tasks."""
     skip, binary = set(SKIPPED_DIRS), tuple(BINARY_EXTENSIONS)
 
@@ -97,13 +114,10 @@ def _hidden_files(spark: SparkSession, base: str, max_bytes: int) -> DataFrame:
             rows, size = [], 0
             for seed in batch["seed"]:
                 for path in _walk_hidden(base, seed, skip):
-                    try:
-                        if path.lower().endswith(binary) or os.path.getsize(path) > max_bytes:
-                            continue
-                        with open(path, "rb") as f:
-                            data = f.read()
-                    except OSError:
+                    if path.lower().endswith(binary) or max_bytes is not None and os.path.getsize(path) > max_bytes:
                         continue
+                    with open(path, "rb") as f:
+                        data = f.read()
                     rows.append((os.path.relpath(path, base), len(data), data))
                     size += len(data)
                     if size > 32 << 20:
@@ -148,7 +162,10 @@ def changed_files(files: DataFrame, *changes: DataFrame) -> DataFrame:
     for c in changes:
         part = c.select(*keys[:-1], F.trim("path").alias("path")).where("path <> ''")
         wanted = part if wanted is None else wanted.unionByName(part)
-    return files.join(wanted.distinct(), keys, "left_semi")
+    # Names first, without texts. The names that exist are a written table of known size, so Spark broadcasts
+    # them to the texts if they are few; texts are shuffled only where they are not.
+    found = files.select(*keys).distinct().join(wanted.distinct(), keys, "left_semi")
+    return files.join(materialise(found, "changed-files"), keys, "left_semi")
 
 
 def exclude_prefixes(files: DataFrame, prefixes: list[str], path_col: str = "path") -> DataFrame:

@@ -26,7 +26,11 @@ def test_source_tree(spark, tmp_path):
     put(tmp_path, "repo/large.txt", b"x" * ((1 << 20) + 1))
     put(tmp_path, "repo/.large", b"x" * ((1 << 20) + 1))
     put(tmp_path, "repo/bad.txt", b"ok \xff\xfe")
-    got = {(r.job_id, r.path): r for r in S.read_source_tree(spark, str(tmp_path)).collect()}
+    large = {("repo", "large.txt"), ("repo", ".large")}
+    assert large < {(r.job_id, r.path) for r in S.read_source_tree(spark, str(tmp_path)).select("job_id", "path").collect()}
+    left_out = {(r.path, r.reason) for r in S.skipped_files(spark, str(tmp_path), max_bytes=1 << 20).collect()}
+    assert {("large.txt", "too large"), ("i.PNG", "binary"), ("node_modules/m.js", "skipped folder")} <= left_out
+    got = {(r.job_id, r.path): r for r in S.read_source_tree(spark, str(tmp_path), max_bytes=1 << 20).collect()}
     assert set(got) == {
         ("repo", "a.go"), ("repo", "src/b.PY"), ("repo", ".env"), ("repo", ".github/w.yml"), ("repo", "_x.rs"), ("other", "c.txt"),
         ("repo", "exact.txt"), ("repo", "bad.txt"), ("repo", "sp ace/d.sql"),
@@ -34,7 +38,7 @@ def test_source_tree(spark, tmp_path):
     assert got["repo", "src/b.PY"].language == "python" and got["repo", ".env"].language == "unknown"
     assert got["repo", ".github/w.yml"].content == "text repo/.github/w.yml"
     assert not got["repo", "bad.txt"].valid_utf8 and got["repo", "a.go"].valid_utf8
-    one = S.read_source_tree(spark, str(tmp_path / "repo"), job_id="j", include_hidden=False)
+    one = S.read_source_tree(spark, str(tmp_path / "repo"), job_id="j", include_hidden=False, max_bytes=1 << 20)
     assert {(r.job_id, r.path) for r in one.collect()} == {("j", p) for p in ("a.go", "src/b.PY", "exact.txt", "bad.txt", "sp ace/d.sql")}
 
 
