@@ -22,36 +22,46 @@ def read_output(spark, out: str, name: str) -> DataFrame:
 
 def stream_scan(
     files: DataFrame, rules: list[Rule], out: str, checkpoint: str, opts: ScanOptions = ScanOptions(),
-    secret: str = "", targets: tuple[str, ...] = ("slack",), available_now: bool = False,
+    available_now: bool = False,
 ) -> StreamingQuery:
-    """Findings, summary, signed audit entries and outbox of the jobs of each micro-batch.
-
-    A job belongs to the batch its files arrive in. Where files of one job arrive
-    apart, `rollup.summarise` over the stored findings gives the job as a whole.
-    """
+    """Findings and job ids of each micro-batch. The files of a job may arrive in any number of batches;
+    what concerns a job as a whole is made by `close_jobs` once they are all there."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        jobs = batch.select("job_id").distinct()
-        files = spread(batch) if opts.spread else batch
-        found = rollup.cap_findings(scan_files(files, rules, opts), opts.max_findings).drop("rank")
-        write_batch(found, out, "findings", batch_id)
-        stored = spark.read.schema(found.schema).parquet(f"{out}/findings/batch_id={batch_id}")
-        summary = rollup.gate(rollup.summarise(stored, jobs), opts.fail_on)
-        summary = summary.withColumn("completed_at", F.current_timestamp())
-        write_batch(summary, out, "summary", batch_id)
-        done = spark.read.schema(summary.schema).parquet(f"{out}/summary/batch_id={batch_id}")
-        write_batch(verdict_of(done), out, "verdict", batch_id)
-        if secret:
-            entries = audit.audit_entries(audit.analysis_events(done), secret)
-            write_batch(entries, out, "audit", batch_id)
-        if targets:
-            asked = done.withColumn("targets", F.array(*[F.lit(t) for t in targets]))
-            write_batch(export.notifications(asked), out, "outbox", batch_id)
+        write_batch(scan_files(spread(batch) if opts.spread else batch, rules, opts), out, "findings", batch_id)
+        write_batch(batch.select("job_id").distinct(), out, "jobs", batch_id)
 
     writer = files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def close_jobs(
+    spark, out: str, jobs: DataFrame, closing: int, opts: ScanOptions = ScanOptions(), secret: DataFrame | str = "",
+    targets: tuple[str, ...] = ("slack",),
+) -> None:
+    """One summary, verdict, signed audit entry and set of notifications for each job that has not been closed.
+
+    Every step writes the folder of its `closing` number, so one that runs again replaces what it wrote. Limits on
+    findings count over the whole job.
+    """
+    wanted = jobs.select("job_id").distinct().join(read_output(spark, out, "jobs").select("job_id").distinct(), "job_id", "left_semi")
+    if closing:
+        before = spark.read.option("basePath", f"{out}/closed").parquet(f"{out}/closed").where(F.col("batch_id") < closing)
+        wanted = wanted.join(before, "job_id", "left_anti")
+    write_batch(wanted, out, "closed", closing)
+    closed = spark.read.schema(wanted.schema).parquet(f"{out}/closed/batch_id={closing}")
+    found = read_output(spark, out, "findings").drop("batch_id").join(closed, "job_id", "left_semi")
+    found = rollup.cap_findings(found, opts.max_findings).drop("rank")
+    summary = rollup.gate(rollup.summarise(found, closed), opts.fail_on).withColumn("completed_at", F.current_timestamp())
+    write_batch(summary, out, "summary", closing)
+    done = spark.read.schema(summary.schema).parquet(f"{out}/summary/batch_id={closing}")
+    write_batch(verdict_of(done), out, "verdict", closing)
+    if isinstance(secret, DataFrame) or secret:
+        write_batch(audit.audit_entries(audit.analysis_events(done), secret), out, "audit", closing)
+    if targets:
+        asked = done.withColumn("targets", F.array(*[F.lit(t) for t in targets]))
+        write_batch(export.notifications(asked), out, "outbox", closing)
+
+
 def latest_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """Of rows written in update mode, the last state of each key."""
     rest = [c for c in df.columns if c not in (*keys, "batch_id")]
@@ -68,7 +78,7 @@ def stream_append(df: DataFrame, out: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_audit(events: DataFrame, secret: str, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def stream_audit(events: DataFrame, secret: DataFrame | str, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Signed entries appended exactly once by the file sink, one folder per day."""
     entries = audit.audit_entries(events, secret).withColumn("dt", F.to_date("created_at"))
     writer = (

@@ -58,7 +58,9 @@ def test_scan(spark, tmp_path):
     df = spark.createDataFrame(rows, schemas.FILES)
     opts = ScanOptions(deps=False)
     out = str(tmp_path / "out")
-    finish(SS.stream_scan(source(spark, df, str(tmp_path), ["job_id", "path"]), rules, out, str(tmp_path / "cp"), opts, "key", ("slack", "email"), True))
+    finish(SS.stream_scan(source(spark, df, str(tmp_path), ["path", "job_id"]), rules, out, str(tmp_path / "cp"), opts, True))
+    for closing, some in enumerate((df.where("job_id < 'j3'"), df, df)):
+        SS.close_jobs(spark, out, some, closing, opts, "key", ("slack", "email"))
     batch = scan_files(df, rules, opts)
     assert sorted(map(str, SS.read_output(spark, out, "findings").drop("batch_id").collect())) == sorted(map(str, batch.collect()))
     summary = SS.read_output(spark, out, "summary").select("job_id", "total_findings", "score", "passed")

@@ -650,9 +650,17 @@ def read_exposition(spark, sf_dir):
 # -- streams, run until the given files are used up ------------------------------
 
 
-def _stream(spark, sf_dir, name: str) -> DataFrame:
-    # a stream may not start at a single file, but at a pattern that fits a file or a folder
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+def _stream(spark, sf_dir, name: str, order: str, files: int = 4) -> DataFrame:
+    """The table as files that arrive one after the other, each a micro-batch of its own."""
+    rows = table(spark, sf_dir, name)
+    at = F.col(order).cast("timestamp").cast("double") if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    low, width = low or 0.0, ((high or 0.0) - (low or 0.0)) / files or 1.0
+    part = F.least(F.lit(files - 1), F.floor((at - low) / width))
+    folder = inputs.scratch(spark, f"arriving-{name}")
+    for i in range(files):  # files are taken in the order in which they were written
+        rows.where(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -666,20 +674,20 @@ def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 @query
 def stream_scan(spark, sf_dir):
-    """The documents as arriving files; the jobs as a whole out of the stored findings."""
+    """The documents as arriving files; every job has files in all micro-batches and is closed once."""
     out = inputs.scratch(spark, "stream_scan")
-    files = inputs.as_files(_stream(spark, sf_dir, "documents"))
-    running = stream_scans.stream_scan(
-        files, pack(spark, "prose"), out, f"{out}/checkpoint", OPTIONS, SECRET, available_now=True,
-    )
-    running.awaitTermination()
-    findings = stream_scans.read_output(spark, out, "findings")
-    return rollup.summarise(findings, stream_scans.read_output(spark, out, "summary")).select("job_id", *_COUNTS, "score", "passed")
+    files = inputs.as_files(_stream(spark, sf_dir, "documents", "doc_id"))
+    stream_scans.stream_scan(files, pack(spark, "prose"), out, f"{out}/checkpoint", OPTIONS, available_now=True).awaitTermination()
+    jobs = stream_scans.read_output(spark, out, "jobs")
+    for closing in range(2):  # the second time nothing is left to close
+        stream_scans.close_jobs(spark, out, jobs, closing, OPTIONS, SECRET)
+    result = stream_scans.read_output(spark, out, "summary").join(stream_scans.read_output(spark, out, "outbox").select("job_id", "target"), "job_id")
+    return result.select("job_id", *_COUNTS, "score", "passed")
 
 
 @query
 def stream_metrics(spark, sf_dir):
-    log = _stream(spark, sf_dir, "events")
+    log = _stream(spark, sf_dir, "events", "ts")
     live = stream_metric.stream_metrics(log, ["event_type"], "ts", "value", F.col("event_type") == "error", 3600)
     out = stream_scans.latest_rows(_drain(live, "stream_metrics", "update"), ["event_type", "window_start"])
     return out.select("event_type", *_naive("window_start"), "requests", "errors", F.round("requests_per_second", 9).alias("rate"),
@@ -688,20 +696,20 @@ def stream_metrics(spark, sf_dir):
 
 @query
 def stream_reuse(spark, sf_dir):
-    live = stream_sequences.stream_reuse(_stream(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", DAY)
+    live = stream_sequences.stream_reuse(_stream(spark, sf_dir, "events", "ts"), ["user_id"], "ts", "event_id", DAY)
     return _drain(live, "stream_reuse").select("user_id", "event_id", "reused")
 
 
 @query
 def stream_progress(spark, sf_dir):
-    live = stream_sequences.stream_progress(_as_steps(_stream(spark, sf_dir, "events")))
+    live = stream_sequences.stream_progress(_as_steps(_stream(spark, sf_dir, "events", "ts")))
     return _drain(live, "stream_progress").select("job_id", "id", "type", *_naive("at"))
 
 
 @query
 def stream_audit(spark, sf_dir):
     """Entries signed as they arrive, then read back and verified."""
-    e = _stream(spark, sf_dir, "events").select(
+    e = _stream(spark, sf_dir, "events", "ts").select(
         F.concat(F.lit("e"), F.col("event_id")).alias("id"), F.concat(F.lit("job-"), F.col("user_id")).alias("job_id"),
         "event_type", F.lit("").alias("actor"), F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("created_at"),
     )
