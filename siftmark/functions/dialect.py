@@ -17,6 +17,7 @@ _AT_WORD_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 _NOT_WORD_EDGE = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
 _SPACE = r"\t\n\f\r "
 _NOT_SPACE = r"\x00-\x08\x0B\x0E-\x1F!-\x{10FFFF}"
+_MOST_REPEATS = 1000
 _REPEAT = re.compile(r"\{\d+(,\d*)?\}")
 _GROUP_NAME = re.compile(r"\(\?P?<[A-Za-z_]\w*>")
 _FLAGS = re.compile(r"\(\?([imsU]*)(?:-([imsU]+))?([:)])")
@@ -121,9 +122,8 @@ class _Scanner:
         if named:
             opener, self.pos = "(", named.end()
         elif flags:
-            on, off, tail = flags.group(1), flags.group(2) or "", flags.group(3)
-            if "U" in on + off:
-                self._fail("flag U")
+            # U swaps greedy and lazy, which changes neither whether a pattern matches nor where it starts.
+            on, off, tail = flags.group(1).replace("U", ""), (flags.group(2) or "").replace("U", ""), flags.group(3)
             self.pos = flags.end()
             if tail == ":":
                 self.saved.append((self.multiline, self.fold))
@@ -173,6 +173,8 @@ class _Scanner:
     def _brace(self):
         repeat = _REPEAT.match(self.src, self.pos)
         if repeat:
+            if any(int(n) > _MOST_REPEATS for n in re.findall(r"\d+", repeat.group(0))):
+                self._fail("repeat above 1000")
             self._repeat(repeat.group(0))
         else:
             self.pos += 1
@@ -254,9 +256,10 @@ class _Scanner:
                 break
             first = False
             if posix:
-                if posix.group(1) or posix.group(2) not in _POSIX_SETS:
+                if posix.group(2) not in _POSIX_SETS:
                     self._fail("unsupported class name")
-                out.append(_POSIX_SETS[posix.group(2)])
+                members = _POSIX_SETS[posix.group(2)]
+                out.append(f"[^{members}]" if posix.group(1) else members)
                 self.pos = posix.end()
             elif ch == "\\":
                 nxt = self.src[self.pos + 1:self.pos + 2]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import asdict, dataclass, field
 from functools import lru_cache
 
@@ -13,6 +14,7 @@ from siftmark.functions.dialect import PatternError, Translated, translate
 
 PACKS = os.path.join(os.path.dirname(os.path.dirname(__file__)), "packs")
 _MAX_PACK_BYTES = 64 << 20
+_PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]")
 
 
 class RulePackError(ValueError):
@@ -50,7 +52,7 @@ class Rule:
     @property
     def supported(self) -> bool:
         """Other pattern types may stand in a pack; they yield no findings."""
-        return self.pattern.type == "regex" and self.pattern.match != ""
+        return self.pattern.type in ("regex", "literal") and self.pattern.match != ""
 
     @property
     def active(self) -> bool:
@@ -58,7 +60,9 @@ class Rule:
 
     @property
     def translated(self) -> Translated:
-        return _translated(self.pattern.match)
+        """A literal is the pattern that matches just its characters."""
+        match = self.pattern.match
+        return _translated(match if self.pattern.type == "regex" else _PUNCTUATION.sub(r"\\\g<0>", match))
 
 
 @lru_cache(maxsize=4096)
@@ -83,22 +87,26 @@ def rule_from_mapping(doc: dict) -> Rule:
     )
 
 
+def _check_size(size: int, directory: str) -> None:
+    if size > _MAX_PACK_BYTES:
+        raise RulePackError(f"rule pack of {size} bytes in {directory}")
+
+
 def _documents(spark: SparkSession, directory: str) -> list[tuple[str, str]]:
     """(file name, text) of every *.yaml directly in the directory, by name."""
     if "://" not in directory:
         names = sorted(n for n in os.listdir(directory) if n.endswith(".yaml"))
         paths = [(n, os.path.join(directory, n)) for n in names]
+        paths = [(name, path) for name, path in paths if os.path.isfile(path)]
+        _check_size(sum(os.path.getsize(path) for _, path in paths), directory)
         texts = []
         for name, path in paths:
-            if os.path.isdir(path):
-                continue
             with open(path, encoding="utf-8") as f:
                 texts.append((name, f.read()))
         return texts
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.yaml").load(directory)
     size = found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    if size > _MAX_PACK_BYTES:
-        raise RulePackError(f"rule pack of {size} bytes in {directory}")
+    _check_size(size, directory)
     rows = found.select("path", "content").collect()
     return sorted((r.path.rsplit("/", 1)[1], bytes(r.content).decode("utf-8")) for r in rows)
 

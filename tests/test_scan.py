@@ -84,6 +84,14 @@ def test_markers(spark):
     assert hits == {f"f{i}" for i, n in enumerate(tails.values()) if n} | {"head11"}
 
 
+def test_literals_and_rare_syntax(spark):
+    text = "a+b (c)\n1?\n[x]\u00e9\n"
+    cases = [("literal", "+b (", [1]), ("literal", "[x]", [3]), ("literal", ".", []), ("regex", "(?U)a.*b", [1]), ("regex", "^[[:^alpha:]]", [2, 3]), ("regex", "[^[:^digit:]]", [2]), ("regex", "x{0,1000}y", [])]
+    for kind, match, lines in cases:
+        r = R.Rule("R-1", R.Pattern(kind, match), severity="low", languages=("*",), enabled=True)
+        assert sorted(f.line for f in scan.scan_files(files(spark, ("f", "x", text)), R.check_rules(spark, [r]), scan.ScanOptions(secrets=False, deps=False)).collect()) == lines, match
+
+
 def test_marker_does_not_hide_secrets(spark):
     token = "xK9pL2mN5qR8sT1uV4wX7yZ0aB3cD6eF"
     got = found(spark, [], ("f", "x", f"// {MARK}-file\nkey = \"{token}\"  // {MARK}\n"), secrets=True, entropy_threshold=4.0)
@@ -108,7 +116,7 @@ def test_dialect(spark):
     assert {(p, t): hits.count(f"f{i}") for i, (p, t, _) in enumerate(DIALECT)} == {(p, t): n for p, t, n in DIALECT}
 
 
-@pytest.mark.parametrize("pattern", ["[invalid", "(a", "a)", "a**", "a++", "(?=x)", "(?<!x)", r"\1", "*a", r"\8", "a\\", "(?U)a"])
+@pytest.mark.parametrize("pattern", ["[invalid", "(a", "a)", "a**", "a++", "(?=x)", "(?<!x)", r"\1", "*a", r"\8", "a\\", "a{1001}", "a{2,1001}", "[[:^nope:]]"])
 def test_bad_patterns_name_their_rule(spark, pattern):
     with pytest.raises(R.RulePackError, match="R-9"):
         R.check_rules(spark, [rule(pattern, rule_id="R-9", enabled=False)])
