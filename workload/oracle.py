@@ -223,6 +223,7 @@ _o("gate_by_level", _from(_SUMMED, """
 SELECT job_id, (n_critical > 0)::INT AS code_critical, (n_critical + n_high > 0)::INT AS code_high, (n_critical + n_high + n_medium > 0)::INT AS code_medium,
   (total_findings > 0)::INT AS code_low, 0 AS code_never, 0 AS code_other FROM summary"""))
 _RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY {_ORDER})::INT AS rank FROM findings)"
+_o("job_listing", _from(_SUMMED, "SELECT job_id, 'corpus/' || job_id AS repo, score, passed FROM summary"))
 _o("capped_findings", _from(_FINDINGS + ",\n" + _RANKED, f"SELECT rank, {_PLACE} FROM ranked WHERE rank <= 15"))
 _o("job_report", _from(_RESULTS + ",\n" + _RANKED + """,
 tops AS (SELECT job_id, string_agg('[' || rule_id || '] ' || file || ':' || line || '  ' || message, chr(10) ORDER BY rank) AS top FROM ranked WHERE rank <= 15 GROUP BY job_id)""", """
@@ -363,6 +364,9 @@ _BOUNDS = "bounds(le, bound) AS (VALUES " + ", ".join(f"('{b}', {b}.0::DOUBLE)"
 _o("latency_histogram", _from(_BOUNDS, """
 SELECT event_type, le, count(*) FILTER (value <= bound) AS bucket_count, round(sum(value), 4) AS total_sum, count(*) AS total_count
 FROM events, bounds GROUP BY event_type, le"""))
+_o("bucket_counts", """
+WITH counts AS (SELECT event_type, ts::DATE AS day, floor(value)::BIGINT AS bound, count(*) AS n FROM events GROUP BY ALL)
+SELECT *, sum(n) OVER (PARTITION BY event_type, day ORDER BY bound)::BIGINT AS bucket_count FROM counts""")
 _QUANTILE = _BOUNDS + """,
 h AS (SELECT event_type, ts::DATE AS day, bound, count(*) FILTER (value <= bound) AS c FROM events, bounds GROUP BY ALL),
 w AS (SELECT *, max(c) OVER k AS total, coalesce(lag(c) OVER o, 0) AS below, coalesce(lag(bound) OVER o, 0) AS start FROM h
@@ -510,3 +514,4 @@ GROUP BY q.event_type, q.day, n"""))
 _o("stream_reuse", ORACLE["reuse_results"])
 _o("stream_progress", ORACLE["job_progress"])
 _o("stream_audit", f"SELECT 'e' || event_id AS id, {_SIGN} AS signature, ts AS created_at, true AS valid FROM events")
+_o("stream_latest_status", _from(_PROGRESS, "SELECT job_id, type AS status, moment AS since FROM steps QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY moment DESC, id DESC) = 1"))

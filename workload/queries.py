@@ -188,6 +188,11 @@ def gate_by_level(spark, sf_dir):
     return wide.select("job_id", *[f"code_{level}" for level in levels])
 
 
+@query
+def job_listing(spark, sf_dir):
+    return rollup.job_list(_summary(spark, sf_dir), inputs.job_details(_jobs(spark, sf_dir)))
+
+
 @query
 def capped_findings(spark, sf_dir):
     return rollup.cap_findings(_findings(spark, sf_dir), 15).select("rank", *PLACE)
@@ -455,6 +460,14 @@ def latency_histogram(spark, sf_dir):
     return h.select("event_type", "le", "bucket_count", F.round("total_sum", 4).alias("total_sum"), "total_count")
 
 
+@query
+def bucket_counts(spark, sf_dir):
+    """Counts per whole number of a value, cumulated per type and day."""
+    e = events(spark, sf_dir).select("event_type", F.to_date("ts").alias("day"), F.floor("value").alias("bound"))
+    counts = e.groupBy("event_type", "day", "bound").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.cumulate_buckets(counts, ["event_type", "day"])
+
+
 @query
 def histogram_quantile(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("day", F.to_date("ts"))
@@ -706,6 +719,13 @@ def stream_progress(spark, sf_dir):
     return _drain(live, "stream_progress").select("job_id", "id", "type", *_naive("at"))
 
 
+@query
+def stream_latest_status(spark, sf_dir):
+    live = stream_sequences.stream_latest_status(_as_steps(_stream(spark, sf_dir, "events", "ts")))
+    out = stream_scans.latest_rows(_drain(live, "stream_latest_status", "update"), ["job_id"])
+    return out.select("job_id", "status", *_naive("since"))
+
+
 @query
 def stream_audit(spark, sf_dir):
     """Entries signed as they arrive, then read back and verified."""
