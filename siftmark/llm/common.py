@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from siftmark.plans.shared import drop_table, materialise, numbered  # noqa: F401
 
 # Words are runs of anything but the six ASCII white space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def words(text: Column) -> Column:
@@ -33,61 +30,9 @@ def fold(key: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % parts, F.lit(0))
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="siftmark-llm-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where Spark runs on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own_folder()
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a written table in the shared folder: lineage ends here and a lost executor loses nothing.
-
-    Shuffle files of the write are removed once it has ended. The table stays until the caller
-    empties the folder, as results may still be read from it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """Number all rows from 1 in the given order, without bringing them into one task."""
-    spark = df.sparkSession
-    sort = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    kept = materialise(sort.withColumn("_id", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_id", 33)
-    sizes = {r.part: r.n for r in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    starts, total = [], 0
-    for p in sorted(sizes):
-        starts.append((p, total))
-        total += sizes[p]
-    offsets = spark.createDataFrame(starts, "part long, start long")
-    within = F.col("_id").bitwiseAND((1 << 33) - 1)
-    return kept.join(offsets, part == F.col("part")).withColumn("rank", F.col("start") + within + 1).drop("_id", "part", "start")
+    return numbered(df, name, [], list(order), "rank")
 
 
 def runs(batches, *keys: str):
