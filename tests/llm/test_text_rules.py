@@ -139,3 +139,33 @@ def test_licenses(spark):
     assert got[(6, "a/b/n.txt")] == (None, "Apache-2.0", "a/b") and got[(7, None)] == (None, None, None)
     assert got[(8, "d/e.txt")][0] is None
     assert license_scan.scan_licenses(table.limit(0), "doc_id").collect() == []
+
+
+def test_license_texts_and_headers(spark):
+    """Whole licence files, wrapped and unwrapped headers and SPDX tags, which no one-line statement comes near."""
+    import textwrap
+
+    from siftmark.llm import license_texts
+
+    wholes = [(name, text) for name, text in license_texts.whole_texts()]
+    headers = [(name, text) for name, text in license_texts.HEADERS]
+    files, want = [], {}
+
+    def add(path, text, own):
+        files.append((len(files), text, path))
+        want[path] = own
+
+    for i, (name, text) in enumerate(wholes):
+        add(f"w{i}/COPYING", f"Copyright (c) 2020 Some One. All rights reserved.\n\n{text}", name)
+    for i, (name, text) in enumerate(headers):
+        add(f"h{i}/a.c", "/*\n" + "\n".join(f" * {l}" for l in textwrap.wrap(text, 60)) + "\n */\nint main() {}\n" * 30, name)
+        add(f"h{i}/b.txt", "Some words before. " * 50 + text + " And many other words follow here." * 50, name)
+    add("t/a.py", "# SPDX-License-Identifier: ISC\nx = 1", "ISC")
+    add("t/b.c", "/* SPDX-License-Identifier: LGPL-2.1-or-later */", "LGPL-2.1")
+    add("t/c.rs", "// SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT OR Apache-2.0")
+    add("t/d/LICENSE", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nsee elsewhere", "GPL-3.0")
+    add("t/e.txt", "This work is licensed under the GNU General\nPublic License,\nversion 3 and more of it", "GPL-3.0")
+    add("t/f.txt", "The driving licence of the car was new.", None)
+    table = spark.createDataFrame(files, "doc_id long, text string, path string")
+    got = {r.path: r.own for r in license_scan.scan_licenses(table, "doc_id").collect()}
+    assert {p: (got[p], o) for p, o in want.items() if got[p] != o} == {}
