@@ -3,7 +3,7 @@
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Around every find, the `reach` words
 on each side in its line are its context. Over the corpus, a term t that stands in the distinct contexts of a
 value e discloses  PMI(t; e) / IC(e)  of it, where PMI = log2(n(t,e) N / (n(t) n(e))) and
-IC = -log2(n(e) / N); n(t) and N count lines of all documents. Terms above `disclosure` with `support` distinct
+IC = -log2(n(e) / N); n(t) and N count the distinct lines of all documents, told apart by 64-bit hashes. Terms above `disclosure` with `support` distinct
 contexts or more become spans too, wherever they stand beside that value: numbers and names are
 generalised, other words removed. Copies of a line are one context, so they disclose nothing.
 
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -145,19 +144,18 @@ def records(docs: DataFrame, keep: list[str], settings: Settings = Settings()) -
     return materialise(docs.select(*names).mapInArrow(_records(keep, settings), f"{fields}, {_RECORD}"), "pii-records")
 
 
-def _line_counts(marked: np.ndarray):
+def _line_terms(marked: np.ndarray):
+    """The hash of every line, once per batch, and its terms in question."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        lines = 0
         for batch in batches:
+            lines: dict[int, list[str]] = {}
             for text in batch["text"].to_pylist():
                 for line in (text or "").lower().split("\n"):
-                    lines += 1
-                    counts.update(t for t in set(_TERM.findall(line)) if marked[xxhash.xxh32_intdigest(t) % _BUCKETS])
-            if len(counts) > 200_000:
-                yield pa.RecordBatch.from_pydict({"t": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
-                counts = Counter()
-        yield pa.RecordBatch.from_pydict({"t": pa.array([*counts, ""], pa.string()), "n": pa.array([*counts.values(), lines], pa.int64())})
+                    h = xxhash.xxh64_intdigest(line) - (1 << 63)
+                    if h not in lines:
+                        lines[h] = [t for t in set(_TERM.findall(line)) if marked[xxhash.xxh32_intdigest(t) % _BUCKETS]]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(list(lines), pa.int64()), "t": pa.array(list(lines.values()), pa.list_(pa.string()))})
 
     return run
 
@@ -176,8 +174,10 @@ def disclosures(docs: DataFrame, found: DataFrame, settings: Settings = Settings
     if not marked.any():
         return pairs.select("entity", "term")
     shared = spark.sparkContext.broadcast(marked)
-    lines = docs.select("text").mapInArrow(lambda b: _line_counts(shared.value)(b), "t string, n long")
-    lines = materialise(lines.groupBy("t").agg(F.sum("n").alias("n_t")), "pii-lines")
+    lines = docs.select("text").mapInArrow(lambda b: _line_terms(shared.value)(b), "h long, t array<string>").groupBy("h").agg(F.first("t").alias("t"))
+    # Every line counts for its terms and for the empty one, which is N.
+    lines = lines.select(F.explode(F.array_append("t", F.lit(""))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    lines = materialise(lines, "pii-lines")
     total = lines.where("t = ''").agg(F.sum("n_t")).first()[0]
     n = F.lit(float(total))
     joined = pairs.join(lines, F.col("term") == F.col("t"))

@@ -182,3 +182,12 @@ def test_disclosing_terms(spark, telling_docs):
     assert "Zorbulon" not in clean[0].text and "<NAME>" in clean[0].text and "<EMAIL>" in clean[0].text and "plain" in clean[0].text
     assert clean[900].text == "Copied Quux stands by <EMAIL> here." and clean[990].text is None and clean[0].more == "clash"
     assert clean[100].text == text[100]
+
+
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    """A name that stands only beside one address discloses it, however many copies each line has."""
+    rng = random.Random(7)
+    rows = [" ".join(rng.choices([f"plain{i}" for i in range(30)], k=12)) for _ in range(400)]
+    rows += [f"Quagnix takes mail{i} at amy@corp.example on day{i} of week{i}" for i in range(3) for _ in range(300)]
+    got = pii.find_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).where("doc_id >= 400").collect()
+    assert len(got) == 900 and all("name:0:7" in r.spans.split(",") for r in got)
