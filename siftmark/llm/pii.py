@@ -1,11 +1,14 @@
 """Personal data: patterns, and terms that give a protected value away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Around every find, the `reach` words
-on each side in its line are its context. Over the corpus, a term t that stands in the distinct contexts of a
-value e discloses  PMI(t; e) / IC(e)  of it, where PMI = log2(n(t,e) N / (n(t) n(e))) and
-IC = -log2(n(e) / N); n(t) and N count the distinct lines of all documents, told apart by 64-bit hashes. Terms above `disclosure` with `support` distinct
-contexts or more become spans too, wherever they stand beside that value: numbers and names are
-generalised, other words removed. Copies of a line are one context, so they disclose nothing.
+on each side in its line are its context. A context belongs to its value and to the owners that values share: the name
+in an address (its local part without digits, roles like `info` aside) and the nearest name in the context.
+Over the corpus, a term t that stands in the distinct contexts of such an entity e discloses  PMI(t; e) / IC(e)
+of it, where PMI = log2(P(t|e) / P(t)), P(t) = n(t) / N, P(t|e) = (n(t,e) + prior P(t)) / (n(e) + prior), which
+gives few contexts less weight, and IC = -log2(n(e) / N); n(t) and N count the distinct lines of all documents,
+told apart by 64-bit hashes. Terms above `disclosure` with `support` distinct contexts or more become
+spans in every line of every document: numbers and names are generalised, other words removed. Copies of
+a line are one context, so they disclose nothing; a domain is no owner, since many people share it.
 
 Defined results: null and empty texts have no spans. Repeated rows get equal spans. Finds that break a rule
 (parts above 255, wrong digits) are dropped. Runs of any length take linear time. An empty table gives no rows.
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmark.llm.common import materialise
 
@@ -36,13 +39,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"\w{3,}")
+_LETTERS = re.compile(r"[a-z]{2,}")
+# Local parts that name no person.
+_ROLES = frozenset("admin contact hello help hostmaster info mail noreply office postmaster reply sales service support team webmaster".split())
 _BUCKETS = 1 << 20
+_PARTS = 16
 
 
 @dataclass(frozen=True)
 class Settings:
     reach: int = 8
-    support: int = 3
+    support: int = 2
+    prior: float = 1.0
     disclosure: float = 0.6
 
 
@@ -110,12 +118,25 @@ def kind_of(term: str) -> str:
     return "number" if term.isdigit() else "name" if term[:1].isupper() else "term"
 
 
-_RECORD = "spans array<struct<start:long,end:long,kind:string>>, beside array<struct<entity:string,term:string,start:long,end:long,kind:string,context:long>>"
+def _entities(value: str, kind: str, terms: list[tuple[str, int, int]], start: int) -> list[str]:
+    """The value, and the owners by which it belongs together with other values."""
+    out = [f"{kind}:{value.lower()}"]
+    if kind == "email":
+        parts = [p for p in _LETTERS.findall(value.lower().split("@")[0].split("+")[0]) if p not in _ROLES]
+        if parts:
+            out.append("owner:" + ".".join(parts))
+    names = [t for t in terms if kind_of(t[0]) == "name"]
+    if names:
+        out.append("name:" + min(names, key=lambda t: (max(start - t[2], t[1] - start), t[1]))[0].lower())
+    return out
+
+
+_RECORD = "spans array<struct<start:long,end:long,kind:string>>, beside array<struct<entity:string,term:string,context:long>>"
 
 
 def _records(keep: list[str], settings: Settings):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-    beside_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("context", pa.int64())]))
+    beside_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +145,9 @@ def _records(keep: list[str], settings: Settings):
                 spans, beside = base_spans(text), []
                 for start, end, kind in spans:
                     terms = _near(text, start, end, settings.reach, spans)
-                    entity = f"{kind}:{text[start:end].lower()}"
                     context = xxhash.xxh64_intdigest(" ".join(t[0].lower() for t in terms)) - (1 << 63)
-                    beside += [{"entity": entity, "term": t.lower(), "start": s, "end": e, "kind": kind_of(t), "context": context} for t, s, e in terms]
+                    for entity in _entities(text[start:end], kind, terms, start):
+                        beside += [{"entity": entity, "term": t, "context": context} for t in {t[0].lower() for t in terms}]
                 all_spans.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
                 all_beside.append(beside)
             yield pa.RecordBatch.from_arrays(
@@ -167,23 +188,41 @@ def disclosures(docs: DataFrame, found: DataFrame, settings: Settings = Settings
     pairs = contexts.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(f"n_te >= {settings.support}")
     entities = contexts.select("entity", "context").distinct().groupBy(F.col("entity").alias("e")).agg(F.count("*").alias("n_e"))
     pairs = materialise(pairs.join(entities, F.col("entity") == F.col("e")).drop("e"), "pii-pairs")
-    # Lines are counted for the terms in question only; a bitmap of fixed size tells which may be.
-    hashed = pairs.select("term").distinct().mapInArrow(_buckets, "b long").distinct()
-    marked = np.zeros(_BUCKETS, bool)
-    marked[[r.b for r in hashed.toLocalIterator()]] = True
+    # Distinct lines of a part of the texts bound n(t) from below, all lines bound N from above: pairs that fail
+    # even so, such as those of common words, need no exact count.
+    most = docs.agg(F.sum(F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)) + 1)).first()[0]
+    part = _line_counts(docs.where(F.pmod(F.xxhash64("text"), F.lit(_PARTS)) == 0), _marked(pairs), "pii-part")
+    least = pairs.join(part, F.col("term") == F.col("t"), "left").withColumn("n_t", F.coalesce("n_t", F.lit(1)))
+    pairs = materialise(least.where(_share(F.lit(float(most or 1)), settings) >= settings.disclosure).select(*pairs.columns), "pii-open")
+    marked = _marked(pairs)
     if not marked.any():
         return pairs.select("entity", "term")
-    shared = spark.sparkContext.broadcast(marked)
+    lines = _line_counts(docs, marked, "pii-lines")
+    n = F.lit(float(lines.where("t = ''").agg(F.sum("n_t")).first()[0]))
+    joined = pairs.join(lines, F.col("term") == F.col("t"))
+    return joined.where(_share(n, settings) >= settings.disclosure).select("entity", "term")
+
+
+def _line_counts(docs: DataFrame, marked: np.ndarray, name: str) -> DataFrame:
+    """t, n_t: the distinct lines that hold a term of the bitmap; those of the empty term are all lines."""
+    shared = docs.sparkSession.sparkContext.broadcast(marked)
     lines = docs.select("text").mapInArrow(lambda b: _line_terms(shared.value)(b), "h long, t array<string>").groupBy("h").agg(F.first("t").alias("t"))
-    # Every line counts for its terms and for the empty one, which is N.
     lines = lines.select(F.explode(F.array_append("t", F.lit(""))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    lines = materialise(lines, "pii-lines")
-    total = lines.where("t = ''").agg(F.sum("n_t")).first()[0]
-    n = F.lit(float(total))
-    joined = pairs.join(lines, F.col("term") == F.col("t"))
-    pmi = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    information = F.greatest(-F.log2(F.col("n_e") / n), F.lit(1e-9))
-    return joined.where(pmi / information >= settings.disclosure).select("entity", "term")
+    return materialise(lines, name)
+
+
+def _share(n: Column, settings: Settings) -> Column:
+    """PMI(t; e) / IC(e) of the columns n_te, n_t and n_e; it grows with n and falls with n_t."""
+    rate = F.col("n_t") / n
+    pmi = F.log2((F.col("n_te") + settings.prior * rate) / (F.col("n_e") + settings.prior) / rate)
+    return pmi / F.greatest(-F.log2(F.col("n_e") / n), F.lit(1e-9))
+
+
+def _marked(terms: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size that tells which terms may be among those of a frame."""
+    marked = np.zeros(_BUCKETS, bool)
+    marked[[r.b for r in terms.select("term").distinct().mapInArrow(_buckets, "b long").distinct().toLocalIterator()]] = True
+    return marked
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,12 +230,44 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"b": pa.array([xxhash.xxh32_intdigest(t) % _BUCKETS for t in batch["term"].to_pylist()], pa.int64())})
 
 
+def _occurrences(marked: np.ndarray):
+    """Where texts hold terms of the bitmap outside their base spans."""
+    names = ("k", "term", "start", "end", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str, bool] = {}
+            rows, seen = [], set()
+            for key, text in zip(batch["_key"].to_pylist(), batch["text"].to_pylist()):
+                if not text or key in seen:
+                    continue
+                seen.add(key)
+                spans = None
+                for m in _TERM.finditer(text):
+                    word = m[0]
+                    hit = known.get(word)
+                    if hit is None:
+                        hit = known[word] = bool(marked[xxhash.xxh32_intdigest(word.lower()) % _BUCKETS])
+                    if hit:
+                        spans = base_spans(text) if spans is None else spans
+                        if not any(m.start() < e and s < m.end() for s, e, _ in spans):
+                            rows.append((key, word.lower(), m.start(), m.end(), kind_of(word)))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=pa.schema(
+                [("k", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]
+            ))
+
+    return run
+
+
 def added_spans(docs: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """_rid and the spans that the method adds, for rows that have any."""
-    told = disclosures(docs, found, settings).select(F.col("entity").alias("e"), F.col("term").alias("t"))
-    beside = found.select("_rid", F.explode("beside").alias("b")).select("_rid", "b.*")
-    hits = beside.join(told, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
-    return hits.groupBy(F.col("_rid").alias("rid")).agg(F.collect_set(F.struct("start", "end", "kind")).alias("more"))
+    """key and the spans that the method adds, for texts that have any; docs holds text and _key, a digest of it."""
+    told = materialise(disclosures(docs, found, settings).select(F.col("term")).distinct(), "pii-terms")
+    shared = docs.sparkSession.sparkContext.broadcast(_marked(told))
+    fields = "k string, term string, start long, end long, kind string"
+    places = docs.select("_key", "text").mapInArrow(lambda b: _occurrences(shared.value)(b), fields) if shared.value.any() else docs.sparkSession.createDataFrame([], fields)
+    hits = places.join(told.withColumnRenamed("term", "t"), F.col("term") == F.col("t"))
+    # Written out, so that the join on a digest which many copies share can be split.
+    return materialise(hits.groupBy(F.col("k").alias("key")).agg(F.collect_set(F.struct("start", "end", "kind")).alias("more")), "pii-added")
 
 
 def _texts(spans: list[tuple[int, int, str]]) -> str:
@@ -222,10 +293,10 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, counts of the base kinds, their digest, and all spans as text, for every row."""
-    rows = docs.select("doc_id", "text")
-    found = records(rows.withColumn("_rid", F.monotonically_increasing_id()), ["_rid", "doc_id"], settings)
+    rows = docs.select("doc_id", "text", F.md5("text").alias("_key"))
+    found = records(rows, ["doc_id", "_key"], settings)
     more = added_spans(rows, found, settings)
-    joined = found.select("_rid", "doc_id", "spans").join(more, F.col("_rid") == F.col("rid"), "left").select("doc_id", "spans", "more")
+    joined = found.select("_key", "doc_id", "spans").join(more, F.col("_key") == F.col("key"), "left").select("doc_id", "spans", "more")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_summary, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
@@ -246,10 +317,10 @@ def redact(text: str | None, more: list[tuple[int, int, str]]) -> str | None:
 def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs with personal data in text generalised or removed."""
     columns = docs.columns
-    rows = materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "pii-documents")
-    found = records(rows, ["_rid"], settings)
-    more = added_spans(rows, found, settings).select(F.col("rid").alias("_of"), F.col("more").alias("_more"))
-    joined = rows.join(more, F.col("_rid") == F.col("_of"), "left").select(*columns, "_more")
+    rows = materialise(docs.withColumn("_key", F.md5("text")), "pii-documents")
+    found = records(rows, ["_key"], settings)
+    more = added_spans(rows, found, settings).select(F.col("key").alias("_of"), F.col("more").alias("_more"))
+    joined = rows.join(more, F.col("_key") == F.col("_of"), "left").select(*columns, "_more")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

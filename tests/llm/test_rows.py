@@ -191,3 +191,17 @@ def test_copies_do_not_hide_a_disclosing_term(spark):
     rows += [f"Quagnix takes mail{i} at amy@corp.example on day{i} of week{i}" for i in range(3) for _ in range(300)]
     got = pii.find_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).where("doc_id >= 400").collect()
     assert len(got) == 900 and all("name:0:7" in r.spans.split(",") for r in got)
+
+
+def test_disclosing_terms_go_everywhere(spark):
+    """Terms go from lines without the value as well, and values of one owner that occur once each count together."""
+    rng = random.Random(8)
+    rows = [" ".join(rng.choices([f"plain{i}" for i in range(30)], k=12)) for _ in range(400)]
+    rows += [f"{a} Trelvane {b} {c} writes" for a, b, c in (("from", "lou@one.example", "today"), ("by", "+1 (555) 010-9999", "again"), ("of", "10.1.2.3", "later"))]
+    rows += [f"seen{i} in town{i} at {v} as kimborough" for i, v in enumerate(("kim.oak7@a.example", "kim.oak91@b.example"))]
+    rows += ["Here Trelvane walks alone", "and kimborough sits", None]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[405] == "Here <NAME> walks alone" and clean[406] == "and  sits" and clean[407] is None
+    assert not any("Trelvane" in t or "kimborough" in t for t in clean.values() if t)
+    assert all(clean[i] == rows[i] for i in range(400))
