@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 _WORD = re.compile(r"\w+")
 
@@ -95,10 +95,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, settings: Sett
     truth = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).alias("y"))
     # Only ids are joined and ranked; texts follow for the rows chosen.
     order = F.xxhash64(F.lit("toxicity"), "_id")
-    rank = F.row_number().over(W.partitionBy("y").orderBy(order, "_id"))
-    limit = F.when(F.col("y") == 1, settings.max_docs[1]).otherwise(settings.max_docs[0])
-    chosen = docs.select(F.col("doc_id").alias("_id")).distinct().join(truth, "_id").withColumn("r", rank)
-    chosen = chosen.where(f"r <= {max(settings.max_docs)}").where(F.col("r") <= limit)
+    labelled = docs.select(F.col("doc_id").alias("_id")).distinct().join(truth, "_id")
+    # Each task keeps the first rows of its own, so no task sees all ids of a class.
+    first, second = (labelled.where(F.col("y") == y).orderBy(order, "_id").limit(settings.max_docs[y]) for y in (0, 1))
+    chosen = first.unionByName(second)
     chosen = chosen.select("_id", F.col("y").cast("int").alias("y"), (F.pmod(order, F.lit(4)) != 0).alias("fit"))
     # max_docs bounds the ids chosen; repeated rows of an id count once.
     rows = docs.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(chosen), F.col("d") == F.col("_id"))

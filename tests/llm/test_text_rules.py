@@ -169,3 +169,14 @@ def test_license_texts_and_headers(spark):
     table = spark.createDataFrame(files, "doc_id long, text string, path string")
     got = {r.path: r.own for r in license_scan.scan_licenses(table, "doc_id").collect()}
     assert {p: (got[p], o) for p, o in want.items() if got[p] != o} == {}
+
+
+def test_training_rows_are_the_first_of_each_class(spark, toxic_docs):
+    """The first ids by hash, and no window that brings all ids of a class into one task."""
+    docs, labels = toxic_docs
+    rows = toxicity.training_rows(docs, labels, "toxic", toxicity.Settings(max_docs=(50, 20)))
+    order = labels.withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id")).orderBy("h").collect()
+    want = [r.doc_id for r in order if not r.toxic][:50] + [r.doc_id for r in order if r.toxic][:20]
+    assert sorted(r.doc_id for r in rows.collect()) == sorted(want)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" in plan and "Window" not in plan
