@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftmark.llm.common import WORD, let, words
 
 SYMBOLS = "[#*$%&|<>]+"
+BLANKS = " \t\n\x0b\f\r"
+CLOSING = "\"'”’»)]"
+SENTENCE_ENDS = tuple(".!?…。！？")
 # Whole lines of menus, and phrases of page furniture, in lower case.
 MENU_LINES = (
     "home", "menu", "search", "log in", "login", "sign in", "sign up", "register", "next", "previous", "back to top",
@@ -40,8 +43,9 @@ class LineRules:
 
 def fails_punctuation(line: Column, rules: LineRules) -> Column:
     """The line does not end as a sentence does, or shouts: doubled marks again and again."""
-    ends = F.substring(line, -12, 12).rlike(r"""[.!?…。！？]["'”’»)\]]*[\x20\x09-\x0D]*$""")
-    return ~ends | line.rlike(f"(?:[!?][!?][^!?]*){{{rules.max_shouts + 1}}}")
+    # Trailing white space, then closing marks, however many.
+    rest = F.rtrim(F.rtrim(line, F.lit(BLANKS)), F.lit(CLOSING))
+    return ~F.substring(rest, -1, 1).isin(*SENTENCE_ENDS) | line.rlike(f"(?:[!?][!?][^!?]*){{{rules.max_shouts + 1}}}")
 
 
 def fails_navigation(line: Column, low: Column, rules: LineRules) -> Column:

@@ -180,3 +180,9 @@ def test_training_rows_are_the_first_of_each_class(spark, toxic_docs):
     assert sorted(r.doc_id for r in rows.collect()) == sorted(want)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" in plan and "Window" not in plan
+
+
+def test_padded_lines_end_as_sentences(spark):
+    lines = ["A padded line." + " " * 40, "Tabs too!" + "\t" * 13 + "\r", "Quoted (deeply.)" + ")\"" * 9 + "  ", "no mark" + " " * 40, '"' * 15]
+    row = quality_rules.clean_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()[0]
+    assert row.clean_text.split("\n") == lines[:3]
