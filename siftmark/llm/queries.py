@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmark.llm import chat_windows, decontaminate, language_id, license_scan, mixing, pii, quality_rules, repeats, simhash, toxicity
+from siftmark.llm import byte_pairs, chat_windows, decontaminate, language_id, license_scan, mixing, pii, quality_rules, repeats, simhash, toxicity
 from siftmark.llm.common import fold, materialise, word_count
 
 
@@ -75,6 +75,21 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(files, "doc_id").select("doc_id", "path", "own", "license", "license_dir")
 
 
+def op13_byte_pairs(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Ids of every text and what they decode to. The vocabulary is a public tokenizer's file, by its path."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    shared = byte_pairs.share(spark, byte_pairs.load(vocabulary))
+    ids = byte_pairs.encode(_table(spark, sf_dir, "documents"), shared, ["doc_id"])
+    counted = ids.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids",
+    )
+    done = byte_pairs.decode(counted, shared, ["doc_id", "n_tokens", "ids_sha256"])
+    return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
@@ -86,4 +101,5 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
+    "op13_byte_pairs": op13_byte_pairs,
 }
