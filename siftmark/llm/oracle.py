@@ -2,7 +2,7 @@
 
 Not expressed: fingerprints by XXH64 (op2), language models (op5), clustered vectors (op6), sampling by
 another engine's hash (op7), a singular value decomposition (op8), byte strings (op9) and places of
-matches (op10). Those are tested against brute force.
+matches (op10), merges by rank (op13). Those are tested against brute force or the library itself.
 """
 
 from siftmark.llm.license_scan import TEMPLATES
@@ -117,8 +117,111 @@ SELECT doc_id, path, own, coalesce(own, n[2]) AS license, CASE WHEN own IS NULL
 FROM judged LEFT JOIN above USING (dir)
 """
 
+# CRC-32 of the id as text, bit by bit: DuckDB has no such function.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)))"""
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(text: str) -> str:
+    parts = [f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+_OP11 = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(dense_rank() OVER (ORDER BY lang NULLS FIRST), 0) AS tree, {_leaf('text')} AS leaf,
+    CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(_LOWER)} ELSE {_leaf('text')} END AS seen
+  FROM documents
+),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM docs
+),
+nodes AS (
+  SELECT tree, 0 AS level, idx, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 8, n
+),
+subroots AS (SELECT tree, level AS height, digest FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, tree - 1 AS idx, digest, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM upper WHERE n > 1 GROUP BY level, idx // 8, n
+),
+places AS (
+  SELECT r, tree, 0 AS level, idx, n FROM leaves
+  UNION ALL
+  SELECT r, tree, level + 1, idx // 8, (n + 7) // 8 FROM places WHERE n > 1
+),
+above AS (
+  SELECT r, 0 AS level, tree - 1 AS idx, (SELECT count(*) FROM subroots) AS n FROM leaves
+  UNION ALL
+  SELECT r, level + 1, idx // 8, (n + 7) // 8 FROM above WHERE n > 1
+),
+sides AS (
+  SELECT r, places.level AS step, coalesce(string_agg(nodes.digest, '' ORDER BY nodes.idx) FILTER (WHERE nodes.idx < places.idx), '') AS lft,
+    coalesce(string_agg(nodes.digest, '' ORDER BY nodes.idx) FILTER (WHERE nodes.idx > places.idx), '') AS rgt
+  FROM places JOIN nodes ON nodes.tree = places.tree AND nodes.level = places.level AND nodes.idx // 8 = places.idx // 8
+  WHERE places.n > 1 GROUP BY r, places.level, places.idx
+  UNION ALL
+  SELECT r, 1000 + above.level, coalesce(string_agg(upper.digest, '' ORDER BY upper.idx) FILTER (WHERE upper.idx < above.idx), ''),
+    coalesce(string_agg(upper.digest, '' ORDER BY upper.idx) FILTER (WHERE upper.idx > above.idx), '')
+  FROM above JOIN upper ON upper.level = above.level AND upper.idx // 8 = above.idx // 8
+  WHERE above.n > 1 GROUP BY r, above.level, above.idx
+),
+proofs AS (
+  SELECT r, sha256(string_agg(lft || rgt, '' ORDER BY step)) AS proof,
+    list([lft, rgt] ORDER BY step) AS steps
+  FROM sides GROUP BY r
+),
+folded AS (
+  SELECT leaves.*, coalesce(proof, sha256('')) AS proof,
+    list_reduce(list_prepend([seen, ''], coalesce(steps, [])), lambda a, s: [sha256(s[1] || a[1] || s[2]), ''])[1] AS folded_root
+  FROM leaves LEFT JOIN proofs USING (r)
+)
+SELECT doc_id, leaf, subroots.digest AS subroot, top.digest AS root, proof AS proof_sha256, folded_root, folded_root = top.digest AS verified
+FROM folded JOIN subroots USING (tree), (SELECT digest FROM upper WHERE n = 1) top
+"""
+
+_OP12 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws, {_CRC} AS h FROM documents
+),
+placed AS (SELECT *, len(ws) AS n, h // 10 AS g FROM docs),
+cut AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM placed),
+planted AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE
+    list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS ws
+  FROM cut
+),
+each AS (SELECT r, n, unnest(ws) AS w, unnest(range(n)) AS i FROM planted),
+alike AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM each x JOIN each y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+),
+stretches AS (
+  SELECT r, q, min(i) AS s, count(*) + q AS l
+  FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM alike) GROUP BY r, q, k
+),
+runs AS (SELECT r, s, l, min(q) AS q FROM stretches WHERE l >= greatest(6, 4 * q) GROUP BY r, s, l),
+dropped AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (
+  SELECT each.r, string_agg(w, ' ' ORDER BY each.i) AS t FROM each LEFT JOIN dropped ON dropped.r = each.r AND dropped.i = each.i
+  WHERE dropped.i IS NULL GROUP BY each.r
+),
+listed AS (
+  SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t,
+    first(s ORDER BY l DESC, s, q) AS s, first(l ORDER BY l DESC, s, q) AS l, first(q ORDER BY l DESC, s, q) AS q
+  FROM runs GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period,
+  (1000 * l // q)::BIGINT AS exponent_milli, sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM planted LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": _OP1,
     "op3_license_scan": _OP3,
     "op4_chat_windows": _OP4,
+    "op11_merkle": _OP11,
+    "op12_periodic_runs": _OP12,
 }

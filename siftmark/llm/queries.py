@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmark.llm import byte_pairs, chat_windows, decontaminate, language_id, license_scan, mixing, pii, quality_rules, repeats, simhash, toxicity
+from siftmark.llm import byte_pairs, chat_windows, decontaminate, language_id, license_scan, merkle, mixing, periodic_runs, pii, quality_rules, repeats, simhash, toxicity
 from siftmark.llm.common import fold, materialise, word_count
 
 
@@ -75,6 +75,39 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(files, "doc_id").select("doc_id", "path", "own", "license", "license_dir")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its proof; a third of them are tampered with before they are checked. A null id is not."""
+    docs = _table(spark, sf_dir, "documents")
+    columns = lambda text: [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf(columns(F.translate("text", upper, lower))))
+    manifest = merkle.build(docs, "lang", "doc_id", merkle.leaf(columns(F.col("text"))), [F.col("doc_id"), tampered.alias("tampered")])
+    proofs = merkle.prove(manifest).withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the texts, a tenth of which first get a period by the contract's rule. A null id plants none."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    planted = periodic_runs.plant_period(
+        F.col("text"), lambda n: g % n, lambda n, a: F.floor((n - a) / (g % 8 + 3)) + 1,
+    )
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.find_runs(docs, ["doc_id"])
+    runs = F.col("runs")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), (-F.col("top.s")).alias("start"), F.col("top.l").alias("length"),
+        (-F.col("top.p")).alias("period"), F.expr("(1000 * top.l) div (-top.p)").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Ids of every text and what they decode to. The vocabulary is a public tokenizer's file, by its path."""
     if vocabulary is None:
@@ -101,5 +134,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
+    "op11_merkle": op11_merkle,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_pairs": op13_byte_pairs,
 }
