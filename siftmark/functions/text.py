@@ -26,11 +26,20 @@ def line_body(content: Column) -> Column:
     return F.when(unix.endswith("\r"), F.substring(unix, F.lit(1), F.length(unix) - 1)).otherwise(unix)
 
 
+def last_newline_off(body: Column) -> Column:
+    """The text without one newline at its very end."""
+    return F.when(body.endswith("\n"), F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+
+
 def split_lines(body: Column) -> Column:
     """The lines; no empty one follows the last newline. Empty content needs a guard by
     the caller, because splitting '' gives one empty line, not none."""
-    whole = F.when(body.endswith("\n"), F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
-    return F.split(whole, "\n", -1)
+    return F.split(last_newline_off(body), "\n", -1)
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def file_suppressed(body: Column, marker: str) -> Column:
@@ -54,6 +63,26 @@ def byte_column(line: Column, line_regex: Column) -> Column:
     return F.octet_length(F.get(before, 0)) + F.lit(1)
 
 
+def truncate_bytes(col: Column, n: int, mark: str = "\u2026") -> Column:
+    """Texts of at most n bytes as they are, longer ones cut to n - 1 bytes with the mark behind.
+
+    The cut goes back to the start of a character that it would split, so the result is valid UTF-8.
+    """
+    if n < 1:
+        raise ValueError("texts cannot be cut to less than one byte")
+    raw = col.cast("binary")
+
+    def splits(keep: int) -> Column:
+        """The byte behind the first `keep` ones goes on with a character."""
+        return F.hex(F.substring(raw, keep + 1, 1)).between("80", "BF")
+
+    keep = F.lit(max(n - 4, 0))
+    for k in range(max(n - 3, 0), n):  # a character has at most three bytes behind its first one
+        keep = F.when(~splits(k), F.lit(k)).otherwise(keep)
+    cut = F.substring(raw, F.lit(1), keep).cast("string")
+    return F.when(F.octet_length(col) <= n, col).otherwise(F.concat(cut, F.lit(mark)))
+
+
 def extension(path: Column) -> Column:
     """Lower-cased suffix of the last path segment from its last dot, '' without one."""
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmark.functions.signing import hmac_hex, signature_valid, signing_key, stable_id, webhook_signature
+from siftmark.functions.text import truncate_bytes
 
 AUDIT_COLUMNS = ["id", "job_id", "event_type", "actor", "payload", "signature", "created_at"]
 DEFAULT_LIMIT = 50  # fixed value
@@ -71,6 +72,16 @@ def query_audit(entries: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0,
     return out.limit(limit) if limit > 0 else out
 
 
+def list_audit(entries: DataFrame, id_bytes: int = 32, job_bytes: int = 24) -> DataFrame:
+    """(id, job_id, event_type, actor, text): what a listing shows, long ids cut to that many bytes; `text` is the
+    row in columns of fixed width."""
+    shown = entries.select(
+        truncate_bytes(F.col("id"), id_bytes).alias("id"), truncate_bytes(F.col("job_id"), job_bytes).alias("job_id"), "event_type", "actor",
+    )
+    pad = lambda name, width: F.when(F.length(name) < width, F.rpad(name, width, " ")).otherwise(F.col(name))
+    return shown.withColumn("text", F.concat_ws("  ", pad("id", id_bytes), pad("job_id", job_bytes), pad("event_type", 20), F.col("actor")))
+
+
 def verify_audit(entries: DataFrame, secret: DataFrame | str, ids: DataFrame | None = None) -> DataFrame:
     """(id, valid) for every entry, or for the asked ids; an unknown id is not valid."""
     key = signing_key(entries.sparkSession, secret)

@@ -16,7 +16,7 @@ def inline_examples(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 def _as_rows(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     rows = [
-        (r.rule_id, r.supported, r.pattern.negate, r.translated.line if r.supported else None, r.translated.search if r.supported else None)
+        (r.rule_id, r.supported, r.pattern.negate, r.translated.line if r.translated else None, r.translated.search if r.translated else None)
         for r in rules
     ]
     return spark.createDataFrame(rows, "rule_id string, supported boolean, negate boolean, line string, search string")
@@ -26,16 +26,22 @@ def judge_examples(examples: DataFrame, rules: list[Rule], marker: str = text.DE
     """Examples with `fired` and `ok`; an example of an unknown rule has null for both.
 
     Enabled, language and file suppression do not matter here, line suppression does. The rules
-    are rows, so the plan is the same for any pack.
+    are rows, so the plan grows only with rules of kinds that test in columns of their own.
     """
     known = _as_rows(examples.sparkSession, rules).withColumnRenamed("rule_id", "_rule")
     rows = examples.join(known, F.col("rule_id") == F.col("_rule"), "left")
     snippet, body = F.col("snippet"), text.line_body(F.col("snippet"))
-    hit = lambda l: F.rlike(l, F.col("line")) & ~text.line_suppressed(l, F.col("rule_id"), marker)
+    loud = lambda l: ~text.line_suppressed(l, F.col("rule_id"), marker)
+    hit = lambda l: (F.regexp_instr(l, F.col("line")) > 0) & loud(l)
     lines = F.when(F.length(snippet) > 0, text.split_lines(body)).otherwise(F.array().cast("array<string>"))
-    fired = (
-        F.when(~F.col("supported"), False).when(F.col("negate"), ~F.rlike(snippet, F.col("line")))
-        .when(F.col("supported"), F.rlike(body, F.col("search")) & F.exists(lines, hit))
+    fired = F.when(~F.col("supported"), False)
+    for rule in rules:
+        if rule.supported and rule.translated is None:
+            test = lambda l: rule.kind.line(rule.pattern, l)
+            own = ~F.exists(lines, test) if rule.pattern.negate else F.exists(lines, lambda l: test(l) & loud(l))
+            fired = fired.when(F.col("rule_id") == rule.rule_id, own)
+    fired = fired.when(F.col("negate"), ~F.rlike(snippet, F.col("line"))).when(
+        F.col("supported"), F.rlike(body, F.col("search")) & F.exists(lines, hit)
     )
     judged = rows.withColumn("fired", fired).select(*examples.columns, "fired")
     return judged.withColumn("ok", F.col("fired") == F.col("expected_fire"))

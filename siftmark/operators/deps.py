@@ -1,14 +1,23 @@
-"""Dependency manifests: inventory and unpinned versions.
+"""Dependency manifests: inventory, versions and unpinned dependencies.
 
-One manifest is one expression over its text, so the inventory is a projection
+One manifest is one expression over its text, so what a file declares is a projection
 and an explode, without a shuffle:
 
 requirements.txt  name, extras dropped, version after `==`; another operator also
                   counts as a version unless `strict`
-package.json      dependencies and devDependencies; '', '*' and 'latest' are no version
+package.json      dependencies, dev, peer and optional dependencies; '', '*' and 'latest' are
+                  no version
 go.mod            require lines and require blocks
-Cargo.toml        [dependencies] and [dev-dependencies]: `name = "v"` or `version = "v"`
-pom.xml           every <dependency>, named group:artifact
+Cargo.toml        [dependencies], [dev-dependencies] and [build-dependencies], also of a
+                  [target]: `name = "v"` or `version = "v"`; tables like [dependencies.name]
+pom.xml           every <dependency> that is not only managed, named group:artifact; its version
+                  may be managed by the file, and may name properties of the file
+
+A pom may leave versions and properties to a parent. `inventory_dependencies` looks them up in
+the poms of the folders above, the nearest first, by joins on (job, folder, name); only
+dependencies that their own file leaves open take part. A version that no pom of the tree
+tells is empty there. The one-pass scan sees one file at a time: a property that the file does
+not define counts as a version there.
 """
 
 from __future__ import annotations
@@ -17,13 +26,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftmark.functions.text import let
+from siftmark.plans.shared import materialise
+
 # Fixed values of the finding for a dependency without a version.
 UNPINNED = {
     "rule_id": "DEP-001", "name": "Unpinned dependency", "category": "compliance", "severity": "medium",
     "message": "Unpinned dependency: ", "fix": "Pin to an exact version for reproducible builds.",
 }
 _DEP = "array<struct<ecosystem:string,name:string,version:string>>"
-_NPM = "dependencies map<string,string>, devDependencies map<string,string>"
+_NPM_SECTIONS = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
+_NPM = ", ".join(f"{name} map<string,string>" for name in _NPM_SECTIONS)
+_PAIR = "array<struct<name:string,value:string>>"
+_ROUNDS = 3  # properties may name properties, this deep
 
 
 def _dep(ecosystem: str, name: Column, version: Column) -> Column:
@@ -55,7 +70,7 @@ def _requirements(text: Column, strict: bool) -> Column:
 def _package_json(text: Column) -> Column:
     doc = F.from_json(text, _NPM)
     both = [F.coalesce(F.map_entries(doc[k]), F.array().cast("array<struct<key:string,value:string>>"))
-            for k in ("dependencies", "devDependencies")]
+            for k in _NPM_SECTIONS]
 
     def parse(e):
         version = F.trim(F.coalesce(e["value"], F.lit("")))
@@ -76,31 +91,101 @@ def _go_mod(text: Column) -> Column:
     return _named(F.transform(F.concat(single, inside), parse))
 
 
+_CARGO = r"(?:target\.[^\]\n]+\.)?(?:dev-|build-)?dependencies"
+_QUOTED = r"""["']([^"']*)["']"""
+
+
 def _cargo(text: Column) -> Column:
-    sections = _all(text, r"(?ms)^[ \t]*\[(?:dev-)?dependencies\][^\n]*\n(.*?)(?=^[ \t]*\[|\z)")
+    behind = r"[^\n]*(?:\n(.*?))?(?=^[ \t]*\[|\z)"
+    sections = _all(text, rf"(?ms)^[ \t]*\[{_CARGO}\]{behind}")
     lines = F.flatten(F.transform(sections, lambda s: F.split(s, r"\r?\n")))
+    pinned = lambda v: F.when(v == "*", "").otherwise(v)
 
     def parse(line):
         bare = F.regexp_replace(line, r"^\s*#.*", "")
         value = F.regexp_extract(bare, r"=\s*(.*)$", 1)
-        plain = F.regexp_extract(value, r"""^["']([^"']*)["']""", 1)
-        table = F.regexp_extract(value, r"""^\{.*?\bversion\s*=\s*["']([^"']*)["']""", 1)
-        version = F.when(plain != "", plain).otherwise(table)
-        return _dep("cargo", F.regexp_extract(bare, r"""^\s*["']?([A-Za-z0-9_-]+)["']?\s*=""", 1),
-                    F.when(version == "*", "").otherwise(version))
+        plain = F.regexp_extract(value, "^" + _QUOTED, 1)
+        table = F.regexp_extract(value, r"^\{.*?\bversion\s*=\s*" + _QUOTED, 1)
+        name = F.regexp_extract(bare, r"""^\s*["']?([A-Za-z0-9_-]+)["']?\s*=""", 1)
+        return _dep("cargo", name, pinned(F.when(plain != "", plain).otherwise(table)))
 
-    return _named(F.transform(lines, parse))
+    # A table of one dependency: its name stands in the header, its version on a line of its own.
+    header = rf"""(?ms)^[ \t]*\[{_CARGO}\.["']?([A-Za-z0-9_-]+)["']?\]{behind}"""
+    tables = F.zip_with(_all(text, header, 1), _all(text, header, 2), lambda name, body: _dep(
+        "cargo", name, pinned(F.regexp_extract(body, r"(?m)^[ \t]*version[ \t]*=[ \t]*" + _QUOTED, 1))))
+    return F.concat(_named(F.transform(lines, parse)), tables)
 
 
-def _pom(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+_MANAGED = r"(?s)<dependencyManagement>.*?</dependencyManagement>"
+
+
+def _pom_text(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+
+
+def _pom_deps(bare: Column) -> Column:
+    """array<struct<name,value>>: the dependencies of a piece of a pom with their versions as written."""
     found = _all(bare, r"(?s)<dependency>(.*?)</dependency>")
+    tag = lambda d, name: F.regexp_extract(d, rf"<{name}>\s*([^<]*?)\s*</{name}>", 1)
+    return F.transform(found, lambda d: F.struct(
+        F.concat(tag(d, "groupId"), F.lit(":"), tag(d, "artifactId")).alias("name"), tag(d, "version").alias("value")))
+
+
+def _pom_managed(bare: Column) -> Column:
+    return _pom_deps(F.array_join(_all(bare, f"({_MANAGED})"), ""))
+
+
+def _pom_properties(bare: Column) -> Column:
+    """array<struct<name,value>>: the properties of a pom, its own version and that of its parent among them."""
+    block = F.array_join(_all(bare, r"(?s)<properties>(.*?)</properties>"), "")
+    entry = r"<([A-Za-z0-9_.-]+)>\s*([^<]*?)\s*</\1>"
+    named = F.zip_with(_all(block, entry, 1), _all(block, entry, 2), lambda n, v: F.struct(n.alias("name"), v.alias("value")))
+    version = r"<version>\s*([^<]*?)\s*</version>"
+    parent = F.regexp_extract(F.regexp_extract(bare, r"(?s)<parent>(.*?)</parent>", 1), version, 1)
+    blocks = "|".join(f"<{b}>.*?</{b}>" for b in ("parent", "dependencyManagement", "dependencies", "build", "profiles", "properties"))
+    stated = F.regexp_extract(F.regexp_replace(bare, f"(?s){blocks}", ""), version, 1)
+    own = F.when(stated != "", stated).otherwise(parent)
+    more = {"project.version": own, "version": own, "project.parent.version": parent}
+    known = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in more.items()])
+    return F.concat(named, F.filter(known, lambda p: p["value"] != ""))
+
+
+def _lookup(pairs: Column, name: Column) -> Column:
+    return F.get(F.filter(pairs, lambda p: p["name"] == name), 0)["value"]
+
+
+def _placeholder(version: Column) -> Column:
+    """The first property that a version names, '' if it names none."""
+    return F.regexp_extract(version, r"\$\{([^}]+)\}", 1)
+
+
+def _put(version: Column, name: Column, value: Column) -> Column:
+    return F.replace(version, F.concat(F.lit("${"), name, F.lit("}")), value)
 
-    def parse(d):
-        tag = lambda name: F.regexp_extract(d, rf"<{name}>\s*([^<]*?)\s*</{name}>", 1)
-        return _dep("maven", F.concat(tag("groupId"), F.lit(":"), tag("artifactId")), tag("version"))
 
-    return F.transform(found, parse)
+def _expand(version: Column, properties: Column) -> Column:
+    """The version with the properties it names; what is not among them stays as it is."""
+    for _ in range(_ROUNDS):
+        name = _placeholder(version)
+        value = _lookup(properties, name)
+        version = F.when((name != "") & value.isNotNull(), _put(version, name, value)).otherwise(version)
+    return version
+
+
+def _pom(text: Column) -> Column:
+    def parse(bare):
+        def resolve(parts):
+            def one(d):
+                managed = F.when(d["value"] == "", F.coalesce(_lookup(parts["managed"], d["name"]), F.lit(""))).otherwise(d["value"])
+                return _dep("maven", d["name"], _expand(managed, parts["properties"]))
+
+            return F.transform(parts["deps"], one)
+
+        own = F.regexp_replace(bare, _MANAGED, "")
+        parts = F.struct(_pom_deps(own).alias("deps"), _pom_managed(bare).alias("managed"), _pom_properties(bare).alias("properties"))
+        return let(parts, resolve)
+
+    return let(_pom_text(text), parse)
 
 
 def manifest_deps(path: Column, content: Column, strict: bool = False) -> Column:
@@ -123,14 +208,79 @@ def is_manifest(path: Column) -> Column:
     return reduce(lambda a, b: a | b, [path.endswith(m) for m in MANIFESTS])
 
 
-def inventory_dependencies(files: DataFrame, strict: bool = False) -> DataFrame:
-    """deps(job_id, path, ecosystem, name, version), one row per declared dependency."""
+def declared_dependencies(files: DataFrame, strict: bool = False) -> DataFrame:
+    """deps(job_id, path, ecosystem, name, version) as far as each file tells, one row per declared dependency."""
     found = files.where(is_manifest(F.col("path"))).select(
         "job_id", "path", F.explode(manifest_deps(F.col("path"), F.col("content"), strict)).alias("d")
     )
     return found.select("job_id", "path", "d.ecosystem", "d.name", "d.version")
 
 
+def _folder(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(?:(.*)/)?[^/]*$", 1)
+
+
+def _above(folder: Column) -> Column:
+    """The folder and all above it, from the file's own up to the root ''."""
+    parts = F.filter(F.split(folder, "/"), lambda p: p != "")
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
+def _nearest(asked: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """`asked` (id, job_id, folder and the named column) with the value of the nearest folder above that knows it."""
+    places = asked.select("id", "job_id", F.col(name).alias("_name"), F.explode(_above(F.col("folder"))).alias("_folder"))
+    known = known.select(F.col("job_id").alias("_job"), F.col("folder").alias("_at"), F.col("name").alias("_known"), "value")
+    same = F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("_folder") == F.col("_at")) & (F.col("_name") == F.col("_known"))
+    found = places.join(known, same).groupBy(F.col("id").alias("_id")).agg(F.max_by("value", F.length("_at")).alias("value"))
+    return asked.join(found, F.col("id") == F.col("_id"), "left").drop("_id")
+
+
+def inventory_dependencies(files: DataFrame, strict: bool = False) -> DataFrame:
+    """deps(job_id, path, ecosystem, name, version), one row per declared dependency; versions that a pom leaves to
+    the poms above are looked up there. What is declared is written to a table while the query is built."""
+    declared = materialise(declared_dependencies(files, strict).withColumn("id", F.monotonically_increasing_id()), "declared")
+    is_open = (F.col("ecosystem") == "maven") & ((F.col("version") == "") | (_placeholder(F.col("version")) != ""))
+    poms = files.where(F.col("path").endswith("pom.xml") & (F.substring_index("path", "/", -1) == "pom.xml"))
+    poms = poms.select("job_id", _folder(F.col("path")).alias("folder"), _pom_text(F.col("content")).alias("bare"))
+
+    def entries(pairs: Column) -> DataFrame:
+        """One value for each (job_id, folder, name); the first by text if a folder tells several."""
+        rows = poms.select("job_id", "folder", F.inline(pairs)).where("name <> '' AND value <> ''")
+        return rows.groupBy("job_id", "folder", "name").agg(F.min("value").alias("value"))
+
+    left = declared.where(is_open).withColumn("folder", _folder(F.col("path")))
+    if left.isEmpty():
+        return declared.drop("id")
+    managed, properties = entries(_pom_managed(F.col("bare"))), materialise(entries(_pom_properties(F.col("bare"))), "pom-properties")
+    left = _nearest(left, managed, "name")
+    left = left.withColumn("version", F.when(F.col("version") == "", F.coalesce("value", F.lit(""))).otherwise(F.col("version"))).drop("value")
+    for _ in range(_ROUNDS):
+        left = _nearest(left.withColumn("_asked", _placeholder(F.col("version"))), properties, "_asked")
+        put = F.when(F.col("value").isNotNull(), _put(F.col("version"), F.col("_asked"), F.col("value"))).otherwise(F.col("version"))
+        left = left.withColumn("version", put).drop("_asked", "value")
+    known = F.when(_placeholder(F.col("version")) != "", "").otherwise(F.col("version")).alias("known")
+    told = left.select(F.col("id").alias("_id"), known)
+    joined = declared.join(told, F.col("id") == F.col("_id"), "left")
+    return joined.select("job_id", "path", "ecosystem", "name", F.coalesce("known", "version").alias("version"))
+
+
+def manifest_rejects(files: DataFrame) -> DataFrame:
+    """(job_id, path, reason) of the manifests that cannot be read, or only in part."""
+    path, content = F.col("path"), F.col("content")
+    name = F.substring_index(path, "/", -1)
+    broken = F.from_json(content, f"{_NPM}, _bad string", {"columnNameOfCorruptRecord": "_bad"})["_bad"]
+    count = lambda regex: F.size(_all(content, regex, 0))
+    reason = (
+        F.when(content.isNull(), "no text")
+        .when((name == "package.json") & (broken.isNotNull() | ~content.rlike(r"\A\s*\{")), "no JSON object")
+        .when((name == "pom.xml") & ~content.rlike(r"(?s)<project[\s>].*</project>"), "no whole project element")
+        .when((name == "go.mod") & (count(r"(?m)^[ \t]*require[ \t]*\(") > count(r"(?ms)^[ \t]*require[ \t]*\(.*?^[ \t]*\)")), "open require block")
+        .when((name == "Cargo.toml") & content.rlike(r"(?m)^[ \t]*\[[^\]\r\n]*$"), "open section header")
+    )
+    found = files.where(is_manifest(path) & name.isin(MANIFESTS)).select("job_id", "path", reason.alias("reason"))
+    return found.where("reason IS NOT NULL")
+
+
 def scan_unpinned(deps: DataFrame) -> DataFrame:
     """One finding per dependency without a version, in the shape of the other findings."""
     lit = lambda name: F.lit(UNPINNED[name])

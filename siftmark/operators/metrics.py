@@ -48,14 +48,14 @@ def counter_samples(counts: DataFrame, keys: list[str], counters: list[str]) ->
     return counts.select(*keys, "window_start", F.inline(cells))
 
 
-def inflight(log: DataFrame, keys: list[str], ts: str, tie: str, latency_ms: str, seconds: int = 3600) -> DataFrame:
+def inflight(log: DataFrame, keys: list[str], ts: str, tie: str, latency_ms: str, parts: int | None = None) -> DataFrame:
     """Requests in flight after every start and end of a request; `ts` is the start."""
     end = F.col(ts) + F.make_dt_interval(secs=F.col(latency_ms) / 1000)
     moves = F.array(
         F.struct(F.col(ts).alias("at"), F.lit(1).alias("move")), F.struct(end.alias("at"), F.lit(-1).alias("move")),
     )
     rows = log.select(*keys, tie, F.inline(moves))
-    return running_sum(rows, keys, "at", ["move", tie], F.col("move"), "inflight", seconds)
+    return running_sum(rows, keys, "at", ["move", tie], F.col("move"), "inflight", parts)
 
 
 def latency_histogram(
@@ -115,19 +115,19 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], quantiles: dict[str,
     return held.select(*keys, *[quantile_of(F.col("_s"), q).alias(name) for name, q in quantiles.items()])
 
 
-def counter_increase(samples: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", tie: tuple[str, ...] = (), seconds: int = 3600) -> DataFrame:
+def counter_increase(samples: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", tie: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Adds `increase` since the sample before; after a reset the value itself, null for the first."""
-    out = previous_value(samples, keys, ts, list(tie), value, "_prev", seconds)
+    out = previous_value(samples, keys, ts, list(tie), value, "_prev", parts)
     v, prev = F.col(value), F.col("_prev")
     return out.withColumn("increase", F.when(prev.isNotNull(), F.when(v < prev, v).otherwise(v - prev))).drop("_prev")
 
 
 def counter_rate(
     samples: DataFrame, keys: list[str], window_seconds: int = 60, ts: str = "ts", value: str = "value",
-    tie: tuple[str, ...] = (), seconds: int = 3600,
+    tie: tuple[str, ...] = (), parts: int | None = None,
 ) -> DataFrame:
     """Per-second increase of a counter per window."""
-    inc = counter_increase(samples, keys, ts, value, tie, seconds)
+    inc = counter_increase(samples, keys, ts, value, tie, parts)
     out = inc.groupBy(*keys, F.window(ts, f"{window_seconds} seconds").alias("w")).agg(
         (F.coalesce(F.sum("increase"), F.lit(0.0)) / F.lit(float(window_seconds))).alias("rate")
     )
@@ -150,7 +150,7 @@ def band(value: Column, steps: list[tuple[str, float]] = QUEUE_BANDS) -> Column:
 
 
 def queue_depth(
-    moves: DataFrame, keys: list[str], ts: str, tie: str, move: Column, seconds: int = 3600,
+    moves: DataFrame, keys: list[str], ts: str, tie: str, move: Column, parts: int | None = None,
 ) -> DataFrame:
     """Adds `depth`, the running sum of +1 (enqueue) and -1 (dequeue)."""
-    return running_sum(moves, keys, ts, [tie], move, "depth", seconds)
+    return running_sum(moves, keys, ts, [tie], move, "depth", parts)

@@ -22,7 +22,16 @@ def summarise(findings: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
 
     With `jobs` (a frame with job_id) jobs without findings are there too.
     """
-    parts = findings.groupBy("job_id", "severity", "category").agg(F.count(F.lit(1)).alias("n"))
+    return summarise_counts(count_findings(findings), jobs)
+
+
+def count_findings(findings: DataFrame) -> DataFrame:
+    """(job_id, severity, category, n); counts of parts of a job can be added up."""
+    return findings.groupBy("job_id", "severity", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def summarise_counts(parts: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """`summarise` from (job_id, severity, category, n), one row for each of the three."""
     # at most one row per severity and category of the packs is collected per job
     per_job = parts.groupBy("job_id").agg(
         F.sum("n").alias("total_findings"),
@@ -109,7 +118,8 @@ def number_findings(findings: DataFrame) -> DataFrame:
 def finding_parts(findings: DataFrame, per_part: int = 5000) -> DataFrame:
     """Adds `part`, from 0: the first `per_part` findings of a job in finding order, the next, and so on.
 
-    The rule is the same for every job; no task sorts or holds a whole job.
+    The rule is the same for every job; no task sorts or holds a whole job. The numbered findings are written to
+    a table while the query is built.
     """
     part = F.floor((F.col("number") - 1) / F.lit(per_part)).cast("long")
     return number_findings(findings).withColumn("part", part).drop("number")
@@ -141,14 +151,17 @@ def cap_findings(findings: DataFrame, n: int) -> DataFrame:
     """The first n findings of each job in finding order, with their `rank`; n <= 0 keeps all.
 
     Spark cuts every task's rows to n before the shuffle (window group limit) as long as n does not
-    exceed that limit's threshold; for more, findings are numbered by ranges.
+    exceed that limit's threshold; for more, findings are numbered by ranges, which writes them to a table
+    while the query is built.
     """
     if n <= 0:
         return findings
     if n > int(findings.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        return number_findings(findings).withColumnRenamed("number", "rank").where(F.col("rank") <= n)
-    rank = F.row_number().over(Window.partitionBy("job_id").orderBy(*finding_order()))
-    return findings.withColumn("rank", rank).where(F.col("rank") <= n)
+        found = number_findings(findings).withColumnRenamed("number", "rank").where(F.col("rank") <= n)
+    else:
+        rank = F.row_number().over(Window.partitionBy("job_id").orderBy(*finding_order()))
+        found = findings.withColumn("rank", rank).where(F.col("rank") <= n)
+    return found.withColumn("rank", F.col("rank").cast("int"))
 
 
 def job_report(summary: DataFrame, findings: DataFrame, jobs: DataFrame | None = None, top: int = 15) -> DataFrame:

@@ -3,10 +3,14 @@
 File level: every rule is tried once on the whole text (a plain substring test
 first, where the pattern has one), which leaves the few rules that can hit some line.
 Required patterns and manifests are decided on the whole text in the same projection.
-Each file becomes one row per remaining rule, its text is split into lines there, and
-a line is matched against the pattern of its row. The pattern changes only from row to
-row of a file, so it is compiled rarely, and the plan does not grow with the pack
-beyond the file level. No shuffle, one read of the input.
+Only texts with such rules are split into lines, once. The remaining rules travel as an
+array of numbers beside the lines, and each is tried on all lines in turn; patterns are
+data there, so the plan does not grow with the pack beyond the file level. Rows are made
+for hits only. No shuffle, one read of the input.
+
+Texts above `long_text` bytes go a way of their own: they are cut into ranges of lines,
+each with the number of lines before it, and the ranges are dealt over all tasks. They are
+picked by a second read of the input, which `long_text=0` spares.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ SECRET = {
     "severity": "high", "fix": "Move to an environment variable or secrets manager.",
 }
 _SECRET_SEARCH = r"""[:=][\t\n\f\r ]*["'][^"'\t\n\f\r ]{12,}["']"""
-_ITEMS = "array<struct<rule:int,whole:boolean,idx:int,detail:string>>"
+_ITEM = {"rule": "int", "whole": "boolean", "idx": "int", "detail": "string", "line": "int", "place": "int", "text": "string"}
+_ROW = f"struct<{','.join(f'{name}:{kind}' for name, kind in _ITEM.items())}>"
+_ITEMS = f"array<{_ROW}>"
 _INTS = "array<int>"
+_PIECES = "array<struct<before:int,body:string>>"
 _META = ["rule_id", "name", "category", "severity", "message", "fix"]
 
 
@@ -47,6 +54,8 @@ class ScanOptions:
     fail_on: str = "high"
     exclude: tuple[str, ...] = field(default=())
     spread: bool = False  # the files come straight from storage, maybe in few large splits
+    long_text: int = 32 << 20  # texts of more bytes are cut into ranges of lines and dealt; 0: no text is
+    range_lines: int = 20_000  # lines of a range
 
     @property
     def threshold(self) -> float:
@@ -69,13 +78,23 @@ def _all(*tests: Column | None) -> Column:
     return reduce(lambda a, b: a & b, [t for t in tests if t is not None])
 
 
-def _may_hit(rule: Rule, body: Column, lowered: Column) -> Column:
-    """No false negatives; the substring tests spare most texts the regex."""
+def _may_hit(rule: Rule, body: Column, lowered: Column) -> Column | None:
+    """No false negatives; the substring tests spare most texts the regex. None: any text may hit."""
     pattern = rule.translated
+    if pattern is None:
+        return rule.kind.file(rule.pattern, body) if rule.kind.file else None
     literals = [(lowered if fold else body).contains(text) for text, fold in pattern.literals]
     return _all(_any(literals) if literals else None, body.rlike(pattern.search))
 
 
+def _never_hits(rule: Rule, content: Column, body: Column) -> Column:
+    """No place of a text fits the rule's pattern."""
+    if rule.translated is not None:
+        return ~content.rlike(rule.translated.line)
+    test = lambda line: rule.kind.line(rule.pattern, line)
+    return F.when(content == "", True).otherwise(~F.exists(text.split_lines(body), test))
+
+
 def _numbers(tests: list[Column], numbers: list[int]) -> Column:
     """The numbers of the tests that hold, as array<int>."""
     if not tests:
@@ -84,9 +103,10 @@ def _numbers(tests: list[Column], numbers: list[int]) -> Column:
     return F.array_compact(F.transform(F.array(*tests), lambda t, i: F.when(t, F.get(order, i))))
 
 
-def _item(rule: Column, whole: bool, idx=None, detail=None) -> Column:
-    cols = (rule, F.lit(whole), F.lit(0) if idx is None else idx, F.lit(None).cast("string") if detail is None else detail)
-    return F.struct(*[c.alias(n) for c, n in zip(cols, ("rule", "whole", "idx", "detail"))])
+def _item(rule: Column, whole: bool, **fields: Column) -> Column:
+    """One hit; what is not given is null."""
+    given = {"rule": rule, "whole": F.lit(whole), "idx": F.lit(0), **fields}
+    return F.struct(*[given.get(name, F.lit(None)).alias(name) for name in _ITEM]).cast(_ROW)
 
 
 def _constants(rows: list[dict], fields: list[str], number: Column) -> Column:
@@ -95,60 +115,103 @@ def _constants(rows: list[dict], fields: list[str], number: Column) -> Column:
     return F.get(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>"), number)
 
 
-def _hits(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
-    """(job_id, path, rule, whole, idx, detail, line, text): one row per hit.
+def _pattern_rows(rules: list[Rule]) -> list[dict]:
+    rows = [{"first": r.translated.first, "line": r.translated.line} if r.translated else {} for r in rules]
+    return [*rows, {"line": entropy.ASSIGNMENT}]
 
-    `rule` is the position in the pack; the two numbers behind stand for secrets and
-    dependencies. A hit of a whole text has no line text.
-    """
-    active = [(i, r) for i, r in enumerate(rules) if r.active and r.languages] if opts.rules else []
-    by_line = [(i, r) for i, r in active if not r.pattern.negate]
-    required = [(i, r) for i, r in active if r.pattern.negate]
-    body, content, lang, off = F.col("body"), F.col("content"), F.col("lang"), F.col("off")
-    none, no_rules = F.array().cast(_ITEMS), F.array().cast(_INTS)
 
-    prepared = files.select(
-        "job_id", "path", F.lower("language").alias("lang"), "content", text.line_body(F.col("content")).alias("body"),
-    )
-    prepared = prepared.select("*", F.lower("body").alias("lowered"), text.file_suppressed(body, opts.marker).alias("off"))
-
-    items = []
-    if by_line:
-        tests = [_all(applies_to(r, lang), _may_hit(r, body, F.col("lowered"))) for _, r in by_line]
-        likely = F.when(~off & (content != ""), _numbers(tests, [i for i, _ in by_line])).otherwise(no_rules)
-        items.append(F.transform(likely, lambda i: _item(i, False)))
+def _whole_items(content: Column, body: Column, lang: Column, off: Column, rules: list[Rule], opts: ScanOptions) -> Column:
+    """Hits of whole texts: required patterns that are missing, dependencies without a version."""
+    none, items = F.array().cast(_ITEMS), []
+    required = [(i, r) for i, r in enumerate(rules) if r.active and r.languages and r.pattern.negate] if opts.rules else []
     if required:
-        tests = [_all(applies_to(r, lang), ~content.rlike(r.translated.line)) for _, r in required]
-        missing = F.when(~off, _numbers(tests, [i for i, _ in required])).otherwise(no_rules)
+        tests = [_all(applies_to(r, lang), _never_hits(r, content, body)) for _, r in required]
+        missing = F.when(~off, _numbers(tests, [i for i, _ in required])).otherwise(F.array().cast(_INTS))
         items.append(F.transform(missing, lambda i: _item(i, True)))
-    if opts.secrets:
-        items.append(F.when(body.rlike(_SECRET_SEARCH), F.array(_item(F.lit(len(rules)), False))).otherwise(none))
     if opts.deps:
         found = manifests.manifest_deps(F.col("path"), content, opts.strict_deps)
         unpinned = F.transform(
             F.filter(found, lambda d: d["version"] == ""),
-            lambda d, i: _item(F.lit(len(rules) + 1), True, i, d["name"]),
+            lambda d, i: _item(F.lit(len(rules) + 1), True, idx=i, detail=d["name"]),
         )
         items.append(F.when(manifests.is_manifest(F.col("path")), F.coalesce(unpinned, none)).otherwise(none))
-    listed = F.concat(*items) if items else none
-    # The outer forms keep Catalyst from deriving filters that would evaluate the tests twice.
-    item = F.col("item")
-    rows = prepared.select("job_id", "path", "body", F.explode_outer(listed).alias("item")).where(item.isNotNull())
-
-    patterns = [{"first": r.translated.first, "line": r.translated.line} if r.supported else {} for r in rules]
-    patterns.append({"line": entropy.ASSIGNMENT})
-    rows = rows.select("job_id", "path", "body", "item.*").withColumn(
-        "pattern", _constants(patterns, ["first", "line"], F.col("rule"))
-    )
-    lines = F.when(F.col("whole"), F.array(F.lit(""))).otherwise(text.split_lines(body))
-    split = rows.select(
-        "job_id", "path", "rule", "whole", "idx", "detail", F.col("pattern.first").alias("first"),
-        F.col("pattern.line").alias("regex"), F.posexplode(lines).alias("pos", "text"),
-    )
-    line = F.col("text")
-    first = F.col("first").isNull() | F.rlike(line, F.col("first"))
-    hit = F.col("whole") | (first & F.rlike(line, F.col("regex")))
-    return split.where(hit).withColumn("line", F.col("pos") + 1).drop("pos", "first")
+    return F.concat(*items) if items else none
+
+
+def _texts(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
+    """(job_id, path, lang, off, full, before, body, whole): the texts, long ones as several ranges of lines.
+
+    `full` says that the text is not empty. Hits of the whole text go with its first range.
+    """
+    content, body, off = F.col("content"), F.col("body"), F.col("off")
+    prepared = files.select("job_id", "path", F.lower("language").alias("lang"), "content", text.line_body(content).alias("body"))
+    texts = prepared.select("*", text.file_suppressed(body, opts.marker).alias("off"))
+    head = ["job_id", "path", "lang", "off", (content != "").alias("full")]
+    whole = _whole_items(content, body, F.col("lang"), off, rules, opts).alias("whole")
+    size = F.coalesce(F.octet_length(content), F.lit(0))
+    if opts.long_text <= 0:
+        return texts.select(*head, F.lit(0).alias("before"), "body", whole)
+    short = texts.where(size <= opts.long_text).select(*head, F.lit(0).alias("before"), "body", whole)
+    long = texts.where(size > opts.long_text)
+    joined = lambda lines: F.concat(F.array_join(lines, "\n"), F.lit("\n"))
+    pieces = text.let(text.split_lines(body), lambda lines: F.transform(
+        F.sequence(F.lit(0), F.size(lines) - 1, F.lit(opts.range_lines)),
+        lambda k: F.struct(k.alias("before"), joined(F.slice(lines, k + 1, opts.range_lines)).alias("body")),
+    ))
+    cut = long.select(*head, whole, F.inline(pieces.cast(_PIECES)))
+    first = F.when(F.col("before") == 0, F.col("whole")).otherwise(F.array().cast(_ITEMS))
+    cut = cut.select("job_id", "path", "lang", "off", "full", "before", "body", first.alias("whole"))
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return short.unionByName(cut.repartition(tasks, "job_id", "path", "before"))
+
+
+def _hits(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
+    """(job_id, path, rule, whole, idx, detail, line, place, text): one row per hit.
+
+    `rule` is the position in the pack; the two numbers behind stand for secrets and
+    dependencies. A hit of a whole text has no line text.
+    """
+    active = [(i, r) for i, r in enumerate(rules) if r.active and r.languages] if opts.rules else []
+    by_line = [(i, r) for i, r in active if not r.pattern.negate]
+    body, before, lang, none = F.col("body"), F.col("before"), F.col("lang"), F.array().cast(_ITEMS)
+    texts = _texts(files, rules, opts).withColumn("lowered", F.lower("body"))
+
+    likely = F.array().cast(_INTS)
+    if by_line:
+        tests = [_all(F.lit(True), applies_to(r, lang), _may_hit(r, body, F.col("lowered"))) for _, r in by_line]
+        likely = F.when(~F.col("off") & F.col("full"), _numbers(tests, [i for i, _ in by_line])).otherwise(likely)
+    if opts.secrets:
+        own = F.when(body.rlike(_SECRET_SEARCH) & F.col("full"), F.array(F.lit(len(rules)))).otherwise(F.array().cast(_INTS))
+        likely = F.concat(likely, own)
+    tried = texts.select("job_id", "path", "before", "body", "whole", likely.alias("likely"))
+
+    custom = [(i, r) for i, r in by_line if r.translated is None]
+    patterns = _pattern_rows(rules)
+
+    def hits_of(lines: Column) -> Column:
+        def by_regex(i: Column) -> Column:
+            def fits(p):
+                # A test by place compiles a pattern once for all lines of a text.
+                first = lambda l: p["first"].isNull() | (F.regexp_instr(l["text"], p["first"]) > 0)
+                return F.filter(lines, lambda l: first(l) & (F.regexp_instr(l["text"], p["line"]) > 0))
+
+            found = text.let(_constants(patterns, ["first", "line"], i), fits)
+            return F.transform(found, lambda l: _item(i, False, line=l["line"], text=l["text"]))
+
+        regexes = F.array_except("likely", F.array(*[F.lit(i) for i, _ in custom])) if custom else F.col("likely")
+        parts = [F.flatten(F.transform(regexes, by_regex))]
+        for i, r in custom:
+            place = r.kind.place or (lambda pattern, line: F.lit(1))
+            found = F.filter(lines, lambda l: r.kind.line(r.pattern, l["text"]))
+            rows = F.transform(found, lambda l: _item(F.lit(i), False, line=l["line"], text=l["text"], place=place(r.pattern, l["text"])))
+            parts.append(F.when(F.array_contains("likely", i), rows).otherwise(none))
+        return F.concat(*parts)
+
+    lines = F.transform(text.split_lines(body), lambda t, k: F.struct((before + k + 1).alias("line"), t.alias("text")))
+    in_lines = F.when(F.size("likely") > 0, text.let(lines, hits_of)).otherwise(none)
+    # The outer form keeps Catalyst from deriving a filter that would evaluate the tests twice.
+    rows = tried.select("job_id", "path", F.explode_outer(F.concat("whole", in_lines)).alias("item")).where(F.col("item").isNotNull())
+    return rows.select("job_id", "path", "item.*")
 
 
 def scan_files(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOptions()) -> DataFrame:
@@ -160,6 +223,8 @@ def scan_files(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOpti
     on_line = ~F.col("whole") & ~is_secret
 
     hits = _hits(files, rules, opts).withColumn("meta", _constants(meta_rows, _META, rule))
+    hits = hits.withColumn("line", F.coalesce("line", F.lit(1))).withColumn("text", F.coalesce("text", F.lit("")))
+    regex = _constants(_pattern_rows(rules), ["first", "line"], rule)["line"]
     if opts.rules:
         quiet = text.line_suppressed(line, F.col("meta.rule_id"), opts.marker)
         hits = hits.where(~(on_line & line.contains(opts.marker) & quiet))
@@ -179,7 +244,7 @@ def scan_files(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOpti
         "job_id", F.col("meta.rule_id").alias("rule_id"), F.col("meta.name").alias("rule_name"),
         F.col("meta.category").alias("category"), F.col("meta.severity").alias("severity"),
         F.col("path").alias("file"), "line",
-        F.when(on_line, text.byte_column(line, F.col("regex"))).otherwise(1).alias("column"),
+        F.when(on_line, F.coalesce("place", text.byte_column(line, regex))).otherwise(1).alias("column"),
         F.when(is_secret, secret_text).when(is_dep, F.concat(message, detail)).otherwise(message).alias("message"),
         F.when(F.col("whole"), "").otherwise(text.trim_unicode(line)).alias("snippet"),
         F.col("meta.fix").alias("fix_suggestion"),

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from datetime import date
 
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from siftmark import schemas
 from siftmark.operators import rollup
 from siftmark.operators.scan import ScanOptions, scan_files
 from siftmark.sources.files import exclude_prefixes
@@ -74,3 +77,39 @@ def run_scan(
     result.summary.write.mode("overwrite").parquet(f"{out}/summary")
     summary = spark.read.schema(result.summary.schema).parquet(f"{out}/summary")
     return ScanResult(findings, summary, verdict_of(summary))
+
+
+_HISTORY = {
+    "findings": schemas.FINDINGS,
+    "summary": T.StructType([
+        T.StructField("job_id", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("total_findings", *(f"n_{s}" for s in schemas.SEVERITIES))],
+        T.StructField("by_severity", T.MapType(T.StringType(), T.LongType())), T.StructField("by_category", T.MapType(T.StringType(), T.LongType())),
+        T.StructField("score", T.DoubleType()), T.StructField("passed", T.BooleanType()),
+        T.StructField("fail_on", T.StringType()), T.StructField("exit_code", T.IntegerType()),
+    ]),
+}
+
+
+def append_scan(
+    spark: SparkSession, files: DataFrame, rules: list[Rule], out: str, day: date, scan_id: str, opts: ScanOptions = ScanOptions(),
+) -> ScanResult:
+    """A scan into tables that hold many: `out`/findings and `out`/summary, by day and scan.
+
+    A scan that runs again replaces its own folder and no other, also when it finds less than before.
+    """
+    if not scan_id or any(c in scan_id for c in "/=%"):
+        raise ValueError("a scan id is a name without /, = and %")
+    place = f"day={day.isoformat()}/scan_id={scan_id}"
+    kept = exclude_prefixes(files, list(opts.exclude))
+    _find(kept, rules, opts).select(*schemas.FINDINGS.names).write.mode("overwrite").parquet(f"{out}/findings/{place}")
+    findings = spark.read.schema(schemas.FINDINGS).parquet(f"{out}/findings/{place}")
+    summary = _roll_up(kept, findings, opts).summary.select(*_HISTORY["summary"].names)
+    summary.write.mode("overwrite").parquet(f"{out}/summary/{place}")
+    summary = spark.read.schema(_HISTORY["summary"]).parquet(f"{out}/summary/{place}")
+    return ScanResult(findings, summary, verdict_of(summary))
+
+
+def read_scans(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """The findings or the summary of all scans in `out`, with `day` and `scan_id`; filters on the two prune folders."""
+    placed = T.StructType([*_HISTORY[name].fields, T.StructField("day", T.DateType()), T.StructField("scan_id", T.StringType())])
+    return spark.read.schema(placed).option("basePath", f"{out}/{name}").parquet(f"{out}/{name}")

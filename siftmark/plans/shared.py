@@ -45,6 +45,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """A folder or file is there, in whatever store the path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
     spark = df.sparkSession
@@ -57,7 +63,7 @@ def drop_table(df: DataFrame) -> None:
 def numbered(df: DataFrame, name: str, keys: list[str], order: list[Column], number: str) -> DataFrame:
     """Number the rows of each key from 1 in the given order, however many rows a key has.
 
-    The rows are dealt by ranges of (keys, order) and written once. A row's number follows from its place in
+    This writes a table, so a job runs while the caller still builds its query. The rows are dealt by ranges of (keys, order) and written once. A row's number follows from its place in
     its part and from the counts of (key, part), a few rows.
     """
     by = [*[F.col(k).asc_nulls_first() for k in keys], *order]

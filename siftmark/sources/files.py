@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftmark.functions.text import extension, literal_map
@@ -61,41 +64,139 @@ def _place(rel: Column, job_id: str | None) -> tuple[Column, Column]:
     return F.lit(job_id), rel
 
 
-def _listed(spark: SparkSession, base: str) -> DataFrame:
-    """Files as Spark lists them; one that is gone or broken when it is read fails the job."""
+def _base(root: str) -> tuple[str, bool]:
+    """(root without a slash behind, whether it is a mounted folder)."""
+    mounted = "://" not in root
+    return (os.path.abspath(root) if mounted else root.rstrip("/")), mounted
+
+
+def _stored(spark: SparkSession, base: str) -> DataFrame:
+    """(path, length, content) of an object store as Spark lists it; a file that is gone or broken when it is read
+    fails the job."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     rel = F.substring(F.col("path"), F.instr("path", base) + len(base) + 1, F.length("path"))
     return found.select(rel.alias("path"), "length", "content")
 
 
+def _check_mounted(spark: SparkSession, base: str) -> None:
+    """All machines must see the same entries in the root."""
+
+    def look(batches):
+        for batch in batches:
+            seen = sorted(os.listdir(base)) if os.path.isdir(base) else ["<no such folder>"]
+            digest = hashlib.sha256("\0".join(seen).encode("utf-8", "surrogateescape")).hexdigest()
+            yield pa.RecordBatch.from_pydict({"seen": [digest] * batch.num_rows, "there": [os.path.isdir(base)] * batch.num_rows})
+
+    tasks = spark.sparkContext.defaultParallelism * 2
+    seen = spark.range(0, tasks, 1, tasks).mapInArrow(look, "seen string, there boolean").distinct().limit(2).collect()
+    if len(seen) != 1 or not seen[0].there:
+        raise ValueError(f"{base} is not the same folder on all machines")
+
+
+def list_tree(spark: SparkSession, root: str, prune: bool = True) -> DataFrame:
+    """(path, length, task) of all files below a mounted folder, paths relative to it; `task` listed the file.
+
+    Folders are expanded level by level: those of a level are rows, dealt anew over all tasks, so one large
+    repository is walked by many of them and the driver lists nothing. Each level is written to a table while this
+    runs. Links to folders are not followed. With `prune`, folders that a tree scan leaves out are not entered.
+    """
+    base, mounted = _base(root)
+    if not mounted:
+        raise ValueError("only mounted folders are listed")
+    _check_mounted(spark, base)
+    skip = set(SKIPPED_DIRS) if prune else set()
+    schema = "path string, length long, folder boolean, task int"
+
+    def expand(batches):
+        for batch in batches:
+            rows = []
+            for rel, task in zip(batch["path"].to_pylist(), batch["task"].to_pylist()):
+                with os.scandir(os.path.join(base, rel)) as entries:
+                    for e in entries:
+                        place = os.path.join(rel, e.name)
+                        if e.is_dir(follow_symlinks=False):
+                            if e.name not in skip:
+                                rows.append((place, 0, True, task))
+                        elif e.is_file():
+                            rows.append((place, e.stat().st_size, False, task))
+            yield _record(rows, ["path", "length", "folder", "task"], [pa.string(), pa.int64(), pa.bool_(), pa.int32()])
+
+    tasks = spark.sparkContext.defaultParallelism * 2
+    frontier, levels = spark.createDataFrame([("",)], "path string"), []
+    while frontier is not None:
+        dealt = frontier.repartition(tasks, "path").withColumn("task", F.spark_partition_id())
+        level = materialise(dealt.mapInArrow(expand, schema), "tree-level")
+        levels.append(level.where("NOT folder").select("path", "length", "task"))
+        folders = level.where("folder").select("path")
+        frontier = None if folders.isEmpty() else folders
+    return reduce(DataFrame.unionAll, levels)
+
+
+def _record(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def _read_listed(listed: DataFrame, base: str) -> DataFrame:
+    """(path, length, content) of the listed files, read by tasks that get about equally many."""
+
+    def read(batches):
+        for batch in batches:
+            rows, size = [], 0
+            for rel in batch["path"].to_pylist():
+                with open(os.path.join(base, rel), "rb") as f:
+                    data = f.read()
+                rows.append((rel, len(data), data))
+                size += len(data)
+                if size > 32 << 20:
+                    yield _record(rows, *shape)
+                    rows, size = [], 0
+            yield _record(rows, *shape)
+
+    shape = ["path", "length", "content"], [pa.string(), pa.int64(), pa.binary()]
+    total = listed.agg(F.sum("length")).first()[0] or 0
+    tasks = max(listed.sparkSession.sparkContext.defaultParallelism, -(-total // (64 << 20)))
+    return listed.select("path").repartition(tasks, "path").mapInArrow(read, "path string, length long, content binary")
+
+
+def _is_hidden(path: Column) -> Column:
+    return path.rlike(r"(^|/)[._]")
+
+
 def skipped_files(spark: SparkSession, root: str, job_id: str | None = None, max_bytes: int | None = None) -> DataFrame:
     """(job_id, path, length, reason) of the listed files that `read_source_tree` leaves out; reads no content."""
-    base = os.path.abspath(root) if "://" not in root else root.rstrip("/")
+    base, mounted = _base(root)
+    listed = list_tree(spark, root, prune=False) if mounted else _stored(spark, base).select("path", "length")
     job, path = _place(F.col("path"), job_id)
-    rows = _listed(spark, base).withColumn("reason", _skip_reason(F.col("path"), F.col("length"), max_bytes))
+    rows = listed.withColumn("reason", _skip_reason(F.col("path"), F.col("length"), max_bytes))
     return rows.where("reason IS NOT NULL").select(job.alias("job_id"), path.alias("path"), "length", "reason")
 
 
 def read_source_tree(
     spark: SparkSession, root: str, job_id: str | None = None,
-    max_bytes: int | None = None, include_hidden: bool | None = None,
+    max_bytes: int | None = None, include_hidden: bool | None = None, only: DataFrame | None = None,
 ) -> DataFrame:
     """All text files below `root` as files, paths relative to it; `skipped_files` lists what is left out.
 
     Files of any size are read unless `max_bytes` is given. Without `job_id` every directory directly below
-    the root is one job, which scans any number of checkouts in one run. Spark's file sources leave out names
-    that start with `.` or `_`; on a mounted root (no URI scheme) those files are
-    read by the tasks themselves, so `.env` and `_private.py` are scanned too.
+    the root is one job, which scans any number of checkouts in one run. A root without a scheme is a folder that
+    all machines mount; it is listed by `list_tree` when this is called, and its files are read by the tasks. Object
+    stores are listed by Spark, whose file sources leave out names that start with `.` or `_`; mounted roots give
+    them too unless `include_hidden` is false. `only` (job_id, path) names the files wanted; others are not read.
     """
-    mounted = "://" not in root
-    base = os.path.abspath(root) if mounted else root.rstrip("/")
-    raw = _listed(spark, base)
+    base, mounted = _base(root)
+    raw = list_tree(spark, root) if mounted else _stored(spark, base)
+    raw = raw.where(_skip_reason(F.col("path"), F.col("length"), max_bytes).isNull())
     if max_bytes is not None:  # a filter on length reaches the source, which then reads no such file
         raw = raw.where(F.col("length") <= max_bytes)
-    if include_hidden if include_hidden is not None else mounted:
-        raw = raw.unionByName(_hidden_files(spark, base, max_bytes))
-    raw = raw.where(_skip_reason(F.col("path"), F.col("length"), max_bytes).isNull())
+    if include_hidden is False:
+        raw = raw.where(~_is_hidden(F.col("path")))
     job, path = _place(F.col("path"), job_id)
+    if only is not None:
+        wanted = only.select(F.col("job_id").alias("_job"), F.col("path").alias("_path")).distinct()
+        raw = raw.join(wanted, (job == F.col("_job")) & (path == F.col("_path")), "left_semi")
+    if mounted:
+        raw = _read_listed(raw, base)
     content = F.col("content").cast("string")
     return raw.select(
         job.alias("job_id"), path.alias("path"), language_of(path).alias("language"),
@@ -103,53 +204,6 @@ def read_source_tree(
     )
 
 
-def _hidden_files(spark: SparkSession, base: str, max_bytes: int | None) -> DataFrame:
-    """Files with a path segment starting with `.` or `_`; one subtree per row, walked by the tasks."""
-    skip, binary = set(SKIPPED_DIRS), tuple(BINARY_EXTENSIONS)
-
-    def walk(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows, size = [], 0
-            for seed in batch["seed"]:
-                for path in _walk_hidden(base, seed, skip):
-                    if path.lower().endswith(binary) or max_bytes is not None and os.path.getsize(path) > max_bytes:
-                        continue
-                    with open(path, "rb") as f:
-                        data = f.read()
-                    rows.append((os.path.relpath(path, base), len(data), data))
-                    size += len(data)
-                    if size > 32 << 20:
-                        yield pd.DataFrame(rows, columns=["path", "length", "content"])
-                        rows, size = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=["path", "length", "content"])
-
-    seeds = [(e.name,) for e in os.scandir(base) if e.name not in skip]
-    spread = max(1, min(len(seeds), spark.sparkContext.defaultParallelism * 4))
-    return (
-        spark.createDataFrame(seeds, "seed string").repartition(spread)
-        .mapInPandas(walk, "path string, length long, content binary")
-    )
-
-
-def _walk_hidden(base: str, seed: str, skip: set[str]):
-    hidden = lambda name: name[:1] in "._"
-    top = os.path.join(base, seed)
-    if os.path.isfile(top):
-        if hidden(seed):
-            yield top
-        return
-    for folder, dirs, names in os.walk(top):
-        dirs[:] = [d for d in dirs if d not in skip]
-        inside = any(hidden(s) for s in os.path.relpath(folder, base).split(os.sep))
-        for name in names:
-            path = os.path.join(folder, name)
-            if (inside or hidden(name)) and os.path.isfile(path):
-                yield path
-
-
 def changed_files(files: DataFrame, *changes: DataFrame) -> DataFrame:
     """Files whose path is in one of the change lists; without any list, all files.
 

@@ -3,32 +3,22 @@
 from __future__ import annotations
 
 import os
-import re
 from dataclasses import asdict, dataclass, field
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftmark import schemas
-from siftmark.functions.dialect import PatternError, Translated, translate
+from siftmark.functions.dialect import PatternError, Translated
+from siftmark.sources.pattern_types import Pattern, PatternType, kind_of
 
 PACKS = os.path.join(os.path.dirname(os.path.dirname(__file__)), "packs")
 _MAX_PACK_BYTES = 64 << 20
-_PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]")
 
 
 class RulePackError(ValueError):
     """A pack that must not be used: unreadable, ambiguous or with a bad pattern."""
 
 
-@dataclass(frozen=True)
-class Pattern:
-    type: str = ""
-    match: str = ""
-    max: int = 0
-    negate: bool = False
-
-
 @dataclass(frozen=True)
 class RuleTests:
     passing: tuple[str, ...] = ()
@@ -49,25 +39,24 @@ class Rule:
     enabled: bool = False
     tests: RuleTests = field(default_factory=RuleTests)
 
+    @property
+    def kind(self) -> PatternType | None:
+        return kind_of(self.pattern)
+
     @property
     def supported(self) -> bool:
-        """Other pattern types may stand in a pack; they yield no findings."""
-        return self.pattern.type in ("regex", "literal") and self.pattern.match != ""
+        """Unknown pattern types may stand in a pack; they yield no findings."""
+        return self.kind is not None
 
     @property
     def active(self) -> bool:
         return self.enabled and self.supported
 
     @property
-    def translated(self) -> Translated:
-        """A literal is the pattern that matches just its characters."""
-        match = self.pattern.match
-        return _translated(match if self.pattern.type == "regex" else _PUNCTUATION.sub(r"\\\g<0>", match))
-
-
-@lru_cache(maxsize=4096)
-def _translated(pattern: str) -> Translated:
-    return translate(pattern)
+    def translated(self) -> Translated | None:
+        """The regular expression of the rule; None for kinds that test in columns of their own."""
+        kind = self.kind
+        return kind.translate(self.pattern) if kind is not None and kind.translate else None
 
 
 def rule_from_mapping(doc: dict) -> Rule:
@@ -118,12 +107,13 @@ def check_rules(spark: SparkSession, rules: list[Rule]) -> list[Rule]:
         if rule.rule_id in seen:
             raise RulePackError(f"rule id {rule.rule_id!r} is used twice")
         seen.add(rule.rule_id)
-        if rule.supported:
-            try:
-                rule.translated
-            except PatternError as e:
-                raise RulePackError(f"rule {rule.rule_id}: {e}") from e
-    _compile_all(spark, tuple((r.rule_id, r.translated) for r in rules if r.supported))
+        try:
+            rule.translated
+            if rule.supported and rule.kind.check:
+                rule.kind.check(rule.pattern)
+        except (PatternError, ValueError) as e:
+            raise RulePackError(f"rule {rule.rule_id}: {e}") from e
+    _compile_all(spark, tuple((r.rule_id, r.translated) for r in rules if r.translated))
     return rules
 
 

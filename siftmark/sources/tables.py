@@ -22,8 +22,21 @@ def read_audit_jdbc(spark: SparkSession, url: str, table: str, bounds: tuple[str
     )
 
 
-def read_metric_samples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SAMPLES).parquet(path)
+def append_metric_samples(samples: DataFrame, path: str, batch: str) -> None:
+    """Samples into a table by batch and day; a batch that runs again replaces its folder."""
+    placed = samples.select(*schemas.SAMPLES.names).withColumn("day", F.to_date("ts"))
+    placed.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
+
+
+def read_metric_samples(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:
+    """The stored samples; both time bounds are inclusive and also prune day folders."""
+    placed = [T.StructField("batch", T.StringType()), T.StructField("day", T.DateType())]
+    out = spark.read.schema(T.StructType([*schemas.SAMPLES.fields, *placed])).parquet(path)
+    if since is not None:
+        out = out.where((F.col("ts") >= F.lit(since).cast("timestamp")) & (F.col("day") >= F.to_date(F.lit(since))))
+    if until is not None:
+        out = out.where((F.col("ts") <= F.lit(until).cast("timestamp")) & (F.col("day") <= F.to_date(F.lit(until))))
+    return out.select(*schemas.SAMPLES.names)
 
 
 def parse_exposition(lines: DataFrame) -> DataFrame:

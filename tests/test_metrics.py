@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from siftmark.operators import export, metrics
-from siftmark.plans.slices import previous_value, running_sum
+from siftmark.plans.slices import deal_in_order, previous_value, running_sum
 from siftmark.sources import tables
 
 
@@ -31,22 +31,45 @@ def test_rate_with_reset(spark):
     assert [round(r.rate * 60, 6) for r in got] == [10.0, 6.0]
 
 
-def test_slices_equal_one_window(spark):
+def test_parts_equal_one_window(spark):
     rng = random.Random(4)
     rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(0, 5000), i, rng.randrange(-3, 4)) for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, t long, id long, v int").withColumn("ts", F.timestamp_seconds("t"))
-    for seconds in (7, 600, 100000):
-        total, last = {}, {}
-        want = {}
-        for k, t, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
-            total[k] = total.get(k, 0) + v
-            want[i] = (total[k], last.get(k))
-            last[k] = v
-        s = running_sum(df, ["k"], "ts", ["id"], F.col("v"), "sum", seconds)
-        both = previous_value(s, ["k"], "ts", ["id"], "v", "prev", seconds)
+    total, last, want = {}, {}, {}
+    for k, t, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        total[k] = total.get(k, 0) + v
+        want[i] = (total[k], last.get(k))
+        last[k] = v
+    for parts in (1, 3, 17, None):
+        s = running_sum(df, ["k"], "ts", ["id"], F.col("v"), "sum", parts)
+        both = previous_value(s, ["k"], "ts", ["id"], "v", "prev", parts)
         assert {r.id: (r.sum, r.prev) for r in both.collect()} == want
 
 
+def test_small_batches_carry_on(spark):
+    """The scan inside a part goes on from one Arrow batch to the next."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id"), F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") % 5 > 0, F.col("id") * 0.5).alias("v"))
+        s = running_sum(df, ["k"], "ts", ["id"], F.col("v"), "sum", 2)
+        rows = previous_value(s, ["k"], "ts", ["id"], "v", "prev", 2).orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    total, last = {}, {}
+    for r in rows:
+        total[r.k] = total.get(r.k, 0) + (r.v or 0)
+        assert (r.sum, r.prev) == (total[r.k], last.get(r.k))
+        last[r.k] = r.v
+
+
+def test_one_hot_hour_is_spread(spark):
+    """A key with all rows in one hour lies in many parts of about equal size."""
+    df = spark.range(4000).select(F.lit("q").alias("k"), "id", F.timestamp_seconds(F.col("id") % 3600).alias("ts"))
+    sizes = [r["count"] for r in deal_in_order(df, ["k"], "ts", ["id"], 8).groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 4000 / 8
+
+
 def test_bands(spark):
     df = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 5.0, 19.9, 20.0)], "v double")
     assert [r[0] for r in df.select(metrics.band(F.col("v"))).collect()] == [None, "green", "yellow", "yellow", "red"]

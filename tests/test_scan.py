@@ -306,3 +306,166 @@ def test_pack_loading(spark, tmp_path):
     (tmp_path / "e.yaml").write_text("rules: [")
     with pytest.raises(R.RulePackError, match="e.yaml"):
         R.load_rules(spark, str(tmp_path))
+
+
+LONG = "".join(f"line {i} {'bad' if i % 97 == 0 else 'good'}{chr(13) if i % 11 == 0 else ''}\n" for i in range(3000))
+
+
+@pytest.mark.parametrize("tail", ["", "\n", "\n\n", "bad", "bad\r"])
+def test_long_texts_in_ranges(spark, tail):
+    """Cut into ranges, a text gives the same findings, also those of the whole text and of its last line."""
+    rules = [rule("bad$"), rule("needed", negate=True, rule_id="R-2"), rule("^$", rule_id="R-3"), rule("never there", rule_id="R-4")]
+    rows = [("long.txt", "x", LONG + tail), ("short.txt", "x", "bad"), ("off.txt", "x", f"{MARK}-file\n" + LONG), ("empty.txt", "x", "")]
+    plain = found(spark, rules, *rows, long_text=0)
+    for lines in (1, 7, 1000, 5000):
+        assert found(spark, rules, *rows, long_text=100, range_lines=lines) == plain
+    assert len(plain) > 25
+
+
+def test_a_long_text_is_spread_over_tasks(spark):
+    df = files(spark, ("long.txt", "x", LONG))
+    out = scan.scan_files(df, R.check_rules(spark, [rule("good")]), scan.ScanOptions(secrets=False, deps=False, long_text=100, range_lines=50))
+    assert out.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
+
+
+def test_one_split_per_text_however_many_rules(spark, capsys):
+    """No rule has a row or a copy of the text of its own: the plan has one generator, behind all tests."""
+    rules = [rule(f"word{i}", rule_id=f"R-{i}") for i in range(30)]
+    scan.scan_files(files(spark, ("f", "x", "t")), R.check_rules(spark, rules), scan.ScanOptions(secrets=False, deps=False, long_text=0)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Generate") == 1 and "Exchange" not in plan
+
+
+def test_own_pattern_types(spark):
+    from siftmark.sources import pattern_types as P
+
+    P.register(P.PatternType("max_length", line=lambda p, line: F.length(line) > p.max, file=lambda p, body: F.length(body) > p.max,
+                             place=lambda p, line: F.lit(p.max + 1), check=_positive))
+    try:
+        made = lambda i, most, **kw: R.Rule(i, R.Pattern("max_length", "", most, **kw), severity="low", languages=("*",), enabled=True, message="m")
+        rows = [("a", "x", "short\n" + "y" * 30 + f"\n{'z' * 40} // {MARK}\n"), ("b", "x", "ab"), ("c", "x", "")]
+        got = found(spark, [made("L-1", 20), rule("y+"), made("L-2", 25, negate=True)], *rows)
+        assert [(f.rule_id, f.file, f.line, f.column) for f in got] == [("L-1", "a", 2, 21), ("R-1", "a", 2, 1), ("L-2", "b", 1, 1), ("L-2", "c", 1, 1)]
+        with pytest.raises(R.RulePackError, match="L-0"):
+            R.check_rules(spark, [made("L-0", 0)])
+        examples = spark.createDataFrame([("L-1", True, "x" * 21), ("L-1", False, "x"), ("L-2", True, "x")], "rule_id string, expected_fire boolean, snippet string")
+        assert [r.failed for r in backtest.backtest_rules(examples, [made("L-1", 20), made("L-2", 25, negate=True)])[0].collect()] == [0, 0]
+    finally:
+        P.unregister("max_length")
+    assert found(spark, [made("L-1", 20)], ("a", "x", "y" * 30)) == []  # an unknown type finds nothing
+    with pytest.raises(ValueError):
+        P.register(P.PatternType("neither"))
+
+
+def _positive(pattern):
+    if pattern.max <= 0:
+        raise ValueError("max must be positive")
+
+
+MORE_MANIFESTS = [
+    ("package.json", '{"dependencies":{"a":"1"},"peerDependencies":{"b":">=2"},"optionalDependencies":{"c":"*"}}', [("a", "1"), ("b", ">=2"), ("c", "")]),
+    ("Cargo.toml", "[dependencies.one]\nversion = '1.2'\nfeatures = ['x']\n[dependencies.two]\npath = '..'\n[build-dependencies]\nthree = \"3\"\n[target.'cfg(unix)'.dev-dependencies]\nfour = { version = \"4\" }\n[package]\nversion = \"9\"\n",
+     [("one", "1.2"), ("two", ""), ("three", "3"), ("four", "4")]),
+    ("pom.xml", "<project><version>7</version><properties><a.v>1</a.v><b>${a.v}.2</b></properties><dependencyManagement><dependencies><dependency><groupId>g</groupId><artifactId>m</artifactId><version>5</version></dependency></dependencies></dependencyManagement><dependencies>"
+     "<dependency><groupId>g</groupId><artifactId>m</artifactId></dependency><dependency><groupId>g</groupId><artifactId>p</artifactId><version>${b}</version></dependency><dependency><groupId>g</groupId><artifactId>s</artifactId><version>${project.version}</version></dependency></dependencies></project>",
+     [("g:m", "5"), ("g:p", "1.2"), ("g:s", "7")]),
+]
+
+
+@pytest.mark.parametrize("path, text, want", MORE_MANIFESTS)
+def test_sections_and_own_versions(spark, path, text, want):
+    got = deps.declared_dependencies(files(spark, (path, "unknown", text))).collect()
+    assert sorted((d.name, d.version) for d in got) == sorted(want)
+
+
+def pom(*body):
+    return "<project>" + "".join(body) + "</project>"
+
+
+def dependency(name, version=None):
+    return f"<dependency><groupId>g</groupId><artifactId>{name}</artifactId>{f'<version>{version}</version>' if version else ''}</dependency>"
+
+
+def test_versions_of_parents(spark):
+    """The nearest pom above tells; other jobs and folders beside do not."""
+    managed = lambda *d: "<dependencyManagement><dependencies>" + "".join(d) + "</dependencies></dependencyManagement>"
+    rows = [
+        ("j", "pom.xml", pom("<properties><v>1</v><w>${v}0</w></properties>", managed(dependency("m", "${w}")))),
+        ("j", "a/pom.xml", pom("<properties><v>2</v></properties>")),
+        ("j", "a/b/pom.xml", pom("<dependencies>", dependency("x", "${v}"), dependency("m"), dependency("n"), dependency("y", "${none}"), "</dependencies>")),
+        ("j", "c/pom.xml", pom("<dependencies>", dependency("x", "${v}"), "</dependencies>")),
+        ("k", "a/b/pom.xml", pom("<dependencies>", dependency("x", "${v}"), "</dependencies>")),
+        ("k", "requirements.txt", "flask\n"),
+    ]
+    df = spark.createDataFrame([(j, p, "unknown", t) for j, p, t in rows], schemas.FILES)
+    got = {(d.job_id, d.path, d.name): d.version for d in deps.inventory_dependencies(df).collect()}
+    assert got == {
+        ("j", "a/b/pom.xml", "g:x"): "2", ("j", "a/b/pom.xml", "g:m"): "20", ("j", "a/b/pom.xml", "g:n"): "", ("j", "a/b/pom.xml", "g:y"): "",
+        ("j", "c/pom.xml", "g:x"): "1", ("k", "a/b/pom.xml", "g:x"): "", ("k", "requirements.txt", "flask"): "",
+    }
+
+
+def test_manifests_that_cannot_be_read(spark):
+    rows = [
+        ("a/package.json", '{"dependencies": {"a": "1"},}', "no JSON object"), ("b/package.json", "[1]", "no JSON object"), ("c/package.json", "{}", None),
+        ("a/pom.xml", "<project><dependencies>", "no whole project element"), ("b/pom.xml", pom(), None), ("a/go.mod", "require (\n x.org/a v1\n", "open require block"),
+        ("b/go.mod", "require (\n x.org/a v1\n)\n", None), ("a/Cargo.toml", "[dependencies\na = '1'\n", "open section header"), ("b/Cargo.toml", "[dependencies]\n", None),
+        ("requirements.txt", "x", None), ("go.mod.txt", "require (", None),
+    ]
+    got = {r.path: r.reason for r in deps.manifest_rejects(files(spark, *[(p, "x", t) for p, t, _ in rows])).collect()}
+    assert got == {p: r for p, _, r in rows if r}
+
+
+def test_truncate_bytes(spark):
+    from siftmark.functions.text import truncate_bytes
+
+    texts = ["", "abc", "é" * 10, "中文字符" * 3, "a\U0001f600b\U0001f600", "xxxxxxxxxxxxxxx", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3, 4, 5, 8, 15, 100):
+        want = [t if t is None or len(t.encode()) <= n else t.encode()[:n - 1].decode("utf-8", "ignore") + "…" for t in texts]
+        assert [r[0] for r in df.select(truncate_bytes(F.col("t"), n)).collect()] == want
+    with pytest.raises(ValueError):
+        truncate_bytes(F.col("t"), 0)
+
+
+def test_scans_side_by_side(spark, tmp_path, capsys):
+    from datetime import date
+
+    from siftmark.plans.scan_job import append_scan, read_scans
+
+    df = files(spark, ("a", "x", "bad\nbad"), ("b", "x", "bad"))
+    rules, opts, out = R.check_rules(spark, [rule("bad")]), scan.ScanOptions(secrets=False, deps=False), str(tmp_path)
+    append_scan(spark, df, rules, out, date(2024, 1, 1), "one", opts)
+    append_scan(spark, df.where("path = 'a'"), rules, out, date(2024, 1, 2), "one", opts)
+    append_scan(spark, df, rules, out, date(2024, 1, 2), "two", opts)
+    append_scan(spark, df.where("path = 'none'"), rules, out, date(2024, 1, 1), "one", opts)  # runs again and finds nothing
+    counts = read_scans(spark, out, "findings").groupBy("day", "scan_id").count().collect()
+    assert {(str(r.day), r.scan_id): r["count"] for r in counts} == {("2024-01-02", "one"): 2, ("2024-01-02", "two"): 3}
+    one = read_scans(spark, out, "findings").where("day = DATE '2024-01-02' AND scan_id = 'two'")
+    one.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert all("/day=2024-01-02/scan_id=two/" in r[0] for r in one.select(F.input_file_name()).collect())
+    assert read_scans(spark, out, "summary").where("scan_id = 'two'").first().total_findings == 3
+    with pytest.raises(ValueError):
+        append_scan(spark, df, rules, out, date(2024, 1, 1), "a/b", opts)
+
+
+def test_candidates_find_what_all_files_find(spark, tmp_path):
+    from siftmark.plans import trigrams
+
+    rows = [("a", "x", "the Secret = 'x'"), ("b", "x", "nothing"), ("c", "x", "SECRET"), ("d", "x", "sec ret cret ecr"), ("h", "x", "sec ret"), ("e", "x", ""), ("f", "y", "a password here"), ("g", "x", "é password é")]
+    df = files(spark, *rows)
+    rules = R.check_rules(spark, [rule("(?i)secret", rule_id="R-1"), rule("password", rule_id="R-2"), rule("[0-9]", rule_id="R-3"), rule("x", negate=True, rule_id="R-4")])
+    trigrams.build_trigrams(df, str(tmp_path), "v1")
+    named, rest = trigrams.candidates(spark, rules, str(tmp_path), "v1")
+    assert [r.rule_id for r in rest] == ["R-3", "R-4"]
+    assert {(r.path, r.rule_id) for r in named.collect()} == {("a", "R-1"), ("c", "R-1"), ("d", "R-1"), ("f", "R-2"), ("g", "R-2")}
+    asked = []
+    read = lambda names: (asked.append({r.path for r in names.collect()}), df.join(names, ["job_id", "path"], "left_semi"))[1]
+    opts = scan.ScanOptions(secrets=False, deps=False)
+    got = trigrams.scan_candidates(spark, read, rules, str(tmp_path), "v1", opts)
+    want = scan.scan_files(df, rules, opts).where("rule_id IN ('R-1', 'R-2')")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and asked == [{"a", "c", "d", "f", "g"}]
+    with pytest.raises(ValueError):
+        trigrams.candidates(spark, rules, str(tmp_path), "v2")

@@ -42,6 +42,33 @@ def test_source_tree(spark, tmp_path):
     assert {(r.job_id, r.path) for r in one.collect()} == {("j", p) for p in ("a.go", "src/b.PY", "exact.txt", "bad.txt", "sp ace/d.sql")}
 
 
+def test_one_repository_is_listed_by_many_tasks(spark, tmp_path):
+    for i in range(40):
+        put(tmp_path, f"repo/d{i % 8}/e{i}/f.py", f"text {i}")
+    (tmp_path / "repo" / "loop").symlink_to(tmp_path / "repo")  # links to folders are not followed
+    listed = S.list_tree(spark, str(tmp_path))
+    rows = listed.collect()
+    assert len(rows) == 40 and len({r.task for r in rows}) > 1
+    wanted = spark.createDataFrame([("repo", "d1/e1/f.py"), ("repo", "gone.py")], "job_id string, path string")
+    assert [r.path for r in S.read_source_tree(spark, str(tmp_path), only=wanted).collect()] == ["d1/e1/f.py"]
+    with pytest.raises(ValueError):
+        S.read_source_tree(spark, str(tmp_path / "not there"))
+    (tmp_path / "empty").mkdir()
+    assert S.read_source_tree(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_stored_samples(spark, tmp_path, capsys):
+    rows = [("s", "m", "gauge", None, t, float(t)) for t in (0, 90_000, 180_000, 270_000)]
+    df = spark.createDataFrame(rows, "service string, metric string, kind string, le string, t long, value double").withColumn("ts", F.timestamp_seconds("t"))
+    for batch, part in (("a", df.where("t < 100000")), ("b", df.where("t > 100000")), ("a", df.where("t < 100000"))):
+        tables.append_metric_samples(part, str(tmp_path), batch)
+    assert tables.read_metric_samples(spark, str(tmp_path)).count() == 4
+    some = tables.read_metric_samples(spark, str(tmp_path), "1970-01-02 00:00:00", "1970-01-03 02:00:00")
+    assert sorted(r.value for r in some.collect()) == [90_000.0, 180_000.0]
+    some.explain("formatted")
+    assert "PartitionFilters: [isnotnull(day" in capsys.readouterr().out
+
+
 def test_languages(spark):
     cases = {"a.go": "go", "x/y.TSX": "typescript", "a.tar.gz": "unknown", "Makefile": "unknown", "d.py/README": "unknown", "k.kts": "kotlin", ".h": "c", "p.proto": "protobuf"}
     df = spark.createDataFrame([(p,) for p in cases], "path string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftmark.operators.scan import ScanOptions
@@ -75,3 +76,23 @@ def job_details(summary: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for stored scans and streams, in the folder that the cluster shares."""
     return f"{shared_folder(spark)}/{name}-{os.urandom(6).hex()}"
+
+
+def write_tree(files: DataFrame, root: str) -> str:
+    """Write files (path, content) below a folder that all machines mount; the folder's path."""
+    base = root.removeprefix("file://").removeprefix("file:")
+    if "://" in base:
+        raise ValueError(f"{root} is not mounted")
+    os.makedirs(base, exist_ok=True)
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                place = os.path.join(base, path)
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(place, "w", encoding="utf-8", newline="") as f:
+                    f.write(content or "")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    files.select("path", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return base

@@ -189,6 +189,34 @@ firsts AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY job_id ORD
 kept_jobs AS (SELECT DISTINCT job_id FROM files WHERE NOT (starts_with(path, 'src1/') OR starts_with(path, 'src2/') OR starts_with(path, 'src10/1')))""".format(order=_ORDER)
 _o("scan_corpus_limited", _from(_FINDINGS + ",\n" + _KEPT + ",\n" + _summary("firsts", "kept_jobs"), f"SELECT {_N}, score, passed FROM summary"))
 
+_o("scan_long_texts", _from(_FINDINGS, f"SELECT {_PLACE}, message, snippet FROM findings"))
+_o("scan_own_kinds", _from(_FILES + ",\n" + _LINES, """
+SELECT job_id, path AS file, line, (strlen(left(text, 120)) + 1)::INT AS "column", 'OWN-1' AS rule_id, 'low' AS severity, 'max_length 120' AS message FROM lines WHERE length(text) > 120
+UNION ALL SELECT job_id, path, line, 1, 'OWN-2', 'low', 'digits 12' FROM lines WHERE language IN ('en', 'de') AND length(regexp_replace(text, '[^0-9]', '', 'g')) >= 12
+UNION ALL SELECT job_id, path, 1, 1, 'OWN-3', 'low', 'digits 8' FROM files WHERE content IS NOT NULL
+  AND path NOT IN (SELECT path FROM lines WHERE length(regexp_replace(text, '[^0-9]', '', 'g')) >= 8)
+UNION ALL SELECT job_id, path, line, (strlen(regexp_extract(text, '^((?s:.*?))(?:[0-9]{4})', 1)) + 1)::INT, 'OWN-4', 'info', 'number' FROM lines WHERE regexp_matches(text, '[0-9]{4}')"""))
+
+# -- file trees, stored trigrams, scans side by side ----------------------------
+
+_TREE = """tree AS (SELECT doc_id, source AS job_id, coalesce(text, '') AS content, 'src/' ||
+    CASE WHEN doc_id % 11 = 0 THEN 'node_modules' WHEN doc_id % 7 = 0 THEN '.h' || (doc_id // 100) ELSE 'd' || (doc_id // 100) END || '/' ||
+    CASE WHEN doc_id % 5 = 0 THEN '.f' ELSE 'f' END || doc_id || CASE WHEN doc_id % 13 = 0 THEN '.png' WHEN doc_id % 2 = 0 THEN '.py' ELSE '.txt' END AS path FROM documents)"""
+_o("tree_scan", _from(_TREE, """
+SELECT job_id, path, CASE WHEN ends_with(path, '.py') THEN 'python' ELSE 'unknown' END AS language, strlen(content)::BIGINT AS bytes, sha256(content) AS digest
+FROM tree WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0"""))
+_o("tree_skipped", _from(_TREE, """
+SELECT job_id, path, strlen(content)::BIGINT AS bytes, CASE WHEN doc_id % 11 = 0 THEN 'skipped folder' WHEN doc_id % 13 = 0 THEN 'binary' ELSE 'too large' END AS reason
+FROM tree WHERE doc_id % 11 = 0 OR doc_id % 13 = 0 OR strlen(content) > 20000"""))
+_o("candidate_scan", _from(_FINDINGS, f"SELECT {_PLACE} FROM findings"))
+_o("scan_history", _from(_FINDINGS, f"""
+SELECT scan_id, jobs.job_id, count(severity) AS total_findings, greatest(0.0, 100 - coalesce(sum(CASE severity WHEN 'critical' THEN 20 WHEN 'high' THEN 10 WHEN 'medium' THEN 4 WHEN 'low' THEN 1 ELSE 0 END), 0))::DOUBLE AS score,
+  count(severity) AS n
+FROM (VALUES ('nightly'), ('other')) ids(scan_id) CROSS JOIN (SELECT DISTINCT source AS job_id FROM documents) jobs LEFT JOIN (
+  SELECT 'nightly' AS scan, job_id, severity FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY {_ORDER}) AS rank FROM findings) WHERE rank <= 20
+  UNION ALL SELECT 'other', job_id, severity FROM findings WHERE rule_id <> 'ENT-001') f ON scan = scan_id AND f.job_id = jobs.job_id
+GROUP BY scan_id, jobs.job_id"""))
+
 _o("changed_scan", _from(_FINDINGS, f"""
 SELECT {_PLACE} FROM findings WHERE file IN (
   SELECT source || '/' || doc_id || '.txt' FROM documents JOIN labels USING (doc_id) WHERE quality = 0 OR toxic = 1)"""))
@@ -279,6 +307,21 @@ _o("unpinned_scan", _from(_DEPS, """
 SELECT job_id, count(*) FILTER (version = '') AS n_medium, count(*) FILTER (version = '') AS total_findings,
   greatest(0.0, 100 - 4 * count(*) FILTER (version = ''))::DOUBLE AS score, true AS passed FROM deps GROUP BY job_id"""))
 
+_o("dependency_versions", """
+WITH parts AS (SELECT p_brand AS job_id, p_partkey AS k, p_size AS s, regexp_extract(p_brand, '([0-9]+)', 1) AS n FROM part)
+SELECT job_id, 'mods/m' || k || '/' || file AS path, ecosystem, name, version FROM (
+  SELECT *, unnest([
+    {'file': 'pom.xml', 'ecosystem': 'maven', 'name': 'g:own' || k, 'version': s || '.1'}, {'file': 'pom.xml', 'ecosystem': 'maven', 'name': 'g:managed', 'version': '2.' || n},
+    {'file': 'pom.xml', 'ecosystem': 'maven', 'name': 'g:deep' || k, 'version': 'x-near-' || n}, {'file': 'pom.xml', 'ecosystem': 'maven', 'name': 'g:rel', 'version': s::VARCHAR},
+    {'file': 'pom.xml', 'ecosystem': 'maven', 'name': 'g:gone', 'version': ''}, {'file': 'pom.xml', 'ecosystem': 'maven', 'name': 'g:none', 'version': ''},
+    {'file': 'Cargo.toml', 'ecosystem': 'cargo', 'name': 'tab' || k, 'version': s::VARCHAR}, {'file': 'Cargo.toml', 'ecosystem': 'cargo', 'name': 'cc' || k, 'version': '1'},
+    {'file': 'Cargo.toml', 'ecosystem': 'cargo', 'name': 'nix' || k, 'version': '0.' || s}, {'file': 'Cargo.toml', 'ecosystem': 'cargo', 'name': 'free' || k, 'version': ''},
+    {'file': 'package.json', 'ecosystem': 'npm', 'name': 'peer' || k, 'version': '>=' || s}, {'file': 'package.json', 'ecosystem': 'npm', 'name': 'opt' || k, 'version': ''}
+  ], recursive := true) FROM parts)""")
+_o("manifest_rejects", """
+SELECT p_brand AS job_id, p_partkey || '/' || file AS path, reason FROM part, (VALUES ('package.json', 'no JSON object'), ('pom.xml', 'no whole project element'),
+  ('go.mod', 'open require block'), ('Cargo.toml', 'open section header')) broken(file, reason) WHERE p_partkey % 5 = 0""")
+
 # -- whole jobs: marked texts and manifests ------------------------------------
 
 _WHOLE_FILES = r"""heads AS (SELECT *, split_part(text, chr(10), 1) AS h FROM documents),
@@ -320,15 +363,21 @@ _ACTION = "CASE o_orderstatus WHEN 'O' THEN 'opened' WHEN 'P' THEN 'synchronize'
 _FULL = "CASE o_orderpriority WHEN '3-MEDIUM' THEN 'alone' ELSE 'cust' || o_custkey || '/repo/' || o_orderkey END"
 _SENT = f"""sent AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'invalid signature' WHEN o_orderpriority = '1-URGENT' THEN 'ignored event'
     WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'invalid payload' WHEN o_orderstatus = 'F' THEN 'ignored action' END AS reason,
-  o_custkey, o_orderdate, {_FULL} AS repo, o_orderpriority FROM orders)"""
-_o("webhook_jobs", _from(_SENT, """
-SELECT 'github' AS source, 'https://x/' || o_custkey || '.git' AS repo_url, split_part(repo, '/', 1) AS repo_owner,
+  o_custkey, o_orderdate, o_orderstatus, {_FULL} AS repo, o_orderpriority FROM orders)"""
+# The text that ids are derived from: the parts with a zero byte between.
+_ID = "left(sha256({parts}), 32)"
+_BODY = f"""'{{"action":"' || {_ACTION} || '","number":' || o_orderkey || ',"pull_request":{{"head":{{"sha":"' || md5(o_orderkey::VARCHAR) ||
+  '","ref":"main","repo":{{"clone_url":"https://x/' || o_custkey || '.git","full_name":"' || repo || '"}}}}}}}}'"""
+_AT = "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"
+_o("webhook_jobs", _from(_SENT, f"""
+SELECT {_ID.format(parts=f"'github' || chr(0) || {_BODY} || chr(0) || {_AT}")} AS id, 'github' AS source, 'https://x/' || o_custkey || '.git' AS repo_url, split_part(repo, '/', 1) AS repo_owner,
   CASE WHEN repo = 'alone' THEN '' ELSE 'repo/' || o_orderkey END AS repo_name, md5(o_orderkey::VARCHAR) AS commit_sha, 'main' AS branch,
   o_orderkey::INT AS pr_number, 'queued' AS status, o_orderdate AS created_at FROM sent WHERE reason IS NULL"""))
 _o("webhook_rejects", _from(_SENT, "SELECT o_orderkey, reason FROM sent WHERE reason IS NOT NULL"))
 _o("webhook_verify", "SELECT o_orderkey, o_orderpriority <> '5-LOW' AS valid FROM orders")
-_o("manual_jobs", """
-SELECT 'manual' AS source, 'https://x/' || o_custkey AS repo_url, md5(o_orderkey::VARCHAR) AS commit_sha, 'main' AS branch, 'queued' AS status,
+_o("manual_jobs", f"""
+SELECT {_ID.format(parts=f"'manual' || chr(0) || 'https://x/' || o_custkey || chr(0) || md5(o_orderkey::VARCHAR) || chr(0) || 'main' || chr(0) || {_AT}")} AS id,
+  'manual' AS source, 'https://x/' || o_custkey AS repo_url, md5(o_orderkey::VARCHAR) AS commit_sha, 'main' AS branch, 'queued' AS status,
   o_orderdate AS created_at FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW'""")
 _o("manual_rejects", """
 SELECT 'repo_url and commit_sha required' AS reason, count(*) AS n, count(*) FILTER (o_orderpriority <> '5-LOW') AS with_commit
@@ -351,6 +400,23 @@ _o("audit_stored", """
 SELECT event_type, count(*) AS n, min('e' || event_id) AS first_id FROM events
 WHERE ts BETWEEN TIMESTAMP '2024-01-14 06:00:00' AND TIMESTAMP '2024-01-16 18:00:00' GROUP BY event_type""")
 _o("audit_by_job", "SELECT 'e' || event_id AS id, ts AS created_at FROM events WHERE user_id = 7")
+
+
+def _cut(text: str, n: int) -> str:
+    """The first characters that fit in n - 1 bytes, where the text has more than n."""
+    return f"CASE WHEN strlen({text}) <= {n} THEN {text} ELSE left({text}, list_max(list_filter(range({n}), lambda k: strlen(left({text}, k)) <= {n - 1}))) || '\u2026' END"
+
+
+def _pad(text: str, n: int) -> str:
+    return f"CASE WHEN length({text}) < {n} THEN rpad({text}, {n}, ' ') ELSE {text} END"
+
+
+_o("audit_listing", f"""
+WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN repeat('x', (event_id % 5)::INT) || repeat('\u00e9\u4e2d\U0001f600' || event_id, 3) ELSE 'e' || event_id END AS long_id,
+    'job-' || user_id || '-of-a-long-name-' || event_id AS long_job, event_type, 'user-' || user_id AS actor FROM events),
+cut AS (SELECT {_cut("long_id", 32)} AS id, {_cut("long_job", 24)} AS job_id, event_type, actor FROM e)
+SELECT *, {_pad("id", 32)} || '  ' || {_pad("job_id", 24)} || '  ' || {_pad("event_type", 20)} || '  ' || actor AS text FROM cut""")
+_o("text_heads", f"SELECT doc_id, {_cut('text', 61)} AS head FROM documents")
 _o("audit_verify", f"""
 SELECT 'e' || event_id AS id, {_hmac("CASE WHEN event_type = 'click' THEN props || ' ' ELSE props END", "workload-secret")} =
   CASE WHEN event_type = 'signup' THEN '' ELSE {_SIGN} END AS valid FROM events""")
@@ -395,6 +461,10 @@ _MOVE = "CASE WHEN event_type IN ('signup', 'click') THEN 1 WHEN event_type IN (
 _o("queue_depth", f"""
 SELECT 'q' AS queue, event_id, depth, {_BAND.format(v="depth")} AS band FROM (
   SELECT event_id, (sum({_MOVE}) OVER (ORDER BY ts, event_id))::BIGINT AS depth FROM events)""")
+_o("queue_depth_hot", f"SELECT event_id, (sum({_MOVE}) OVER (ORDER BY event_id * 7919 % 3600, event_id))::BIGINT AS depth FROM events")
+_o("read_samples", """
+SELECT event_type AS service, 'value' AS metric, 'gauge' AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events
+WHERE ts BETWEEN TIMESTAMP '2024-01-05 12:00:00' AND TIMESTAMP '2024-01-20 06:00:00' GROUP BY event_type""")
 _o("inflight_requests", """
 SELECT event_id, move, (sum(move) OVER (ORDER BY moved, move, event_id))::BIGINT AS inflight FROM (
   SELECT event_id, ts AS moved, 1 AS move FROM events UNION ALL
@@ -511,6 +581,11 @@ SELECT q.event_type, q.day AS window_start, n AS requests, CASE WHEN q.event_typ
   round(max(v) FILTER (p = 0.5), 6) AS p50, round(max(v) FILTER (p = 0.99), 6) AS p99
 FROM q JOIN (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY ALL) c ON c.event_type = q.event_type AND c.day = q.day
 GROUP BY q.event_type, q.day, n"""))
+_o("stream_late", """
+WITH e AS (SELECT event_type, ts, event_id % 4 AS p FROM events), m AS (SELECT p, max(ts) AS top FROM e GROUP BY p),
+marks AS (SELECT a.p, max(b.top) - INTERVAL 20 DAY AS mark FROM m a LEFT JOIN m b ON b.p < a.p GROUP BY a.p)
+SELECT event_type, count(*) FILTER (mark IS NULL OR ts > mark) AS in_time, count(*) FILTER (ts <= mark) AS late, count(*) AS repaired
+FROM e JOIN marks USING (p) GROUP BY event_type""")
 _o("stream_reuse", ORACLE["reuse_results"])
 _o("stream_progress", ORACLE["job_progress"])
 _o("stream_audit", f"SELECT 'e' || event_id AS id, {_SIGN} AS signature, ts AS created_at, true AS valid FROM events")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftmark.functions.signing import signing_key, webhook_signature
-from siftmark.functions.text import extension
+from siftmark.functions.text import extension, truncate_bytes
 from siftmark.operators import audit, backtest, deps, export, metrics, rollup, scan, sequences
-from siftmark.plans.scan_job import run_scan, scan_corpus, spread
+from siftmark.plans import trigrams
+from siftmark.plans.scan_job import append_scan, read_scans, run_scan, scan_corpus, spread
 from siftmark.sources import files as file_source
-from siftmark.sources import ingest, rules as rule_source, tables
+from siftmark.sources import ingest, pattern_types, rules as rule_source, tables
 from siftmark.streaming import metrics as stream_metric
 from siftmark.streaming import scan as stream_scans
 from siftmark.streaming import sequences as stream_sequences
@@ -122,6 +125,91 @@ def scan_corpus_limited(spark, sf_dir):
     return scan_corpus(documents(spark, sf_dir), pack(spark, "prose"), opts).summary.select("job_id", *_COUNTS, "score", "passed")
 
 
+@query
+def scan_long_texts(spark, sf_dir):
+    """Texts above 4,000 bytes cut into ranges of seven lines and dealt over the tasks: the findings stay the same."""
+    opts = replace(OPTIONS, long_text=4000, range_lines=7)
+    return scan.scan_files(spread(documents(spark, sf_dir)), pack(spark, "prose"), opts).select(*PLACE, "message", "snippet")
+
+
+def _own_kinds() -> list[rule_source.Rule]:
+    """Rules of two kinds that this workload adds: lines longer than `max`, and lines with `max` or more digits."""
+    digits = lambda line: F.length(F.regexp_replace(line, "[^0-9]", ""))
+    pattern_types.register(pattern_types.PatternType(
+        "max_length", line=lambda p, line: F.length(line) > p.max, file=lambda p, body: F.length(body) > p.max,
+        place=lambda p, line: F.octet_length(F.substring(line, 1, p.max)) + 1,
+    ))
+    pattern_types.register(pattern_types.PatternType("digits", line=lambda p, line: digits(line) >= p.max))
+    made = lambda i, kind, most, langs, **kw: rule_source.Rule(
+        i, pattern_types.Pattern(kind, "", most, **kw), i.lower(), category="style", severity="low", languages=langs, message=f"{kind} {most}", enabled=True)
+    return [
+        made("OWN-1", "max_length", 120, ("*",)), made("OWN-2", "digits", 12, ("en", "de")), made("OWN-3", "digits", 8, ("*",), negate=True),
+        rule_source.Rule("OWN-4", pattern_types.Pattern("regex", "[0-9]{4}"), "own-4", category="style", severity="info", languages=("*",), message="number", enabled=True),
+    ]
+
+
+@query
+def scan_own_kinds(spark, sf_dir):
+    """Pattern types of one's own beside a regular expression, as line and file tests."""
+    rules = rule_source.check_rules(spark, _own_kinds())
+    return scan.scan_files(spread(documents(spark, sf_dir)), rules, replace(OPTIONS, secrets=False)).select(*PLACE, "severity", "message")
+
+
+# -- file trees, stored trigrams, scans side by side ----------------------------
+
+
+def _tree(spark, sf_dir) -> str:
+    """The documents as files of a source tree: folders of a hundred, some hidden, some left out by name."""
+    docs = table(spark, sf_dir, "documents")
+    doc = F.col("doc_id")
+    folder = F.when(doc % 11 == 0, "node_modules").when(doc % 7 == 0, F.concat(F.lit(".h"), F.floor(doc / 100))).otherwise(F.concat(F.lit("d"), F.floor(doc / 100)))
+    name = F.concat(F.when(doc % 5 == 0, ".f").otherwise("f"), doc, F.when(doc % 13 == 0, ".png").when(doc % 2 == 0, ".py").otherwise(".txt"))
+    files = docs.select(F.concat_ws("/", "source", F.lit("src"), folder, name).alias("path"), F.col("text").alias("content"))
+    return inputs.write_tree(spread(files, "path"), inputs.scratch(spark, "tree"))
+
+
+@query
+def tree_scan(spark, sf_dir):
+    """A tree written from the documents and read back."""
+    files = file_source.read_source_tree(spark, _tree(spark, sf_dir))
+    return files.select("job_id", "path", "language", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+@query
+def tree_skipped(spark, sf_dir):
+    left = file_source.skipped_files(spark, _tree(spark, sf_dir), max_bytes=20000)
+    return left.select("job_id", "path", F.col("length").cast("long").alias("bytes"), "reason")
+
+
+@query
+def candidate_scan(spark, sf_dir):
+    """Rules with literals on the files that the stored trigrams name; the other rules on all files."""
+    files, rules = documents(spark, sf_dir), pack(spark, "prose")
+    out = inputs.scratch(spark, "trigrams")
+    trigrams.build_trigrams(spread(files), out, "v1")
+    of_names = lambda names: file_source.changed_files(files, names)
+    found = trigrams.scan_candidates(spark, of_names, rules, out, "v1", OPTIONS)
+    rest = {r.rule_id for r in trigrams.candidates(spark, rules, out, "v1")[1]}
+    others = [r if r.rule_id in rest else replace(r, enabled=False) for r in rules]
+    return found.unionByName(scan.scan_files(spread(files), others, OPTIONS)).select(*PLACE)
+
+
+@query
+def scan_history(spark, sf_dir):
+    """Two scans side by side in one table; one of them ran before, with more findings."""
+    out = inputs.scratch(spark, "history")
+    files = documents(spark, sf_dir)
+    append_scan(spark, files, pack(spark, "prose"), out, date(2024, 2, 1), "nightly", OPTIONS)
+    append_scan(spark, files, pack(spark, "prose"), out, date(2024, 2, 2), "nightly", OPTIONS)
+    few = replace(OPTIONS, max_findings=20)
+    append_scan(spark, files, pack(spark, "prose"), out, date(2024, 2, 2), "nightly", few)
+    append_scan(spark, files, pack(spark, "prose"), out, date(2024, 2, 2), "other", replace(OPTIONS, secrets=False))
+    second = read_scans(spark, out, "findings").where(F.col("day") == F.lit("2024-02-02").cast("date"))
+    counts = second.groupBy("scan_id", "job_id").agg(F.count(F.lit(1)).alias("n"))
+    sums = read_scans(spark, out, "summary").where("day = DATE '2024-02-02'").select("scan_id", "job_id", "total_findings", "score")
+    return sums.join(counts, ["scan_id", "job_id"], "left").fillna(0, ["n"])
+
+
 # -- choosing files ------------------------------------------------------------
 
 
@@ -289,6 +377,52 @@ def unpinned_scan(spark, sf_dir):
     return scan_corpus(_manifests(spark, sf_dir), [], OPTIONS).summary.select("job_id", "n_medium", "total_findings", "score", "passed")
 
 
+def _workspaces(spark, sf_dir) -> DataFrame:
+    """A pom per brand with properties and managed versions, and manifests of all sections per part below it."""
+    parts = spread(table(spark, sf_dir, "part"), "p_partkey")
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    f = F.format_string
+    dep = lambda name, version="": f"<dependency><groupId>g</groupId><artifactId>{name}</artifactId>{version and f'<version>{version}</version>'}</dependency>"
+    texts = {
+        "pom.xml": f(
+            "<project><parent><version>%s</version></parent><properties><own.v>%s.1</own.v></properties><dependencies>"
+            + dep("own%s", "${own.v}") + dep("managed") + dep("deep%s", "x-${deep}") + dep("rel", "${project.version}")
+            + dep("gone", "${missing}") + dep("none") + "</dependencies></project>", size, size, key, key),
+        "Cargo.toml": f(
+            "[dependencies.tab%s]\nversion = \"%s\"\nfeatures = []\n\n[build-dependencies]\ncc%s = \"1\"\n[target.'cfg(unix)'.dependencies]\n"
+            "nix%s = { version = \"0.%s\" }\n[dev-dependencies.free%s]\npath = \"../x\"\n", key, size, key, key, size, key),
+        "package.json": f('{"peerDependencies":{"peer%s":">=%s"},"optionalDependencies":{"opt%s":"*"},"scripts":{"a":"b"}}', key, size, key),
+    }
+    rows = F.array(*[F.struct(F.concat(F.lit("mods/m"), key, F.lit("/" + name)).alias("path"), text.alias("content")) for name, text in texts.items()])
+    own = parts.select(F.col("p_brand").alias("job_id"), F.inline(rows))
+    number = F.regexp_extract("p_brand", "([0-9]+)", 1)
+    roof = parts.select("p_brand", number.alias("n")).distinct().select(F.col("p_brand").alias("job_id"), F.inline(F.array(
+        F.struct(F.lit("pom.xml").alias("path"), f(
+            "<project><version>7</version><properties><lib.v>2.%s</lib.v><deep>${lib.v}</deep><missing.v>0</missing.v></properties><dependencyManagement><dependencies>"
+            + dep("managed", "${lib.v}") + "</dependencies></dependencyManagement></project>", "n").alias("content")),
+        F.struct(F.lit("mods/pom.xml").alias("path"), f("<project><properties><deep>near-%s</deep></properties></project>", "n").alias("content")),
+    )))
+    return own.unionByName(roof).withColumn("language", F.lit("unknown"))
+
+
+@query
+def dependency_versions(spark, sf_dir):
+    """Versions that properties and parents of the tree tell, and the sections of every kind."""
+    return deps.inventory_dependencies(_workspaces(spark, sf_dir))
+
+
+@query
+def manifest_rejects(spark, sf_dir):
+    """A fifth of the parts has manifests that cannot be read."""
+    broken = (F.col("path").rlike("^[0-9]+/") & (F.substring_index("path", "/", 1).cast("long") % 5 == 0))
+    cut = F.expr("substring(content, 1, length(content) - 1)")
+    text = F.when(F.col("path").endswith("package.json"), F.replace("content", F.lit("}}"), F.lit("},}")))
+    text = text.when(F.col("path").endswith("pom.xml"), cut).when(F.col("path").endswith("go.mod"), F.regexp_replace("content", r"\)\n$", ""))
+    text = text.when(F.col("path").endswith("Cargo.toml"), F.replace("content", F.lit("[dev-dependencies]"), F.lit("[dev-dependencies")))
+    files = _manifests(spark, sf_dir).withColumn("content", F.when(broken, F.coalesce(text, "content")).otherwise(F.col("content")))
+    return deps.manifest_rejects(files)
+
+
 # -- whole jobs: marked texts and manifests ------------------------------------
 
 
@@ -344,7 +478,7 @@ def _deliveries(spark, sf_dir) -> DataFrame:
 @query
 def webhook_jobs(spark, sf_dir):
     jobs, _ = ingest.ingest_webhooks(_deliveries(spark, sf_dir), SECRET)
-    return jobs.select("source", "repo_url", "repo_owner", "repo_name", "commit_sha", "branch", "pr_number", "status", *_naive("created_at"))
+    return jobs.select("id", "source", "repo_url", "repo_owner", "repo_name", "commit_sha", "branch", "pr_number", "status", *_naive("created_at"))
 
 
 @query
@@ -368,7 +502,7 @@ def _requests(spark, sf_dir) -> DataFrame:
 @query
 def manual_jobs(spark, sf_dir):
     jobs, _ = ingest.ingest_manual_jobs(_requests(spark, sf_dir))
-    return jobs.select("source", "repo_url", "commit_sha", "branch", "status", *_naive("created_at"))
+    return jobs.select("id", "source", "repo_url", "commit_sha", "branch", "status", *_naive("created_at"))
 
 
 @query
@@ -427,6 +561,22 @@ def audit_by_job(spark, sf_dir):
     return audit.query_audit(_entries(spark, sf_dir), limit=0, job_id="job-7", actor="user-7").select("id", *_naive("created_at"))
 
 
+@query
+def audit_listing(spark, sf_dir):
+    """The log as a listing, with ids of several bytes a character that are too long for their column."""
+    sign = F.concat(F.lit("\u00e9\u4e2d\U0001f600"), F.col("event_id").cast("string"))
+    long = F.concat(F.repeat(F.lit("x"), (F.col("event_id") % 5).cast("int")), F.repeat(sign, 3))
+    entries = _entries(spark, sf_dir).withColumn("event_id", F.substring("id", 2, 20).cast("long"))
+    entries = entries.withColumn("id", F.when(F.col("event_id") % 3 == 0, long).otherwise(F.col("id")))
+    return audit.list_audit(entries.withColumn("job_id", F.concat("job_id", F.lit("-of-a-long-name-"), "event_id")))
+
+
+@query
+def text_heads(spark, sf_dir):
+    """The first bytes of every document, cut between characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", truncate_bytes(F.col("text"), 61).alias("head"))
+
+
 def _tampered(spark, sf_dir) -> DataFrame:
     """Clicks have a changed payload, signups no signature."""
     e = _entries(spark, sf_dir)
@@ -497,7 +647,7 @@ def event_counters(spark, sf_dir):
 @query
 def counter_rate(spark, sf_dir):
     """Each user's values as samples of a counter that is reset often."""
-    out = metrics.counter_rate(events(spark, sf_dir), ["user_id"], 3600, "ts", "value", ("event_id",), 6 * 3600)
+    out = metrics.counter_rate(events(spark, sf_dir), ["user_id"], 3600, "ts", "value", ("event_id",))
     return out.select("user_id", *_naive("window_start"), F.round("rate", 9).alias("rate"))
 
 
@@ -516,14 +666,37 @@ def _move() -> Column:
 def queue_depth(spark, sf_dir):
     """All events move one queue, the hottest key there can be."""
     e = events(spark, sf_dir).withColumn("queue", F.lit("q"))
-    out = metrics.queue_depth(e, ["queue"], "ts", "event_id", _move(), 3600)
+    out = metrics.queue_depth(e, ["queue"], "ts", "event_id", _move())
     return out.select("queue", "event_id", "depth", metrics.band(F.col("depth")).alias("band"))
 
 
+@query
+def queue_depth_hot(spark, sf_dir):
+    """One queue that all its events reach in one hour."""
+    near = F.timestamp_seconds(F.lit(1704067200) + F.col("event_id") * 7919 % 3600)
+    e = events(spark, sf_dir).withColumn("queue", F.lit("q")).withColumn("ts", near)
+    return metrics.queue_depth(e, ["queue"], "ts", "event_id", _move()).select("event_id", "depth")
+
+
+@query
+def read_samples(spark, sf_dir):
+    """Samples stored in two batches, one of them twice, and asked for a range of days."""
+    path = inputs.scratch(spark, "samples")
+    e = events(spark, sf_dir)
+    samples = e.select(
+        F.col("event_type").alias("service"), F.lit("value").alias("metric"), F.lit("gauge").alias("kind"),
+        F.lit(None).cast("string").alias("le"), "ts", "value",
+    )
+    for batch, part in (("a", F.col("ts") < "2024-01-10"), ("b", F.col("ts") >= "2024-01-10"), ("a", F.col("ts") < "2024-01-10")):
+        tables.append_metric_samples(samples.where(part), path, batch)
+    found = tables.read_metric_samples(spark, path, "2024-01-05 12:00:00", "2024-01-20 06:00:00")
+    return found.groupBy("service", "metric", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query
 def inflight_requests(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("service", F.lit("gateway")).withColumn("value", F.col("value") * 1000)
-    out = metrics.inflight(e, ["service"], "ts", "event_id", "value", 3600)
+    out = metrics.inflight(e, ["service"], "ts", "event_id", "value")
     return out.select("event_id", "move", "inflight")
 
 
@@ -663,16 +836,26 @@ def read_exposition(spark, sf_dir):
 # -- streams, run until the given files are used up ------------------------------
 
 
-def _stream(spark, sf_dir, name: str, order: str, files: int = 4) -> DataFrame:
-    """The table as files that arrive one after the other, each a micro-batch of its own."""
+def _stream(spark, sf_dir, name: str, order: str, files: int = 4, mixed: bool = False) -> DataFrame:
+    """The table as files that arrive one after the other, each a micro-batch of its own.
+
+    With `mixed` every tenth row comes a file later than its time says.
+    """
     rows = table(spark, sf_dir, name)
     at = F.col(order).cast("timestamp").cast("double") if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")
     low, high = rows.agg(F.min(at), F.max(at)).first()
     low, width = low or 0.0, ((high or 0.0) - (low or 0.0)) / files or 1.0
-    part = F.least(F.lit(files - 1), F.floor((at - low) / width))
+    part = F.floor((at - low) / width)
+    if mixed:
+        part = part + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    return _arriving(rows, name, F.coalesce(F.least(F.lit(files - 1), part), F.lit(0)), files)
+
+
+def _arriving(rows: DataFrame, name: str, part: Column, files: int) -> DataFrame:
+    spark = rows.sparkSession
     folder = inputs.scratch(spark, f"arriving-{name}")
     for i in range(files):  # files are taken in the order in which they were written
-        rows.where(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(folder)
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -691,7 +874,7 @@ def stream_scan(spark, sf_dir):
     out = inputs.scratch(spark, "stream_scan")
     files = inputs.as_files(_stream(spark, sf_dir, "documents", "doc_id"))
     stream_scans.stream_scan(files, pack(spark, "prose"), out, f"{out}/checkpoint", OPTIONS, available_now=True).awaitTermination()
-    jobs = stream_scans.read_output(spark, out, "jobs")
+    jobs = stream_scans.seen_jobs(spark, out)
     for closing in range(2):  # the second time nothing is left to close
         stream_scans.close_jobs(spark, out, jobs, closing, OPTIONS, SECRET)
     result = stream_scans.read_output(spark, out, "summary").join(stream_scans.read_output(spark, out, "outbox").select("job_id", "target"), "job_id")
@@ -707,16 +890,43 @@ def stream_metrics(spark, sf_dir):
                       F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
 
 
+@query
+def stream_late(spark, sf_dir):
+    """Files that each hold all times: rows behind the watermark are counted apart, and a repair run adds them."""
+    rows, keys = table(spark, sf_dir, "events"), ["event_type"]
+    out = inputs.scratch(spark, "stream_late")
+    log = _arriving(rows, "events", F.pmod(F.col("event_id"), F.lit(4)), 4)
+    error = F.col("event_type") == "error"
+    stream_metric.run_metrics(log, keys, f"{out}/tables", f"{out}/checkpoint", "ts", "value", error, 3600, 20 * DAY, available_now=True).awaitTermination()
+    total = lambda repaired, name: stream_metric.read_metrics(
+        spark, f"{out}/tables", keys, "ts", "value", error, 3600, repaired=repaired).groupBy(*keys).agg(F.sum("requests").alias(name))
+    late = stream_metric.late_rows(spark, f"{out}/tables").groupBy(*keys).agg(F.count(F.lit(1)).alias("late"))
+    counts = total(False, "in_time").join(late, keys, "full").join(total(True, "repaired"), keys, "full")
+    return counts.fillna(0)
+
+
+def _run_to_end(stream, rows: DataFrame, out: str) -> DataFrame:
+    """The outcome of all rows once the stream and what waited have ended."""
+    stream.start(rows, f"{out}/checkpoint", available_now=True).awaitTermination()
+    stream.end(rows)
+    return stream_sequences.read_outcome(rows.sparkSession, stream.out)
+
+
 @query
 def stream_reuse(spark, sf_dir):
-    live = stream_sequences.stream_reuse(_stream(spark, sf_dir, "events", "ts"), ["user_id"], "ts", "event_id", DAY)
-    return _drain(live, "stream_reuse").select("user_id", "event_id", "reused")
+    """Events that come in files out of order, decided in the order of their times."""
+    out = inputs.scratch(spark, "stream_reuse")
+    stream = stream_sequences.ReuseStream(["user_id"], "ts", "event_id", f"{out}/tables", DAY, 16 * DAY)
+    return _run_to_end(stream, _stream(spark, sf_dir, "events", "ts", mixed=True), out).select("user_id", "event_id", "reused")
 
 
 @query
 def stream_progress(spark, sf_dir):
-    live = stream_sequences.stream_progress(_as_steps(_stream(spark, sf_dir, "events", "ts")))
-    return _drain(live, "stream_progress").select("job_id", "id", "type", *_naive("at"))
+    """The same for the progress of jobs."""
+    out = inputs.scratch(spark, "stream_progress")
+    stream = stream_sequences.ProgressStream(f"{out}/tables", delay_seconds=16 * DAY, keep_seconds=90 * DAY)
+    rows = _as_steps(_stream(spark, sf_dir, "events", "ts", mixed=True))
+    return _run_to_end(stream, rows, out).select("job_id", "id", "type", *_naive("at"))
 
 
 @query
