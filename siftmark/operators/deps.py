@@ -14,8 +14,8 @@ pom.xml           every <dependency> that is not only managed, named group:artif
                   may be managed by the file, and may name properties of the file
 
 A pom may leave versions and properties to a parent. `inventory_dependencies` looks them up in
-the poms of the folders above, the nearest first, by joins on (job, folder, name); only
-dependencies that their own file leaves open take part. A version that no pom of the tree
+the poms of the folders above, the nearest first, by a join on (job, folder); only folders whose
+own pom leaves something open take part. A version that no pom of the tree
 tells is empty there. The one-pass scan sees one file at a time: a property that the file does
 not define counts as a version there.
 """
@@ -165,11 +165,8 @@ def _put(version: Column, name: Column, value: Column) -> Column:
 
 def _expand(version: Column, properties: Column) -> Column:
     """The version with the properties it names; what is not among them stays as it is."""
-    for _ in range(_ROUNDS):
-        name = _placeholder(version)
-        value = _lookup(properties, name)
-        version = F.when((name != "") & value.isNotNull(), _put(version, name, value)).otherwise(version)
-    return version
+    put = lambda v: F.coalesce(_put(v, _placeholder(v), _lookup(properties, _placeholder(v))), v)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), version, lambda v, _: put(v))
 
 
 def _pom(text: Column) -> Column:
@@ -226,42 +223,40 @@ def _above(folder: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
-def _nearest(asked: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """`asked` (id, job_id, folder and the named column) with the value of the nearest folder above that knows it."""
-    places = asked.select("id", "job_id", F.col(name).alias("_name"), F.explode(_above(F.col("folder"))).alias("_folder"))
-    known = known.select(F.col("job_id").alias("_job"), F.col("folder").alias("_at"), F.col("name").alias("_known"), "value")
-    same = F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("_folder") == F.col("_at")) & (F.col("_name") == F.col("_known"))
-    found = places.join(known, same).groupBy(F.col("id").alias("_id")).agg(F.max_by("value", F.length("_at")).alias("value"))
-    return asked.join(found, F.col("id") == F.col("_id"), "left").drop("_id")
+def _told_above(poms: DataFrame, asked: DataFrame) -> DataFrame:
+    """(_job, _folder, managed, properties) for the folders asked: what the poms there and above tell, the nearest first.
+
+    A folder has as many poms above it as it has levels, so the lists are bounded by the poms' own.
+    """
+    places = asked.select("job_id", "folder").distinct().withColumn("at", F.explode(_above(F.col("folder"))))
+    known = poms.select(
+        F.col("job_id").alias("_job"), F.col("folder").alias("_at"),
+        F.struct(F.length("folder").alias("depth"), _pom_managed(F.col("bare")).alias("managed"), _pom_properties(F.col("bare")).alias("properties")).alias("told"),
+    )
+    found = places.join(known, F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("at") == F.col("_at")))
+    lists = found.groupBy("job_id", "folder").agg(F.sort_array(F.collect_list("told"), asc=False).alias("told"))
+    of = lambda name: F.flatten(F.transform("told", lambda t: t[name])).alias(name)
+    return lists.select(F.col("job_id").alias("_job"), F.col("folder").alias("_folder"), of("managed"), of("properties"))
 
 
 def inventory_dependencies(files: DataFrame, strict: bool = False) -> DataFrame:
     """deps(job_id, path, ecosystem, name, version), one row per declared dependency; versions that a pom leaves to
     the poms above are looked up there. What is declared is written to a table while the query is built."""
-    declared = materialise(declared_dependencies(files, strict).withColumn("id", F.monotonically_increasing_id()), "declared")
-    is_open = (F.col("ecosystem") == "maven") & ((F.col("version") == "") | (_placeholder(F.col("version")) != ""))
-    poms = files.where(F.col("path").endswith("pom.xml") & (F.substring_index("path", "/", -1) == "pom.xml"))
-    poms = poms.select("job_id", _folder(F.col("path")).alias("folder"), _pom_text(F.col("content")).alias("bare"))
-
-    def entries(pairs: Column) -> DataFrame:
-        """One value for each (job_id, folder, name); the first by text if a folder tells several."""
-        rows = poms.select("job_id", "folder", F.inline(pairs)).where("name <> '' AND value <> ''")
-        return rows.groupBy("job_id", "folder", "name").agg(F.min("value").alias("value"))
-
-    left = declared.where(is_open).withColumn("folder", _folder(F.col("path")))
+    declared = materialise(declared_dependencies(files, strict).withColumn("folder", _folder(F.col("path"))), "declared")
+    version = F.col("version")
+    is_open = (F.col("ecosystem") == "maven") & ((version == "") | (_placeholder(version) != ""))
+    columns = ["job_id", "path", "ecosystem", "name"]
+    left = declared.where(is_open)
     if left.isEmpty():
-        return declared.drop("id")
-    managed, properties = entries(_pom_managed(F.col("bare"))), materialise(entries(_pom_properties(F.col("bare"))), "pom-properties")
-    left = _nearest(left, managed, "name")
-    left = left.withColumn("version", F.when(F.col("version") == "", F.coalesce("value", F.lit(""))).otherwise(F.col("version"))).drop("value")
-    for _ in range(_ROUNDS):
-        left = _nearest(left.withColumn("_asked", _placeholder(F.col("version"))), properties, "_asked")
-        put = F.when(F.col("value").isNotNull(), _put(F.col("version"), F.col("_asked"), F.col("value"))).otherwise(F.col("version"))
-        left = left.withColumn("version", put).drop("_asked", "value")
-    known = F.when(_placeholder(F.col("version")) != "", "").otherwise(F.col("version")).alias("known")
-    told = left.select(F.col("id").alias("_id"), known)
-    joined = declared.join(told, F.col("id") == F.col("_id"), "left")
-    return joined.select("job_id", "path", "ecosystem", "name", F.coalesce("known", "version").alias("version"))
+        return declared.select(*columns, "version")
+    poms = files.where(F.substring_index("path", "/", -1) == "pom.xml")
+    poms = poms.select("job_id", _folder(F.col("path")).alias("folder"), _pom_text(F.col("content")).alias("bare"))
+    told = _told_above(poms, left)
+    same = F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("folder") == F.col("_folder")) & is_open
+    joined = declared.join(told, same, "left")
+    stated = F.when(version == "", F.coalesce(_lookup(F.col("managed"), F.col("name")), F.lit(""))).otherwise(version)
+    known = let(_expand(stated, F.col("properties")), lambda v: F.when(_placeholder(v) != "", "").otherwise(v))
+    return joined.select(*columns, F.when(is_open, known).otherwise(version).alias("version"))
 
 
 def manifest_rejects(files: DataFrame) -> DataFrame:

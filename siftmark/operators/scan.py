@@ -8,9 +8,10 @@ array of numbers beside the lines, and each is tried on all lines in turn; patte
 data there, so the plan does not grow with the pack beyond the file level. Rows are made
 for hits only. No shuffle, one read of the input.
 
-Texts above `long_text` bytes go a way of their own: they are cut into ranges of lines,
+Texts above `long_text` bytes may go a way of their own: they are cut into ranges of lines,
 each with the number of lines before it, and the ranges are dealt over all tasks. They are
-picked by a second read of the input, which `long_text=0` spares.
+picked by a second read of the input. `run_scan` lists them in its one pass, as rows of a phase
+of their own, and reads only those again; a scan that is not stored is asked for it (`dealt`).
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from siftmark.functions import entropy, text
 from siftmark.operators import deps as manifests
 from siftmark.sources.rules import Rule
 
-PHASE_RULES, PHASE_SECRETS, PHASE_DEPS = 0, 1, 2
+PHASE_RULES, PHASE_SECRETS, PHASE_DEPS, PHASE_LISTED = 0, 1, 2, -1
+IN_PLACE, DEALT, LISTED = "in place", "dealt", "listed"
 # Fixed values of the finding for a secret.
 SECRET = {
     "rule_id": "ENT-001", "name": "High-entropy string (possible secret)", "category": "security",
@@ -54,7 +56,8 @@ class ScanOptions:
     fail_on: str = "high"
     exclude: tuple[str, ...] = field(default=())
     spread: bool = False  # the files come straight from storage, maybe in few large splits
-    long_text: int = 32 << 20  # texts of more bytes are cut into ranges of lines and dealt; 0: no text is
+    long_text: int = 32 << 20  # texts of more bytes are long
+    long_texts: str = IN_PLACE  # scanned by the task that reads them, or DEALT in ranges of lines, or only LISTED
     range_lines: int = 20_000  # lines of a range
 
     @property
@@ -149,8 +152,12 @@ def _texts(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
     head = ["job_id", "path", "lang", "off", (content != "").alias("full")]
     whole = _whole_items(content, body, F.col("lang"), off, rules, opts).alias("whole")
     size = F.coalesce(F.octet_length(content), F.lit(0))
-    if opts.long_text <= 0:
+    if opts.long_texts == IN_PLACE:
         return texts.select(*head, F.lit(0).alias("before"), "body", whole)
+    if opts.long_texts == LISTED:
+        listed = F.array(_item(F.lit(len(rules) + 2), True))
+        some = F.when(size > opts.long_text, listed).otherwise(whole).alias("whole")
+        return texts.select("job_id", "path", "lang", "off", ((content != "") & (size <= opts.long_text)).alias("full"), F.lit(0).alias("before"), "body", some)
     short = texts.where(size <= opts.long_text).select(*head, F.lit(0).alias("before"), "body", whole)
     long = texts.where(size > opts.long_text)
     joined = lambda lines: F.concat(F.array_join(lines, "\n"), F.lit("\n"))
@@ -217,7 +224,7 @@ def _hits(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
 def scan_files(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOptions()) -> DataFrame:
     """All findings of the files, as one row each (`siftmark.schemas.FINDINGS`)."""
     meta_rows = [dict(zip(_META, (r.rule_id, r.name, r.category, r.severity, r.message, r.fix))) for r in rules]
-    meta_rows += [{k: SECRET.get(k, "") for k in _META}, {k: manifests.UNPINNED[k] for k in _META}]
+    meta_rows += [{k: SECRET.get(k, "") for k in _META}, {k: manifests.UNPINNED[k] for k in _META}, {k: "" for k in _META}]
     rule, detail, line = F.col("rule"), F.col("detail"), F.col("text")
     is_secret, is_dep = rule == len(rules), rule == len(rules) + 1
     on_line = ~F.col("whole") & ~is_secret
@@ -248,7 +255,7 @@ def scan_files(files: DataFrame, rules: list[Rule], opts: ScanOptions = ScanOpti
         F.when(is_secret, secret_text).when(is_dep, F.concat(message, detail)).otherwise(message).alias("message"),
         F.when(F.col("whole"), "").otherwise(text.trim_unicode(line)).alias("snippet"),
         F.col("meta.fix").alias("fix_suggestion"),
-        F.when(is_secret, PHASE_SECRETS).when(is_dep, PHASE_DEPS).otherwise(PHASE_RULES).alias("phase"),
+        F.when(is_secret, PHASE_SECRETS).when(is_dep, PHASE_DEPS).when(rule > len(rules), PHASE_LISTED).otherwise(PHASE_RULES).alias("phase"),
         F.when(is_secret | is_dep, 0).otherwise(rule).alias("rule_seq"), F.col("idx").alias("match_idx"),
     )
 

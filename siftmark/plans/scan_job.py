@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
+from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from siftmark import schemas
 from siftmark.operators import rollup
-from siftmark.operators.scan import ScanOptions, scan_files
+from siftmark.operators.scan import DEALT, LISTED, PHASE_LISTED, ScanOptions, scan_files
+from siftmark.plans.shared import materialise
 from siftmark.sources.files import exclude_prefixes
 from siftmark.sources.rules import Rule
 
@@ -46,6 +46,29 @@ def _find(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
     return rollup.cap_findings(scan_files(files, rules, opts), opts.max_findings).drop("rank")
 
 
+def _store_findings(files: DataFrame, rules: list[Rule], opts: ScanOptions, path: str) -> DataFrame:
+    """The same as a table, with long texts dealt over the tasks: one pass scans the others and lists the long ones,
+    which alone are read again."""
+    read = spread(files) if opts.spread else files
+    found = scan_files(read, rules, replace(opts, long_texts=LISTED))
+
+    def write(df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(found.schema).parquet(path)
+
+    stored = materialise(found, "scanned") if opts.max_findings > 0 else write(found)
+    long = stored.where(F.col("phase") == PHASE_LISTED).select("job_id", F.col("file").alias("path")).distinct()
+    if not long.isEmpty():
+        named = materialise(long.select(F.col("job_id").alias("_job"), F.col("path").alias("_path")), "long-texts")
+        same = F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("path") == F.col("_path"))
+        texts = files.where(F.octet_length("content") > opts.long_text).join(named, same, "left_semi")
+        dealt = scan_files(texts, rules, replace(opts, long_texts=DEALT))
+        stored = materialise(stored.where(F.col("phase") != PHASE_LISTED).unionByName(dealt), "scanned")
+    elif opts.max_findings <= 0:
+        return stored
+    return write(rollup.cap_findings(stored, opts.max_findings).drop("rank"))
+
+
 def _roll_up(files: DataFrame, findings: DataFrame, opts: ScanOptions) -> ScanResult:
     jobs = files.select("job_id").distinct()
     summary = rollup.gate(rollup.summarise(findings, jobs), opts.fail_on)
@@ -67,12 +90,10 @@ def run_scan(
     """Scan once into `out`/findings and roll up from that table into `out`/summary.
 
     The stored findings also cut the lineage: a lost executor repeats a read of
-    them, not the scan.
+    them, not the scan. Texts above `opts.long_text` bytes are cut into ranges and dealt over all tasks.
     """
     kept = exclude_prefixes(files, list(opts.exclude))
-    found = _find(kept, rules, opts)
-    found.write.mode("overwrite").parquet(f"{out}/findings")
-    findings = spark.read.schema(found.schema).parquet(f"{out}/findings")
+    findings = _store_findings(kept, rules, opts, f"{out}/findings")
     result = _roll_up(kept, findings, opts)
     result.summary.write.mode("overwrite").parquet(f"{out}/summary")
     summary = spark.read.schema(result.summary.schema).parquet(f"{out}/summary")
@@ -101,8 +122,7 @@ def append_scan(
         raise ValueError("a scan id is a name without /, = and %")
     place = f"day={day.isoformat()}/scan_id={scan_id}"
     kept = exclude_prefixes(files, list(opts.exclude))
-    _find(kept, rules, opts).select(*schemas.FINDINGS.names).write.mode("overwrite").parquet(f"{out}/findings/{place}")
-    findings = spark.read.schema(schemas.FINDINGS).parquet(f"{out}/findings/{place}")
+    findings = _store_findings(kept, rules, opts, f"{out}/findings/{place}")
     summary = _roll_up(kept, findings, opts).summary.select(*_HISTORY["summary"].names)
     summary.write.mode("overwrite").parquet(f"{out}/summary/{place}")
     summary = spark.read.schema(_HISTORY["summary"]).parquet(f"{out}/summary/{place}")

@@ -317,22 +317,37 @@ def test_long_texts_in_ranges(spark, tail):
     """Cut into ranges, a text gives the same findings, also those of the whole text and of its last line."""
     rules = [rule("bad$"), rule("needed", negate=True, rule_id="R-2"), rule("^$", rule_id="R-3"), rule("never there", rule_id="R-4")]
     rows = [("long.txt", "x", LONG + tail), ("short.txt", "x", "bad"), ("off.txt", "x", f"{MARK}-file\n" + LONG), ("empty.txt", "x", "")]
-    plain = found(spark, rules, *rows, long_text=0)
+    plain = found(spark, rules, *rows)
     for lines in (1, 7, 1000, 5000):
-        assert found(spark, rules, *rows, long_text=100, range_lines=lines) == plain
+        assert found(spark, rules, *rows, long_text=100, long_texts=scan.DEALT, range_lines=lines) == plain
     assert len(plain) > 25
+    listed = [f for f in found(spark, rules, *rows, long_text=100, long_texts=scan.LISTED) if f.phase == scan.PHASE_LISTED]
+    assert [f.file for f in listed] == ["long.txt", "off.txt"]
+
+
+def test_stored_scans_deal_long_texts(spark, tmp_path):
+    from siftmark.plans.scan_job import run_scan
+
+    rules = R.check_rules(spark, [rule("bad$"), rule("needed", negate=True, rule_id="R-2")])
+    df = files(spark, ("long.txt", "x", LONG), ("short.txt", "x", "bad"))
+    plain = scan.scan_files(df, rules, scan.ScanOptions(secrets=False, deps=False))
+    for most in (0, 10):
+        opts = scan.ScanOptions(secrets=False, deps=False, long_text=100, range_lines=40, max_findings=most)
+        got = run_scan(spark, df, rules, str(tmp_path / str(most)), opts).findings
+        want = rollup.cap_findings(plain, most).drop("rank")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_a_long_text_is_spread_over_tasks(spark):
     df = files(spark, ("long.txt", "x", LONG))
-    out = scan.scan_files(df, R.check_rules(spark, [rule("good")]), scan.ScanOptions(secrets=False, deps=False, long_text=100, range_lines=50))
+    out = scan.scan_files(df, R.check_rules(spark, [rule("good")]), scan.ScanOptions(secrets=False, deps=False, long_text=100, long_texts=scan.DEALT, range_lines=50))
     assert out.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
 
 
 def test_one_split_per_text_however_many_rules(spark, capsys):
     """No rule has a row or a copy of the text of its own: the plan has one generator, behind all tests."""
     rules = [rule(f"word{i}", rule_id=f"R-{i}") for i in range(30)]
-    scan.scan_files(files(spark, ("f", "x", "t")), R.check_rules(spark, rules), scan.ScanOptions(secrets=False, deps=False, long_text=0)).explain()
+    scan.scan_files(files(spark, ("f", "x", "t")), R.check_rules(spark, rules), scan.ScanOptions(secrets=False, deps=False)).explain()
     plan = capsys.readouterr().out
     assert plan.count("Generate") == 1 and "Exchange" not in plan
 

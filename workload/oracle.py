@@ -190,6 +190,7 @@ kept_jobs AS (SELECT DISTINCT job_id FROM files WHERE NOT (starts_with(path, 'sr
 _o("scan_corpus_limited", _from(_FINDINGS + ",\n" + _KEPT + ",\n" + _summary("firsts", "kept_jobs"), f"SELECT {_N}, score, passed FROM summary"))
 
 _o("scan_long_texts", _from(_FINDINGS, f"SELECT {_PLACE}, message, snippet FROM findings"))
+_o("stored_long_texts", _from(_FINDINGS, f"SELECT {_PLACE}, message FROM findings"))
 _o("scan_own_kinds", _from(_FILES + ",\n" + _LINES, """
 SELECT job_id, path AS file, line, (strlen(left(text, 120)) + 1)::INT AS "column", 'OWN-1' AS rule_id, 'low' AS severity, 'max_length 120' AS message FROM lines WHERE length(text) > 120
 UNION ALL SELECT job_id, path, line, 1, 'OWN-2', 'low', 'digits 12' FROM lines WHERE language IN ('en', 'de') AND length(regexp_replace(text, '[^0-9]', '', 'g')) >= 12

@@ -128,10 +128,18 @@ def scan_corpus_limited(spark, sf_dir):
 @query
 def scan_long_texts(spark, sf_dir):
     """Texts above 4,000 bytes cut into ranges of seven lines and dealt over the tasks: the findings stay the same."""
-    opts = replace(OPTIONS, long_text=4000, range_lines=7)
+    opts = replace(OPTIONS, long_text=4000, long_texts=scan.DEALT, range_lines=7)
     return scan.scan_files(spread(documents(spark, sf_dir)), pack(spark, "prose"), opts).select(*PLACE, "message", "snippet")
 
 
+@query
+def stored_long_texts(spark, sf_dir):
+    """A stored scan of which the longest documents are listed in the one pass and dealt after it."""
+    opts = replace(OPTIONS, long_text=20_000, range_lines=50)
+    found = run_scan(spark, documents(spark, sf_dir), pack(spark, "prose"), inputs.scratch(spark, "scan"), opts).findings
+    return found.select(*PLACE, "message")
+
+
 def _own_kinds() -> list[rule_source.Rule]:
     """Rules of two kinds that this workload adds: lines longer than `max`, and lines with `max` or more digits."""
     digits = lambda line: F.length(F.regexp_replace(line, "[^0-9]", ""))
@@ -362,7 +370,8 @@ def _manifests(spark, sf_dir) -> DataFrame:
 
 @query
 def dependency_inventory(spark, sf_dir):
-    return deps.inventory_dependencies(_manifests(spark, sf_dir))
+    """What each manifest declares; `dependency_versions` looks further, in the poms above."""
+    return deps.declared_dependencies(_manifests(spark, sf_dir))
 
 
 @query
