@@ -132,6 +132,8 @@ def build(rows: DataFrame, group: str, key: str, digest: Column, carry: list[Col
         F.col(group).alias("grp"), F.col(key).alias("key"), digest.alias("digest"), F.struct(*carry).alias("row"),
         F.monotonically_increasing_id().alias("tie"),  # equal rows are alike, so any order of them will do
     )
+    # Written first: dealing by ranges reads its input twice, and the texts are to be read once.
+    plain = materialise(plain, "merkle-digests")
     order = [F.col("key").asc_nulls_first(), F.col("digest"), F.col("tie")]
     placed = numbered(plain, "merkle-order", ["grp"], order, "place")
     sizes = placed.groupBy("grp").agg(F.count("*").alias("n"))
