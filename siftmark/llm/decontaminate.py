@@ -2,16 +2,17 @@
 
 Benchmark items become passages of at most `item_words` words, taken in blocks of `block`. For each block a
 TF-IDF matrix of its passages and of a sample of corpus passages is factorised by a distributed randomised
-SVD: tasks multiply their rows with the range and add up what they find per word, a QR of the small factor
-follows, and this repeats. All documents are then cut into overlapping windows, whose cosines with the
-block's passages, both projected on the latent space, choose candidates. As the rank exceeds the block and
-its rows weigh most, the space holds every query and the search loses none of them.
+SVD: tasks multiply their rows with the range and add up what they find per word; the range is made orthonormal
+by the eigenvectors of its small Gram matrix, and this repeats. All documents are then cut into overlapping
+windows, whose cosines with the block's passages, both projected on the latent space, choose candidates. As the
+rank exceeds the block and its rows weigh most, the space holds nearly all of every query (see the test of
+recall against exact cosines). Several blocks are searched in one pass, one after another in each task.
 A candidate counts as a leak if the longest common subsequence covers `lcs` of the passage's words, or
 `lcs_paraphrase` of them and the answer (column `answer`, else the last sentence) is there too.
 
-Document frequencies cover all documents. Sampled for the fit only: `sample_docs` documents, the first by
-a hash of the id, with at most `per_doc` windows each. What goes to tasks is bounded by block, sample and
-rank.
+Document frequencies cover all documents and are counted once for the words of all blocks, in portions of
+`portion_words` words. Sampled for the fit only: `sample_docs` documents, the first by a hash of the id, with at
+most `per_doc` windows each. What goes to tasks is bounded by portion, blocks of a pass, sample and rank.
 
 Defined results: null and empty texts and items have no leaks. Repeated documents give repeated rows, items
 that repeat an id count as that item. Empty tables give no rows. Ties in cosine do not matter, as every
@@ -23,11 +24,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from siftmark.llm.common import drop_table, materialise, ranked
 
@@ -40,6 +42,8 @@ class Settings:
     half: int = 12
     item_words: int = 64
     block: int = 256
+    blocks_per_pass: int = 4
+    portion_words: int = 1 << 18
     rank: int = 288
     rounds: int = 2
     sample_docs: int = 2000
@@ -111,6 +115,31 @@ def _doc_counts(vocabulary: dict[str, int]):
     return run
 
 
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = {w for text in batch["text"].to_pylist() for w in words_of(text)}
+        yield pa.RecordBatch.from_pydict({"w": pa.array(list(found), pa.string())})
+
+
+def frequencies(docs: DataFrame, items: DataFrame, frequent: list[str], settings: Settings) -> tuple[DataFrame, int]:
+    """(w, n) of the words of all items and of the frequent ones, and the number of documents."""
+    spark = docs.sparkSession
+    words = items.select("text").mapInArrow(_item_words, "w string")
+    words = words.unionAll(spark.createDataFrame([(w,) for w in frequent], "w string")).distinct()
+    words = ranked(words, "decontaminate-words", F.col("w"))
+    total, tables, documents = words.count(), [], None
+    for first in range(0, max(total, 1), settings.portion_words):
+        portion = words.where((F.col("rank") > first) & (F.col("rank") <= first + settings.portion_words))
+        vocabulary = {r.w: r.rank - first for r in portion.toLocalIterator()}
+        shared = spark.sparkContext.broadcast(vocabulary)
+        counts = docs.select("text").mapInArrow(lambda b: _doc_counts(shared.value)(b), "id long, n long")
+        counts = materialise(counts.groupBy("id").agg(F.sum("n").alias("n")), "decontaminate-counts")
+        shared.destroy()
+        documents = counts.where("id = 0").agg(F.sum("n")).first()[0] or 0
+        tables.append(portion.join(counts, F.col("rank") - first == F.col("id")).select("w", "n"))
+    return materialise(reduce(DataFrame.unionAll, tables), "decontaminate-frequencies"), documents
+
+
 def _row(words: list[str], vocabulary: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sparse TF-IDF row of unit length."""
     ids = np.array([i for i in map(vocabulary.get, words) if i], np.int64)
@@ -130,7 +159,7 @@ def _products(shared, scale_of):
             for words, weight in zip(batch["words"].to_pylist(), batch["weight"].to_pylist()):
                 ids, values = _row(words, vocabulary, idf)
                 if len(ids):
-                    values = values * weight
+                    values = (values * weight).astype(np.float32)
                     y = values @ q[ids]
                     if scale_of == "gram":
                         total[0] = total.get(0, 0) + np.outer(y, y)
@@ -139,14 +168,15 @@ def _products(shared, scale_of):
                             total[i] = total.get(i, 0) + v * y
         keys = list(total)
         yield pa.RecordBatch.from_pydict({
-            "id": pa.array(keys, pa.int64()), "v": pa.array([np.asarray(total[k], np.float32).tobytes() for k in keys], pa.binary()),
+            "id": pa.array(keys, pa.int64()), "v": pa.array([np.asarray(total[k], np.float32).ravel().tobytes() for k in keys], pa.binary()),
         })
 
     return run
 
 
-def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of the vectors of each id: added up per partition of the ids, then fetched, one per id."""
+def _summed(parts: DataFrame, out: np.ndarray) -> None:
+    """Put the sums of the vectors of each id into the rows of out: added up per partition of the ids, then read one
+    by one, so that the driver holds no second copy."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -158,37 +188,51 @@ def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
 
     # Written out, so that the shuffle files of a round go with it; bounded by vocabulary and rank.
     rows = materialise(parts.repartition("id").mapInArrow(add, "id long, v binary"), "decontaminate-round")
-    found = {r.id: np.frombuffer(r.v, np.float32).astype(float) for r in rows.collect()}
+    for r in rows.toLocalIterator():
+        out[r.id] = np.frombuffer(r.v, np.float32)
     drop_table(rows)
-    return found
+
+
+def _orthonormal(z: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns of a tall matrix, from the eigenvectors of its Gram matrix."""
+    gram = np.zeros((z.shape[1], z.shape[1]))
+    for at in range(0, len(z), 4096):
+        part = z[at:at + 4096].astype(float)
+        gram += part.T @ part
+    values, vectors = np.linalg.eigh(gram)
+    held = values > 1e-12 * max(values.max(), 1e-30)
+    turn = (vectors[:, held] / np.sqrt(values[held])).astype(np.float32)
+    return z @ turn
 
 
 def latent_space(rows: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, settings: Settings) -> np.ndarray:
     """Right singular vectors (words x rank) of the weighted TF-IDF rows: words array, weight double."""
     spark, d = rows.sparkSession, len(idf)
-    width = min(settings.rank, d)
-    q = np.random.default_rng(settings.seed).standard_normal((d, width))
+    q = np.random.default_rng(settings.seed).standard_normal((d, min(settings.rank, d)), np.float32)
     for _ in range(settings.rounds + 1):
         shared = spark.sparkContext.broadcast((vocabulary, idf, q))
-        found = _summed(rows.mapInArrow(_products(shared, "range"), "id long, v binary"))
-        z = np.zeros((d, width))
-        for i, v in found.items():
-            z[i] = v
-        q = np.linalg.qr(z)[0]
-        shared.unpersist()
+        z = np.zeros_like(q)
+        del q
+        _summed(rows.mapInArrow(_products(shared, "range"), "id long, v binary"), z)
+        shared.destroy()
+        if not z.any():
+            return np.zeros((d, 1), np.float32)
+        q = _orthonormal(_orthonormal(z))  # the second time mends what rounding left
+        del z
     shared = spark.sparkContext.broadcast((vocabulary, idf, q))
-    gram = _summed(rows.mapInArrow(_products(shared, "gram"), "id long, v binary")).get(0)
-    if gram is None:
-        return np.zeros((d, 1))
-    values, vectors = np.linalg.eigh(gram.reshape(width, width))
-    return q @ vectors[:, values > 1e-9 * max(values.max(), 1e-30)]
+    gram = np.zeros((1, q.shape[1] ** 2), np.float32)
+    _summed(rows.mapInArrow(_products(shared, "gram"), "id long, v binary"), gram)
+    shared.destroy()
+    values, vectors = np.linalg.eigh(gram.reshape(q.shape[1], -1).astype(float))
+    return q @ vectors[:, values > 1e-9 * max(values.max(), 1e-30)].astype(np.float32)
 
 
 def _sample(docs: DataFrame, settings: Settings) -> DataFrame:
     """Windows of a bounded sample of documents."""
     order = F.xxhash64(F.lit(settings.seed), "doc_id")
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(settings.sample_docs)
-    chosen = docs.join(F.broadcast(ids.withColumnRenamed("doc_id", "d")), F.col("doc_id") == F.col("d")).select("doc_id", "text")
+    narrow = docs.select("doc_id", "text")
+    chosen = narrow.join(F.broadcast(ids.withColumnRenamed("doc_id", "d")), F.col("doc_id") == F.col("d")).select("doc_id", "text")
     chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,21 +248,27 @@ def _sample(docs: DataFrame, settings: Settings) -> DataFrame:
     return chosen.mapInArrow(cut, "words array<string>")
 
 
-def build_index(docs: DataFrame, sample: DataFrame, passages: list[tuple[int, list[str], list[str]]], settings: Settings) -> Index:
-    """Latent space of a block of passages and the corpus sample, with the passages projected on it."""
-    spark = docs.sparkSession
-    own = sorted({w for _, words, _ in passages for w in words})
+def frequent_words(sample: DataFrame) -> list[str]:
+    """Words of three windows of the sample or more; bounded by the sample."""
     frequent = sample.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().where("count >= 3")
-    frequent = [r.w for r in frequent.collect()]  # bounded by the sample
-    vocabulary = {w: i + 1 for i, w in enumerate(dict.fromkeys([*own, *sorted(frequent)]))}
-    shared = spark.sparkContext.broadcast(vocabulary)
-    totals = docs.select("text").mapInArrow(lambda b: _doc_counts(shared.value)(b), "id long, n long")
+    return sorted(r.w for r in frequent.toLocalIterator())
+
+
+def build_index(
+    sample: DataFrame, passages: list[tuple[int, list[str], list[str]]], frequent: list[str], known: DataFrame, documents: int, settings: Settings,
+) -> Index:
+    """Latent space of a block of passages and the corpus sample, with the passages projected on it.
+
+    known has the document frequencies (w, n) of all words.
+    """
+    spark = sample.sparkSession
+    own = sorted({w for _, words, _ in passages for w in words})
+    vocabulary = {w: i + 1 for i, w in enumerate(dict.fromkeys([*own, *frequent]))}
     df = np.zeros(len(vocabulary) + 1)
-    for r in totals.groupBy("id").agg(F.sum("n").alias("n")).collect():  # bounded by the vocabulary
+    wanted = spark.createDataFrame([(w, i) for w, i in vocabulary.items()], "v string, id long")
+    for r in known.join(wanted, F.col("w") == F.col("v")).select("id", "n").toLocalIterator():  # bounded by the vocabulary
         df[r.id] = r.n
-    n = df[0]
-    df[0] = 0
-    idf = np.log((1 + n) / (1 + df)) + 1e-3
+    idf = np.log((1 + documents) / (1 + df)) + 1e-3
     idf[0] = np.median(idf[1:])
 
     weighted = [(words, settings.weight) for _, words, _ in passages]
@@ -226,12 +276,13 @@ def build_index(docs: DataFrame, sample: DataFrame, passages: list[tuple[int, li
     # The sample is bounded, and a task sends each word that it has met once, so few tasks do.
     rows = rows.unionByName(sample.select("words", F.lit(1.0).alias("weight"))).coalesce(settings.fit_tasks)
     space = latent_space(rows, vocabulary, idf, settings)
-    queries = np.zeros((len(passages), len(idf)))
+    # Score of a word with a passage: its weight times the passage projected on the space and back.
+    coordinates = np.zeros((space.shape[1], len(passages)), np.float32)
     for i, (_, words, _) in enumerate(passages):
         ids, values = _row(words, vocabulary, idf)
-        queries[i, ids] = values
-    # Score of a word with a passage: its weight times the passage projected on the space and back.
-    projected = (space @ (space.T @ queries.T)) * idf[:, None]
+        coordinates[:, i] = values.astype(np.float32) @ space[ids]
+    projected = space @ coordinates
+    projected *= idf[:, None].astype(np.float32)
     projected[0] = 0
     # Words that the queries do not use have rows of rounding errors only.
     used = np.abs(projected).max(axis=1) > 1e-6 * max(np.abs(projected).max(), 1e-30)
@@ -245,15 +296,12 @@ def build_index(docs: DataFrame, sample: DataFrame, passages: list[tuple[int, li
     order = {i: len(keep) + 1 + k for k, i in enumerate(rest)}
     extra = {w: order.get(vocabulary[w], p) if p == 0 else p for w, p in extra.items()}
     all_idf = np.concatenate([[idf[0]], idf[keep], idf[rest]])
-    matrix = np.vstack([np.zeros((1, len(passages))), projected[keep]]).astype(np.float32)
+    matrix = np.vstack([np.zeros((1, len(passages)), np.float32), projected[keep]])
     return Index(extra, matrix, all_idf, passages)
 
 
-def leaks(text: str | None, index: Index, settings: Settings) -> list[tuple[int, float, float]]:
-    """(item, cosine, share of the longest common subsequence) of the items that the text gives away."""
-    words = words_of(text)
-    if not words:
-        return []
+def candidates(words: list[str], index: Index, settings: Settings) -> list[tuple[int, int, float]]:
+    """(window, passage, cosine) of the windows of a text that come near a passage in the latent space."""
     half, n = settings.half, len(words)
     ids = np.fromiter(map(index.vocabulary.get, words, repeat(0)), np.int64, n)
     used = np.where(ids < len(index.rows), ids, 0)
@@ -278,32 +326,45 @@ def leaks(text: str | None, index: Index, settings: Settings) -> list[tuple[int,
         if len(edges) > 1:
             full = full + scores[place[some + 1]]
         windows, found = np.nonzero(full >= limit[some, None])
-        hits += zip(some[windows].tolist(), found.tolist(), full[windows, found].tolist())
+        cosines = full[windows, found] / limit[some[windows]] * settings.cosine
+        hits += zip(some[windows].tolist(), found.tolist(), cosines.tolist())
+    return hits
+
+
+def leaks(text: str | None, indices: list[Index], settings: Settings) -> list[tuple[int, float, float]]:
+    """(item, cosine, share of the longest common subsequence) of the items that the text gives away."""
+    words = words_of(text)
     best: dict[int, tuple[float, float]] = {}
-    for window, j, score in hits:
-        item, passage, answer = index.passages[j]
-        if item in best:
-            continue
-        lo, hi = window * half - len(passage), window * half + 2 * half + len(passage)
-        region = words[max(0, lo):hi]
-        there = set(region)
-        # No subsequence is longer than the number of words that are there at all.
-        if sum(w in there for w in passage) < min(settings.lcs, settings.lcs_paraphrase) * len(passage):
-            continue
-        share = common_subsequence(passage, region) / len(passage)
-        told = share >= settings.lcs
-        if not told and share >= settings.lcs_paraphrase:
-            told = sum(w in there for w in answer) >= settings.answer * len(answer)
-        if told:
-            best[item] = (float(score / limit[window] * settings.cosine), share)
+    half = settings.half
+    for index in indices if words else ():
+        for window, j, cosine in candidates(words, index, settings):
+            item, passage, answer = index.passages[j]
+            if item in best:
+                continue
+            lo, hi = window * half - len(passage), window * half + 2 * half + len(passage)
+            region = words[max(0, lo):hi]
+            there = set(region)
+            # No subsequence is longer than the number of words that are there at all.
+            if sum(w in there for w in passage) < min(settings.lcs, settings.lcs_paraphrase) * len(passage):
+                continue
+            share = common_subsequence(passage, region) / len(passage)
+            told = share >= settings.lcs
+            if not told and share >= settings.lcs_paraphrase:
+                told = sum(w in there for w in answer) >= settings.answer * len(answer)
+            if told:
+                best[item] = (cosine, share)
     return [(item, *v) for item, v in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[tuple[int, list[str], list[str]]]]:
-    """Passages of the benchmark, a block at a time."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, text, answer and rank of the items that have a text."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select("item_id", F.col("text").alias("text"), answer.alias("answer")).where("text is not null")
-    items = ranked(items, "benchmark", F.col("item_id"), F.col("text"))
+    return ranked(items, "benchmark", F.col("item_id"), F.col("text"))
+
+
+def _blocks(items: DataFrame, settings: Settings) -> Iterator[list[tuple[int, list[str], list[str]]]]:
+    """Passages of the benchmark, a block at a time."""
     # Numbered items are read in portions; one portion at a time is on the driver.
     total, portion = items.count(), settings.block
     for first in range(1, total + 1, portion):
@@ -313,12 +374,28 @@ def _blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[tuple[int
             yield passages[at:at + settings.block]
 
 
-def _scan(docs: DataFrame, index: Index, settings: Settings, keep: list[str]) -> DataFrame:
-    """keep and the leaks of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def _indices(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> Iterator[list[Index]]:
+    """The indices of the blocks, as many at a time as one pass over the documents searches."""
+    sample = materialise(_sample(docs, settings), "decontaminate-sample")
+    items, frequent = _items(benchmark), frequent_words(sample)
+    known, documents = frequencies(docs, items, frequent, settings)
+    held: list[Index] = []
+    for block in _blocks(items, settings):
+        held.append(build_index(sample, block, frequent, known, documents, settings))
+        if len(held) == settings.blocks_per_pass:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+_FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("lcs", T.DoubleType())]))
+
+
+def _scan(rows: DataFrame, indices: list[Index], settings: Settings) -> DataFrame:
+    """row and the leaks of each of the rows (row, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(indices)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64())]))
-    names = keep if "text" in keep else [*keep, "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,18 +403,18 @@ def _scan(docs: DataFrame, index: Index, settings: Settings, keep: list[str]) ->
                 [{"item_id": i, "cosine": c, "lcs": s} for i, c, s in leaks(text, shared.value, settings)]
                 for text in batch["text"].to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(found, kind)], names=[*keep, "_leaks"])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(found, kind)], names=["row", "leaks"])
 
-    return docs.select(*names).mapInArrow(run, f"{fields}, _leaks array<struct<item_id:long,cosine:double,lcs:double>>")
+    schema = T.StructType([rows.schema["row"], T.StructField("leaks", _FOUND)])
+    return rows.select("row", "text").mapInArrow(run, schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, cosine and lcs of every leak."""
-    sample = materialise(_sample(docs, settings), "decontaminate-sample")
     found = None
-    for block in _blocks(benchmark, settings):
-        index = build_index(docs, sample, block, settings)
-        pairs = _scan(docs, index, settings, ["doc_id"]).select("doc_id", F.explode("_leaks").alias("l")).select("doc_id", "l.*")
+    rows = docs.select(F.struct("doc_id").alias("row"), "text")
+    for indices in _indices(docs.select("doc_id", "text"), benchmark, settings):
+        pairs = _scan(rows, indices, settings).select("row.doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*")
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, cosine double, lcs double")
@@ -345,10 +422,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs that give no item away."""
-    sample = materialise(_sample(docs, settings), "decontaminate-sample")
-    kept = docs
-    for block in _blocks(benchmark, settings):
-        index = build_index(docs, sample, block, settings)
-        kept = _scan(kept, index, settings, docs.columns).where("size(_leaks) = 0").select(*docs.columns)
-    return kept
+    """The rows of docs that give no item away, whatever other columns they have."""
+    kept = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    for indices in _indices(docs.select("doc_id", "text"), benchmark, settings):
+        found = _scan(kept.select("row", "row.text"), indices, settings)
+        kept = found.where(F.size("leaks") == 0).select("row")
+    return kept.select("row.*")

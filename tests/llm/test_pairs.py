@@ -179,3 +179,40 @@ def test_leaks_of_nothing(spark, benchmark_case):
     assert decontaminate.find_leaks(docs, bench.limit(0)).collect() == []
     assert decontaminate.find_leaks(docs.limit(0), bench).collect() == []
     assert decontaminate.drop_leaks(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_recall_of_the_search_against_exact_cosines(spark):
+    """A full block of passages over skewed words: nearly all windows at cosine 0.2 or more are candidates."""
+    rng = random.Random(21)
+    vocabulary, weights = [f"w{i}" for i in range(4000)], [1 / (i + 2) ** 0.9 for i in range(4000)]
+    prose = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [prose(rng.randint(15, 40)) for _ in range(256)]
+    texts = []
+    for i in range(400):
+        words = prose(rng.randint(30, 150))
+        if i % 3 == 0:
+            part = rng.choice(items)
+            words[5:5] = part[: len(part) // 2]
+        texts.append(words)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    settings = decontaminate.Settings(sample_docs=200)
+    [[index]] = list(decontaminate._indices(docs, bench, settings))
+    assert len(index.passages) == 256
+    rows = [decontaminate._row(words, index.vocabulary, index.idf) for _, words, _ in index.passages]
+    matrix = np.zeros((len(index.idf), 256))
+    for j, (ids, values) in enumerate(rows):
+        matrix[ids, j] = values
+    near, found = 0, 0
+    for words in texts:
+        got = {(w, j) for w, j, _ in decontaminate.candidates(words, index, settings)}
+        for window in range(max(1, -(-len(words) // settings.half) - 1)):
+            part = words[window * settings.half : window * settings.half + 2 * settings.half]
+            counts = Counter(index.vocabulary.get(w, 0) for w in part)
+            vector = np.array([n * index.idf[i] for i, n in counts.items()])
+            cosines = (vector[:, None] * matrix[list(counts)]).sum(axis=0) / np.linalg.norm(vector)
+            for j in np.flatnonzero(cosines >= settings.cosine).tolist():
+                near += 1
+                found += (window, j) in got
+    print(f"recall {found}/{near}")
+    assert near > 300 and found >= 0.97 * near
