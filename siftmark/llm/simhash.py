@@ -24,7 +24,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from siftmark.llm.common import drop_table, materialise
 
@@ -48,17 +48,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def with_fingerprint(docs: DataFrame, shingle: int = 3, name: str = "_fp") -> DataFrame:
+def with_fingerprint(docs: DataFrame, shingle: int = 3, name: str = "fp") -> DataFrame:
     """All columns of docs and the fingerprint of text."""
     kept = [c for c in docs.columns if c != name]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    rows = docs.select(*kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(t, shingle) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(values, pa.int64())], names=[*kept, name])
 
-    return docs.select(*kept).mapInArrow(run, f"{fields}, `{name}` long")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _split(rows: DataFrame, matched: int) -> tuple[DataFrame, int]:
@@ -158,15 +158,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """docs with one row of every component: the smallest id, and one of its rows if the id is repeated."""
-    rows = with_fingerprint(docs, shingle)
-    prints = materialise(rows.select("doc_id", F.col("_fp").alias("fp")), "simhash-prints")
-    found = groups(prints, max_bits).select(F.col("fp").alias("f"), "root")
-    # The winner is one (id, fingerprint) of its component; nulls come last.
-    member = prints.distinct().join(found, F.col("fp") == F.col("f"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fp"))
-    winners = member.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.id").alias("wid"), F.col("w.fp").alias("wfp"))
-    winners = materialise(winners, "simhash-winners")
-    chosen = rows.join(winners, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("_fp") == F.col("wfp")))
-    first = W.partitionBy("doc_id", "_fp").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    return chosen.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    """docs with one row of every component: the smallest id, and one of its rows if the id is repeated.
+
+    Ids that are null come last; of rows alike in id and fingerprint the first read stays.
+    """
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "doc_id", "text")
+    rows = with_fingerprint(rows, shingle).drop("text").withColumn("n", F.monotonically_increasing_id())
+    # Written out whole: fingerprints cost more than a second copy, and every row keeps its number.
+    rows = materialise(rows, "simhash-rows")
+    found = groups(rows.select("doc_id", "fp"), max_bits).select(F.col("fp").alias("f"), "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fp").alias("fp"), F.col("n").alias("n"))
+    # One row per fingerprint first: equal ones may be a third of all.
+    firsts = rows.groupBy("fp").agg(F.min(order).alias("w"))
+    winners = firsts.join(found, F.col("fp") == F.col("f")).groupBy("root").agg(F.min("w").alias("w"))
+    winners = materialise(winners.select(F.col("w.n").alias("winner")), "simhash-winners")
+    return rows.join(winners, F.col("n") == F.col("winner"), "left_semi").select("row.*")
