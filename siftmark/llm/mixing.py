@@ -146,14 +146,17 @@ def _with_rank(rows: DataFrame, per_source: DataFrame, mix: Mix) -> DataFrame:
 
 
 def apply_plan(docs: DataFrame, per_source: DataFrame, size: Column, key: str = "doc_id", source: str = "source", mix: Mix = Mix()) -> DataFrame:
-    """docs with size, source_size, target, copies and taken, decided row by row from the plan."""
-    keep = [c for c in docs.columns if c not in RESULTS]
-    rows = docs.select(*keep, F.col(key).alias("_id"), F.col(source).alias("_source"), size.alias("_size"))
+    """docs with size, source_size, target, copies and taken, decided row by row from the plan.
+
+    Columns of docs travel as one struct, so their names meet none of the plan's.
+    """
+    keep = [F.col(c) for c in docs.columns if c not in RESULTS]
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(key).alias("_id"), F.col(source).alias("_source"), size.alias("_size"))
     rows = _with_rank(rows.withColumn("_level", _level(F.col("_size"))), per_source, mix)
     copies = F.floor("_rate") + F.coalesce((F.col("_rank") <= F.col("last_rank")).cast("long"), F.lit(0))
     rows = rows.withColumn("_copies", F.when(F.col("_size") > 0, copies).otherwise(0).cast("long"))
     return rows.select(
-        *keep, F.col("_size").alias("size"), "source_size", "target", F.col("_copies").alias("copies"),
+        "row.*", F.col("_size").alias("size"), "source_size", "target", F.col("_copies").alias("copies"),
         (F.col("_copies") * F.col("_size")).alias("taken"),
     )
 

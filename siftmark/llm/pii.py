@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from siftmark.llm.common import materialise
 
@@ -315,22 +315,21 @@ def redact(text: str | None, more: list[tuple[int, int, str]]) -> str | None:
 
 
 def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs with personal data in text generalised or removed."""
-    columns = docs.columns
-    rows = materialise(docs.withColumn("_key", F.md5("text")), "pii-documents")
-    found = records(rows, ["_key"], settings)
-    more = added_spans(rows, found, settings).select(F.col("key").alias("_of"), F.col("more").alias("_more"))
-    joined = rows.join(more, F.col("_key") == F.col("_of"), "left").select(*columns, "_more")
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    """docs with personal data in text generalised or removed, whatever other columns they have."""
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.md5("text").alias("_key"))
+    rows = materialise(rows, "pii-documents").select("row", F.col("row.text").alias("text"), "_key")
+    found = records(rows.select("text", "_key"), ["_key"], settings)
+    more = added_spans(rows.select("text", "_key"), found, settings).select(F.col("key").alias("_of"), "more")
+    joined = rows.join(more, F.col("_key") == F.col("_of"), "left").select("row", "text", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
                 redact(t, [(s["start"], s["end"], s["kind"]) for s in more or []])
-                for t, more in zip(batch["text"].to_pylist(), batch["_more"].to_pylist())
+                for t, more in zip(batch["text"].to_pylist(), batch["more"].to_pylist())
             ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in columns], names=columns
-            )
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], names=["row", "clean"])
 
-    return joined.mapInArrow(run, fields)
+    schema = T.StructType([joined.schema["row"], T.StructField("clean", T.StringType())])
+    done = joined.mapInArrow(run, schema)
+    return done.select(*[F.col("clean").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
