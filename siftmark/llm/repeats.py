@@ -7,8 +7,10 @@ are judged on the input and never cross documents.
    anchor: the 32-byte gram with the smallest hash inside the string, the leftmost of equals. Equal strings
    have equal anchors, so a bucket holds all that can be equal. Neighbouring starts with one anchor form a
    segment. Segments are counted by hash, pre-aggregated in each task: a segment that occurs twice is
-   repeated as a whole, a segment alone in its bucket is not, and the others are contested.
-2. Buckets with contested segments are sorted one block at a time. Ranks of a difference cover sample, for
+   repeated as a whole, a segment alone in its bucket is not, and the others are contested. One place stands
+   for each contested segment, chosen in the count, so copies are never sent.
+2. A second pass marks the repeated segments and sends the contested ones from their places. Buckets with
+   contested segments are sorted one block at a time. Ranks of a difference cover sample, for
    prefixes of 160 bytes by doubling, are computed first. Suffixes that agree in their first 32 and last 40
    bytes are told apart by ternary partitioning, where two suffixes are compared by the ranks of the
    sample places at the same distance behind both; such a distance below 32 exists for any two. Memory is
@@ -16,8 +18,8 @@ are judged on the input and never cross documents.
    grouped by 128-bit hash over the cluster.
 3. The ranges found are gathered per document and merged.
 
-Bitmaps of fixed size tell the second pass which segments may matter; they let through too much when full,
-never too little.
+Bitmaps of fixed size tell the second pass which segments and places may matter; they let through too much
+when full, never too little.
 
 Defined results: null and empty texts have no bytes. Equal rows count as copies of each other, so texts of 200
 bytes or more that occur twice vanish. Every row gives one row; an empty table gives none.
@@ -138,38 +140,64 @@ def _hash(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
-def _may_be(bitmap: bytes, bits: int, anchor: int, segment: int) -> bool:
-    at = (anchor ^ segment) & ((1 << bits) - 1)
-    return bool(bitmap[at >> 3] >> (at & 7) & 1)
+def _bit(bitmap: bytes, bits: int, key: int) -> int:
+    at = key & ((1 << bits) - 1)
+    return bitmap[at >> 3] >> (at & 7) & 1
 
 
-def _emit(kind: str, shared, settings: Settings, doc_type: pa.DataType):
-    """Rows of all segments (kind all), of those in the bitmap (marked), or these with their bytes (texts)."""
+def _base(doc, th: int) -> int:
+    """A number for the document, from which its places count on."""
+    return xxhash.xxh3_64_intdigest(f"{doc}:{th}")
 
+
+def _place_of(base: int, at: int) -> int:
+    """A signed number for a place of a document."""
+    return ((base + at * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _count_segments(settings: Settings):
+    """(anchor, segment, place) of all segments."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _pieces(batches, settings):
+            bases = [_base(doc, th) + offset * 0x9E3779B97F4A7C15 for doc, th, offset, _ in group]
+            anchors, hashes, places = [], [], []
+            for piece, at, _, anchor, raw in segments([p[3] for p in group], settings):
+                anchors.append(anchor)
+                hashes.append(_hash(raw))
+                places.append(_place_of(bases[piece], at))
+            columns = [pa.array(c, pa.int64()) for c in (anchors, hashes, places)]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "segment", "place"])
+
+    return run
+
+
+def _pick_segments(shared, settings: Settings, doc_type: pa.DataType):
+    """Rows of segments that may be repeated (raw is null), and of those that may stand for contested ones (raw holds
+    their bytes)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice, contested = shared.value
+        bits = settings.bits
         for group in _pieces(batches, settings):
             rows, seen = [], set()
+            bases = [_base(doc, th) + offset * 0x9E3779B97F4A7C15 for doc, th, offset, _ in group]
             for piece, at, n, anchor, raw in segments([p[3] for p in group], settings):
                 segment = _hash(raw)
-                if shared is not None and not _may_be(shared.value, settings.bits, anchor, segment):
-                    continue
-                if kind == "texts":
-                    if (anchor, segment) in seen:
-                        continue
-                    seen.add((anchor, segment))
                 doc, th, offset, _ = group[piece]
-                rows.append((anchor, segment, doc, th, (offset + at) << 8 | n, raw if kind == "texts" else None))
+                if _bit(twice, bits, anchor ^ segment):
+                    rows.append((anchor, segment, doc, th, (offset + at) << 8 | n, None))
+                if _bit(contested, bits, _place_of(bases[piece], at)) and (anchor, segment) not in seen:
+                    seen.add((anchor, segment))
+                    rows.append((anchor, segment, doc, th, (offset + at) << 8 | n, raw))
             columns = list(zip(*rows)) or [[]] * 6
             types = [pa.int64(), pa.int64(), doc_type, pa.int64(), pa.int64(), pa.binary()]
             names = ["anchor", "segment", "doc_id", "th", "at", "raw"]
-            keep = 6 if kind == "texts" else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:keep], types)], names=names[:keep])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return run
 
 
 def _bitmap(rows: DataFrame, bits: int) -> bytes:
-    """The bits of the segments in rows: each task fills the parts that are dealt to it."""
+    """The bits of the keys in rows: each task fills the parts that are dealt to it."""
     size = 1 << 12
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +209,7 @@ def _bitmap(rows: DataFrame, bits: int) -> bytes:
                 np.bitwise_or.at(parts.setdefault(int(part), np.zeros(size, np.uint8)), bit >> 3, (1 << (bit & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(parts), pa.int64()), "b": pa.array([p.tobytes() for p in parts.values()], pa.binary())})
 
-    mixed = F.expr(f"(anchor ^ segment) & {(1 << bits) - 1}L")
-    dealt = rows.select(mixed.alias("bit")).repartition(F.shiftright("bit", 15))
+    dealt = rows.select(F.expr(f"key & {(1 << bits) - 1}L").alias("bit")).repartition(F.shiftright("bit", 15))
     whole = bytearray(1 << (bits - 3))
     for r in dealt.mapInArrow(fill, "part long, b binary").toLocalIterator():
         whole[r.part * size : (r.part + 1) * size] = bytes(r.b)
@@ -212,10 +239,33 @@ def _sort_block(texts: list[bytes], length: int) -> list[np.ndarray]:
     for k in range(8):
         chunk = (chunk << np.uint64(8)) | data[k : k + len(chunk)]
 
+    # Suffixes that agree in head and tail are one group at first. A hash of both tells most apart.
+    chunks = lambda at, k: chunk[np.minimum(at + 8 * k, len(chunk) - 1)]
+    suffix = np.repeat(begins, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    tail = suffix + _MIDDLE
+    found = np.zeros(len(suffix), bool)
+    mixed = np.zeros(len(suffix), np.uint64)
+    for place, words in ((suffix, 4), (tail, (length - _MIDDLE) // 8)):
+        for k in range(words):
+            mixed = (mixed ^ chunks(place, k)) * np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(29)
+    order = np.argsort(mixed)
+    same = mixed[order][1:] == mixed[order][:-1]
+    open_ = np.sort(order[np.r_[same, False] | np.r_[False, same]])
+    if not len(open_):
+        return np.split(found, np.cumsum(counts)[:-1])
+    # Texts without such suffixes need no ranks: the others are a block of their own.
+    has = np.unique(np.searchsorted(np.cumsum(counts), open_, "right"))
+    if len(has) < 0.8 * len(texts):
+        out = np.split(found, np.cumsum(counts)[:-1])
+        for i, some in zip(has.tolist(), _sort_block([texts[i] for i in has.tolist()], length)):
+            out[i] = some
+        return out
+    group = _dense(*(chunks(suffix[open_], k) for k in range(4)), *(chunks(tail[open_], k) for k in range((length - _MIDDLE) // 8)))
+
     # Ranks of the cover sample: 32 bytes, then doubled by ranks 32, 64 and 128 places on.
     limit = total
     sample = np.flatnonzero(_IN_COVER[np.arange(limit) % _COVER])
-    chunks = lambda at, k: chunk[np.minimum(at + 8 * k, len(chunk) - 1)]
     rank32 = np.zeros(limit + _MIDDLE + 1, np.int32)
     rank32[sample] = 1 + _dense(*(chunks(sample, k) for k in range(4)))
     rank, done = rank32, _HEAD
@@ -226,12 +276,6 @@ def _sort_block(texts: list[bytes], length: int) -> list[np.ndarray]:
     middle = np.zeros_like(rank32)
     middle[sample] = 1 + _dense(rank[sample], rank32[np.minimum(sample + 128, limit)])
 
-    # Suffixes that agree in head and tail are one group at first.
-    suffix = np.repeat(begins, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    tail = suffix + _MIDDLE
-    group = _dense(*(chunks(suffix, k) for k in range(4)), *(chunks(tail, k) for k in range((length - _MIDDLE) // 8)))
-    found = np.zeros(len(suffix), bool)
-    open_ = np.arange(len(suffix))
     turn = 0
     while len(open_):
         sizes_of = np.bincount(group)
@@ -325,23 +369,23 @@ def repeated_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     arrow, sql = to_arrow_type(kind), kind.simpleString()
-    fields = f"anchor long, segment long, doc_id {sql}, th long, at long"
-    everything = docs.mapInArrow(_emit("all", None, settings, arrow), fields)
-    counted = materialise(everything.groupBy("anchor", "segment").agg(F.count("*").alias("n")), "repeats-segments")
+    counted = docs.mapInArrow(_count_segments(settings), "anchor long, segment long, place long").groupBy("anchor", "segment")
+    counted = materialise(counted.agg(F.count("*").alias("n"), F.min("place").alias("place")), "repeats-segments")
     crowded = counted.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("m")).where("m > 1")
     crowded = materialise(crowded, "repeats-buckets")
     twice = materialise(counted.where("n > 1").select(F.col("anchor").alias("a"), F.col("segment").alias("s")), "repeats-twice")
-    contested = counted.join(crowded, F.col("anchor") == F.col("a"), "left_semi").select("anchor", "segment")
-    some = spark.sparkContext.broadcast(_bitmap(contested, settings.bits))
-    dups = spark.sparkContext.broadcast(_bitmap(twice.select(F.col("a").alias("anchor"), F.col("s").alias("segment")), settings.bits))
+    contested = counted.join(crowded, F.col("anchor") == F.col("a"), "left_semi").select(F.col("place").alias("key"))
+    bitmaps = _bitmap(twice.select(F.expr("a ^ s").alias("key")), settings.bits), _bitmap(contested, settings.bits)
+    shared = spark.sparkContext.broadcast(bitmaps)
     drop_table(counted)
 
-    whole = docs.mapInArrow(_emit("marked", dups, settings, arrow), fields)
-    whole = whole.join(twice, (F.col("anchor") == F.col("a")) & (F.col("segment") == F.col("s")))
+    fields = f"anchor long, segment long, doc_id {sql}, th long, at long, raw binary"
+    picked = materialise(docs.mapInArrow(_pick_segments(shared, settings, arrow), fields), "repeats-picked")
+    whole = picked.where("raw is null").join(twice, (F.col("anchor") == F.col("a")) & (F.col("segment") == F.col("s")))
     start = F.shiftright("at", 8)
     whole = whole.select("doc_id", "th", start.alias("lo"), (start + F.col("at").bitwiseAND(255) + settings.length - 1).alias("hi"))
 
-    texts = docs.mapInArrow(_emit("texts", some, settings, arrow), f"{fields}, raw binary")
+    texts = picked.where("raw is not null")
     hot = crowded.where(F.col("m") > settings.bucket).select("a")
     found = []
     if not hot.isEmpty():
@@ -381,7 +425,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     arrow, sql = to_arrow_type(kind), kind.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     ranges = repeated_ranges(rows, settings)
-    ranges = ranges.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = ranges.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     joined = rows.join(ranges, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
