@@ -1,5 +1,7 @@
 """Operators that look at one document at a time: quality rules, languages, toxicity, licences."""
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -186,3 +188,96 @@ def test_padded_lines_end_as_sentences(spark):
     lines = ["A padded line." + " " * 40, "Tabs too!" + "\t" * 13 + "\r", "Quoted (deeply.)" + ")\"" * 9 + "  ", "no mark" + " " * 40, '"' * 15]
     row = quality_rules.clean_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()[0]
     assert row.clean_text.split("\n") == lines[:3]
+
+
+def rare_case():
+    """1,000 training and 500 held-out texts; a fifth is toxic, with four of 200 words that about four texts share."""
+    rng = random.Random(1)
+    vocabulary, weights = [f"w{i}" for i in range(3000)], [1 / (i + 5) for i in range(3000)]
+    toxic, rows = [f"t{i}" for i in range(200)], []
+    for i in range(1500):
+        words, y = rng.choices(vocabulary, weights, k=rng.randint(40, 160)), int(rng.random() < 0.2)
+        for t in rng.sample(toxic, 4) if y else ():
+            words.insert(rng.randrange(len(words)), t)
+        rows.append((i, " ".join(words), y))
+    return rows
+
+
+def test_toxicity_of_rare_words(spark):
+    docs = spark.createDataFrame(rare_case(), "doc_id long, text string, toxic int")
+    rows = toxicity.training_rows(docs.where("doc_id < 1000"), docs.select("doc_id", "toxic"), "toxic", toxicity.Settings())
+    model = toxicity.fit(docs.select("doc_id", "text"), rows)
+    held = toxicity.score(docs.where("doc_id >= 1000"), model, ["doc_id", "toxic"]).collect()
+    caught = [r.predicted for r in held if r.toxic]
+    false = [r.predicted for r in held if not r.toxic]
+    assert sum(caught) >= 0.9 * len(caught) and sum(false) <= 0.02 * len(false)
+
+
+def brute_models(texts, corpus, settings):
+    """P_y(w) of all words of the corpus by the definition, without classes of counts above 4 and 63."""
+    grams = lambda text: set(zip(["", *text.split()], text.split()))
+    shared = Counter(w for t in corpus for _, w in grams(t))
+    total, kinds, d = sum(shared.values()), len(shared), settings.discount
+    rate = {w: (n - d + d * kinds / (kinds + 1)) / total for w, n in shared.items()}
+    out = []
+    for y in (0, 1):
+        own = Counter(w for t, label in texts if label == y for _, w in grams(t))
+        size = sum(own.values())
+        least = min(1.0, d * len(own) / size)
+        cell = lambda n: n if n < 5 else 4 + int(2 * math.log2(n / 4))
+        seen = Counter((cell(own[w]), n) for w, n in shared.items())
+        chance = Counter()
+        for w, n in shared.items():
+            e = size * sum(rate[v] for v in shared if shared[v] == n) / sum(shared[v] == n for v in shared)
+            for c in range(0, 60):
+                chance[cell(c), n] += math.exp(c * math.log(e) - e - math.lgamma(c + 1))
+        moved = {}
+        for w, n in shared.items():
+            e = size * rate[w]
+            f = min(1.0, (chance[cell(own[w]), n] + 0.5) / (seen[cell(own[w]), n] + 0.5))
+            got = max((1 - f) * own[w] + f * e, least * e)
+            moved[w] = got if abs(math.log(got / e)) > settings.spread else e
+        rest = size * d * kinds / (kinds + 1) / total  # words that the corpus does not have
+        whole = (sum(moved.values()) + rest) / size
+        out.append({w: v / size / whole for w, v in moved.items()} | {None: rest / size / whole})
+    return out
+
+
+def test_toxicity_models_are_distributions(spark):
+    """The words' log ratios are those of two brute-force models whose probabilities sum to one."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(240):
+        y = i % 3 == 0
+        words = rng.choices([f"w{k}" for k in range(40)], [1 / (k + 1) for k in range(40)], k=rng.randint(3, 12))
+        rows.append((i, " ".join(words + (["bad", f"t{i % 12}"] if y else [])), int(y), True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int, fit boolean")
+    settings = toxicity.Settings(spread=0.2)
+    model = toxicity.fit(docs, docs.unionAll(docs.withColumn("fit", F.lit(False))), settings)
+    low, high = brute_models([(t, y) for _, t, y, _ in rows], [t for _, t, _, _ in rows], settings)
+    assert sum(low.values()) == pytest.approx(1, abs=1e-9) and sum(high.values()) == pytest.approx(1, abs=1e-9)
+    ratio = {w: math.log(high[w] / low[w]) for w in high}
+    assert model.rest == pytest.approx(ratio[None], abs=1e-9)
+    assert {w: model.words.get(w, model.rest) for w in ratio if w} == pytest.approx({w: r for w, r in ratio.items() if w}, abs=1e-9)
+    assert model.words["bad"] > 2
+
+
+CLASHING = [
+    "row", "text_", "fp", "n", "root", "wid", "wfp", "winner", "f", "w", "d", "leaks", "_leaks", "item_id", "rates", "last_rank", "_id", "_source", "_size",
+    "_rank", "_rate", "_level", "_s", "_copies", "bin", "more", "_more", "_key", "_of", "key", "spans", "beside", "clean", "evidence", "_evidence", "score", "h",
+    "_fp", "_n", "value", "words", "rank", "target_",
+]
+
+
+def test_stages_leave_columns_with_any_name(spark, sf):
+    """Extra columns that are named like the stages' own keep their values in every stage."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    odd = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf)
+        plain = {r.doc_id for r in stage(spark, docs, sf).select("doc_id").collect()}
+        rows = got.select("doc_id", *CLASHING).collect()
+        assert {r.doc_id for r in rows} == plain, name
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHING), name
