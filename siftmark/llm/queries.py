@@ -115,12 +115,11 @@ def op13_byte_pairs(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
 
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     shared = byte_pairs.share(spark, byte_pairs.load(vocabulary))
-    ids = byte_pairs.encode(_table(spark, sf_dir, "documents"), shared, ["doc_id"])
-    counted = ids.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids",
+    done = byte_pairs.encode(_table(spark, sf_dir, "documents"), shared, ["doc_id"], decoded=True)
+    return done.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    done = byte_pairs.decode(counted, shared, ["doc_id", "n_tokens", "ids_sha256"])
-    return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 QUERIES = {

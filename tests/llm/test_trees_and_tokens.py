@@ -253,7 +253,7 @@ def same(library, encoder, text):
     ids = library.encode(text, add_special_tokens=False).ids
     own = encoder.encode(text)
     assert np.frombuffer(own, "<u4").tolist() == ids, text
-    assert byte_pairs.decode_ids(own, encoder.fragments.vocabulary.tokens) == library.decode(ids, skip_special_tokens=False)
+    assert byte_pairs.decode_ids(own, encoder.vocabulary.tokens) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_encoding_like_the_library(library, encoder):
@@ -280,14 +280,14 @@ def test_characters_like_the_library(library, encoder):
 def test_long_and_repetitive_texts(library, encoder):
     for text in ("a" * 3000, "ab" * 2000 + " " * 3000, " \n" * 500 + "x", "中" * 2000, "x1!" * 2000, "'" * 1000 + "s"):
         same(library, encoder, text)
-    short = byte_pairs.Encoder(encoder.fragments.vocabulary, byte_pairs.Settings(piece=7, cached=50))
+    short = byte_pairs.Encoder(encoder.vocabulary, byte_pairs.Settings(piece=7, cached=50))
     rng = random.Random(3)
     for _ in range(800):
         same(library, short, "".join(rng.choice("ab \n é.") for _ in range(rng.randint(0, 80))))
 
 
 def test_forced_pairs_are_inside_no_token(encoder):
-    vocabulary = encoder.fragments.vocabulary
+    vocabulary = encoder.vocabulary
     inside = {t[i:i + 2] for t in vocabulary.tokens for i in range(len(t) - 1)}
     forced = vocabulary.forced
     assert all(forced[a << 8 | b] == (bytes((a, b)) not in inside) for a in range(256) for b in range(256))
