@@ -1,6 +1,6 @@
 """Licence templates: whole texts, headers that sources carry, and titles of licence files.
 
-Whole texts are the files of `packs/licenses`, named by licence. The words that a header or title starts
+Whole texts are the files of `licenses`, named by licence. The words that a header or title starts
 with (`ANCHORS`) tell where in a file it may stand; it is compared with as many words as the template has.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import cache
 from pathlib import Path
 
-_FOLDER = Path(__file__).parent.parent / "packs" / "licenses"
+_FOLDER = Path(__file__).parent / "licenses"
 
 
 def _gnu(work: str, name: str, version: str, later: bool = True) -> list[str]:
