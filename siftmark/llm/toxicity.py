@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from siftmark.llm.common import drop_table, materialise
 
 _WORD = re.compile(r"\w+")
+_HELD = 1 << 17  # keys that a task counts before it passes them on
 _SCALE = 0.01  # evidence beyond it counts by its logarithm
 _EXACT = 64  # corpus counts below stand for themselves, higher ones in eighths of an octave
 
@@ -104,24 +105,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, settings: Sett
     return rows.groupBy(F.col("_id").alias("doc_id"), "y", "fit").agg(F.min("text").alias("text"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch], names: list[str], keys_of) -> Iterator[list[tuple[tuple, int]]]:
+    """(key, count) of what keys_of finds in the rows, added up until there are `_HELD` keys."""
+    counts: Counter = Counter()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for row in zip(*(part[n].to_pylist() for n in names)):
+                counts.update(keys_of(*row))
+                if len(counts) >= _HELD:
+                    yield list(counts.items())
+                    counts.clear()
+    if counts:
+        yield list(counts.items())
+
+
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("y", pa.int32()), ("h", pa.string()), ("w", pa.string()), ("n", pa.int64())])
-    for batch in batches:
-        counts: Counter = Counter()
-        for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist()):
-            counts.update((y, h, w) for h, w in expressions(text))
-        keys = list(counts)
-        columns = {"y": [k[0] for k in keys], "h": [k[1] for k in keys], "w": [k[2] for k in keys], "n": list(counts.values())}
-        yield pa.RecordBatch.from_pydict(columns, schema=schema)
+    for found in _counted(batches, ["text", "y"], lambda text, y: [(y, h, w) for h, w in expressions(text)]):
+        columns = [*zip(*(k for k, _ in found)), [n for _, n in found]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Continuation counts of all words, added up per batch."""
-    for batch in batches:
-        counts: Counter = Counter()
-        for text in batch["text"].to_pylist():
-            counts.update([w for _, w in expressions(text)])
-        yield pa.RecordBatch.from_pydict({"w": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+    """Continuation counts of all words, added up in each task."""
+    for found in _counted(batches, ["text"], lambda text: [w for _, w in expressions(text)]):
+        yield pa.RecordBatch.from_pydict({"w": pa.array([w for w, _ in found], pa.string()), "n": pa.array([n for _, n in found], pa.int64())})
 
 
 def count_class(n: Column) -> Column:
@@ -294,7 +303,7 @@ def _with_evidence(model, rows: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [model.value.evidence(t) for t in batch["text"].to_pylist()]
+            values = [model.value.evidence(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(values, pa.float64())], names=["row", "evidence"])
 
     return narrow.mapInArrow(run, T.StructType([narrow.schema["row"], T.StructField("evidence", T.DoubleType())]))
