@@ -35,7 +35,7 @@ judged AS (
     count(*) FILTER (WHERE good) AS n_good, coalesce(sum(length(l)) FILTER (WHERE good), 0) AS good_chars
   FROM (
     SELECT r, l,
-      regexp_matches(right(l, 12), '[.!?…。！？]["''”’»)\\]]*{_SPACE}*$')
+      regexp_matches(l, '[.!?…。！？]["''”’»)\\]]*{_SPACE}*$')
       AND NOT regexp_matches(l, '(?:[!?][!?][^!?]*){{3}}')
       AND NOT regexp_matches(l, '(?:[|»›•][^|»›•]*){{3}}')
       AND NOT (length(l) <= 40 AND trim(lower(l), ' ') IN ({_list(MENU_LINES)}))

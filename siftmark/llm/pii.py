@@ -3,12 +3,13 @@
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Around every find, the `reach` words
 on each side in its line are its context. A context belongs to its value and to the owners that values share: the name
 in an address (its local part without digits, roles like `info` aside) and the nearest name in the context.
-Over the corpus, a term t that stands in the distinct contexts of such an entity e discloses  PMI(t; e) / IC(e)
+Over the corpus, a term t that stands beside such an entity e in n(t,e) of its n(e) documents discloses  PMI(t; e) / IC(e)
 of it, where PMI = log2(P(t|e) / P(t)), P(t) = n(t) / N, P(t|e) = (n(t,e) + prior P(t)) / (n(e) + prior), which
 gives few contexts less weight, and IC = -log2(n(e) / N); n(t) and N count the distinct lines of all documents,
-told apart by 64-bit hashes. Terms above `disclosure` with `support` distinct contexts or more become
-spans in every line of every document: numbers and names are generalised, other words removed. Copies of
-a line are one context, so they disclose nothing; a domain is no owner, since many people share it.
+told apart by 64-bit hashes. Terms above `disclosure` with `support` documents or more become
+spans in every line of every document: numbers and names are generalised, other words removed. A document counts
+once however often it names the entity, and documents that repeat each other's contexts count as one, so copies
+disclose nothing; a domain is no owner, since many people share it.
 
 Defined results: null and empty texts have no spans. Repeated rows get equal spans. Finds that break a rule
 (parts above 255, wrong digits) are dropped. Runs of any length take linear time. An empty table gives no rows.
@@ -131,23 +132,24 @@ def _entities(value: str, kind: str, terms: list[tuple[str, int, int]], start: i
     return out
 
 
-_RECORD = "spans array<struct<start:long,end:long,kind:string>>, beside array<struct<entity:string,term:string,context:long>>"
+_RECORD = "spans array<struct<start:long,end:long,kind:string>>, beside array<struct<entity:string,term:string,context:long,doc:long>>"
 
 
 def _records(keep: list[str], settings: Settings):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-    beside_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())]))
+    beside_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64()), ("doc", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_spans, all_beside = [], []
             for text in batch["text"].to_pylist():
                 spans, beside = base_spans(text), []
+                doc = xxhash.xxh64_intdigest(text) - (1 << 63) if spans else 0
                 for start, end, kind in spans:
                     terms = _near(text, start, end, settings.reach, spans)
                     context = xxhash.xxh64_intdigest(" ".join(t[0].lower() for t in terms)) - (1 << 63)
                     for entity in _entities(text[start:end], kind, terms, start):
-                        beside += [{"entity": entity, "term": t, "context": context} for t in {t[0].lower() for t in terms}]
+                        beside += [{"entity": entity, "term": t, "context": context, "doc": doc} for t in {t[0].lower() for t in terms}]
                 all_spans.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
                 all_beside.append(beside)
             yield pa.RecordBatch.from_arrays(
@@ -184,9 +186,12 @@ def _line_terms(marked: np.ndarray):
 def disclosures(docs: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """entity, term of the pairs whose term gives the value away, by the co-occurrence of all documents."""
     spark = docs.sparkSession
-    contexts = found.select(F.explode("beside").alias("b")).select("b.entity", "b.term", "b.context").distinct()
-    pairs = contexts.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(f"n_te >= {settings.support}")
-    entities = contexts.select("entity", "context").distinct().groupBy(F.col("entity").alias("e")).agg(F.count("*").alias("n_e"))
+    contexts = found.select(F.explode("beside").alias("b")).select("b.*")
+    # One document stands for all that have the context, so copies are one.
+    contexts = contexts.groupBy("entity", "term", "context").agg(F.min("doc").alias("doc"))
+    pairs = contexts.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    pairs = pairs.where(f"n_te >= {settings.support}")
+    entities = contexts.select("entity", "doc").distinct().groupBy(F.col("entity").alias("e")).agg(F.count("*").alias("n_e"))
     pairs = materialise(pairs.join(entities, F.col("entity") == F.col("e")).drop("e"), "pii-pairs")
     # Distinct lines of a part of the texts bound n(t) from below, all lines bound N from above: pairs that fail
     # even so, such as those of common words, need no exact count.
