@@ -35,6 +35,17 @@ def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return numbered(df, name, [], list(order), "rank")
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """row, a struct of all columns but the text, and text: names of docs meet no others, and texts travel once."""
+    rest = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(True).alias("none")]
+    return docs.select(F.struct(*rest).alias("row"), "text")
+
+
+def restored(rows: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The columns of docs again, from row and a column that holds the text."""
+    return rows.select(*[F.col(text).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
+
+
 def runs(batches, *keys: str):
     """(key, rows) of consecutive rows that agree in the key columns, across Arrow batches.
 

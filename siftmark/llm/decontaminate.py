@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftmark.llm.common import drop_table, materialise, ranked
+from siftmark.llm.common import carried, drop_table, materialise, ranked, restored
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -393,7 +393,7 @@ _FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Str
 
 
 def _scan(rows: DataFrame, indices: list[Index], settings: Settings) -> DataFrame:
-    """row and the leaks of each of the rows (row, text)."""
+    """row, text and the leaks of each of the rows (row, text)."""
     shared = rows.sparkSession.sparkContext.broadcast(indices)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64())]))
 
@@ -401,12 +401,11 @@ def _scan(rows: DataFrame, indices: list[Index], settings: Settings) -> DataFram
         for batch in batches:
             found = [
                 [{"item_id": i, "cosine": c, "lcs": s} for i, c, s in leaks(text, shared.value, settings)]
-                for text in batch["text"].to_pylist()
+                for text in (t.as_py() for t in batch["text"])
             ]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(found, kind)], names=["row", "leaks"])
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["text"], pa.array(found, kind)], names=["row", "text", "leaks"])
 
-    schema = T.StructType([rows.schema["row"], T.StructField("leaks", _FOUND)])
-    return rows.select("row", "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("leaks", _FOUND)]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -423,8 +422,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs that give no item away, whatever other columns they have."""
-    kept = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    kept = carried(docs)
     for indices in _indices(docs.select("doc_id", "text"), benchmark, settings):
-        found = _scan(kept.select("row", "row.text"), indices, settings)
-        kept = found.where(F.size("leaks") == 0).select("row")
-    return kept.select("row.*")
+        kept = _scan(kept, indices, settings).where(F.size("leaks") == 0).select("row", "text")
+    return restored(kept, docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from siftmark.llm.common import materialise
+from siftmark.llm.common import carried, materialise, restored
 
 # The kinds in their order, those of the method last.
 KINDS = ("email", "ip", "card", "phone", "number", "name", "term")
@@ -142,7 +142,7 @@ def _records(keep: list[str], settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_spans, all_beside = [], []
-            for text in batch["text"].to_pylist():
+            for text in (t.as_py() for t in batch["text"]):
                 spans, beside = base_spans(text), []
                 doc = xxhash.xxh64_intdigest(text) - (1 << 63) if spans else 0
                 for start, end, kind in spans:
@@ -321,8 +321,7 @@ def redact(text: str | None, more: list[tuple[int, int, str]]) -> str | None:
 
 def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs with personal data in text generalised or removed, whatever other columns they have."""
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.md5("text").alias("_key"))
-    rows = materialise(rows, "pii-documents").select("row", F.col("row.text").alias("text"), "_key")
+    rows = materialise(carried(docs).withColumn("_key", F.md5("text")), "pii-documents")
     found = records(rows.select("text", "_key"), ["_key"], settings)
     more = added_spans(rows.select("text", "_key"), found, settings).select(F.col("key").alias("_of"), "more")
     joined = rows.join(more, F.col("_key") == F.col("_of"), "left").select("row", "text", "more")
@@ -331,10 +330,9 @@ def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for batch in batches:
             texts = [
                 redact(t, [(s["start"], s["end"], s["kind"]) for s in more or []])
-                for t, more in zip(batch["text"].to_pylist(), batch["more"].to_pylist())
+                for t, more in zip((t.as_py() for t in batch["text"]), batch["more"].to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], names=["row", "clean"])
 
     schema = T.StructType([joined.schema["row"], T.StructField("clean", T.StringType())])
-    done = joined.mapInArrow(run, schema)
-    return done.select(*[F.col("clean").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return restored(joined.mapInArrow(run, schema), docs.columns, "clean")

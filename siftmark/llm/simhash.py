@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftmark.llm.common import drop_table, materialise
+from siftmark.llm.common import carried, drop_table, materialise, restored
 
 SEED = 42
 _CHUNK = 1 << 14
@@ -162,8 +162,8 @@ def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFram
 
     Ids that are null come last; of rows alike in id and fingerprint the first read stays.
     """
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "doc_id", "text")
-    rows = with_fingerprint(rows, shingle).drop("text").withColumn("n", F.monotonically_increasing_id())
+    rows = carried(docs)
+    rows = with_fingerprint(rows, shingle).withColumn("doc_id", F.col("row.doc_id")).withColumn("n", F.monotonically_increasing_id())
     # Written out whole: fingerprints cost more than a second copy, and every row keeps its number.
     rows = materialise(rows, "simhash-rows")
     found = groups(rows.select("doc_id", "fp"), max_bits).select(F.col("fp").alias("f"), "root")
@@ -172,4 +172,4 @@ def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFram
     firsts = rows.groupBy("fp").agg(F.min(order).alias("w"))
     winners = firsts.join(found, F.col("fp") == F.col("f")).groupBy("root").agg(F.min("w").alias("w"))
     winners = materialise(winners.select(F.col("w.n").alias("winner")), "simhash-winners")
-    return rows.join(winners, F.col("n") == F.col("winner"), "left_semi").select("row.*")
+    return restored(rows.join(winners, F.col("n") == F.col("winner"), "left_semi"), docs.columns)

@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from siftmark.llm.common import drop_table, materialise
+from siftmark.llm.common import carried, drop_table, materialise, restored
 
 _WORD = re.compile(r"\w+")
 _HELD = 1 << 17  # keys that a task counts before it passes them on
@@ -281,7 +281,7 @@ def _fit_pairs(model: Model, pairs: DataFrame, words: DataFrame, chance, setting
 
 def _fit_curve(model: Model, rows: DataFrame) -> None:
     """Logistic regression on the one variable, by Newton steps with a small penalty on the slope."""
-    got = _with_evidence(rows.sparkSession.sparkContext.broadcast(model), rows, ["y"]).select("row.y", "evidence").toPandas()
+    got = _with_evidence(rows.sparkSession.sparkContext.broadcast(model), carried(rows)).select("row.y", "evidence").toPandas()
     x, y = np.arcsinh(got["evidence"].to_numpy(float) / _SCALE), got["y"].to_numpy(float)
     scale = x.std() or 1.0
     z = np.column_stack([x / scale, np.ones(len(x))])
@@ -297,16 +297,14 @@ def _fit_curve(model: Model, rows: DataFrame) -> None:
     model.slope, model.shift = float(max(beta[0], 0) / scale), float(beta[1])
 
 
-def _with_evidence(model, rows: DataFrame, keep: list[str]) -> DataFrame:
-    """row, the columns to keep as one struct, and the evidence of every row; rows may have any columns."""
-    narrow = rows.select(F.struct(*[F.col(c) for c in keep]).alias("row"), "text")
-
+def _with_evidence(model, rows: DataFrame) -> DataFrame:
+    """row, text and the evidence of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [model.value.evidence(t.as_py()) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(values, pa.float64())], names=["row", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["text"], pa.array(values, pa.float64())], names=["row", "text", "evidence"])
 
-    return narrow.mapInArrow(run, T.StructType([narrow.schema["row"], T.StructField("evidence", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("evidence", T.DoubleType())]))
 
 
 def _curve(model: Model) -> Column:
@@ -317,12 +315,15 @@ def _curve(model: Model) -> Column:
 def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.7) -> DataFrame:
     """keep, evidence, score and predicted for every row."""
     keep = [c for c in keep if c not in ("evidence", "score", "predicted")]
-    rows = _with_evidence(docs.sparkSession.sparkContext.broadcast(model), docs, keep)
+    narrow = carried(docs.select(*dict.fromkeys([*keep, "text"])))
+    rows = _with_evidence(docs.sparkSession.sparkContext.broadcast(model), narrow)
     value = _curve(model)
-    return rows.select("row.*", "evidence", value.alias("score"), (value >= threshold).cast("int").alias("predicted"))
+    made = rows.withColumn("value", value)
+    plain = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in keep]
+    return made.select(*plain, "evidence", F.col("value").alias("score"), (F.col("value") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score below the threshold, whatever other columns they have."""
-    rows = _with_evidence(docs.sparkSession.sparkContext.broadcast(model), docs, docs.columns)
-    return rows.where(_curve(model) < threshold).select("row.*")
+    rows = _with_evidence(docs.sparkSession.sparkContext.broadcast(model), carried(docs))
+    return restored(rows.where(_curve(model) < threshold), docs.columns)
