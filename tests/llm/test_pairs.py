@@ -190,7 +190,7 @@ def test_recall_of_the_search_against_exact_cosines(spark):
     texts = []
     for i in range(400):
         words = prose(rng.randint(30, 150))
-        if i % 3 == 0:
+        if i % 2 == 0:
             part = rng.choice(items)
             words[5:5] = part[: len(part) // 2]
         texts.append(words)
@@ -215,4 +215,4 @@ def test_recall_of_the_search_against_exact_cosines(spark):
                 near += 1
                 found += (window, j) in got
     print(f"recall {found}/{near}")
-    assert near > 300 and found >= 0.97 * near
+    assert near > 250 and found >= 0.97 * near
