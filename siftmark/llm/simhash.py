@@ -55,7 +55,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3, name: str = "fp") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t, shingle) for t in batch["text"].to_pylist()]
+            values = [fingerprint(t.as_py(), shingle) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(values, pa.int64())], names=[*kept, name])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
