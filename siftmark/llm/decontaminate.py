@@ -10,9 +10,10 @@ recall against exact cosines). Several blocks are searched in one pass, one afte
 A candidate counts as a leak if the longest common subsequence covers `lcs` of the passage's words, or
 `lcs_paraphrase` of them and the answer (column `answer`, else the last sentence) is there too.
 
-Document frequencies cover all documents and are counted once for the words of all blocks, in portions of
-`portion_words` words. Sampled for the fit only: `sample_docs` documents, the first by a hash of the id, with at
-most `per_doc` windows each. What goes to tasks is bounded by portion, blocks of a pass, sample and rank.
+Document frequencies are counted once, for all words of all documents. A block's vocabulary are its own words and
+the frequent ones, which `common` of all documents hold; so they are at most 1 / `common` times the mean number of
+distinct words of a document. Sampled for the fit of the space only: `sample_docs` documents, the first by a hash of
+the id, with at most `per_doc` windows each. What goes to tasks is bounded by vocabulary, blocks of a pass and rank.
 
 Defined results: null and empty texts and items have no leaks. Repeated documents give repeated rows, items
 that repeat an id count as that item. Empty tables give no rows. Ties in cosine do not matter, as every
@@ -21,10 +22,11 @@ candidate is checked.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -35,6 +37,10 @@ from siftmark.llm.common import carried, drop_table, materialise, ranked, restor
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
+_BETWEEN = bytes(i if chr(i).isalnum() or chr(i) == "_" else 32 for i in range(256))  # what \w is not, as blanks
+
+
+_GROUPS = 16  # of the passages of a block, for the test before their scores
 
 
 @dataclass(frozen=True)
@@ -43,7 +49,8 @@ class Settings:
     item_words: int = 64
     block: int = 256
     blocks_per_pass: int = 4
-    portion_words: int = 1 << 18
+    common: float = 1 / 500
+    task_words: int = 1 << 18
     rank: int = 288
     rounds: int = 2
     sample_docs: int = 2000
@@ -67,12 +74,18 @@ class Index:
     passages: list[tuple[int, list[str], list[str]]]
 
     def __post_init__(self):
-        self.most = np.maximum(self.rows.max(axis=1), 0)  # what a word can add to any score
-        self.squares = self.idf**2
+        starts = np.linspace(0, self.rows.shape[1], min(_GROUPS, self.rows.shape[1]), endpoint=False).astype(int)
+        self.groups = np.maximum(np.maximum.reduceat(self.rows, starts, axis=1), 0)  # what a word can add to a score with a group of passages
+        self.squares = np.append(self.idf**2, 0)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """The lower-cased runs of word characters."""
+    low = (text or "").lower()
+    try:  # the same, several times faster
+        return low.encode("latin-1").translate(_BETWEEN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(low)
 
 
 def passages_of(text: str, answer: str | None, most: int) -> list[tuple[list[str], list[str]]]:
@@ -100,17 +113,22 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def _doc_counts(vocabulary: dict[str, int]):
+def _doc_counts(most: int):
+    """(w, n): the documents of the task that hold each word, in pieces of about `most` words; "" stands for all documents."""
+
+    def piece(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"w": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, docs = np.zeros(len(vocabulary) + 1, np.int64), 0
+        counts = Counter()
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                found = vocabulary.keys() & set(words_of(text))
-                np.add.at(totals, np.array([vocabulary[w] for w in found], np.int64), 1)
-                docs += 1
-        totals[0] = docs
-        at = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(totals[at], pa.int64())})
+            counts[""] += batch.num_rows
+            for text in batch["text"]:
+                counts.update(set(words_of(text.as_py())))
+                if len(counts) >= most:
+                    yield piece(counts)
+                    counts = Counter()
+        yield piece(counts)
 
     return run
 
@@ -121,23 +139,25 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"w": pa.array(list(found), pa.string())})
 
 
-def frequencies(docs: DataFrame, items: DataFrame, frequent: list[str], settings: Settings) -> tuple[DataFrame, int]:
-    """(w, n) of the words of all items and of the frequent ones, and the number of documents."""
-    spark = docs.sparkSession
+def word_counts(docs: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
+    """(w, n) of all words of all documents, and the number of documents."""
+    counts = docs.select("text").mapInArrow(_doc_counts(settings.task_words), "w string, n long")
+    counts = materialise(counts.groupBy("w").agg(F.sum("n").alias("n")), "decontaminate-counts")
+    documents = counts.where("w = ''").agg(F.sum("n")).first()[0] or 0
+    return counts.where("w != ''"), documents
+
+
+def frequent_words(counts: DataFrame, documents: int, settings: Settings) -> list[str]:
+    """Words that a share of `common` of all documents hold, three at least."""
+    frequent = counts.where(F.col("n") >= max(3, math.ceil(settings.common * documents)))
+    return sorted(r.w for r in frequent.select("w").toLocalIterator())
+
+
+def frequencies(counts: DataFrame, items: DataFrame, frequent: list[str]) -> DataFrame:
+    """(w, n) of the words of all items and of the frequent ones, as far as documents hold them."""
     words = items.select("text").mapInArrow(_item_words, "w string")
-    words = words.unionAll(spark.createDataFrame([(w,) for w in frequent], "w string")).distinct()
-    words = ranked(words, "decontaminate-words", F.col("w"))
-    total, tables, documents = words.count(), [], None
-    for first in range(0, max(total, 1), settings.portion_words):
-        portion = words.where((F.col("rank") > first) & (F.col("rank") <= first + settings.portion_words))
-        vocabulary = {r.w: r.rank - first for r in portion.toLocalIterator()}
-        shared = spark.sparkContext.broadcast(vocabulary)
-        counts = docs.select("text").mapInArrow(lambda b: _doc_counts(shared.value)(b), "id long, n long")
-        counts = materialise(counts.groupBy("id").agg(F.sum("n").alias("n")), "decontaminate-counts")
-        shared.destroy()
-        documents = counts.where("id = 0").agg(F.sum("n")).first()[0] or 0
-        tables.append(portion.join(counts, F.col("rank") - first == F.col("id")).select("w", "n"))
-    return materialise(reduce(DataFrame.unionAll, tables), "decontaminate-frequencies"), documents
+    words = words.unionAll(items.sparkSession.createDataFrame([(w,) for w in frequent], "w string")).distinct()
+    return materialise(counts.join(words, "w", "left_semi"), "decontaminate-frequencies")
 
 
 def _row(words: list[str], vocabulary: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,12 +268,6 @@ def _sample(docs: DataFrame, settings: Settings) -> DataFrame:
     return chosen.mapInArrow(cut, "words array<string>")
 
 
-def frequent_words(sample: DataFrame) -> list[str]:
-    """Words of three windows of the sample or more; bounded by the sample."""
-    frequent = sample.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().where("count >= 3")
-    return sorted(r.w for r in frequent.toLocalIterator())
-
-
 def build_index(
     sample: DataFrame, passages: list[tuple[int, list[str], list[str]]], frequent: list[str], known: DataFrame, documents: int, settings: Settings,
 ) -> Index:
@@ -300,31 +314,28 @@ def build_index(
     return Index(extra, matrix, all_idf, passages)
 
 
+def _windows(blocks: np.ndarray) -> np.ndarray:
+    """A window is two blocks, or the only one."""
+    return blocks[:-1] + blocks[1:] if len(blocks) > 1 else blocks
+
+
 def candidates(words: list[str], index: Index, settings: Settings) -> list[tuple[int, int, float]]:
     """(window, passage, cosine) of the windows of a text that come near a passage in the latent space."""
     half, n = settings.half, len(words)
-    ids = np.fromiter(map(index.vocabulary.get, words, repeat(0)), np.int64, n)
+    ids = np.full((-(-n // half), half), len(index.squares) - 1, np.int64)  # the last block is filled up with nothing
+    ids.ravel()[:n] = np.fromiter(map(index.vocabulary.get, words, repeat(0)), np.int64, n)
+    limit = settings.cosine * np.sqrt(np.maximum(_windows(index.squares[ids].sum(axis=1)), 1e-12))
     used = np.where(ids < len(index.rows), ids, 0)
-    edges = np.arange(0, n, half)
-    two = (lambda x: x[:-1] + x[1:]) if len(edges) > 1 else (lambda x: x)  # a window is two blocks
-    limit = settings.cosine * np.sqrt(np.maximum(two(np.add.reduceat(index.squares[ids], edges)), 1e-12))
-    # Windows whose words could not reach the limit with any passage need no scores.
-    possible = np.flatnonzero(two(np.add.reduceat(index.most[used], edges)) >= limit * (1 - 1e-4))
+    # Windows whose words could not reach the limit with any passage of any group need no scores.
+    most = np.concatenate([index.groups[used[lo:lo + 4096]].sum(axis=1) for lo in range(0, len(used), 4096)])
+    possible = np.flatnonzero(_windows(most).max(axis=1) >= limit * (1 - 1e-4))
     hits = []
     for lo in range(0, len(possible), 1024):  # bounded memory for very long texts
         some = possible[lo:lo + 1024]
-        need = np.zeros(len(edges), bool)
-        need[some] = need[np.minimum(some + 1, len(edges) - 1)] = True
-        place = np.cumsum(need) - 1
-        at = np.flatnonzero((used > 0) & np.repeat(need, half)[:n])
-        scores = np.zeros((int(need.sum()), index.rows.shape[1]), np.float32)
-        if len(at):
-            of = at // half
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
-            scores[place[of[starts]]] = np.add.reduceat(index.rows[used[at]], starts, axis=0)
-        full = scores[place[some]]
-        if len(edges) > 1:
-            full = full + scores[place[some + 1]]
+        need = np.unique(np.concatenate([some, np.minimum(some + 1, len(ids) - 1)]))
+        scores = index.rows[used[need]].sum(axis=1)
+        place = np.searchsorted(need, some)
+        full = scores[place] + scores[place + 1] if len(ids) > 1 else scores
         windows, found = np.nonzero(full >= limit[some, None])
         cosines = full[windows, found] / limit[some[windows]] * settings.cosine
         hits += zip(some[windows].tolist(), found.tolist(), cosines.tolist())
@@ -345,7 +356,7 @@ def leaks(text: str | None, indices: list[Index], settings: Settings) -> list[tu
             region = words[max(0, lo):hi]
             there = set(region)
             # No subsequence is longer than the number of words that are there at all.
-            if sum(w in there for w in passage) < min(settings.lcs, settings.lcs_paraphrase) * len(passage):
+            if sum(map(there.__contains__, passage)) < min(settings.lcs, settings.lcs_paraphrase) * len(passage):
                 continue
             share = common_subsequence(passage, region) / len(passage)
             told = share >= settings.lcs
@@ -377,8 +388,10 @@ def _blocks(items: DataFrame, settings: Settings) -> Iterator[list[tuple[int, li
 def _indices(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> Iterator[list[Index]]:
     """The indices of the blocks, as many at a time as one pass over the documents searches."""
     sample = materialise(_sample(docs, settings), "decontaminate-sample")
-    items, frequent = _items(benchmark), frequent_words(sample)
-    known, documents = frequencies(docs, items, frequent, settings)
+    items = _items(benchmark)
+    counts, documents = word_counts(docs, settings)
+    frequent = frequent_words(counts, documents, settings)
+    known = frequencies(counts, items, frequent)
     held: list[Index] = []
     for block in _blocks(items, settings):
         held.append(build_index(sample, block, frequent, known, documents, settings))

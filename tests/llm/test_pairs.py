@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -181,6 +182,27 @@ def test_leaks_of_nothing(spark, benchmark_case):
     assert decontaminate.drop_leaks(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_frequent_words_are_told_by_all_documents(spark):
+    """A word that no sampled document holds is in the vocabulary as soon as enough documents hold it."""
+    texts = [f"Common own{i} {'rare' * (i % 100 == 0)} {'scarce' * (i < 2)}" for i in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (900, None)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, "one passage of own7 and absent words")], "item_id long, text string")
+    settings = decontaminate.Settings(sample_docs=1, common=1 / 100, task_words=50)
+    counts, documents = decontaminate.word_counts(docs, settings)
+    got = {r.w: r.n for r in counts.collect()}
+    assert documents == 301 and got == {"common": 300, "rare": 3, "scarce": 2, **{f"own{i}": 1 for i in range(300)}}
+    assert decontaminate.frequent_words(counts, documents, settings) == ["common"]  # a hundredth of 301 is more than three
+    own = {"one", "passage", "of", "own7", "and", "absent", "words"}
+    [[index]] = list(decontaminate._indices(docs, bench, decontaminate.Settings(sample_docs=1)))
+    assert set(index.vocabulary) == own | {"common", "rare"}
+
+
+def test_words_are_runs_of_word_characters():
+    for code in (*range(0x2100), 0x4E2D, 0x1D538):
+        text = f"Aa{chr(code)}b_9"
+        assert decontaminate.words_of(text) == re.findall(r"\w+", text.lower()), hex(code)
+
+
 def test_recall_of_the_search_against_exact_cosines(spark):
     """A full block of passages over skewed words: nearly all windows at cosine 0.2 or more are candidates."""
     rng = random.Random(21)
