@@ -203,3 +203,16 @@ def test_latest_status(spark, tmp_path):
     df = spark.createDataFrame(rows, "job_id string, type string, id long").withColumn("at", F.timestamp_seconds("id"))
     out = collected(spark, SQ.stream_latest_status(source(spark, df, str(tmp_path), ["id"], 1)), tmp_path, "update")
     assert {r.job_id: r.status for r in out.collect()} == {"j": "done", "k": "running"}
+
+
+def test_arriving_parts_are_written_by_many_tasks(spark, tmp_path):
+    """Every part is one micro-batch, whatever number of files holds it; a part may have fewer rows than tasks."""
+    from workload import queries
+
+    rows = spark.range(0, 1000, 1, 5).withColumn("text", F.col("id").cast("string"))
+    part = F.when(F.col("id") < 2, 0).when(F.col("id") < 500, 1).otherwise(3)
+    stream, got = queries._arriving(rows, "parts", part, 4), []
+    running = stream.writeStream.foreachBatch(lambda df, i: got.append((i, df.count(), df.select(F.input_file_name()).distinct().count())))
+    running.option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
+    assert [n for _, n, _ in got] == [2, 498, 0, 500]
+    assert got[1][2] == got[3][2] == 5

@@ -861,11 +861,17 @@ def _stream(spark, sf_dir, name: str, order: str, files: int = 4, mixed: bool =
 
 
 def _arriving(rows: DataFrame, name: str, part: Column, files: int) -> DataFrame:
+    """A micro-batch per part: each is written as the same number of files, by as many tasks as read the rows."""
     spark = rows.sparkSession
     folder = inputs.scratch(spark, f"arriving-{name}")
+    pieces = max(1, rows.rdd.getNumPartitions())
+    dealt = rows if pieces == 1 else rows.repartition(pieces)
     for i in range(files):  # files are taken in the order in which they were written
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        dealt.where(part == i).coalesce(pieces).write.mode("append").parquet(folder)
+        # A piece without rows, of a small part, has no file: empty ones stand for these.
+        for _ in range((i + 1) * pieces - len(spark.read.schema(rows.schema).parquet(folder).inputFiles())):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", pieces).parquet(folder)
 
 
 def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
