@@ -20,6 +20,7 @@ _NOT_SPACE = r"\x00-\x08\x0B\x0E-\x1F!-\x{10FFFF}"
 _MOST_REPEATS = 1000
 _REPEAT = re.compile(r"\{\d+(,\d*)?\}")
 _GROUP_NAME = re.compile(r"\(\?P?<[A-Za-z_]\w*>")
+_FIRST_RUN = re.compile(r"^(\[(?:[^\[\]\\&]|\\.)+\])\+(?![+?])")
 _FLAGS = re.compile(r"\(\?([imsU]*)(?:-([imsU]+))?([:)])")
 _POSIX = re.compile(r"\[:(\^?)([a-z]+):\]")
 # POSIX class names of RE2 and their members.
@@ -300,6 +301,7 @@ def _best_literal(runs: list[tuple[str, bool]]) -> tuple[str, bool] | None:
 def translate(pattern: str) -> Translated:
     per_line = _Scanner(pattern, per_line=True)
     line = "(?d)" + per_line.scan()
-    search = "(?dm)" + _Scanner(pattern, per_line=False).scan()
+    # A text with a match of X+Y has one of XY, which costs no way back over each run of X.
+    search = "(?dm)" + _FIRST_RUN.sub(r"\1", _Scanner(pattern, per_line=False).scan())
     found = [_best_literal(runs) for runs in per_line.branches]
     return Translated(line, search, tuple(found) if all(found) else ())

@@ -68,15 +68,15 @@ def _requirements(text: Column, strict: bool) -> Column:
 
 
 def _package_json(text: Column) -> Column:
-    doc = F.from_json(text, _NPM)
-    both = [F.coalesce(F.map_entries(doc[k]), F.array().cast("array<struct<key:string,value:string>>"))
-            for k in _NPM_SECTIONS]
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    # The text is parsed once for all sections.
+    both = let(F.from_json(text, _NPM), lambda doc: F.concat(*[F.coalesce(F.map_entries(doc[k]), none) for k in _NPM_SECTIONS]))
 
     def parse(e):
         version = F.trim(F.coalesce(e["value"], F.lit("")))
         return _dep("npm", e["key"], F.when(version.isin("*", "latest"), "").otherwise(version))
 
-    return F.transform(F.concat(*both), parse)
+    return F.transform(both, parse)
 
 
 def _go_mod(text: Column) -> Column:

@@ -90,10 +90,17 @@ def _may_hit(rule: Rule, body: Column, lowered: Column) -> Column | None:
     return _all(_any(literals) if literals else None, body.rlike(pattern.search))
 
 
+def _folded(text: Column, lowered: Column, literal: Column | str) -> Column:
+    """The text holds the literal in any case, as the regex engine sees it: it also takes two Turkish letters for i."""
+    return lowered.contains(literal) | text.contains("\u0130") | text.contains("\u0131")
+
+
 def _never_hits(rule: Rule, content: Column, body: Column) -> Column:
     """No place of a text fits the rule's pattern."""
     if rule.translated is not None:
-        return ~content.rlike(rule.translated.line)
+        lowered = F.lower(content)
+        literals = [_folded(content, lowered, text) if fold else content.contains(text) for text, fold in rule.translated.literals]
+        return ~_all(_any(literals) if literals else None, content.rlike(rule.translated.line))
     test = lambda line: rule.kind.line(rule.pattern, line)
     return F.when(content == "", True).otherwise(~F.exists(text.split_lines(body), test))
 
@@ -119,10 +126,16 @@ def _constants(rows: list[dict], fields: list[str], number: Column) -> Column:
 
 
 def _pattern_rows(rules: list[Rule]) -> list[dict]:
-    rows = [{"first": r.translated.first, "line": r.translated.line} if r.translated else {} for r in rules]
+    rows = [{"first": r.translated.first, "line": r.translated.line, **_only_literal(r)} if r.translated else {} for r in rules]
     return [*rows, {"line": entropy.ASSIGNMENT}]
 
 
+def _only_literal(rule: Rule) -> dict:
+    """The literal that every hit of a rule contains, if there is just one, under the name of the test that it needs."""
+    literals = rule.translated.literals
+    return {"folded" if literals[0][1] else "plain": literals[0][0]} if len(literals) == 1 else {}
+
+
 def _whole_items(content: Column, body: Column, lang: Column, off: Column, rules: list[Rule], opts: ScanOptions) -> Column:
     """Hits of whole texts: required patterns that are missing, dependencies without a version."""
     none, items = F.array().cast(_ITEMS), []
@@ -200,9 +213,11 @@ def _hits(files: DataFrame, rules: list[Rule], opts: ScanOptions) -> DataFrame:
             def fits(p):
                 # A test by place compiles a pattern once for all lines of a text.
                 first = lambda l: p["first"].isNull() | (F.regexp_instr(l["text"], p["first"]) > 0)
-                return F.filter(lines, lambda l: first(l) & (F.regexp_instr(l["text"], p["line"]) > 0))
+                holds = lambda l: F.when(p["plain"].isNotNull(), l["text"].contains(p["plain"])).when(
+                    p["folded"].isNotNull(), _folded(l["text"], F.lower(l["text"]), p["folded"])).otherwise(True)
+                return F.filter(lines, lambda l: holds(l) & first(l) & (F.regexp_instr(l["text"], p["line"]) > 0))
 
-            found = text.let(_constants(patterns, ["first", "line"], i), fits)
+            found = text.let(_constants(patterns, ["first", "line", "plain", "folded"], i), fits)
             return F.transform(found, lambda l: _item(i, False, line=l["line"], text=l["text"]))
 
         regexes = F.array_except("likely", F.array(*[F.lit(i) for i, _ in custom])) if custom else F.col("likely")

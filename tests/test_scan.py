@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -485,3 +486,60 @@ def test_candidates_find_what_all_files_find(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and asked == [{"a", "c", "d", "f", "g"}]
     with pytest.raises(ValueError):
         trigrams.candidates(spark, rules, str(tmp_path), "v2")
+
+
+def test_trigrams_are_stored_by_block(spark, tmp_path):
+    """One row per block and trigram says which files hold it, however many they are."""
+    from siftmark.plans import trigrams
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abC é\n~") for _ in range(rng.randrange(40))) for _ in range(300)] + [None, "", "ab", "ABC"]
+    names = [("j" if i % 2 else None, f"f{i}") for i in range(len(texts))]
+    files = spark.createDataFrame([(j, p, "x", t) for (j, p), t in zip(names, texts)], schemas.FILES).coalesce(1)
+    trigrams.build_trigrams(files, str(tmp_path), "v1")
+    stored = spark.read.parquet(f"{tmp_path}/version=v1")
+    rows, want = stored.where("gram is not null").collect(), set()
+    for name, text in zip(names, texts):
+        low = (text or "").lower()
+        want |= {(low[i:i + 3], *name) for i in range(len(low) - 2) if all(" " <= c <= "~" for c in low[i:i + 3])}
+    who = {(r.block, r.members[0]): (r.job_id, r.path) for r in stored.where("gram is null").collect()}
+    assert sorted(who.values(), key=str) == sorted(names, key=str)
+    assert {(r.gram, *who[r.block, m]) for r in rows for m in r.members} == want
+    assert len(rows) == len({g for g, _, _ in want}) and sum(len(r.members) for r in rows) == len(want)
+
+
+def test_line_tests_of_rules_with_a_literal(spark):
+    """The literal is looked for before the expression; letters that fold to i for the engine do not hide a hit."""
+    rules = R.check_rules(spark, [
+        R.Rule("A", R.Pattern("regex", r"(?i)\bvie de\b"), languages=("*",), enabled=True),
+        R.Rule("B", R.Pattern("regex", "de|xx"), languages=("*",), enabled=True),
+        R.Rule("C", R.Pattern("regex", r"[a-z]+@b"), languages=("*",), enabled=True),
+        R.Rule("D", R.Pattern("regex", "(?i)mit", negate=True), languages=("*",), enabled=True),
+    ])
+    text = "vie de\nvİe de\nVıE DE\nla vied e\nxx aa@b\n"
+    files = spark.createDataFrame([("j", "a", "x", text), ("j", "b", "x", "mıt"), ("j", "c", "x", "MiT\n")], schemas.FILES)
+    got = sorted((r.file, r.rule_id, r.line, r.column) for r in scan.scan_files(files, rules).collect())
+    assert got == [("a", "A", 1, 1), ("a", "A", 2, 1), ("a", "A", 3, 1), ("a", "B", 1, 5), ("a", "B", 2, 6), ("a", "B", 5, 1), ("a", "C", 5, 4), ("a", "D", 1, 1)]
+    assert translate("[a-z]+@b").search == "(?dm)[a-z]@b" and translate("[a-z]+?@").search == "(?dm)[a-z]+?@"
+
+
+def test_numbering_scans_once(spark):
+    """Dealing findings by ranges of their order does not compute them a second time."""
+    files = spark.createDataFrame([("j", f"f{i}", "x", "abc\nabc\n") for i in range(50)], schemas.FILES).repartition(4, "path")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rules = R.check_rules(spark, [R.Rule("A", R.Pattern("regex", "b"), languages=("*",), enabled=True)])
+    numbered = rollup.number_findings(scan.scan_files(files.mapInArrow(seen, files.schema), rules)).collect()
+    assert sorted(r.number for r in numbered) == list(range(1, 101)) and read.value == 50
+
+
+def test_package_json_is_parsed_once(spark):
+    files = spark.createDataFrame([("j", "package.json", "x", '{"dependencies":{"a":"1"},"peerDependencies":{"b":"*"}}')], schemas.FILES)
+    found = deps.declared_dependencies(files)
+    assert [(r.name, r.version) for r in found.collect()] == [("a", "1"), ("b", "")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
