@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from siftmark.llm.common import carried, drop_table, materialise, restored
+from siftmark.llm.common import carried, drop_table, local_rows, materialise, restored
 
 _WORD = re.compile(r"\w+")
 _HELD = 1 << 17  # keys that a task counts before it passes them on
@@ -185,8 +185,7 @@ def _moved(
     rows: DataFrame, count: str, expected: Column, doubts: list[tuple[int, int, float]], spread: float, most_doubt: float, least: float, out: str,
 ) -> DataFrame:
     """Adds how far a count moves its expectation once it is discounted."""
-    spark = rows.sparkSession
-    known = spark.createDataFrame(doubts, "_k int, _b int, doubt double") if doubts else spark.createDataFrame([], "_k int, _b int, doubt double")
+    known = local_rows(rows.sparkSession, doubts, "_k int, _b int, doubt double")
     joined = rows.join(known, (count_class(F.col(count)) == F.col("_k")) & (F.col("b") == F.col("_b")), "left")
     doubt = F.coalesce("doubt", F.lit(1.0))
     rate = F.greatest((1 - doubt) * F.col(count) + doubt * expected, F.lit(least) * expected)

@@ -5,8 +5,9 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftmark.llm import decontaminate, simhash
-from siftmark.llm.common import materialise
+import pyarrow as pa
+from siftmark.llm import decontaminate, simhash, toxicity
+from siftmark.llm.common import local_rows, materialise
 
 
 def test_stages(spark, sf, edge_docs):
@@ -38,3 +39,30 @@ def test_empty_documents(spark, sf, edge_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.collect() == []
+
+
+def test_texts_come_in_small_pieces(spark, sf, edge_docs):
+    """Executors keep what the largest batch took, so no stage hands out thousands of whole texts at once."""
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, edge_docs.limit(0), sf)
+        long = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("word "), 4000).alias("text"))
+        sizes = long.mapInArrow(lambda batches: (pa.record_batch({"n": [b.num_rows]}) for b in batches), "n long")
+        assert sizes.agg(F.max("n"), F.sum("n")).first()[:] == (sizes.first().n, 2000) and sizes.first().n * 20000 <= 2 << 20
+        assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1024
+
+
+def test_doubts_are_local_rows(spark):
+    """The pairs are not sorted and dealt by their few count classes, and no RDD of Python rows is made."""
+    rows = spark.range(0, 5000, 1, 3).select((F.col("id") % 7).alias("c0"), F.lit(3).alias("b"), "id")
+    told = toxicity._moved(rows, "c0", F.lit(2.0), [(5, 3, 0.0), (4, 3, 0.9), (1, 9, 0.0)], 0.1, 0.5, 0.0, "x0")
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ExistingRDD" not in plan
+    assert {(r.c0, round(r.x0, 9)) for r in told.collect()} == {*((c, 0.0) for c in range(6)), (6, 4.0)}
+    empty = toxicity._moved(rows, "c0", F.lit(2.0), [], 0.1, 0.5, 0.0, "x0")
+    assert empty.agg(F.count("*"), F.sum(F.abs("x0"))).first()[:] == (5000, 0.0)
+
+
+def test_local_rows(spark):
+    rows = [("a", ["x", None], 1.5), (None, [], None)]
+    assert [tuple(r) for r in local_rows(spark, rows, "a string, b array<string>, c double").collect()] == rows
+    assert local_rows(spark, [], "a string, b int").collect() == []
